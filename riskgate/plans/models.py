@@ -1,3 +1,55 @@
-"""Model-stage queries (filled in with the probes)."""
+"""Model-stage queries (M1-M9): fitted on the embeddings table with label
+"class 0 against the rest". Fits are iterative, so these have no SQL oracle;
+scoring of given weights is oracle-checked separately (``linear_apply``)."""
 
-MODEL_QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskgate.functions import draws
+from riskgate.operators.probes import RiskProbes, confidence_baseline
+from riskgate.operators.split import stratified_split
+from riskgate.plans import inputs as I
+
+
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    e = I.table(spark, sf, "embeddings")
+    y = (F.col("label") == 0).cast("int")
+    sev = F.when(y == 1, 15.0 + 8.0 * draws.unit_draw(I.SEED, F.col("vec_id"), "sev")) \
+        .otherwise(6.0 * draws.unit_draw(I.SEED, F.col("vec_id"), "sev"))
+    return e.select(F.col("vec_id").alias("sample_id"), F.col("embedding").alias("features"),
+                    y.alias("true_label"), sev.alias("true_severity"))
+
+
+def _fit(spark, sf):
+    return RiskProbes(mlp_max_rounds=5, mlp_patience=2).fit(samples(spark, sf))
+
+
+def fit_score(spark, sf):
+    model = _fit(spark, sf)
+    s = model.transform(samples(spark, sf))
+    return s.select("sample_id", F.round("qhi", 6).alias("qhi"), "gate")
+
+
+def fit_stats(spark, sf):
+    model = _fit(spark, sf)
+    return model.summary(spark).drop("train_time_s")
+
+
+def sparse_weights(spark, sf):
+    return _fit(spark, sf).sparse_weights(spark)
+
+
+def confidence_only(spark, sf):
+    s = stratified_split(samples(spark, sf), "true_label", "sample_id")
+    out = confidence_baseline(s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test"))
+    return out.select("sample_id", F.round("confidence_score", 6).alias("confidence_score"))
+
+
+MODEL_QUERIES = {
+    "fit_score": fit_score,
+    "fit_stats": fit_stats,
+    "sparse_weights": sparse_weights,
+    "confidence_baseline": confidence_only,
+}
