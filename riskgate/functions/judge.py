@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from riskgate import fixed
 
-_EMPTY = F.array().cast("array<string>")
+
+
+def _empty() -> Column:
+    return F.array().cast("array<string>")
 
 
 def _col(c) -> Column:
@@ -25,12 +28,12 @@ def contained_count(text, phrases) -> Column:
     A null phrase list counts as empty; a null text as the empty string.
     """
     low = F.lower(F.coalesce(_col(text), F.lit("")))
-    return F.size(F.filter(F.coalesce(_col(phrases), _EMPTY),
+    return F.size(F.filter(F.coalesce(_col(phrases), _empty()),
                            lambda p: F.contains(low, F.lower(p))))
 
 
 def _size(arr) -> Column:
-    return F.size(F.coalesce(_col(arr), _EMPTY))
+    return F.size(F.coalesce(_col(arr), _empty()))
 
 
 def judge_rate(text, facts, flags, risk, default_risk: int = fixed.DEFAULT_RISK) -> Column:
@@ -83,7 +86,7 @@ def judge_any_flag(text, facts, flags, risk) -> Column:
 
 def term_fallback(terms, bank_terms, default: str = fixed.FALLBACK_ENTITY) -> Column:
     """Extracted terms, or the bank's when none were found."""
-    t = F.coalesce(_col(terms), _EMPTY)
+    t = F.coalesce(_col(terms), _empty())
     bank = F.coalesce(_col(bank_terms), F.array(F.lit(default)))
     return F.when(F.size(t) == 0, bank).otherwise(t)
 

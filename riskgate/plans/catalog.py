@@ -410,6 +410,17 @@ def group_split(spark, sf):
     return S.group_split(d, "text_key").select("doc_id", "split")
 
 
+# --------------------------------------------------------------------------- streaming (batch form)
+
+def gate_windows(spark, sf):
+    from riskgate.streaming import gates as G
+    ev = G.as_event_time(I.table(spark, sf, "events"))
+    scored = I.scored(ev.select("event_time", *I.components(F.col("event_id"))))
+    w = G.gate_windows(scored, window="1 hour", watermark=None)
+    return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                    "gate", "n", _r6("avg_qhi"))
+
+
 # --------------------------------------------------------------------------- flagship
 
 def qa_judge_report(spark, sf):
@@ -476,4 +487,5 @@ QUERIES: dict[str, Query] = {
     "method_compare": method_compare,
     "stratified_split": stratified_split,
     "group_split": group_split,
+    "gate_windows": gate_windows,
 }

@@ -520,6 +520,13 @@ SELECT model, count(*) AS n, round(avg(qhi), 6) AS avg_qhi, round(avg(CAST(hal A
        CAST(count_if(gate = 'AUTO_USE') AS BIGINT) AS n_auto, CAST(count_if(gate = 'REVIEW') AS BIGINT) AS n_review,
        CAST(count_if(gate = 'BLOCK') AS BIGINT) AS n_block
 FROM q GROUP BY model"""
+    out["gate_windows"] = f"""
+WITH e0 AS (SELECT ts, {components('event_id')} FROM events),
+e1 AS (SELECT *, {QHI} AS qhi FROM e0),
+e AS (SELECT *, {GATE} AS gate FROM e1)
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, gate,
+       count(*) AS n, round(avg(qhi), 6) AS avg_qhi
+FROM e GROUP BY 1, 2"""
     return out
 
 
