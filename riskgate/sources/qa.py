@@ -176,9 +176,13 @@ def bank_source(spark: SparkSession, path: str | Sequence[str], multiline: bool
     """A question bank file (S7); the second spelling (risk, correct_facts) is
     renamed to the first, missing columns become null."""
     raw = spark.read.option("multiLine", multiline).json(path)
-    present = {k: v for k, v in BANK_B_RENAMES.items() if k in raw.columns}
-    if present:
-        raw = raw.withColumnsRenamed(present)
+    for src, dst in BANK_B_RENAMES.items():
+        if src not in raw.columns:
+            continue
+        if dst in raw.columns:   # both spellings in one input: take whichever is set
+            raw = raw.withColumn(dst, F.coalesce(F.col(dst), F.col(src))).drop(src)
+        else:
+            raw = raw.withColumnRenamed(src, dst)
     cols = []
     for f in BANK_SCHEMA.fields:
         c = F.col(f.name) if f.name in raw.columns else F.lit(None)
