@@ -53,6 +53,8 @@ class ProbeParams:
     hidden_layers: Sequence[int] = field(default_factory=lambda: list(fixed.RISK_HIDDEN_LAYERS))
     classes: int = fixed.RISK_CLASSES
     max_iter: int = 100
+    tol: float = 1e-4
+    rows_per_partition: int = 200_000
     mlp_round_iter: int = 10
     mlp_max_rounds: int = 20
     mlp_patience: int = 5
@@ -83,27 +85,37 @@ class RiskProbes:
         t0 = time.time()
         require_rows(df, p.min_rows)
         data = _with_labels(df, p)
-        split = stratified_split(data, p.label_col, p.key_col, p.test_fraction, p.seed)
+        split = stratified_split(data, p.label_col, p.key_col, p.test_fraction, p.seed) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
         train = split.filter(F.col("split") == "train")
         test = split.filter(F.col("split") == "test")
 
+        counts = {r["split"]: r for r in split.groupBy("split").agg(
+            F.count(F.lit(1)).alias("n"), F.countDistinct("_violation").alias("nv")).collect()}
+        n_train = int(counts["train"]["n"])
+        n_test = int(counts["test"]["n"]) if "test" in counts else 0
+        dim = len(split.select(_VEC).first()[0])
+
+        # Iterative fits pay a job per iteration: size partitions by rows, so a
+        # small training set is one task and a large one keeps its parallelism.
+        def sized(d: DataFrame, n: int) -> DataFrame:
+            k = max(1, -(-n // p.rows_per_partition))
+            return d.coalesce(k) if k < d.rdd.getNumPartitions() else d
+
         scaler = StandardScaler(inputCol=_VEC, outputCol=_SCALED, withMean=True, withStd=True).fit(train)
-        train_s = scaler.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
-        test_s = scaler.transform(test).persist(StorageLevel.MEMORY_AND_DISK)
-        counts = train_s.agg(F.count(F.lit(1)).alias("n"),
-                             F.countDistinct("_violation").alias("nv")).first()
-        n_train = int(counts["n"])
-        dim = len(train_s.select(_SCALED).first()[0])
+        train_s = sized(scaler.transform(train), n_train).persist(StorageLevel.MEMORY_AND_DISK)
+        test_s = sized(scaler.transform(test), max(n_test, 1)).persist(StorageLevel.MEMORY_AND_DISK)
+        counts = counts["train"]
 
         c_model = LogisticRegression(
             featuresCol=_SCALED, labelCol="_y", regParam=1.0 / (p.uncertainty_c * n_train),
-            elasticNetParam=0.0, standardization=False, maxIter=p.max_iter,
+            elasticNetParam=0.0, standardization=False, maxIter=p.max_iter, tol=p.tol,
             probabilityCol="_c_prob", rawPredictionCol="_c_raw", predictionCol="_c_pred").fit(train_s)
 
         v_label = "_violation" if counts["nv"] > 1 else "_y"
         v_model = LogisticRegression(
             featuresCol=_SCALED, labelCol=v_label, regParam=1.0 / (p.violation_c * n_train),
-            elasticNetParam=1.0, standardization=False, maxIter=p.max_iter,
+            elasticNetParam=1.0, standardization=False, maxIter=p.max_iter, tol=p.tol,
             probabilityCol="_v_prob", rawPredictionCol="_v_raw", predictionCol="_v_pred").fit(train_s)
 
         r_model = self._fit_risk(train_s, dim)
@@ -119,6 +131,7 @@ class RiskProbes:
                                 F.count(F.lit(1)).alias("n")).first()
         train_s.unpersist()
         test_s.unpersist()
+        split.unpersist()
         stats = {
             "probe_c_auc": None if c_auc is None else round(float(c_auc), 4),
             "probe_r_acc": None if r_acc is None else round(float(r_acc), 4),
@@ -142,7 +155,7 @@ class RiskProbes:
         def make(weights=None):
             m = MultilayerPerceptronClassifier(
                 featuresCol=_SCALED, labelCol="_risk_bin", layers=layers, maxIter=p.mlp_round_iter,
-                seed=p.seed, probabilityCol="_r_prob", rawPredictionCol="_r_raw", predictionCol="_r_pred")
+                tol=p.tol, seed=p.seed, probabilityCol="_r_prob", rawPredictionCol="_r_raw", predictionCol="_r_pred")
             if weights is not None:
                 m.setInitialWeights(weights)
             return m

@@ -61,13 +61,21 @@ def bucketed_rank(df: DataFrame, partition_cols: Sequence[str], order_col: str,
                   .drop("_b", "_rn", "_off"))
 
 
+def _monotone_bucket(order_col: str, buckets: int):
+    """Order-preserving bucket of any real value without a pass over the data:
+    atan maps the real line onto (-pi/2, pi/2), cut into ``buckets`` ranges."""
+    u = F.atan(F.col(order_col).cast("double")) / F.lit(3.141592653589793) + F.lit(0.5)
+    return F.least(F.lit(buckets - 1), F.greatest(F.lit(0), F.floor(u * buckets).cast("int")))
+
+
 def running_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],
-                 descending: bool = False, buckets: int = DEFAULT_BUCKETS,
+                 descending: bool = False, buckets: int = 1024,
                  suffix: str = "_cum") -> DataFrame:
     """Inclusive running sums of ``value_cols`` in ``order_col`` order over the
-    whole frame; ``order_col`` should be unique (e.g. after a group-by)."""
-    lo, hi = _range(df, order_col)
-    base = df.withColumn("_b", _bucket(order_col, F.lit(lo), F.lit(hi), buckets))
+    whole frame; ``order_col`` should be unique (e.g. after a group-by). Rows
+    are ranked inside order-preserving buckets (one task each) and shifted by
+    the bucket totals (at most ``buckets`` rows, broadcast)."""
+    base = df.withColumn("_b", _monotone_bucket(order_col, buckets))
     if descending:
         base = base.withColumn("_b", F.lit(buckets - 1) - F.col("_b"))
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
