@@ -16,6 +16,8 @@ from riskgate import fixed
 # Whitespace as Python's str.split() sees it: ASCII controls, the file/group/
 # record/unit separators, NEL, and every Unicode separator (Zs, Zl, Zp).
 WHITESPACE_RE = r"[\t\n\x0B\f\r\x1C-\x1F \x85\p{Z}]+"
+# The same set as characters, derived from str.isspace (the set ends at U+3000).
+WHITESPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # Capitalised word: first letter upper case, all letters, longer than 4.
 CAPITALISED_RE = r"^\p{Lu}\p{L}{%d,}$" % fixed.TERM_MIN_LENGTH_EXCLUSIVE
 # "Not all upper case": at least one lower- or title-case letter.
@@ -36,9 +38,11 @@ def prompt_text(question, answer, suffix=None) -> Column:
 
 
 def words(text) -> Column:
-    """Whole-text word list: ',' and '.' become spaces, split on Unicode space."""
-    spaced = F.translate(_col(text), fixed.TERM_SEPARATORS, " " * len(fixed.TERM_SEPARATORS))
-    return F.split(spaced, WHITESPACE_RE)
+    """Whole-text word list: ',' and '.' and every Unicode space become ' ',
+    then a split on the single literal space (Java's non-regex fast path).
+    Runs of separators leave empty strings, which no keep-rule accepts."""
+    seps = WHITESPACE_CHARS.replace(" ", "") + fixed.TERM_SEPARATORS
+    return F.split(F.translate(_col(text), seps, " " * len(seps)), " ")
 
 
 def extract_terms(text, vocabulary: Iterable[str] = fixed.MEDICAL_VOCABULARY,
@@ -56,7 +60,11 @@ def extract_terms(text, vocabulary: Iterable[str] = fixed.MEDICAL_VOCABULARY,
 
     def keep(w: Column) -> Column:
         in_vocab = F.lower(w).isin(vocab) if vocab else F.lit(False)
-        return in_vocab | (w.rlike(CAPITALISED_RE) & w.rlike(HAS_LOWER_RE))
+        first = F.substring(w, 1, 1)
+        # cheap tests first: the regexes only run on long words starting with a cased capital
+        capitalised = ((F.length(w) > fixed.TERM_MIN_LENGTH_EXCLUSIVE) & (first != F.lower(first))
+                       & w.rlike(CAPITALISED_RE) & w.rlike(HAS_LOWER_RE))
+        return in_vocab | capitalised
 
     kept = F.array_distinct(F.filter(stripped, keep))
     return F.coalesce(F.slice(kept, 1, max_terms), F.array().cast("array<string>"))

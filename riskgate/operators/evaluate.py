@@ -18,29 +18,44 @@ from riskgate.functions import draws, scoring
 from riskgate.operators.ranking import running_sums
 
 
-def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
+def _score_counts(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
     return (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-              .groupBy(F.col(score).cast("double").alias("_s"))
+              .groupBy(*by, F.col(score).cast("double").alias("_s"))
               .agg(F.count_if(F.col(label) == 1).alias("_p"),
                    F.count_if(F.col(label) != 1).alias("_n")))
 
 
+def rank_metrics(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
+    """ROC AUC and average precision from one pass.
+
+    Rows are first counted per distinct score (map-side partial counts); one
+    descending running sum over that table gives, per score s, the positives
+    p>=s and all rows a>=s at or above it. Then, with P and N the class totals
+    (plain sums in the same final aggregate):
+    AUC = 1 - sum_s p(s) * (n>=s - n(s) / 2) / (P * N), ties counted half;
+    AP = sum_s p(s) * (p>=s / a>=s) / P, the step-wise sum over distinct scores
+    (not a trapezoid area). Null when a class is absent.
+    """
+    by = list(by)
+    counts = _score_counts(df, label, score, by).withColumn("_a", F.col("_p") + F.col("_n"))
+    g = running_sums(counts, "_s", ["_p", "_n", "_a"], descending=True, by=by)
+    P, N = F.sum("_p"), F.sum("_n")
+    tail = F.sum(F.col("_p") * (F.col("_n_cum") - F.col("_n") * 0.5))
+    ap_num = F.sum(F.col("_p") * F.try_divide(F.col("_p_cum").cast("double"), F.col("_a_cum").cast("double")))
+    aggs = [(F.lit(1.0) - F.try_divide(tail.cast("double"), (P * N).cast("double"))).alias("auc_roc"),
+            F.try_divide(ap_num, P.cast("double")).alias("avg_precision")]
+    return (g.groupBy(*by) if by else g).agg(*aggs)
+
+
 def roc_auc(df: DataFrame, label: str, score: str, out: str = "auc_roc") -> DataFrame:
     """Area under the ROC curve, ties counted half (A7). Null with one class."""
-    g = running_sums(_score_counts(df, label, score), "_s", ["_n"])
-    num = F.sum(F.col("_p") * (F.col("_n_cum") - F.col("_n") * 0.5))
-    den = F.sum("_p") * F.sum("_n")
-    return g.agg(F.try_divide(num.cast("double"), den.cast("double")).alias(out))
+    return rank_metrics(df, label, score).select(F.col("auc_roc").alias(out))
 
 
 def average_precision(df: DataFrame, label: str, score: str,
                       out: str = "avg_precision") -> DataFrame:
-    """Step-wise average precision: sum over distinct scores (descending) of the
-    precision there times the recall gained there (A8). Not a trapezoid area."""
-    g = running_sums(_score_counts(df, label, score).withColumn("_a", F.col("_p") + F.col("_n")),
-                     "_s", ["_p", "_a"], descending=True)
-    term = F.col("_p") * F.try_divide(F.col("_p_cum").cast("double"), F.col("_a_cum").cast("double"))
-    return g.agg(F.try_divide(F.sum(term), F.sum("_p").cast("double")).alias(out))
+    """Step-wise average precision."""
+    return rank_metrics(df, label, score).select(F.col("avg_precision").alias(out))
 
 
 def f1_at(df: DataFrame, label: str, score: str, threshold: float = fixed.PREDICT_THRESHOLD,
@@ -103,7 +118,11 @@ def evaluate(scored: DataFrame, label: str = "true_label", index: str = "qhi",
     latency mean/p95, gate counts, n. ``scored`` should be persisted by the
     caller; each part is one aggregation over it."""
     s = scored.withColumn("_y", scoring.normalised(index, high))
+    pred, y = F.col("_y") > threshold, F.col(label) == 1
+    tp, fp, fn = F.count_if(pred & y), F.count_if(pred & ~y), F.count_if(~pred & y)
+    den = 2 * tp + fp + fn
     basic = s.agg(
+        F.round(F.when(den > 0, (2 * tp) / den).otherwise(F.lit(0.0)), 4).alias("f1"),
         F.round(F.corr(F.col(index).cast("double"), F.col(severity).cast("double")), 4)
         .alias("severity_pearson_r"),
         F.count_if(F.col(gate_col) == "AUTO_USE").alias("gate_auto_use"),
@@ -115,9 +134,8 @@ def evaluate(scored: DataFrame, label: str = "true_label", index: str = "qhi",
           if duration else []),
     )
     parts = [
-        roc_auc(s, label, "_y").select(F.round("auc_roc", 4).alias("auc_roc")),
-        average_precision(s, label, "_y").select(F.round("avg_precision", 4).alias("avg_precision")),
-        f1_at(s, label, "_y", threshold).select(F.round("f1", 4).alias("f1")),
+        rank_metrics(s, label, "_y").select(F.round("auc_roc", 4).alias("auc_roc"),
+                                            F.round("avg_precision", 4).alias("avg_precision")),
         basic,
     ]
     out = _one_row(parts[0])
@@ -129,14 +147,20 @@ def evaluate(scored: DataFrame, label: str = "true_label", index: str = "qhi",
 def method_compare(methods: Mapping[str, DataFrame], label: str, score: str,
                    threshold: float = fixed.PREDICT_THRESHOLD) -> DataFrame:
     """One row per method with AUC, AP, F1 (U3); each entry is a DataFrame
-    holding ``label`` and ``score``."""
-    rows = None
+    holding ``label`` and ``score``. The methods are stacked into one long
+    table so all metrics come from one grouped pass keyed by method."""
+    long = None
     for name, df in methods.items():
-        r = _one_row(roc_auc(df, label, score)) \
-            .join(_one_row(average_precision(df, label, score)), "_one") \
-            .join(_one_row(f1_at(df, label, score, threshold)), "_one") \
-            .drop("_one").withColumn("method", F.lit(name))
-        rows = r if rows is None else rows.unionByName(r)
-    return rows.select("method", F.round("auc_roc", 4).alias("auc_roc"),
-                       F.round("avg_precision", 4).alias("avg_precision"),
-                       F.round("f1", 4).alias("f1"))
+        part = df.select(F.lit(name).alias("method"), F.col(label).alias("_lab"),
+                         F.col(score).cast("double").alias("_score"))
+        long = part if long is None else long.unionByName(part)
+    ranks = rank_metrics(long, "_lab", "_score", by=["method"])
+    pred = F.col("_score") > threshold
+    y = F.col("_lab") == 1
+    tp, fp, fn = F.count_if(pred & y), F.count_if(pred & ~y), F.count_if(~pred & y)
+    den = 2 * tp + fp + fn
+    f1 = long.groupBy("method").agg(F.when(den > 0, (2 * tp) / den).otherwise(F.lit(0.0)).alias("f1"))
+    out = ranks.join(f1, "method", "inner")                     # one row per method on each side
+    return out.select("method", F.round("auc_roc", 4).alias("auc_roc"),
+                      F.round("avg_precision", 4).alias("avg_precision"),
+                      F.round("f1", 4).alias("f1"))

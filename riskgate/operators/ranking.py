@@ -70,25 +70,28 @@ def _monotone_bucket(order_col: str, buckets: int):
 
 def running_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],
                  descending: bool = False, buckets: int = 1024,
-                 suffix: str = "_cum") -> DataFrame:
-    """Inclusive running sums of ``value_cols`` in ``order_col`` order over the
-    whole frame; ``order_col`` should be unique (e.g. after a group-by). Rows
-    are ranked inside order-preserving buckets (one task each) and shifted by
-    the bucket totals (at most ``buckets`` rows, broadcast)."""
+                 suffix: str = "_cum", by: Sequence[str] = ()) -> DataFrame:
+    """Inclusive running sums of ``value_cols`` in ``order_col`` order, within
+    each group of ``by`` (or over the whole frame); ``order_col`` should be
+    unique per group (e.g. after a group-by). Rows are ranked inside
+    order-preserving buckets (one task each) and shifted by the bucket totals
+    (groups x buckets rows, broadcast: ``by`` is meant for a few groups such
+    as methods or models)."""
+    parts = list(by)
     base = df.withColumn("_b", _monotone_bucket(order_col, buckets))
     if descending:
         base = base.withColumn("_b", F.lit(buckets - 1) - F.col("_b"))
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    w_in = (Window.partitionBy("_b").orderBy(order)
+    w_in = (Window.partitionBy(*parts, "_b").orderBy(order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    totals = base.groupBy(*parts, "_b").agg(*[F.sum(c).alias(c + "_bt") for c in value_cols])
     for c in value_cols:
         base = base.withColumn(c + "_in", F.sum(c).over(w_in))
-    totals = base.groupBy("_b").agg(*[F.sum(c).alias(c + "_bt") for c in value_cols])
-    w_off = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    for c in value_cols:  # at most `buckets` rows: a global window is fine here
+    w_off = Window.partitionBy(*parts).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    for c in value_cols:  # groups x buckets rows: a small table
         totals = totals.withColumn(c + "_off", F.coalesce(F.sum(c + "_bt").over(w_off), F.lit(0)))
     totals = totals.drop(*[c + "_bt" for c in value_cols])
-    out = base.join(F.broadcast(totals), "_b", "inner")
+    out = base.join(F.broadcast(totals), [*parts, "_b"], "inner")
     for c in value_cols:
         out = out.withColumn(c + suffix, F.col(c + "_off") + F.col(c + "_in"))
         out = out.drop(c + "_off", c + "_in")

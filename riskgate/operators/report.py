@@ -48,8 +48,12 @@ def gate_distribution(scored: DataFrame, gate_col: str = "gate") -> DataFrame:
     """Count and share per gate; gates with no rows are kept with 0 (A3)."""
     spark = scored.sparkSession
     dim = F.broadcast(spark.createDataFrame([(g,) for g in fixed.GATES], f"{gate_col} string"))
-    counts = scored.groupBy(gate_col).agg(F.count(F.lit(1)).alias("n"))
-    out = dim.join(counts, gate_col, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    counts = scored.groupBy(F.col(gate_col).alias("_g")).agg(F.count(F.lit(1)).alias("n"))
+    # null-safe equality: a plain '=' would make the optimizer infer
+    # isnotnull(gate) and push it to the scan, re-evaluating the whole gate
+    # expression there; the dimension has no null gate, so the result is equal
+    out = (dim.join(counts, dim[gate_col].eqNullSafe(counts["_g"]), "left").drop("_g")
+              .withColumn("n", F.coalesce("n", F.lit(0)).cast("long")))
     total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # three rows only
     return out.withColumn("share", F.when(total > 0, F.col("n") / total).otherwise(F.lit(0.0)))
 
