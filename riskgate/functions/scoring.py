@@ -111,7 +111,7 @@ def score_struct(uncertainty, risk, violation, index, gate_col, entity_count,
         F.round(_col(uncertainty), 4).alias("uncertainty_score"),
         F.round(_col(risk), 4).alias("risk_score"),
         F.round(_col(violation), 4).alias("causal_violation_prob"),
-        F.round(_col(index), 4).alias("qhi"),
+        F.round(_col(index), 4).alias("risk_index"),
         _col(gate_col).alias("gate"),
         _col(entity_count).alias("entity_count"),
         _col(explanation_col).alias("explanation"),

@@ -110,7 +110,7 @@ def _one_row(df: DataFrame) -> DataFrame:
     return df.withColumn("_one", F.lit(1))
 
 
-def evaluate(scored: DataFrame, label: str = "true_label", index: str = "qhi",
+def evaluate(scored: DataFrame, label: str = "true_label", index: str = "risk_index",
              severity: str = "true_severity", gate_col: str = "gate",
              duration: str | None = None, threshold: float = fixed.PREDICT_THRESHOLD,
              high: float = fixed.INDEX_MAX) -> DataFrame:

@@ -194,8 +194,8 @@ class RiskProbesModel:
         v = _positive("_v_prob")
         out = (x.withColumn("uncertainty_score", u).withColumn("risk_score", r)
                 .withColumn("causal_violation_prob", v)
-                .withColumn("qhi", scoring.risk_index("uncertainty_score", "risk_score", "causal_violation_prob"))
-                .withColumn("gate", scoring.gate("qhi"))
+                .withColumn("risk_index", scoring.risk_index("uncertainty_score", "risk_score", "causal_violation_prob"))
+                .withColumn("gate", scoring.gate("risk_index"))
                 .withColumn("explanation", scoring.explanation("uncertainty_score", "risk_score",
                                                                "causal_violation_prob", "gate")))
         if p.terms_col and p.terms_col in df.columns:

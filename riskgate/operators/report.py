@@ -16,12 +16,12 @@ from riskgate import fixed
 from riskgate.functions import judge, scoring
 
 
-def model_report(scored: DataFrame, model: str = "model", index: str = "qhi",
+def model_report(scored: DataFrame, model: str = "model", index: str = "risk_index",
                  hallucinated: str = "is_hallucinated", gate_col: str = "gate") -> DataFrame:
     """Rows, mean index, hallucination rate and gate counts per model (A1)."""
     return scored.groupBy(model).agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(index).alias("avg_qhi"),
+        F.avg(index).alias("avg_index"),
         F.avg(F.col(hallucinated).cast("double")).alias("hal_rate"),
         F.count_if(F.col(gate_col) == "AUTO_USE").alias("n_auto"),
         F.count_if(F.col(gate_col) == "REVIEW").alias("n_review"),
@@ -29,19 +29,19 @@ def model_report(scored: DataFrame, model: str = "model", index: str = "qhi",
     )
 
 
-def model_stats(scored: DataFrame, model: str = "model", index: str = "qhi",
+def model_stats(scored: DataFrame, model: str = "model", index: str = "risk_index",
                 hallucinated: str = "is_hallucinated") -> DataFrame:
     """Mean index to 2 places, rate in percent to 1, gate counts by the index
     thresholds, and the grade (A2, P24)."""
     x = F.col(index)
     rep = scored.groupBy(model).agg(
-        F.round(F.avg(x), 2).alias("avg_qhi"),
+        F.round(F.avg(x), 2).alias("avg_index"),
         F.round(F.avg(F.col(hallucinated).cast("double")) * 100, 1).alias("hal_rate"),
         F.count_if(x < fixed.GATE_AUTO_USE_BELOW).alias("auto"),
         F.count_if((x >= fixed.GATE_AUTO_USE_BELOW) & (x < fixed.GATE_BLOCK_FROM)).alias("review"),
         F.count_if(x >= fixed.GATE_BLOCK_FROM).alias("block"),
     )
-    return rep.withColumn("grade", scoring.grade("avg_qhi"))
+    return rep.withColumn("grade", scoring.grade("avg_index"))
 
 
 def gate_distribution(scored: DataFrame, gate_col: str = "gate") -> DataFrame:
@@ -58,9 +58,9 @@ def gate_distribution(scored: DataFrame, gate_col: str = "gate") -> DataFrame:
     return out.withColumn("share", F.when(total > 0, F.col("n") / total).otherwise(F.lit(0.0)))
 
 
-def mean_by_label(scored: DataFrame, label: str = "true_label", index: str = "qhi") -> DataFrame:
+def mean_by_label(scored: DataFrame, label: str = "true_label", index: str = "risk_index") -> DataFrame:
     """Mean index of clean and of hallucinated rows."""
-    return scored.groupBy(label).agg(F.avg(index).alias("mean_qhi"), F.count(F.lit(1)).alias("n"))
+    return scored.groupBy(label).agg(F.avg(index).alias("mean_index"), F.count(F.lit(1)).alias("n"))
 
 
 def models_first_seen(df: DataFrame, model: str = "model", order_col: str = "pos") -> DataFrame:
@@ -70,7 +70,7 @@ def models_first_seen(df: DataFrame, model: str = "model", order_col: str = "pos
     return first.withColumn("model_pos", F.row_number().over(Window.orderBy("first_pos", model)))
 
 
-def model_rank(report: DataFrame, model: str = "model", index: str = "avg_qhi") -> DataFrame:
+def model_rank(report: DataFrame, model: str = "model", index: str = "avg_index") -> DataFrame:
     """Ascending mean index with an explicit rank column (O1)."""
     return report.withColumn("rank", F.rank().over(Window.orderBy(F.col(index).asc())))
 
@@ -92,7 +92,7 @@ def fill_rate(responses: DataFrame, response: str = "response", by: Sequence[str
 
 
 def response_detail(scored: DataFrame, model_order: DataFrame, model: str = "model",
-                    cols: Sequence[str] = ("id", "category", "gate", "qhi")) -> DataFrame:
+                    cols: Sequence[str] = ("id", "category", "gate", "risk_index")) -> DataFrame:
     """One row per response with its model's first-seen position (A18); the
     per-model order table is small (one row per model)."""
     return scored.join(F.broadcast(model_order.select(model, "model_pos")), model, "inner") \

@@ -46,11 +46,11 @@ def audit_responses(responses: DataFrame, bank: DataFrame,
     if model is not None and features is not None:
         scored = model.transform(out.join(features, "sample_id", "inner"))
         out = scored.select(
-            *[c for c in out.columns], "gate", F.round("qhi", 2).alias("qhi"),
+            *[c for c in out.columns], "gate", F.round("risk_index", 2).alias("risk_index"),
             F.round("uncertainty_score", 4).alias("uncertainty"), F.round("risk_score", 4).alias("risk_score"),
             F.round("causal_violation_prob", 4).alias("violation"),
-            scoring.score_struct("uncertainty_score", "risk_score", "causal_violation_prob", "qhi", "gate",
-                                 scoring.term_count("entities"), "explanation").alias("qhi_score"))
+            scoring.score_struct("uncertainty_score", "risk_score", "causal_violation_prob", "risk_index", "gate",
+                                 scoring.term_count("entities"), "explanation").alias("score"))
     return out
 
 
@@ -71,7 +71,7 @@ def benchmark_run(samples: DataFrame, test_fraction: float = fixed.SPLIT_TEST_FR
     train = split.filter(F.col("split") == "train").drop("split", "_text_key")
     test = split.filter(F.col("split") == "test").drop("split", "_text_key")
     model = RiskProbes(**probe_params).fit(train)
-    scored = model.transform(test).withColumn("index_score", scoring.normalised("qhi"))
+    scored = model.transform(test).withColumn("index_score", scoring.normalised("risk_index"))
     scored = E.random_baseline(scored, "sample_id")
     conf = confidence_baseline(train, test).select("sample_id", "confidence_score")
     scored = scored.join(conf, "sample_id", "inner")

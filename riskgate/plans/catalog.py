@@ -64,6 +64,54 @@ def seeded_shuffle_topn(spark, sf):
     return S.first_n(shuffled, 50, ["shuffle_key"]).select("source", "key")
 
 
+def _part_qa(spark, sf) -> DataFrame:
+    """part rows as QA records: question = name, options = brand, type, size, name."""
+    p = I.table(spark, sf, "part")
+    subject = (F.when(F.pmod(F.col("p_size"), F.lit(4)) == 0, F.lit("Surgery"))
+               .when(F.pmod(F.col("p_size"), F.lit(4)) == 1, F.lit("Forensic Medicine"))
+               .when(F.pmod(F.col("p_size"), F.lit(4)) == 2, F.lit(None).cast("string"))
+               .otherwise(F.col("p_type")))
+    return p.select(F.col("p_partkey").alias("sample_id"), F.col("p_name").alias("question"),
+                    F.col("p_brand").alias("opa"), F.col("p_type").alias("opb"),
+                    F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("opc"),
+                    F.col("p_name").alias("opd"),
+                    (F.pmod(F.col("p_partkey"), F.lit(6)) - 1).cast("int").alias("cop"),
+                    subject.alias("subject_name"), F.col("p_type").alias("category"),
+                    F.col("p_size"))
+
+
+def _sample_out(df: DataFrame) -> DataFrame:
+    return df.select("sample_id", F.md5("text").alias("text_md5"),
+                     F.array_join("entities", "|").alias("entities"),
+                     F.size("entities").alias("n_entities"), "true_label", _r6("true_severity"), "source")
+
+
+def source_option_columns(spark, sf):
+    from riskgate.sources import qa
+    return _sample_out(qa.option_column_source(_part_qa(spark, sf)))
+
+
+def source_option_map(spark, sf):
+    from riskgate.sources import qa
+    d = _part_qa(spark, sf)
+    keyed = F.array(*[F.struct(F.lit(k).alias("key"), F.col(c).alias("value"))
+                      for k, c in zip("ABCD", ["opa", "opb", "opc", "opd"])])
+    d = d.select("sample_id", "question", keyed.alias("options"),
+                 F.substring(F.lit("ABCDE"), (F.pmod(F.col("sample_id"), F.lit(5)) + 1).cast("int"), 1)
+                 .alias("answer_idx"))
+    return _sample_out(qa.option_map_source(d))
+
+
+def source_reference_answer(spark, sf):
+    from riskgate.sources import qa
+    d = _part_qa(spark, sf)
+    incorrect = F.when(F.pmod(F.col("p_size"), F.lit(3)) == 0, F.array().cast("array<string>")) \
+        .otherwise(F.array("opb", "question"))
+    d = d.select("sample_id", "category", "question", F.col("opa").alias("best_answer"),
+                 incorrect.alias("incorrect_answers"))
+    return _sample_out(qa.reference_answer_source(d, words=I.PART_TYPE_WORDS))
+
+
 # --------------------------------------------------------------------------- scalars
 
 def term_extract(spark, sf):
@@ -154,8 +202,8 @@ def index_gate(spark, sf):
     s = I.scored_documents(spark, sf)
     return s.select("doc_id", F.round("uncertainty", 4).alias("uncertainty"),
                     F.round("risk_score", 4).alias("risk_score"),
-                    F.round("violation", 4).alias("violation"), F.round("qhi", 4).alias("qhi"),
-                    "gate", scoring.predicted_label(scoring.normalised("qhi")).alias("y_pred"))
+                    F.round("violation", 4).alias("violation"), F.round("risk_index", 4).alias("risk_index"),
+                    "gate", scoring.predicted_label(scoring.normalised("risk_index")).alias("y_pred"))
 
 
 def explain(spark, sf):
@@ -282,7 +330,7 @@ def expected_risk(spark, sf):
 
 def model_report(spark, sf):
     r = R.model_report(I.scored_documents(spark, sf))
-    return r.select("model", "n", _r6("avg_qhi"), _r6("hal_rate"), "n_auto", "n_review", "n_block")
+    return r.select("model", "n", _r6("avg_index"), _r6("hal_rate"), "n_auto", "n_review", "n_block")
 
 
 def model_stats(spark, sf):
@@ -295,7 +343,7 @@ def gate_distribution(spark, sf):
 
 
 def model_rank(spark, sf):
-    rep = R.model_report(I.scored_documents(spark, sf)).select("model", _r6("avg_qhi"))
+    rep = R.model_report(I.scored_documents(spark, sf)).select("model", _r6("avg_index"))
     return R.model_rank(rep)
 
 
@@ -311,7 +359,7 @@ def _scored_responses(spark, sf) -> DataFrame:
 
 
 def question_grid(spark, sf):
-    g = R.question_grid(_scored_responses(spark, sf), ["id"], "model", I.MODELS, "qhi")
+    g = R.question_grid(_scored_responses(spark, sf), ["id"], "model", I.MODELS, "risk_index")
     return g.select("id", *[_r6(m) for m in I.MODELS])
 
 
@@ -330,8 +378,8 @@ def response_detail(spark, sf):
                                 "model", "pos")
     d = R.response_detail(j.withColumn("verdict", F.col("j.is_hallucinated").cast("int"))
                           .withColumn("snippet", T.snippet("response", fixed.SNIPPET_RESPONSE)),
-                          order, cols=["id", "conv_id", "turn", "gate", "qhi", "verdict", "snippet"])
-    return d.select("model_pos", "model", "id", "conv_id", "turn", "gate", _r6("qhi"), "verdict",
+                          order, cols=["id", "conv_id", "turn", "gate", "risk_index", "verdict", "snippet"])
+    return d.select("model_pos", "model", "id", "conv_id", "turn", "gate", _r6("risk_index"), "verdict",
                     F.md5("snippet").alias("snippet_md5"))
 
 
@@ -360,7 +408,7 @@ def eval_accuracy(spark, sf):
 
 
 def eval_corr(spark, sf):
-    return E.severity_correlation(I.labelled_scores(spark, sf), "qhi", "true_severity") \
+    return E.severity_correlation(I.labelled_scores(spark, sf), "risk_index", "true_severity") \
         .select(_r6("severity_pearson_r"))
 
 
@@ -376,7 +424,7 @@ def label_stats(spark, sf):
 
 def mean_by_label(spark, sf):
     s = I.labelled_scores(spark, sf)
-    return R.mean_by_label(s, "true_label", "qhi").select("true_label", _r6("mean_qhi"), "n")
+    return R.mean_by_label(s, "true_label", "risk_index").select("true_label", _r6("mean_index"), "n")
 
 
 def evaluation(spark, sf):
@@ -391,7 +439,7 @@ def random_baseline(spark, sf):
 def method_compare(spark, sf):
     s = I.labelled_scores(spark, sf)
     s = E.random_baseline(s, "doc_id")
-    s = s.withColumn("index_score", scoring.normalised("qhi"))
+    s = s.withColumn("index_score", scoring.normalised("risk_index"))
     methods = {
         "random": s.select("true_label", F.col("random_score").alias("y")),
         "uncertainty": s.select("true_label", F.col("uncertainty").alias("y")),
@@ -418,7 +466,7 @@ def gate_windows(spark, sf):
     scored = I.scored(ev.select("event_time", *I.components(F.col("event_id"))))
     w = G.gate_windows(scored, window="1 hour", watermark=None)
     return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
-                    "gate", "n", _r6("avg_qhi"))
+                    "gate", "n", _r6("avg_index"))
 
 
 # --------------------------------------------------------------------------- flagship
@@ -435,7 +483,7 @@ def qa_judge_report(spark, sf):
     s = I.scored(j.select("model", F.col("j.is_hallucinated").alias("is_hallucinated"),
                           *I.components(key)))
     rep = R.model_report(s)
-    return rep.select("model", "n", _r6("avg_qhi"), _r6("hal_rate"), "n_auto", "n_review", "n_block")
+    return rep.select("model", "n", _r6("avg_index"), _r6("hal_rate"), "n_auto", "n_review", "n_block")
 
 
 QUERIES: dict[str, Query] = {
@@ -488,4 +536,7 @@ QUERIES: dict[str, Query] = {
     "stratified_split": stratified_split,
     "group_split": group_split,
     "gate_windows": gate_windows,
+    "source_option_columns": source_option_columns,
+    "source_option_map": source_option_map,
+    "source_reference_answer": source_reference_answer,
 }

@@ -77,9 +77,9 @@ def components(key) -> list:
 
 
 def scored(df: DataFrame) -> DataFrame:
-    """Adds qhi and gate from the component columns."""
-    return (df.withColumn("qhi", scoring.risk_index("uncertainty", "risk_score", "violation"))
-              .withColumn("gate", scoring.gate("qhi")))
+    """Adds risk_index and gate from the component columns."""
+    return (df.withColumn("risk_index", scoring.risk_index("uncertainty", "risk_score", "violation"))
+              .withColumn("gate", scoring.gate("risk_index")))
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

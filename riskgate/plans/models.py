@@ -29,7 +29,7 @@ def _fit(spark, sf):
 def fit_score(spark, sf):
     model = _fit(spark, sf)
     s = model.transform(samples(spark, sf))
-    return s.select("sample_id", F.round("qhi", 6).alias("qhi"), "gate")
+    return s.select("sample_id", F.round("risk_index", 6).alias("risk_index"), "gate")
 
 
 def fit_stats(spark, sf):
@@ -47,7 +47,28 @@ def confidence_only(spark, sf):
     return out.select("sample_id", F.round("confidence_score", 6).alias("confidence_score"))
 
 
+def benchmark_methods(spark, sf):
+    """The benchmark run: group-aware split, fit, probes vs random and
+    confidence-only baselines (M6, M9-M11, U3)."""
+    from riskgate.plans.audit import benchmark_run
+    table, _ = benchmark_run(samples(spark, sf), mlp_max_rounds=5, mlp_patience=2)
+    return table
+
+
+def audit_results(spark, sf):
+    """The response audit over assistant turns and the benchmark fact bank:
+    filled only, bank join, judge, terms with fallback (F2, J1, P21-P23)."""
+    from riskgate.plans.audit import audit_responses
+    bank = I.bank(spark, sf).withColumn("category", F.concat(F.lit("item"), F.col("id").cast("string")))
+    r = audit_responses(I.responses(spark, sf), bank)
+    return r.select("id", "model", F.col("judgment.is_hallucinated").cast("int").alias("is_hallucinated"),
+                    F.col("judgment.severity").alias("severity"), F.size("entities").alias("n_entities"),
+                    F.md5("text").alias("text_md5"))
+
+
 MODEL_QUERIES = {
+    "benchmark_methods": benchmark_methods,
+    "audit_results": audit_results,
     "fit_score": fit_score,
     "fit_stats": fit_stats,
     "sparse_weights": sparse_weights,

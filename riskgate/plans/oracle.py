@@ -83,15 +83,15 @@ def components(key: str) -> str:
             f"{D(key, 'v')} AS violation")
 
 
-QHI = "greatest(0.0, least(25.0, uncertainty * risk_score * violation * 5.0))"
-GATE = "CASE WHEN qhi < 5 THEN 'AUTO_USE' WHEN qhi < 20 THEN 'REVIEW' ELSE 'BLOCK' END"
+INDEX_SQL = "greatest(0.0, least(25.0, uncertainty * risk_score * violation * 5.0))"
+GATE = "CASE WHEN risk_index < 5 THEN 'AUTO_USE' WHEN risk_index < 20 THEN 'REVIEW' ELSE 'BLOCK' END"
 
 
 def scored_docs_cte() -> str:
     return f"""
 sd0 AS (SELECT doc_id, source AS model, text, {components('doc_id')},
                {D('doc_id', 'label')} < 0.4 AS hal FROM documents),
-sd1 AS (SELECT *, {QHI} AS qhi FROM sd0),
+sd1 AS (SELECT *, {INDEX_SQL} AS risk_index FROM sd0),
 sd AS (SELECT *, {GATE} AS gate FROM sd1)"""
 
 
@@ -102,7 +102,7 @@ ls0 AS (SELECT l.doc_id, l.quality, l.toxic AS true_label,
                l.toxic * 15.0::DOUBLE + l.quality * 4.0::DOUBLE + {D('l.doc_id', 'sev')} * 6.0 AS true_severity,
                d.n_chars / 1000.0 AS latency_ms, {components('l.doc_id')}
         FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
-ls1 AS (SELECT *, {QHI} AS qhi FROM ls0),
+ls1 AS (SELECT *, {INDEX_SQL} AS risk_index FROM ls0),
 ls AS (SELECT *, {GATE} AS gate FROM ls1)"""
 
 
@@ -184,13 +184,13 @@ def _sql() -> dict[str, str]:
     r_t, r_m = fixed.EXPLAIN_RISK
     v_t, v_m = fixed.EXPLAIN_VIOLATION
     part_words = " OR ".join(f"contains(p_type, {_quote(w)})" for w in I.PART_TYPE_WORDS)
-    grid = ", ".join(f"round(avg(qhi) FILTER (WHERE model = {_quote(m)}), 6) AS {m}" for m in I.MODELS)
+    grid = ", ".join(f"round(avg(risk_index) FILTER (WHERE model = {_quote(m)}), 6) AS {m}" for m in I.MODELS)
     sev_ref = _sev_range("true_label", "p_partkey", "severity_ref", *fixed.SEVERITY_REFERENCE["wrong"],
                          *fixed.SEVERITY_REFERENCE["right"])
     sev_map = _sev_range("true_label", "p_partkey", "severity", *fixed.SEVERITY_OPTION_MAP["wrong"],
                          *fixed.SEVERITY_OPTION_MAP["right"])
     scored_resp = f"""sr0 AS (SELECT *, {components('rk')} FROM ({RESP})),
-sr1 AS (SELECT *, {QHI} AS qhi FROM sr0),
+sr1 AS (SELECT *, {INDEX_SQL} AS risk_index FROM sr0),
 sr AS (SELECT *, {GATE} AS gate FROM sr1)"""
     lin_w = f"{D('d', 'w', Q.LIN_SEED)} - 0.5"
     proj_w = f"{D('o * 1000 + d', 'proj', Q.PROJ_SEED)} - 0.5"
@@ -284,8 +284,8 @@ SELECT p_partkey, p_type FROM part WHERE {part_words} ORDER BY p_partkey LIMIT 1
     out["index_gate"] = f"""
 WITH {scored_docs_cte()}
 SELECT doc_id, round(uncertainty, 4) AS uncertainty, round(risk_score, 4) AS risk_score,
-       round(violation, 4) AS violation, round(qhi, 4) AS qhi, gate,
-       CAST(qhi / 25.0 > 0.5 AS INTEGER) AS y_pred
+       round(violation, 4) AS violation, round(risk_index, 4) AS risk_index, gate,
+       CAST(risk_index / 25.0 > 0.5 AS INTEGER) AS y_pred
 FROM sd"""
 
     out["explain"] = f"""
@@ -390,17 +390,17 @@ FROM x JOIN m USING (vec_id) GROUP BY vec_id"""
 
     out["model_report"] = f"""
 WITH {scored_docs_cte()}
-SELECT model, count(*) AS n, round(avg(qhi), 6) AS avg_qhi, round(avg(CAST(hal AS DOUBLE)), 6) AS hal_rate,
+SELECT model, count(*) AS n, round(avg(risk_index), 6) AS avg_index, round(avg(CAST(hal AS DOUBLE)), 6) AS hal_rate,
        CAST(count_if(gate = 'AUTO_USE') AS BIGINT) AS n_auto, CAST(count_if(gate = 'REVIEW') AS BIGINT) AS n_review,
        CAST(count_if(gate = 'BLOCK') AS BIGINT) AS n_block
 FROM sd GROUP BY model"""
 
     out["model_stats"] = f"""
 WITH {scored_docs_cte()},
-a AS (SELECT model, round(avg(qhi), 2) AS avg_qhi, round(avg(CAST(hal AS DOUBLE)) * 100, 1) AS hal_rate,
-             CAST(count_if(qhi < 5) AS BIGINT) AS auto, CAST(count_if(qhi >= 5 AND qhi < 20) AS BIGINT) AS review,
-             CAST(count_if(qhi >= 20) AS BIGINT) AS block FROM sd GROUP BY model)
-SELECT *, CASE WHEN avg_qhi < 4 THEN 3 WHEN avg_qhi < 7 THEN 2 ELSE 1 END AS grade FROM a"""
+a AS (SELECT model, round(avg(risk_index), 2) AS avg_index, round(avg(CAST(hal AS DOUBLE)) * 100, 1) AS hal_rate,
+             CAST(count_if(risk_index < 5) AS BIGINT) AS auto, CAST(count_if(risk_index >= 5 AND risk_index < 20) AS BIGINT) AS review,
+             CAST(count_if(risk_index >= 20) AS BIGINT) AS block FROM sd GROUP BY model)
+SELECT *, CASE WHEN avg_index < 4 THEN 3 WHEN avg_index < 7 THEN 2 ELSE 1 END AS grade FROM a"""
 
     out["gate_distribution"] = f"""
 WITH {scored_docs_cte()},
@@ -412,8 +412,8 @@ FROM g LEFT JOIN c ON c.gate = g.gate"""
 
     out["model_rank"] = f"""
 WITH {scored_docs_cte()},
-a AS (SELECT model, round(avg(qhi), 6) AS avg_qhi FROM sd GROUP BY model)
-SELECT model, avg_qhi, CAST(rank() OVER (ORDER BY avg_qhi) AS INTEGER) AS rank FROM a"""
+a AS (SELECT model, round(avg(risk_index), 6) AS avg_index FROM sd GROUP BY model)
+SELECT model, avg_index, CAST(rank() OVER (ORDER BY avg_index) AS INTEGER) AS rank FROM a"""
 
     out["models_first_seen"] = """
 SELECT source AS model, min(doc_id) AS first_pos,
@@ -436,7 +436,7 @@ FROM conversations GROUP BY role"""
 {scored_resp},
 mo AS (SELECT model, CAST(row_number() OVER (ORDER BY min(rk), model) AS INTEGER) AS model_pos
        FROM sr GROUP BY model)
-SELECT mo.model_pos, sr.model, m.id, m.conv_id, m.turn, sr.gate, round(sr.qhi, 6) AS qhi,
+SELECT mo.model_pos, sr.model, m.id, m.conv_id, m.turn, sr.gate, round(sr.risk_index, 6) AS risk_index,
        CAST(cov < 0.3 OR rate > 0.3 AS INTEGER) AS verdict,
        md5(substr(m.response, 1, {fixed.SNIPPET_RESPONSE}) || '...') AS snippet_md5
 FROM m JOIN sr ON sr.rk = m.rk JOIN mo ON mo.model = sr.model"""
@@ -450,7 +450,7 @@ b AS (SELECT {RISK_BIN.format(s='true_severity')} AS actual,
              {RISK_BIN.format(s="(true_severity + (" + D('doc_id', 'noise') + " - 0.5) * 6.0)")} AS predicted
       FROM ls)
 SELECT round(avg(CAST(predicted = actual AS DOUBLE)), 6) AS accuracy FROM b"""
-    out["eval_corr"] = f"WITH {labelled_cte()} SELECT round(corr(qhi, true_severity), 6) AS severity_pearson_r FROM ls"
+    out["eval_corr"] = f"WITH {labelled_cte()} SELECT round(corr(risk_index, true_severity), 6) AS severity_pearson_r FROM ls"
     out["eval_latency"] = """
 SELECT event_type, round(avg(value), 6) AS avg_latency_ms, round(quantile_cont(value, 0.95), 6) AS p95_latency_ms
 FROM events GROUP BY event_type"""
@@ -459,14 +459,14 @@ SELECT CAST(count_if(toxic = 1) AS BIGINT) AS n_hallucinated, CAST(count_if(toxi
        round(avg(CAST(toxic AS DOUBLE)) * 100, 1) AS pct_hallucinated FROM labels"""
     out["mean_by_label"] = f"""
 WITH {labelled_cte()}
-SELECT true_label, round(avg(qhi), 6) AS mean_qhi, count(*) AS n FROM ls GROUP BY true_label"""
+SELECT true_label, round(avg(risk_index), 6) AS mean_index, count(*) AS n FROM ls GROUP BY true_label"""
     out["evaluation"] = f"""
 WITH {labelled_cte()},
-e AS (SELECT *, qhi / 25.0 AS y FROM ls)
+e AS (SELECT *, risk_index / 25.0 AS y FROM ls)
 SELECT round({_auc_sql('e', 'true_label', 'y')}, 4) AS auc_roc,
        round({_ap_sql('e', 'true_label', 'y')}, 4) AS avg_precision,
        round({_f1_sql('e', 'true_label', 'y')}, 4) AS f1,
-       (SELECT round(corr(qhi, true_severity), 4) FROM e) AS severity_pearson_r,
+       (SELECT round(corr(risk_index, true_severity), 4) FROM e) AS severity_pearson_r,
        (SELECT CAST(count_if(gate = 'AUTO_USE') AS BIGINT) FROM e) AS gate_auto_use,
        (SELECT CAST(count_if(gate = 'REVIEW') AS BIGINT) FROM e) AS gate_review,
        (SELECT CAST(count_if(gate = 'BLOCK') AS BIGINT) FROM e) AS gate_block,
@@ -476,7 +476,7 @@ SELECT round({_auc_sql('e', 'true_label', 'y')}, 4) AS auc_roc,
     out["random_baseline"] = f"""
 SELECT doc_id, round({D('doc_id', 'random', fixed.RANDOM_BASELINE_SEED)}, 6) AS random_score FROM labels"""
     methods = {"random": D("doc_id", "random", fixed.RANDOM_BASELINE_SEED), "uncertainty": "uncertainty",
-               "index": "qhi / 25.0"}
+               "index": "risk_index / 25.0"}
     parts = []
     for name, expr in methods.items():
         parts.append(f"""SELECT '{name}' AS method,
@@ -514,19 +514,71 @@ j AS (SELECT p.*, bank.risk_level AS risk,
       FROM p JOIN bank ON bank.id = p.id),
 m AS (SELECT *, found / greatest(n_facts, 1) AS cov, hit / greatest(n_flags, 1) AS rate FROM j),
 c AS (SELECT model, (cov < 0.3 OR rate > 0.3) AS hal, {components('rk')} FROM m),
-q1 AS (SELECT *, {QHI} AS qhi FROM c),
+q1 AS (SELECT *, {INDEX_SQL} AS risk_index FROM c),
 q AS (SELECT *, {GATE} AS gate FROM q1)
-SELECT model, count(*) AS n, round(avg(qhi), 6) AS avg_qhi, round(avg(CAST(hal AS DOUBLE)), 6) AS hal_rate,
+SELECT model, count(*) AS n, round(avg(risk_index), 6) AS avg_index, round(avg(CAST(hal AS DOUBLE)), 6) AS hal_rate,
        CAST(count_if(gate = 'AUTO_USE') AS BIGINT) AS n_auto, CAST(count_if(gate = 'REVIEW') AS BIGINT) AS n_review,
        CAST(count_if(gate = 'BLOCK') AS BIGINT) AS n_block
 FROM q GROUP BY model"""
     out["gate_windows"] = f"""
 WITH e0 AS (SELECT ts, {components('event_id')} FROM events),
-e1 AS (SELECT *, {QHI} AS qhi FROM e0),
+e1 AS (SELECT *, {INDEX_SQL} AS risk_index FROM e0),
 e AS (SELECT *, {GATE} AS gate FROM e1)
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, gate,
-       count(*) AS n, round(avg(qhi), 6) AS avg_qhi
+       count(*) AS n, round(avg(risk_index), 6) AS avg_index
 FROM e GROUP BY 1, 2"""
+    subj_values = ", ".join(f"({_quote(k)}, {v})" for k, v in fixed.SUBJECT_RISK.items())
+    part_qa = """pq AS (
+  SELECT p_partkey AS sample_id, p_name AS question, p_brand AS opa, p_type AS opb,
+         'size ' || CAST(p_size AS VARCHAR) AS opc, p_name AS opd, CAST(p_partkey % 6 - 1 AS INTEGER) AS cop,
+         CASE p_size % 4 WHEN 0 THEN 'Surgery' WHEN 1 THEN 'Forensic Medicine' WHEN 2 THEN NULL
+              ELSE p_type END AS subject_name, p_type AS category, p_size
+  FROM part)"""
+    sample_out = """SELECT s.sample_id, md5('Q: ' || question || chr(10) || 'A: ' || answer) AS text_md5,
+       ENTITIES AS entities, CAST(NENT AS INTEGER) AS n_entities, true_label,
+       round(sev, 6) AS true_severity, SOURCE AS source
+FROM s LEFT JOIN t ON t.k = s.sample_id"""
+    out["source_option_columns"] = f"""
+WITH {part_qa},
+r AS (SELECT pq.*, coalesce(pq.subject_name, 'Medicine') AS subj FROM pq),
+rr AS (SELECT r.*, coalesce(sr.risk, 3) AS base_risk FROM r LEFT JOIN (VALUES {subj_values}) sr(subject, risk)
+       ON sr.subject = r.subj),
+o AS (SELECT *, CASE cop WHEN -1 THEN opd WHEN 0 THEN opa WHEN 1 THEN opb WHEN 2 THEN opc WHEN 3 THEN opd
+                ELSE opa END AS right_o, CASE WHEN cop = 0 THEN opb ELSE opa END AS wrong_o,
+              {D('sample_id', 'label')} < 0.4 AS hal FROM rr),
+s0 AS (SELECT *, CASE WHEN hal THEN wrong_o ELSE right_o END AS answer, CAST(hal AS INTEGER) AS true_label FROM o),
+s AS (SELECT *, {_sev_risk('true_label', 'base_risk', 'sample_id')} AS sev,
+             question || ' ' || answer AS qa_text FROM s0),
+{terms_ctes('t', 's', 'sample_id', 'qa_text')}
+""" + (sample_out.replace("ENTITIES", "CASE WHEN coalesce(t.terms, '') = '' THEN subj ELSE t.terms || '|' || subj END")
+       .replace("NENT", "coalesce(t.n_terms, 0) + 1")
+       .replace("SOURCE", "'medmcqa_' || lower(replace(subj, ' ', '_'))"))
+    out["source_option_map"] = f"""
+WITH {part_qa},
+o AS (SELECT *, substr('ABCDE', CAST(sample_id % 5 AS INTEGER) + 1, 1) AS k,
+             {D('sample_id', 'label')} < 0.4 AS hal FROM pq),
+o2 AS (SELECT *, CASE k WHEN 'A' THEN opa WHEN 'B' THEN opb WHEN 'C' THEN opc WHEN 'D' THEN opd ELSE opa END
+                 AS right_o, CASE WHEN k = 'A' THEN opb ELSE opa END AS wrong_o FROM o),
+s0 AS (SELECT *, CASE WHEN hal THEN wrong_o ELSE right_o END AS answer, CAST(hal AS INTEGER) AS true_label FROM o2),
+s AS (SELECT *, {_sev_range('true_label', 'sample_id', 'severity', *fixed.SEVERITY_OPTION_MAP['wrong'],
+                            *fixed.SEVERITY_OPTION_MAP['right'])} AS sev,
+             question || ' ' || answer AS qa_text FROM s0),
+{terms_ctes('t', 's', 'sample_id', 'qa_text')}
+""" + (sample_out.replace("ENTITIES", "coalesce(t.terms, '')").replace("NENT", "coalesce(t.n_terms, 0)")
+       .replace("SOURCE", "'medqa_usmle'"))
+    cat_words = " OR ".join(f"contains(category, {_quote(w)})" for w in I.PART_TYPE_WORDS)
+    out["source_reference_answer"] = f"""
+WITH {part_qa},
+o AS (SELECT *, {D('sample_id', 'label')} < 0.4 AS hal,
+             CASE WHEN p_size % 3 = 0 THEN 'Unknown' ELSE opb END AS wrong_o FROM pq
+      WHERE {cat_words}),
+s0 AS (SELECT *, CASE WHEN hal THEN wrong_o ELSE opa END AS answer, CAST(hal AS INTEGER) AS true_label FROM o),
+s AS (SELECT *, {_sev_range('true_label', 'sample_id', 'severity', *fixed.SEVERITY_REFERENCE['wrong'],
+                            *fixed.SEVERITY_REFERENCE['right'])} AS sev,
+             question || ' ' || answer AS qa_text FROM s0),
+{terms_ctes('t', 's', 'sample_id', 'qa_text')}
+""" + (sample_out.replace("ENTITIES", "coalesce(t.terms, '')").replace("NENT", "coalesce(t.n_terms, 0)")
+       .replace("SOURCE", "'truthfulqa_medical'"))
     return out
 
 

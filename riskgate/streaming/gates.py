@@ -29,13 +29,13 @@ def as_event_time(df: DataFrame, ts: str = "ts", out: str = "event_time") -> Dat
 
 def gate_windows(scored: DataFrame, event_time: str = "event_time", window: str = "1 day",
                  slide: str | None = None, watermark: str | None = "1 day",
-                 gate_col: str = "gate", index: str = "qhi") -> DataFrame:
+                 gate_col: str = "gate", index: str = "risk_index") -> DataFrame:
     """Rows and mean index per (event-time window, gate) (X2). With a watermark,
     rows later than it are dropped and a window is final once it passes."""
     s = scored.withWatermark(event_time, watermark) if watermark else scored
     w = F.window(event_time, window, slide) if slide else F.window(event_time, window)
     return (s.groupBy(w.alias("window"), F.col(gate_col))
-             .agg(F.count(F.lit(1)).alias("n"), F.avg(index).alias("avg_qhi")))
+             .agg(F.count(F.lit(1)).alias("n"), F.avg(index).alias("avg_index")))
 
 
 def dedupe_responses(stream: DataFrame, keys: Sequence[str], event_time: str = "event_time",
@@ -48,5 +48,5 @@ def dedupe_responses(stream: DataFrame, keys: Sequence[str], event_time: str = "
 def add_gate(df: DataFrame, u: str = "uncertainty", r: str = "risk_score",
              v: str = "violation") -> DataFrame:
     """Index and gate from component columns."""
-    return (df.withColumn("qhi", scoring.risk_index(u, r, v))
-              .withColumn("gate", scoring.gate("qhi")))
+    return (df.withColumn("risk_index", scoring.risk_index(u, r, v))
+              .withColumn("gate", scoring.gate("risk_index")))

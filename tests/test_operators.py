@@ -111,9 +111,9 @@ def test_gate_distribution_keeps_empty_gates(spark):
 
 def test_model_report_and_rank(spark):
     rows = [("m1", 1.0, True, "AUTO_USE"), ("m1", 9.0, False, "REVIEW"), ("m2", 22.0, True, "BLOCK")]
-    df = spark.createDataFrame(rows, "model string, qhi double, is_hallucinated boolean, gate string")
+    df = spark.createDataFrame(rows, "model string, risk_index double, is_hallucinated boolean, gate string")
     rep = {r.model: r for r in R.model_report(df).collect()}
-    assert rep["m1"].n == 2 and rep["m1"].avg_qhi == 5.0 and rep["m1"].hal_rate == 0.5
+    assert rep["m1"].n == 2 and rep["m1"].avg_index == 5.0 and rep["m1"].hal_rate == 0.5
     assert (rep["m2"].n_block, rep["m2"].n_auto) == (1, 0)
     ranked = {r.model: r["rank"] for r in R.model_rank(R.model_report(df)).collect()}
     assert ranked == {"m1": 1, "m2": 2}
@@ -168,8 +168,8 @@ def test_latency_percentile_linear(spark):
 
 def test_question_grid_and_first_seen(spark):
     rows = [("q1", "b", 1.0, 3), ("q1", "a", 2.0, 1), ("q2", "a", 4.0, 2)]
-    df = spark.createDataFrame(rows, "id string, model string, qhi double, pos int")
-    g = {r.id: (r.a, r.b) for r in R.question_grid(df, ["id"], "model", ["a", "b"], "qhi").collect()}
+    df = spark.createDataFrame(rows, "id string, model string, risk_index double, pos int")
+    g = {r.id: (r.a, r.b) for r in R.question_grid(df, ["id"], "model", ["a", "b"], "risk_index").collect()}
     assert g == {"q1": (2.0, 1.0), "q2": (4.0, None)}
     order = {r.model: r.model_pos for r in R.models_first_seen(df, "model", "pos").collect()}
     assert order == {"a": 1, "b": 2}

@@ -56,4 +56,4 @@ def test_entry_runs(spark):
     df = entry(spark)
     rows = df.collect()
     assert len(rows) > 0
-    assert df.columns == ["model", "n", "avg_qhi", "hal_rate", "n_auto", "n_review", "n_block"]
+    assert df.columns == ["model", "n", "avg_index", "hal_rate", "n_auto", "n_review", "n_block"]

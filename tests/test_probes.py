@@ -40,24 +40,24 @@ def test_fit_quality_on_planted_signal(fitted):
 
 def test_scores_in_range_and_gates_agree(fitted):
     df, model = fitted
-    out = model.transform(df).select("uncertainty_score", "risk_score", "causal_violation_prob", "qhi", "gate").collect()
+    out = model.transform(df).select("uncertainty_score", "risk_score", "causal_violation_prob", "risk_index", "gate").collect()
     for r in out:
         assert 0 <= r.uncertainty_score <= 1 and 1 <= r.risk_score <= 5 and 0 <= r.causal_violation_prob <= 1
-        assert 0 <= r.qhi <= 25
-        assert r.gate == ("AUTO_USE" if r.qhi < 5 else "REVIEW" if r.qhi < 20 else "BLOCK")
+        assert 0 <= r.risk_index <= 25
+        assert r.gate == ("AUTO_USE" if r.risk_index < 5 else "REVIEW" if r.risk_index < 20 else "BLOCK")
 
 
 def test_labels_do_not_leak_into_scores(fitted):
     df, model = fitted
-    a = model.transform(df).select("sample_id", "qhi")
+    a = model.transform(df).select("sample_id", "risk_index")
     permuted = df.withColumn("true_label", 1 - F.col("true_label")).withColumn("true_severity", F.lit(0.0))
-    b = model.transform(permuted).select("sample_id", "qhi")
+    b = model.transform(permuted).select("sample_id", "risk_index")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
 def test_clean_mean_below_hallucinated_mean(fitted):
     df, model = fitted
-    m = {r.true_label: r.m for r in model.transform(df).groupBy("true_label").agg(F.avg("qhi").alias("m")).collect()}
+    m = {r.true_label: r.m for r in model.transform(df).groupBy("true_label").agg(F.avg("risk_index").alias("m")).collect()}
     assert m[0] < m[1]
 
 
@@ -77,8 +77,8 @@ def test_save_load_round_trip(spark, fitted, tmp_dir):
     df, model = fitted
     model.save(tmp_dir + "/model")
     again = RiskProbesModel.load(tmp_dir + "/model")
-    a = sorted(map(tuple, model.transform(df).select("sample_id", "qhi").collect()))
-    b = sorted(map(tuple, again.transform(df).select("sample_id", "qhi").collect()))
+    a = sorted(map(tuple, model.transform(df).select("sample_id", "risk_index").collect()))
+    b = sorted(map(tuple, again.transform(df).select("sample_id", "risk_index").collect()))
     assert a == b
     assert again.stats == model.stats
 

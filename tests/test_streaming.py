@@ -25,10 +25,10 @@ def test_stream_gate_windows_equal_batch(spark, tmp_dir):
     q = (agg.writeStream.outputMode("complete").format("memory").queryName("gw_test")
          .trigger(availableNow=True).start())
     q.awaitTermination(120)
-    got = sorted((str(r.window.start), r.gate, r.n, round(r.avg_qhi, 9))
+    got = sorted((str(r.window.start), r.gate, r.n, round(r.avg_index, 9))
                  for r in spark.sql("SELECT * FROM gw_test").collect())
     batch = G.gate_windows(_scored(spark.read.parquet(src)), window="1 day", watermark=None)
-    want = sorted((str(r.window.start), r.gate, r.n, round(r.avg_qhi, 9)) for r in batch.collect())
+    want = sorted((str(r.window.start), r.gate, r.n, round(r.avg_index, 9)) for r in batch.collect())
     assert got == want
 
 
@@ -38,7 +38,7 @@ def test_score_stream_equals_batch(spark, tmp_dir):
     schema = spark.read.parquet(src).schema
 
     def scorer(df):
-        return _scored(df).select("event_id", "qhi", "gate")
+        return _scored(df).select("event_id", "risk_index", "gate")
 
     q = (G.score_stream(spark.readStream.schema(schema).parquet(src), scorer)
          .writeStream.format("memory").queryName("score_test").trigger(availableNow=True).start())
