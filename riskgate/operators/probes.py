@@ -19,6 +19,7 @@ import json
 import os
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml.classification import (LogisticRegression, LogisticRegressionModel,
@@ -106,29 +107,36 @@ class RiskProbes:
         train_s = sized(scaler.transform(train), n_train).persist(StorageLevel.MEMORY_AND_DISK)
         test_s = sized(scaler.transform(test), max(n_test, 1)).persist(StorageLevel.MEMORY_AND_DISK)
         counts = counts["train"]
+        train_s.count()          # materialise once before the concurrent fits read it
 
-        c_model = LogisticRegression(
+        c_est = LogisticRegression(
             featuresCol=_SCALED, labelCol="_y", regParam=1.0 / (p.uncertainty_c * n_train),
             elasticNetParam=0.0, standardization=False, maxIter=p.max_iter, tol=p.tol,
-            probabilityCol="_c_prob", rawPredictionCol="_c_raw", predictionCol="_c_pred").fit(train_s)
-
+            probabilityCol="_c_prob", rawPredictionCol="_c_raw", predictionCol="_c_pred")
         v_label = "_violation" if counts["nv"] > 1 else "_y"
-        v_model = LogisticRegression(
+        v_est = LogisticRegression(
             featuresCol=_SCALED, labelCol=v_label, regParam=1.0 / (p.violation_c * n_train),
             elasticNetParam=1.0, standardization=False, maxIter=p.max_iter, tol=p.tol,
-            probabilityCol="_v_prob", rawPredictionCol="_v_raw", predictionCol="_v_pred").fit(train_s)
+            probabilityCol="_v_prob", rawPredictionCol="_v_raw", predictionCol="_v_pred")
 
-        r_model = self._fit_risk(train_s, dim)
+        # The three probes are independent: submit them as concurrent Spark jobs
+        # (each is a sequence of distributed gradient passes over train_s).
+        with ThreadPoolExecutor(max_workers=3) as pool:
+            fc = pool.submit(c_est.fit, train_s)
+            fv = pool.submit(v_est.fit, train_s)
+            fr = pool.submit(self._fit_risk, train_s, dim)
+            c_model, v_model, r_model = fc.result(), fv.result(), fr.result()
 
         scored = r_model.transform(v_model.transform(c_model.transform(test_s)))
-        scored = (scored.withColumn("_c", _positive("_c_prob"))
-                        .withColumn("_v", _positive("_v_prob"))
-                        .withColumn("_v_true", F.col(v_label)))
-        c_auc = E.roc_auc(scored, "_y", "_c").first()[0]
-        v_auc = E.roc_auc(scored, "_v_true", "_v").first()[0]
+        # both validation AUCs from one grouped pass, plus the bin accuracy
+        long = (scored.select(F.lit("c").alias("probe"), F.col("_y").alias("_lab"), _positive("_c_prob").alias("_s"))
+                .unionByName(scored.select(F.lit("v").alias("probe"), F.col(v_label).alias("_lab"),
+                                           _positive("_v_prob").alias("_s"))))
+        aucs = {r["probe"]: r["auc_roc"] for r in E.rank_metrics(long, "_lab", "_s", by=["probe"]).collect()}
+        c_auc, v_auc = aucs.get("c"), aucs.get("v")
         r_acc = E.class_accuracy(scored, "_r_pred", "_risk_bin").first()[0]
-        label_counts = data.agg(F.count_if(F.col(p.label_col) == 1).alias("h"),
-                                F.count(F.lit(1)).alias("n")).first()
+        label_counts = split.agg(F.count_if(F.col(p.label_col) == 1).alias("h"),
+                                 F.count(F.lit(1)).alias("n")).first()
         train_s.unpersist()
         test_s.unpersist()
         split.unpersist()
