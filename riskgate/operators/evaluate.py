@@ -106,10 +106,6 @@ def random_baseline(df: DataFrame, key: str, seed: int = fixed.RANDOM_BASELINE_S
     return df.withColumn(out, draws.unit_draw(seed, F.col(key), "random"))
 
 
-def _one_row(df: DataFrame) -> DataFrame:
-    return df.withColumn("_one", F.lit(1))
-
-
 def evaluate(scored: DataFrame, label: str = "true_label", index: str = "risk_index",
              severity: str = "true_severity", gate_col: str = "gate",
              duration: str | None = None, threshold: float = fixed.PREDICT_THRESHOLD,
@@ -133,15 +129,29 @@ def evaluate(scored: DataFrame, label: str = "true_label", index: str = "risk_in
            F.round(F.percentile(F.col(duration), F.lit(0.95)), 3).alias("p95_latency_ms")]
           if duration else []),
     )
-    parts = [
-        rank_metrics(s, label, "_y").select(F.round("auc_roc", 4).alias("auc_roc"),
-                                            F.round("avg_precision", 4).alias("avg_precision")),
-        basic,
-    ]
-    out = _one_row(parts[0])
-    for p in parts[1:]:
-        out = out.join(_one_row(p), "_one")  # one-row sides: an equi-join on a constant
-    return out.drop("_one")
+    ranks = rank_metrics(s, label, "_y").select(F.round("auc_roc", 4).alias("auc_roc"),
+                                                 F.round("avg_precision", 4).alias("avg_precision"))
+    return _combine_rows([ranks, basic])
+
+
+def _combine_rows(parts: list[DataFrame], by: tuple = ()) -> DataFrame:
+    """Put one-row (or one-row-per-key) results side by side without a join:
+    each part fills its own columns, the rest are null; union, then take the
+    single non-null value per column."""
+    cols: list[str] = []
+    types: dict[str, str] = {}
+    for p in parts:
+        for name, t in p.dtypes:
+            if name not in by and name not in types:
+                cols.append(name)
+                types[name] = t
+    aligned = [p.select(*by, *[F.col(c) if c in p.columns else F.lit(None).cast(types[c]).alias(c)
+                               for c in cols]) for p in parts]
+    u = aligned[0]
+    for a in aligned[1:]:
+        u = u.unionByName(a)
+    aggs = [F.first(c, ignorenulls=True).alias(c) for c in cols]
+    return (u.groupBy(*by) if by else u).agg(*aggs)
 
 
 def method_compare(methods: Mapping[str, DataFrame], label: str, score: str,
@@ -160,7 +170,7 @@ def method_compare(methods: Mapping[str, DataFrame], label: str, score: str,
     tp, fp, fn = F.count_if(pred & y), F.count_if(pred & ~y), F.count_if(~pred & y)
     den = 2 * tp + fp + fn
     f1 = long.groupBy("method").agg(F.when(den > 0, (2 * tp) / den).otherwise(F.lit(0.0)).alias("f1"))
-    out = ranks.join(f1, "method", "inner")                     # one row per method on each side
+    out = _combine_rows([ranks, f1], by=("method",))
     return out.select("method", F.round("auc_roc", 4).alias("auc_roc"),
                       F.round("avg_precision", 4).alias("avg_precision"),
                       F.round("f1", 4).alias("f1"))
