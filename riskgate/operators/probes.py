@@ -211,9 +211,14 @@ class RiskProbesModel:
         drop = [c for c in out.columns if c.startswith("_") and c not in df.columns]
         return out.drop(*drop)
 
+    SUMMARY_SCHEMA = ("probe_c_auc double, probe_r_acc double, probe_v_auc double, train_time_s double, "
+                      "n_samples long, n_hallucinated long, n_clean long, violation_label string")
+
     def summary(self, spark: SparkSession) -> DataFrame:
-        """Training record as a one-row DataFrame (M8)."""
-        return spark.createDataFrame([self.stats])
+        """Training record as a one-row DataFrame (M8); a metric that is
+        undefined (one class in the validation rows) is null."""
+        names = [f.split()[0] for f in self.SUMMARY_SCHEMA.split(", ")]
+        return spark.createDataFrame([tuple(self.stats.get(n) for n in names)], self.SUMMARY_SCHEMA)
 
     def sparse_weights(self, spark: SparkSession) -> DataFrame:
         """Non-zero weights of the violation probe (M5): (dim, weight)."""
