@@ -27,9 +27,16 @@ def contained_count(text, phrases) -> Column:
 
     A null phrase list counts as empty; a null text as the empty string.
     """
-    low = F.lower(F.coalesce(_col(text), F.lit("")))
-    return F.size(F.filter(F.coalesce(_col(phrases), _empty()),
-                           lambda p: F.contains(low, F.lower(p))))
+    # The lowered text rides in the fold's accumulator, so it is computed once
+    # per row: an expression referenced inside a lambda is re-evaluated for
+    # every element, which on a long response means one lower() per phrase.
+    init = F.struct(F.lower(F.coalesce(_col(text), F.lit(""))).alias("t"), F.lit(0).alias("n"))
+
+    def step(acc, p):
+        hit = F.when(F.contains(acc["t"], F.lower(p)), F.lit(1)).otherwise(F.lit(0))
+        return F.struct(acc["t"].alias("t"), (acc["n"] + hit).alias("n"))
+
+    return F.aggregate(F.coalesce(_col(phrases), _empty()), init, step, lambda acc: acc["n"])
 
 
 def _size(arr) -> Column:

@@ -96,12 +96,18 @@ def expected_risk(probabilities, labels: Sequence[float] = fixed.RISK_CLASS_WEIG
 
 
 def softmax(values) -> Column:
-    """Softmax of an array column (stable: the max is subtracted)."""
+    """Softmax of an array column (stable: the max is subtracted).
+
+    Lambdas re-evaluate any outside expression per element, so the max and the
+    normaliser are computed once by a fold and handed to every element through
+    ``array_repeat`` (whose argument is evaluated once): linear in the length.
+    """
     v = _col(values).cast("array<double>")
-    mx = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - mx))
-    tot = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(e, lambda x: x / tot)
+    init = F.struct(F.array_max(v).alias("m"), F.lit(0.0).alias("d"))
+    stats = F.aggregate(v, init, lambda acc, x: F.struct(acc["m"].alias("m"),
+                                                         (acc["d"] + F.exp(x - acc["m"])).alias("d")))
+    pairs = F.arrays_zip(v.alias("x"), F.array_repeat(stats, F.size(v)).alias("s"))
+    return F.transform(pairs, lambda p: F.exp(p["x"] - p["s"]["m"]) / p["s"]["d"])
 
 
 def draw_matrix(seed: int, rows: int, cols: int, stream: str = "proj",

@@ -138,3 +138,12 @@ def test_layer_pool_matches_numpy(spark):
         want = sum(w * np.mean([v for (ss, l, _, v) in rows if ss == s and l == li], axis=0)
                    for li, w in enumerate([0.2, 0.5, 0.3]))
         assert np.allclose(got[s], want)
+
+
+def test_softmax_matches_numpy(spark):
+    vals = [[1.0, 2.0, 3.0], [0.0], [-5.0, 5.0, 0.0, 1.0], [700.0, 699.0]]
+    df = spark.createDataFrame([(v,) for v in vals], "v array<double>")
+    got = [r.p for r in df.select(FT.softmax("v").alias("p")).collect()]
+    for g, v in zip(got, vals):
+        e = np.exp(np.array(v) - max(v))
+        assert np.allclose(g, e / e.sum())
