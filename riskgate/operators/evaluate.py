@@ -25,7 +25,7 @@ def _score_counts(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
                    F.count_if(F.col(label) != 1).alias("_n")))
 
 
-def rank_metrics(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
+def rank_metrics(df: DataFrame, label: str, score: str, by=(), buckets: int = 1024) -> DataFrame:
     """ROC AUC and average precision from one pass.
 
     Rows are first counted per distinct score (map-side partial counts); one
@@ -35,10 +35,14 @@ def rank_metrics(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
     AUC = 1 - sum_s p(s) * (n>=s - n(s) / 2) / (P * N), ties counted half;
     AP = sum_s p(s) * (p>=s / a>=s) / P, the step-wise sum over distinct scores
     (not a trapezoid area). Null when a class is absent.
+
+    The per-score table has one row per distinct score: bounded for rounded
+    scores (4 places: at most 10,001 per group). For unrounded scores on very
+    large inputs raise ``buckets`` so each bucket's window stays one task's worth.
     """
     by = list(by)
     counts = _score_counts(df, label, score, by).withColumn("_a", F.col("_p") + F.col("_n"))
-    g = running_sums(counts, "_s", ["_p", "_n", "_a"], descending=True, by=by)
+    g = running_sums(counts, "_s", ["_p", "_n", "_a"], descending=True, by=by, buckets=buckets)
     P, N = F.sum("_p"), F.sum("_n")
     tail = F.sum(F.col("_p") * (F.col("_n_cum") - F.col("_n") * 0.5))
     ap_num = F.sum(F.col("_p") * F.try_divide(F.col("_p_cum").cast("double"), F.col("_a_cum").cast("double")))

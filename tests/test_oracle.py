@@ -57,3 +57,24 @@ def test_entry_runs(spark):
     rows = df.collect()
     assert len(rows) > 0
     assert df.columns == ["model", "n", "avg_index", "hal_rate", "n_auto", "n_review", "n_block"]
+
+
+SHUFFLING = ["stratified_split", "group_split", "eval_auc", "eval_ap", "method_compare", "layer_pool",
+             "outstanding", "question_grid", "models_first_seen", "qa_pairs", "judge_rate"]
+
+
+@pytest.mark.parametrize("name", SHUFFLING)
+def test_result_independent_of_partitioning(spark, name):
+    fn = queries()[name]
+    results = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in ("1", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            df = fn(spark, SF)
+            results.append(_rows(df.columns, [tuple(r) for r in df.collect()]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert results[0] == results[1]
