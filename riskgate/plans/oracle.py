@@ -348,7 +348,7 @@ x AS (SELECT sample_id, layer, CAST(unnest(embedding) AS DOUBLE) AS v,
              generate_subscripts(embedding, 1) - 1 AS dim FROM s),
 m AS (SELECT sample_id, layer, dim, avg(v) AS mv FROM x GROUP BY sample_id, layer, dim)
 SELECT sample_id, CAST(dim AS INTEGER) AS dim,
-       round(sum(mv * CASE layer WHEN 0 THEN 0.2 WHEN 1 THEN 0.5 ELSE 0.3 END), 6) AS value
+       round(sum(mv * CASE layer WHEN 0 THEN 0.2 WHEN 1 THEN 0.5 ELSE 0.3 END), 6) + 0.0 AS value
 FROM m GROUP BY sample_id, dim"""
     out["layer_pool"] = f"""
 WITH s AS (SELECT vec_id // 10 AS sample_id, vec_id % 3 AS layer, embedding FROM embeddings),
@@ -362,14 +362,14 @@ WITH s AS (SELECT vec_id // 10 AS sample_id, vec_id % 3 AS layer, embedding FROM
     out["scale_stats"] = """
 WITH x AS (SELECT CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS dim
            FROM embeddings)
-SELECT CAST(dim AS INTEGER) AS dim, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std
+SELECT CAST(dim AS INTEGER) AS dim, round(avg(v), 6) + 0.0 AS mean, round(stddev_pop(v), 6) AS std
 FROM x GROUP BY dim"""
 
     out["project"] = f"""
 WITH w AS (SELECT o, d, {proj_w} AS w FROM range({Q.PROJ_OUT}) t1(o), range(64) t2(d)),
 x AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS d
       FROM embeddings)
-SELECT vec_id, CAST(o AS INTEGER) AS dim, round(sum(v * w), 6) AS value
+SELECT vec_id, CAST(o AS INTEGER) AS dim, round(sum(v * w), 6) + 0.0 AS value
 FROM x JOIN w USING (d) GROUP BY vec_id, o"""
 
     out["linear_apply"] = f"""
@@ -450,7 +450,7 @@ b AS (SELECT {RISK_BIN.format(s='true_severity')} AS actual,
              {RISK_BIN.format(s="(true_severity + (" + D('doc_id', 'noise') + " - 0.5) * 6.0)")} AS predicted
       FROM ls)
 SELECT round(avg(CAST(predicted = actual AS DOUBLE)), 6) AS accuracy FROM b"""
-    out["eval_corr"] = f"WITH {labelled_cte()} SELECT round(corr(risk_index, true_severity), 6) AS severity_pearson_r FROM ls"
+    out["eval_corr"] = f"WITH {labelled_cte()} SELECT round(corr(risk_index, true_severity), 6) + 0.0 AS severity_pearson_r FROM ls"
     out["eval_latency"] = """
 SELECT event_type, round(avg(value), 6) AS avg_latency_ms, round(quantile_cont(value, 0.95), 6) AS p95_latency_ms
 FROM events GROUP BY event_type"""
@@ -466,7 +466,7 @@ e AS (SELECT *, risk_index / 25.0 AS y FROM ls)
 SELECT round({_auc_sql('e', 'true_label', 'y')}, 4) AS auc_roc,
        round({_ap_sql('e', 'true_label', 'y')}, 4) AS avg_precision,
        round({_f1_sql('e', 'true_label', 'y')}, 4) AS f1,
-       (SELECT round(corr(risk_index, true_severity), 4) FROM e) AS severity_pearson_r,
+       (SELECT round(corr(risk_index, true_severity), 4) + 0.0 FROM e) AS severity_pearson_r,
        (SELECT CAST(count_if(gate = 'AUTO_USE') AS BIGINT) FROM e) AS gate_auto_use,
        (SELECT CAST(count_if(gate = 'REVIEW') AS BIGINT) FROM e) AS gate_review,
        (SELECT CAST(count_if(gate = 'BLOCK') AS BIGINT) FROM e) AS gate_block,
