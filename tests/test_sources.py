@@ -118,3 +118,27 @@ def test_combined_union_keeps_duplicates(spark):
                               "true_label int, true_severity double, source string")
     assert qa.combined({"demo": a, "again": a}).count() == 2
     assert F is not None
+
+
+def test_audit_with_model_scores_nested_records(spark, tmp_dir):
+    from riskgate.operators.probes import RiskProbes
+    from tests.test_probes import planted
+    feats = planted(spark, n=200)
+    model = RiskProbes(mlp_max_rounds=2, mlp_patience=1).fit(feats)
+    bank = spark.createDataFrame(
+        [("Q1", "Pharmacology", 5, "Antidote?", ["nac"], ["naloxone"], ["acetaminophen"])],
+        "id string, category string, risk_level int, question string, key_facts array<string>, "
+        "red_flags array<string>, entities array<string>")
+    responses = spark.createDataFrame([("Q1", "m1", "NAC", 1), ("Q1", "m2", "naloxone now", 2)],
+                                      "id string, model string, response string, sample_id long")
+    out = audit.audit_responses(responses, bank, features=feats.select("sample_id", "features"), model=model)
+    rows = {r.model: r for r in out.collect()}
+    assert set(rows) == {"m1", "m2"}
+    for r in rows.values():
+        assert r.score.gate == r.gate and 0 <= r.score.risk_index <= 25
+        assert r.score.entity_count == len(r.entities)
+    W.write_results(out, os.path.join(tmp_dir, "nested"), fmt="json")
+    back = spark.read.json(os.path.join(tmp_dir, "nested"))
+    assert back.count() == 2 and "score" in back.columns and "judgment" in back.columns
+    rep = {r.model: r for r in audit.audit_report(out).collect()}
+    assert rep["m2"].hal_rate == 1.0 and rep["m1"].hal_rate == 0.0

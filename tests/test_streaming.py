@@ -71,3 +71,23 @@ def test_late_rows_dropped_and_repeats_counted_once(spark, tmp_dir):
     rows = spark.sql("SELECT * FROM late_counts").collect()
     assert rows and all(r.gate != "BLOCK" for r in rows)          # the late (BLOCK) row never counted
     assert sorted(r.event_id for r in spark.sql("SELECT * FROM dedup_rows").collect()) == [1, 2]
+
+
+def test_fitted_model_scores_stream_like_batch(spark, tmp_dir):
+    from riskgate.operators.probes import RiskProbes
+    from tests.test_probes import planted
+    df = planted(spark, n=300)
+    model = RiskProbes(mlp_max_rounds=2, mlp_patience=1).fit(df)
+    src = os.path.join(tmp_dir, "features")
+    df.repartition(3).write.parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+
+    def scorer(d):
+        return model.transform(d).select("sample_id", "risk_index", "gate", "explanation")
+
+    q = (G.score_stream(stream, scorer).writeStream.format("memory").queryName("model_stream")
+         .trigger(availableNow=True).start())
+    q.awaitTermination(180)
+    got = sorted(map(tuple, spark.sql("SELECT * FROM model_stream").collect()))
+    want = sorted(map(tuple, scorer(spark.read.parquet(src)).collect()))
+    assert got == want and len(got) == 300
