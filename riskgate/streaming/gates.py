@@ -50,3 +50,21 @@ def add_gate(df: DataFrame, u: str = "uncertainty", r: str = "risk_score",
     """Index and gate from component columns."""
     return (df.withColumn("risk_index", scoring.risk_index(u, r, v))
               .withColumn("gate", scoring.gate("risk_index")))
+
+
+def run_stream(df: DataFrame, sink_path: str, name: str, output_mode: str = "append",
+               fmt: str = "parquet", available_now: bool = False, processing_time: str | None = None):
+    """Start a streaming query whose progress survives executor or driver loss:
+    the checkpoint goes under the shared folder named by spark.checkpoint.dir
+    (read from the session; set only where unset, e.g. in tests)."""
+    import os
+
+    from riskgate.session import checkpoint_dir
+    ckpt = os.path.join(checkpoint_dir(df.sparkSession), "streams", name)
+    w = (df.writeStream.format(fmt).outputMode(output_mode).queryName(name)
+           .option("checkpointLocation", ckpt).option("path", sink_path))
+    if available_now:
+        w = w.trigger(availableNow=True)
+    elif processing_time:
+        w = w.trigger(processingTime=processing_time)
+    return w.start()

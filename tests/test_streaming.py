@@ -91,3 +91,22 @@ def test_fitted_model_scores_stream_like_batch(spark, tmp_dir):
     got = sorted(map(tuple, spark.sql("SELECT * FROM model_stream").collect()))
     want = sorted(map(tuple, scorer(spark.read.parquet(src)).collect()))
     assert got == want and len(got) == 300
+
+
+def test_run_stream_checkpoints_and_resumes(spark, tmp_dir):
+    src, out = os.path.join(tmp_dir, "in"), os.path.join(tmp_dir, "out")
+    schema = "event_id long, ts timestamp, uncertainty double, risk_score double, violation double"
+    t0 = dt.datetime(2024, 1, 10, 12, 0, 0)
+    spark.createDataFrame([(i, t0 + dt.timedelta(minutes=i), 0.5, 2.0, 0.5) for i in range(5)], schema) \
+        .write.parquet(src)
+    name = "resume_" + os.path.basename(tmp_dir).replace("-", "_")
+
+    def start():
+        s = spark.readStream.schema(schema).parquet(src)
+        return G.run_stream(G.add_gate(s), out, name, available_now=True)
+
+    start().awaitTermination(120)
+    spark.createDataFrame([(i, t0, 0.5, 2.0, 0.5) for i in range(5, 8)], schema).write.mode("append").parquet(src)
+    start().awaitTermination(120)          # resumes from the checkpoint: old files are not read again
+    ids = sorted(r.event_id for r in spark.read.parquet(out).collect())
+    assert ids == list(range(8))
