@@ -92,10 +92,14 @@ class RiskProbes:
         test = split.filter(F.col("split") == "test")
 
         counts = {r["split"]: r for r in split.groupBy("split").agg(
-            F.count(F.lit(1)).alias("n"), F.countDistinct("_violation").alias("nv")).collect()}
+            F.count(F.lit(1)).alias("n"), F.countDistinct("_violation").alias("nv"),
+            F.count_if(F.col(p.label_col) == 1).alias("h"),
+            F.max(F.size(F.col(p.features_col))).alias("dim")).collect()}
         n_train = int(counts["train"]["n"])
         n_test = int(counts["test"]["n"]) if "test" in counts else 0
-        dim = len(split.select(_VEC).first()[0])
+        dim = int(counts["train"]["dim"])
+        label_counts = {"n": sum(int(r["n"]) for r in counts.values()),
+                        "h": sum(int(r["h"]) for r in counts.values())}
 
         # Iterative fits pay a job per iteration: size partitions by rows, so a
         # small training set is one task and a large one keeps its parallelism.
@@ -132,11 +136,11 @@ class RiskProbes:
         long = (scored.select(F.lit("c").alias("probe"), F.col("_y").alias("_lab"), _positive("_c_prob").alias("_s"))
                 .unionByName(scored.select(F.lit("v").alias("probe"), F.col(v_label).alias("_lab"),
                                            _positive("_v_prob").alias("_s"))))
-        aucs = {r["probe"]: r["auc_roc"] for r in E.rank_metrics(long, "_lab", "_s", by=["probe"]).collect()}
-        c_auc, v_auc = aucs.get("c"), aucs.get("v")
-        r_acc = E.class_accuracy(scored, "_r_pred", "_risk_bin").first()[0]
-        label_counts = split.agg(F.count_if(F.col(p.label_col) == 1).alias("h"),
-                                 F.count(F.lit(1)).alias("n")).first()
+        aucs = E.rank_metrics(long, "_lab", "_s", by=["probe"]).select("probe", "auc_roc")
+        acc = E.class_accuracy(scored, "_r_pred", "_risk_bin").select(
+            F.lit("r").alias("probe"), F.col("accuracy").alias("auc_roc"))
+        metrics = {r["probe"]: r["auc_roc"] for r in aucs.unionByName(acc).collect()}   # one action
+        c_auc, v_auc, r_acc = metrics.get("c"), metrics.get("v"), metrics.get("r")
         train_s.unpersist()
         test_s.unpersist()
         split.unpersist()
