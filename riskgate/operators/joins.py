@@ -4,6 +4,9 @@ outstanding questions, entity-position semi-join (J1-J7, F3).
 Broadcast is used only behind a size check (:func:`bounded_broadcast`) or for
 dimensions built from literals, whose size is fixed by the code. Past the bound
 the plain join is left to Catalyst/AQE (sort-merge, skew-join splitting).
+Tables derived inside the same plan (per-model or per-bucket aggregates) get no
+hint at all: AQE measures them at run time and broadcasts only if small, which
+avoids an extra pass over the data just to count them.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@ A window without a partition key sends every row to one task, and a window
 partitioned by a low-cardinality key (a label, a model) sends a hot key's rows
 to one task. Here the order value is first cut into value-range buckets; each
 (partition key, bucket) group is ranked in its own task, and a small table of
-bucket offsets (partition keys x buckets rows, size fixed by the bucket count)
-is broadcast back. The result equals a single global ordering.
+bucket offsets (partition keys x buckets rows) is joined back on the same
+(partition key, bucket) keys the window already shuffled by. The result equals
+a single global ordering.
 """
 
 from __future__ import annotations
@@ -56,7 +57,11 @@ def bucketed_rank(df: DataFrame, partition_cols: Sequence[str], order_col: str,
                    w_off.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                .withColumn(total_col, F.sum("_n").over(Window.partitionBy(*parts)))
                .drop("_n"))
-    return (ranked.join(F.broadcast(offsets), [*parts, "_b"], "inner")
+    # No broadcast hint: the offsets table is small in practice, but its size is
+    # only known at run time. AQE broadcasts it then if it is small; otherwise
+    # the join is co-partitioned with the window's (parts, bucket) exchange, so
+    # only the small side moves.
+    return (ranked.join(offsets, [*parts, "_b"], "inner")
                   .withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("long"))
                   .drop("_b", "_rn", "_off"))
 
@@ -91,7 +96,7 @@ def running_sums(df: DataFrame, order_col: str, value_cols: Sequence[str],
     for c in value_cols:  # groups x buckets rows: a small table
         totals = totals.withColumn(c + "_off", F.coalesce(F.sum(c + "_bt").over(w_off), F.lit(0)))
     totals = totals.drop(*[c + "_bt" for c in value_cols])
-    out = base.join(F.broadcast(totals), [*parts, "_b"], "inner")
+    out = base.join(totals, [*parts, "_b"], "inner")   # sized at run time, as above
     for c in value_cols:
         out = out.withColumn(c + suffix, F.col(c + "_off") + F.col(c + "_in"))
         out = out.drop(c + "_off", c + "_in")

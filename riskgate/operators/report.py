@@ -93,7 +93,8 @@ def fill_rate(responses: DataFrame, response: str = "response", by: Sequence[str
 
 def response_detail(scored: DataFrame, model_order: DataFrame, model: str = "model",
                     cols: Sequence[str] = ("id", "category", "gate", "risk_index")) -> DataFrame:
-    """One row per response with its model's first-seen position (A18); the
-    per-model order table is small (one row per model)."""
-    return scored.join(F.broadcast(model_order.select(model, "model_pos")), model, "inner") \
+    """One row per response with its model's first-seen position (A18). The
+    per-model table (one row per model) is left to AQE's run-time size check:
+    broadcast when small, a skew-split shuffle join otherwise."""
+    return scored.join(model_order.select(model, "model_pos"), model, "inner") \
         .select("model_pos", model, *cols)
