@@ -116,6 +116,12 @@ SUFFIX_POOL = [
     "",
 ]
 
+# Source tags of the sample sources (the option-column tag is a prefix + subject).
+SOURCE_TAG_OPTION_MAP = "medqa_usmle"
+SOURCE_TAG_OPTION_COLUMNS_PREFIX = "medmcqa_"
+SOURCE_TAG_REFERENCE = "truthfulqa_medical"
+SOURCE_TAG_DEMO = "demo_usmle"
+
 # Corruption rate, and severity ranges (low, high) per source kind.
 HALLUCINATION_RATE = 0.4
 SEVERITY_OPTION_MAP = {"wrong": (15.0, 25.0), "right": (0.0, 4.0)}

@@ -552,7 +552,7 @@ s AS (SELECT *, {_sev_risk('true_label', 'base_risk', 'sample_id')} AS sev,
 {terms_ctes('t', 's', 'sample_id', 'qa_text')}
 """ + (sample_out.replace("ENTITIES", "CASE WHEN coalesce(t.terms, '') = '' THEN subj ELSE t.terms || '|' || subj END")
        .replace("NENT", "coalesce(t.n_terms, 0) + 1")
-       .replace("SOURCE", "'medmcqa_' || lower(replace(subj, ' ', '_'))"))
+       .replace("SOURCE", f"'{fixed.SOURCE_TAG_OPTION_COLUMNS_PREFIX}' || lower(replace(subj, ' ', '_'))"))
     out["source_option_map"] = f"""
 WITH {part_qa},
 o AS (SELECT *, substr('ABCDE', CAST(sample_id % 5 AS INTEGER) + 1, 1) AS k,
@@ -565,7 +565,7 @@ s AS (SELECT *, {_sev_range('true_label', 'sample_id', 'severity', *fixed.SEVERI
              question || ' ' || answer AS qa_text FROM s0),
 {terms_ctes('t', 's', 'sample_id', 'qa_text')}
 """ + (sample_out.replace("ENTITIES", "coalesce(t.terms, '')").replace("NENT", "coalesce(t.n_terms, 0)")
-       .replace("SOURCE", "'medqa_usmle'"))
+       .replace("SOURCE", _quote(fixed.SOURCE_TAG_OPTION_MAP)))
     cat_words = " OR ".join(f"contains(category, {_quote(w)})" for w in I.PART_TYPE_WORDS)
     out["source_reference_answer"] = f"""
 WITH {part_qa},
@@ -578,7 +578,7 @@ s AS (SELECT *, {_sev_range('true_label', 'sample_id', 'severity', *fixed.SEVERI
              question || ' ' || answer AS qa_text FROM s0),
 {terms_ctes('t', 's', 'sample_id', 'qa_text')}
 """ + (sample_out.replace("ENTITIES", "coalesce(t.terms, '')").replace("NENT", "coalesce(t.n_terms, 0)")
-       .replace("SOURCE", "'truthfulqa_medical'"))
+       .replace("SOURCE", _quote(fixed.SOURCE_TAG_REFERENCE)))
     return out
 
 

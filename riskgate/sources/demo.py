@@ -32,7 +32,7 @@ def nation_bank(nation: DataFrame, region: DataFrame) -> DataFrame:
 
 
 def cyclic_resample(index: DataFrame, bank: DataFrame, n_bank: int, seed: int = 42,
-                    rate: float = fixed.HALLUCINATION_RATE, source: str = "demo",
+                    rate: float = fixed.HALLUCINATION_RATE, source: str = fixed.SOURCE_TAG_DEMO,
                     suffixes=fixed.SUFFIX_POOL, i: str = "i") -> DataFrame:
     """Samples for every index row (S4, with P1, P4, P6)."""
     key = F.col(i)

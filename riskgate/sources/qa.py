@@ -97,7 +97,7 @@ def _finish(df: DataFrame, text_col, output_col, label_col, severity_col, source
 
 
 def option_map_source(df: DataFrame, n: int | None = None, rate: float = fixed.HALLUCINATION_RATE,
-                      seed: int = 42, source: str = "medqa_usmle") -> DataFrame:
+                      seed: int = 42, source: str = fixed.SOURCE_TAG_OPTION_MAP) -> DataFrame:
     """Keyed-options QA rows to samples (S1): the first ``n`` by sample_id."""
     d = _first_n(df, n)
     key = F.col("sample_id")
@@ -131,13 +131,13 @@ def option_column_source(df: DataFrame, n: int | None = None, rate: float = fixe
         T.append_term(T.extract_terms(F.concat_ws(" ", "question", "_out")), F.col("subject_name"))
         .alias("entities"),
         F.col("_lab").alias("true_label"), F.col("_sev").alias("true_severity"),
-        T.source_tag("medmcqa_", F.col("subject_name")).alias("source"))
+        T.source_tag(fixed.SOURCE_TAG_OPTION_COLUMNS_PREFIX, F.col("subject_name")).alias("source"))
 
 
 def reference_answer_source(df: DataFrame, n: int | None = None,
                             words: Sequence[str] = fixed.MEDICAL_CATEGORY_WORDS,
                             rate: float = fixed.HALLUCINATION_RATE, seed: int = 42,
-                            source: str = "truthfulqa_medical") -> DataFrame:
+                            source: str = fixed.SOURCE_TAG_REFERENCE) -> DataFrame:
     """Reference-answer QA rows to samples (S3): category filter by substring
     (F1), then the first ``n`` (F4); wrong answer = first incorrect one."""
     arr = F.array(*[F.lit(w) for w in words])

@@ -20,7 +20,7 @@ def _write_json_lines(path, rows):
 
 
 def test_option_map_source(spark, tmp_dir):
-    p = os.path.join(tmp_dir, "medqa/part.json")
+    p = os.path.join(tmp_dir, "keyed/part.json")
     rows = [{"sample_id": i, "question": f"Which drug for case {i}?",
              "options": [{"key": "A", "value": "Metformin daily"}, {"key": "B", "value": "Insulin glargine"}],
              "answer_idx": "A" if i % 2 else "Z"} for i in range(60)]
@@ -35,7 +35,7 @@ def test_option_map_source(spark, tmp_dir):
 
 
 def test_option_column_source(spark, tmp_dir):
-    p = os.path.join(tmp_dir, "medmcqa/part.json")
+    p = os.path.join(tmp_dir, "columns/part.json")
     rows = [{"sample_id": i, "question": "Dose?", "opa": "Aspirin", "opb": "Heparin", "opc": "Warfarin",
              "opd": "Naloxone", "cop": i % 4, "subject_name": ["Surgery", "Dental", None, "Unknown"][i % 4],
              "exp": ""} for i in range(20)]
@@ -49,7 +49,7 @@ def test_option_column_source(spark, tmp_dir):
 
 
 def test_reference_answer_source(spark, tmp_dir):
-    p = os.path.join(tmp_dir, "tqa/part.json")
+    p = os.path.join(tmp_dir, "reference/part.json")
     rows = [{"sample_id": i, "category": ["Health", "Law", "Psychology/Psychiatry", "Nutrition"][i % 4],
              "question": "Is it safe?", "best_answer": "Yes, in moderation.",
              "incorrect_answers": [] if i % 3 == 0 else ["Never"]} for i in range(40)]
