@@ -266,7 +266,10 @@ def positional_zip(spark, sf):
 
 
 def variant_expand(spark, sf):
-    bank = demo.nation_bank(I.table(spark, sf, "nation"), I.table(spark, sf, "region"))
+    p = I.table(spark, sf, "part")
+    bank = p.select(F.col("p_partkey").alias("bank_pos"), F.col("p_name").alias("correct"),
+                    F.col("p_brand").alias("wrong"),
+                    (F.pmod(F.col("p_size"), F.lit(5)) + 1).cast("int").alias("risk"))
     v = J.variant_expand(bank, "bank_pos", "correct", "wrong", "risk")
     return v.select("bank_pos", "label", "answer", _r6("severity"))
 

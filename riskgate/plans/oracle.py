@@ -337,11 +337,12 @@ SELECT 'turn' || CAST(c.turn AS VARCHAR) AS model, c.conv_id AS pos,
        CAST(length(b.text) AS INTEGER) AS q_chars, CAST(length(c.text) AS INTEGER) AS r_chars
 FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id WHERE c.role = 'assistant'"""
 
-    out["variant_expand"] = f"""
-WITH {nation_bank_cte()}
-SELECT bank_pos, 0 AS label, correct AS answer, 0.5::DOUBLE AS severity FROM nbank
+    out["variant_expand"] = """
+WITH b AS (SELECT p_partkey AS bank_pos, p_name AS correct, p_brand AS wrong,
+                  CAST(p_size % 5 + 1 AS INTEGER) AS risk FROM part)
+SELECT bank_pos, 0 AS label, correct AS answer, 0.5::DOUBLE AS severity FROM b
 UNION ALL
-SELECT bank_pos, 1 AS label, wrong AS answer, round(CAST(risk AS DOUBLE) * 5.0, 6) AS severity FROM nbank"""
+SELECT bank_pos, 1 AS label, wrong AS answer, round(CAST(risk AS DOUBLE) * 5.0, 6) AS severity FROM b"""
 
     pool_tail = """
 x AS (SELECT sample_id, layer, CAST(unnest(embedding) AS DOUBLE) AS v,
