@@ -173,3 +173,17 @@ def test_question_grid_and_first_seen(spark):
     assert g == {"q1": (2.0, 1.0), "q2": (4.0, None)}
     order = {r.model: r.model_pos for r in R.models_first_seen(df, "model", "pos").collect()}
     assert order == {"a": 1, "b": 2}
+
+
+def test_hot_label_is_ranked_by_many_tasks(spark):
+    rows = [(i, 0 if i % 100 else 1) for i in range(20000)]        # label 0 holds 99 % of rows
+    df = spark.createDataFrame(rows, "k long, y int").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = S.stratified_split(df, "y", "k")
+        parts = out.filter("y = 0").select(F.spark_partition_id().alias("p")).distinct().count()
+        counts = {r.split: r["count"] for r in out.filter("y = 0").groupBy("split").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert parts > 1                                    # not one task for the hot label
+    assert counts["test"] == math.ceil(0.2 * 19800)
