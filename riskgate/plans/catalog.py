@@ -115,14 +115,14 @@ def source_reference_answer(spark, sf):
 # --------------------------------------------------------------------------- scalars
 
 def term_extract(spark, sf):
-    d = I.table(spark, sf, "documents")
+    d = I.table(spark, sf, "documents", spread=True)
     t = d.select("doc_id", T.extract_terms(F.col("text")).alias("terms"))
     return t.select("doc_id", F.array_join("terms", "|").alias("terms"),
                     scoring.term_count("terms").alias("n_terms"))
 
 
 def term_vocab(spark, sf):
-    d = I.table(spark, sf, "documents")
+    d = I.table(spark, sf, "documents", spread=True)
     t = d.select("doc_id", T.append_term(T.extract_terms(F.col("text"), I.CORPUS_VOCABULARY),
                                          F.col("source")).alias("terms"))
     return t.select("doc_id", F.array_join("terms", "|").alias("terms"),
@@ -207,7 +207,7 @@ def index_gate(spark, sf):
 
 
 def explain(spark, sf):
-    s = I.scored_documents(spark, sf)
+    s = I.scored_documents(spark, sf, spread=True)
     return s.select("doc_id", "gate", scoring.gate_description("gate").alias("description"),
                     scoring.explanation("uncertainty", "risk_score", "violation", "gate").alias("explanation"),
                     scoring.term_count(T.extract_terms(F.col("text"))).alias("entity_count"))
@@ -217,7 +217,7 @@ def explain(spark, sf):
 
 def _judged(spark, sf, rule: str) -> DataFrame:
     bank = I.bank(spark, sf)
-    r = J.attach_bank(I.responses(spark, sf), bank, "id")
+    r = J.attach_bank(I.responses(spark, sf, spread=True), bank, "id")
     if rule == "rate":
         j = judge.judge_rate("response", "key_facts", "red_flags", "risk_level")
     else:
@@ -355,8 +355,8 @@ def models_first_seen(spark, sf):
     return R.models_first_seen(s, "model", "doc_id")
 
 
-def _scored_responses(spark, sf) -> DataFrame:
-    r = I.responses(spark, sf)
+def _scored_responses(spark, sf, spread: bool = False) -> DataFrame:
+    r = I.responses(spark, sf, spread=spread)
     key = F.col("conv_id") * 100 + F.col("turn")
     return I.scored(r.select("*", *I.components(key)))
 
@@ -373,7 +373,7 @@ def fill_rate(spark, sf):
 
 
 def response_detail(spark, sf):
-    s = _scored_responses(spark, sf)
+    s = _scored_responses(spark, sf, spread=True)
     bank = I.bank(spark, sf)
     j = J.attach_bank(s, bank, "id").withColumn(
         "j", judge.judge_rate("response", "key_facts", "red_flags", "risk_level"))
@@ -476,7 +476,7 @@ def gate_windows(spark, sf):
 
 def qa_judge_report(spark, sf):
     """Pairs -> bank join -> judge -> index and gate -> per-model report."""
-    pairs = C.qa_pairs(I.table(spark, sf, "conversations"))
+    pairs = C.qa_pairs(I.table(spark, sf, "conversations", spread=True))
     r = pairs.select("conv_id", "turn", F.col("answer").alias("response"),
                      F.pmod(F.col("conv_id"), F.lit(I.QUESTION_SLOTS)).alias("id"),
                      F.concat(F.lit("turn"), F.col("answer_turn").cast("string")).alias("model"))

@@ -34,8 +34,25 @@ SOURCE_RISK = {"src0": 4, "src1": 5, "src2": 3, "src3": 2, "src4": 1,
 PART_TYPE_WORDS = ["MALL", "PROMO", "Medicine"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """Read a supplied table. ``spread`` is for CPU-heavy per-row work (whole-
+    text extraction, judging): when the scan yields fewer partitions than the
+    session's parallelism (a single-row-group file is read by one task),
+    the rows are dealt round-robin over that many tasks. On large inputs the scan
+    already has thousands of splits and nothing is added."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread:
+        df = spread_rows(df)
+    return df
+
+
+def spread_rows(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when the input has too few partitions."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    # the scan sizes its splits from the parallelism even when most of them are
+    # empty (one row group per file), hence the factor 2; large inputs have far
+    # more splits than that and pass through unchanged
+    return df.repartition(target) if df.rdd.getNumPartitions() < 2 * target else df
 
 
 def lower_words(text_col) -> F.Column:
@@ -59,9 +76,9 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def responses(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Assistant turns as responses: question id, model = 'turn<n>'."""
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations", spread=spread)
     return (c.filter(F.col("role") == "assistant")
              .select("conv_id", "turn",
                      F.pmod(F.col("conv_id"), F.lit(QUESTION_SLOTS)).alias("id"),
@@ -82,10 +99,10 @@ def scored(df: DataFrame) -> DataFrame:
               .withColumn("gate", scoring.gate("risk_index")))
 
 
-def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_documents(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Documents with drawn components, index, gate, a drawn hallucination flag;
     model = source."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread=spread)
     key = F.col("doc_id")
     base = d.select("doc_id", F.col("source").alias("model"), "text", *components(key),
                     draws.bernoulli(SEED, key, "label", fixed.HALLUCINATION_RATE)

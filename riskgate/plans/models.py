@@ -60,7 +60,7 @@ def audit_results(spark, sf):
     filled only, bank join, judge, terms with fallback (F2, J1, P21-P23)."""
     from riskgate.plans.audit import audit_responses
     bank = I.bank(spark, sf).withColumn("category", F.concat(F.lit("item"), F.col("id").cast("string")))
-    r = audit_responses(I.responses(spark, sf), bank)
+    r = audit_responses(I.responses(spark, sf, spread=True), bank)
     return r.select("id", "model", F.col("judgment.is_hallucinated").cast("int").alias("is_hallucinated"),
                     F.col("judgment.severity").alias("severity"), F.size("entities").alias("n_entities"),
                     F.md5("text").alias("text_md5"))
