@@ -25,7 +25,8 @@ def _score_counts(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
                    F.count_if(F.col(label) != 1).alias("_n")))
 
 
-def rank_metrics(df: DataFrame, label: str, score: str, by=(), buckets: int = 1024) -> DataFrame:
+def rank_metrics(df: DataFrame, label: str, score: str, by=(), buckets: int = 1024,
+                 threshold: float | None = None) -> DataFrame:
     """ROC AUC and average precision from one pass.
 
     Rows are first counted per distinct score (map-side partial counts); one
@@ -48,6 +49,14 @@ def rank_metrics(df: DataFrame, label: str, score: str, by=(), buckets: int = 10
     ap_num = F.sum(F.col("_p") * F.try_divide(F.col("_p_cum").cast("double"), F.col("_a_cum").cast("double")))
     aggs = [(F.lit(1.0) - F.try_divide(tail.cast("double"), (P * N).cast("double"))).alias("auc_roc"),
             F.try_divide(ap_num, P.cast("double")).alias("avg_precision")]
+    if threshold is not None:
+        # F1 of score > threshold from the same per-score counts
+        above = F.col("_s") > threshold
+        tp = F.sum(F.when(above, F.col("_p")).otherwise(F.lit(0)))
+        fp = F.sum(F.when(above, F.col("_n")).otherwise(F.lit(0)))
+        fn = F.sum(F.when(~above, F.col("_p")).otherwise(F.lit(0)))
+        den = 2 * tp + fp + fn
+        aggs.append(F.when(den > 0, (2 * tp) / den).otherwise(F.lit(0.0)).alias("f1"))
     return (g.groupBy(*by) if by else g).agg(*aggs)
 
 
@@ -118,11 +127,7 @@ def evaluate(scored: DataFrame, label: str = "true_label", index: str = "risk_in
     latency mean/p95, gate counts, n. ``scored`` should be persisted by the
     caller; each part is one aggregation over it."""
     s = scored.withColumn("_y", scoring.normalised(index, high))
-    pred, y = F.col("_y") > threshold, F.col(label) == 1
-    tp, fp, fn = F.count_if(pred & y), F.count_if(pred & ~y), F.count_if(~pred & y)
-    den = 2 * tp + fp + fn
     basic = s.agg(
-        F.round(F.when(den > 0, (2 * tp) / den).otherwise(F.lit(0.0)), 4).alias("f1"),
         F.round(F.corr(F.col(index).cast("double"), F.col(severity).cast("double")), 4)
         .alias("severity_pearson_r"),
         F.count_if(F.col(gate_col) == "AUTO_USE").alias("gate_auto_use"),
@@ -133,8 +138,9 @@ def evaluate(scored: DataFrame, label: str = "true_label", index: str = "risk_in
            F.round(F.percentile(F.col(duration), F.lit(0.95)), 3).alias("p95_latency_ms")]
           if duration else []),
     )
-    ranks = rank_metrics(s, label, "_y").select(F.round("auc_roc", 4).alias("auc_roc"),
-                                                 F.round("avg_precision", 4).alias("avg_precision"))
+    ranks = rank_metrics(s, label, "_y", threshold=threshold).select(
+        F.round("auc_roc", 4).alias("auc_roc"), F.round("avg_precision", 4).alias("avg_precision"),
+        F.round("f1", 4).alias("f1"))
     return _combine_rows([ranks, basic])
 
 
@@ -158,23 +164,30 @@ def _combine_rows(parts: list[DataFrame], by: tuple = ()) -> DataFrame:
     return (u.groupBy(*by) if by else u).agg(*aggs)
 
 
-def method_compare(methods: Mapping[str, DataFrame], label: str, score: str,
-                   threshold: float = fixed.PREDICT_THRESHOLD) -> DataFrame:
-    """One row per method with AUC, AP, F1 (U3); each entry is a DataFrame
-    holding ``label`` and ``score``. The methods are stacked into one long
-    table so all metrics come from one grouped pass keyed by method."""
-    long = None
-    for name, df in methods.items():
-        part = df.select(F.lit(name).alias("method"), F.col(label).alias("_lab"),
-                         F.col(score).cast("double").alias("_score"))
-        long = part if long is None else long.unionByName(part)
-    ranks = rank_metrics(long, "_lab", "_score", by=["method"])
-    pred = F.col("_score") > threshold
-    y = F.col("_lab") == 1
-    tp, fp, fn = F.count_if(pred & y), F.count_if(pred & ~y), F.count_if(~pred & y)
-    den = 2 * tp + fp + fn
-    f1 = long.groupBy("method").agg(F.when(den > 0, (2 * tp) / den).otherwise(F.lit(0.0)).alias("f1"))
-    out = _combine_rows([ranks, f1], by=("method",))
+def method_compare(methods: Mapping[str, DataFrame] | Mapping[str, str], label: str,
+                   score: str | None = None, threshold: float = fixed.PREDICT_THRESHOLD,
+                   df: DataFrame | None = None) -> DataFrame:
+    """One row per method with AUC, AP, F1 (U3), all from one grouped pass
+    keyed by method.
+
+    Either ``methods`` maps names to DataFrames holding ``label`` and ``score``
+    (stacked with ``unionByName``), or ``df`` is given and ``methods`` maps names
+    to its score columns: then one scan is exploded into (method, label, score)
+    rows, so the input is read once whatever the number of methods.
+    """
+    if df is not None:
+        stack = F.explode(F.array(*[F.struct(F.lit(name).alias("method"),
+                                             F.col(col).cast("double").alias("_score"))
+                                    for name, col in methods.items()]))
+        long = df.select(F.col(label).alias("_lab"), stack.alias("m")) \
+                 .select("m.method", "_lab", "m._score")
+    else:
+        long = None
+        for name, part_df in methods.items():
+            part = part_df.select(F.lit(name).alias("method"), F.col(label).alias("_lab"),
+                                  F.col(score).cast("double").alias("_score"))
+            long = part if long is None else long.unionByName(part)
+    out = rank_metrics(long, "_lab", "_score", by=["method"], threshold=threshold)
     return out.select("method", F.round("auc_roc", 4).alias("auc_roc"),
                       F.round("avg_precision", 4).alias("avg_precision"),
                       F.round("f1", 4).alias("f1"))

@@ -75,9 +75,6 @@ def benchmark_run(samples: DataFrame, test_fraction: float = fixed.SPLIT_TEST_FR
     scored = E.random_baseline(scored, "sample_id")
     conf = confidence_baseline(train, test).select("sample_id", "confidence_score")
     scored = scored.join(conf, "sample_id", "inner")
-    table = E.method_compare({
-        "random": scored.select("true_label", F.col("random_score").alias("y")),
-        "confidence_only": scored.select("true_label", F.col("confidence_score").alias("y")),
-        "probes": scored.select("true_label", F.col("index_score").alias("y")),
-    }, "true_label", "y")
+    table = E.method_compare({"random": "random_score", "confidence_only": "confidence_score",
+                              "probes": "index_score"}, "true_label", df=scored)
     return table, model.stats

@@ -443,12 +443,8 @@ def method_compare(spark, sf):
     s = I.labelled_scores(spark, sf)
     s = E.random_baseline(s, "doc_id")
     s = s.withColumn("index_score", scoring.normalised("risk_index"))
-    methods = {
-        "random": s.select("true_label", F.col("random_score").alias("y")),
-        "uncertainty": s.select("true_label", F.col("uncertainty").alias("y")),
-        "index": s.select("true_label", F.col("index_score").alias("y")),
-    }
-    return E.method_compare(methods, "true_label", "y")
+    methods = {"random": "random_score", "uncertainty": "uncertainty", "index": "index_score"}
+    return E.method_compare(methods, "true_label", df=s)
 
 
 def stratified_split(spark, sf):
