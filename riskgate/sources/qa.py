@@ -89,7 +89,7 @@ def _first_n(df: DataFrame, n: int | None, key: str = "sample_id") -> DataFrame:
     return df if n is None else df.orderBy(key).limit(n)
 
 
-def _finish(df: DataFrame, text_col, output_col, label_col, severity_col, source_col) -> DataFrame:
+def _finish(df: DataFrame, output_col, label_col, severity_col, source_col) -> DataFrame:
     return df.select(
         "sample_id", T.prompt_text("question", output_col).alias("text"),
         T.extract_terms(F.concat_ws(" ", F.col("question"), output_col)).alias("entities"),
@@ -107,7 +107,7 @@ def option_map_source(df: DataFrame, n: int | None = None, rate: float = fixed.H
     d = d.withColumn("_out", options.pick_output(drawn, wrong, right)) \
          .withColumn("_lab", options.used_wrong(drawn, wrong))
     sev = options.severity_fixed_range("_lab", seed, key, fixed.SEVERITY_OPTION_MAP)
-    return _finish(d, None, F.col("_out"), F.col("_lab"), sev, F.lit(source))
+    return _finish(d, F.col("_out"), F.col("_lab"), sev, F.lit(source))
 
 
 def option_column_source(df: DataFrame, n: int | None = None, rate: float = fixed.HALLUCINATION_RATE,
@@ -150,7 +150,7 @@ def reference_answer_source(df: DataFrame, n: int | None = None,
     out = F.when(drawn, wrong).otherwise(F.col("best_answer"))
     d = d.withColumn("_out", out).withColumn("_lab", drawn.cast("int"))
     sev = options.severity_fixed_range("_lab", seed, key, fixed.SEVERITY_REFERENCE)
-    return _finish(d, None, F.col("_out"), F.col("_lab"), sev, F.lit(source))
+    return _finish(d, F.col("_out"), F.col("_lab"), sev, F.lit(source))
 
 
 def combined(sources: Mapping[str, DataFrame]) -> DataFrame:
