@@ -134,8 +134,10 @@ SEVERITY_CAP = 25.0
 VARIANT_WRONG_PER_RISK = 5.0
 VARIANT_RIGHT_SEVERITY = 0.5
 
-# Placeholder left in response templates, and the snippet lengths.
+# Placeholder left in response templates, the template's default model, and the
+# snippet lengths.
 RESPONSE_PLACEHOLDER = "PASTE AI RESPONSE HERE"
+TEMPLATE_DEFAULT_MODEL = "chatgpt-4o"
 SNIPPET_QUESTION = 70
 SNIPPET_RESPONSE = 100
 SNIPPET_HINT = 80

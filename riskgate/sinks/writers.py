@@ -16,7 +16,7 @@ from riskgate.functions import text as T
 
 
 def template_rows(bank: DataFrame, models: Sequence[str] | None = None,
-                  model: str = "chatgpt-4o") -> DataFrame:
+                  model: str = fixed.TEMPLATE_DEFAULT_MODEL) -> DataFrame:
     """Response template rows (K1): id, category, model, question, placeholder
     response, hint = first 80 characters of the correct answer + '...'.
     With ``models`` one row per (question, model) is produced by a narrow
@@ -29,8 +29,9 @@ def template_rows(bank: DataFrame, models: Sequence[str] | None = None,
 
 
 def write_template(rows: DataFrame, path: str) -> None:
-    """JSON lines of template rows; fill in and read back with ``response_file``
-    after wrapping, or read directly as JSON lines."""
+    """Template rows as JSON lines, written by the executors (no single
+    document is assembled on one task); fill in the ``response`` fields and read
+    back with ``response_file(..., lines=True)``."""
     rows.write.mode("overwrite").json(path)
 
 

@@ -163,12 +163,18 @@ def combined(sources: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def response_file(spark: SparkSession, path: str | Sequence[str], only_filled: bool = True) -> DataFrame:
+def response_file(spark: SparkSession, path: str | Sequence[str], only_filled: bool = True,
+                  lines: bool = False) -> DataFrame:
     """Responses from one or more JSON documents (S6, U2: a list or glob of
-    per-model files). Placeholder, empty and null responses are dropped (F2)."""
+    per-model files), or with ``lines=True`` from JSON-lines files of response
+    rows (as written by ``write_template``). Placeholder, empty and null
+    responses are dropped (F2)."""
     from riskgate.functions.judge import is_filled
-    doc = _read(spark, path, RESPONSE_FILE_SCHEMA, multiline=True)
-    r = doc.select(F.explode("responses").alias("r")).select("r.*")
+    if lines:
+        r = _read(spark, path, RESPONSE_SCHEMA)
+    else:
+        doc = _read(spark, path, RESPONSE_FILE_SCHEMA, multiline=True)
+        r = doc.select(F.explode("responses").alias("r")).select("r.*")
     return r.filter(is_filled("response")) if only_filled else r
 
 

@@ -147,3 +147,54 @@ def test_softmax_matches_numpy(spark):
     for g, v in zip(got, vals):
         e = np.exp(np.array(v) - max(v))
         assert np.allclose(g, e / e.sum())
+
+
+def _scaled_planted(spark, n=400):
+    rows = planted(spark, n=n).collect()
+    X = np.array([r.features for r in rows])
+    y = np.array([r.true_label for r in rows], dtype=float)
+    Xs = (X - X.mean(axis=0)) / X.std(axis=0, ddof=1)
+    return Xs, y
+
+
+def _lr_fit(spark, Xs, y, reg, l1):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+    df = spark.createDataFrame([(Vectors.dense(x.tolist()), float(t)) for x, t in zip(Xs, y)], ["f", "y"])
+    m = LogisticRegression(featuresCol="f", labelCol="y", regParam=reg, elasticNetParam=1.0 if l1 else 0.0,
+                           standardization=False, tol=1e-12, maxIter=500).fit(df)
+    return m.coefficients.toArray(), m.intercept
+
+
+def test_l2_probe_matches_newton_solve(spark):
+    Xs, y = _scaled_planted(spark)
+    n, d = Xs.shape
+    C = 1.0
+    lam = 1.0 / (C * n)                      # the mapping used by the uncertainty probe
+    w_spark, b_spark = _lr_fit(spark, Xs, y, lam, l1=False)
+    A = np.hstack([Xs, np.ones((n, 1))])
+    theta = np.zeros(d + 1)
+    pen = np.r_[np.full(d, lam), 0.0]        # intercept not penalised
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-A @ theta))
+        g = A.T @ (p - y) / n + pen * theta
+        H = (A.T * (p * (1 - p))) @ A / n + np.diag(pen)
+        theta -= np.linalg.solve(H, g)
+    assert np.allclose(w_spark, theta[:d], atol=1e-4)
+    assert abs(b_spark - theta[d]) < 1e-4
+
+
+def test_l1_probe_satisfies_kkt(spark):
+    Xs, y = _scaled_planted(spark)
+    n, d = Xs.shape
+    lam = 1.0 / (0.5 * n)                    # C = 0.5, the violation probe's mapping
+    w, b = _lr_fit(spark, Xs, y, lam, l1=True)
+    p = 1 / (1 + np.exp(-(Xs @ w + b)))
+    grad = Xs.T @ (p - y) / n
+    assert abs(np.mean(p - y)) < 1e-4       # intercept: unpenalised stationarity
+    for j in range(d):
+        if abs(w[j]) > 1e-8:
+            assert abs(grad[j] + lam * np.sign(w[j])) < 1e-4
+        else:
+            assert abs(grad[j]) <= lam + 1e-4
+    assert 0 < np.sum(np.abs(w) > 1e-8) < d  # sparse but not empty

@@ -99,6 +99,9 @@ def test_template_and_report_sinks(spark, tmp_dir):
     W.write_template(rows, os.path.join(tmp_dir, "tpl"))
     back = spark.read.json(os.path.join(tmp_dir, "tpl")).collect()
     assert len(back) == 2 and back[0]._correct_answer_hint == "x" * 80 + "..."
+    everything = qa.response_file(spark, os.path.join(tmp_dir, "tpl"), only_filled=False, lines=True)
+    assert everything.count() == 2
+    assert qa.response_file(spark, os.path.join(tmp_dir, "tpl"), lines=True).count() == 0   # all placeholders
     wide = spark.createDataFrame([("random", 0.5, 0.4)], "method string, auc_roc double, f1 double")
     W.write_report(W.long_report(wide), os.path.join(tmp_dir, "report"))
     assert spark.read.json(os.path.join(tmp_dir, "report")).count() == 2
