@@ -36,6 +36,7 @@ from riskgate.functions import draws, scoring
 from riskgate.operators import evaluate as E
 from riskgate.operators.features import expected_risk
 from riskgate.operators.split import require_rows, stratified_split
+from riskgate.session import cut_lineage
 
 _VEC, _SCALED = "_vec", "_scaled"
 
@@ -107,9 +108,18 @@ class RiskProbes:
             k = max(1, -(-n // p.rows_per_partition))
             return d.coalesce(k) if k < d.rdd.getNumPartitions() else d
 
+        # A training set spanning several partitions is read by every solver
+        # iteration of three fits: keep a reliable copy in the shared checkpoint
+        # folder, so a lost executor does not replay the split and scaler.
+        def keep(d: DataFrame, n: int) -> DataFrame:
+            d = sized(d, n)
+            if n > p.rows_per_partition:
+                return cut_lineage(d)
+            return d.persist(StorageLevel.MEMORY_AND_DISK)
+
         scaler = StandardScaler(inputCol=_VEC, outputCol=_SCALED, withMean=True, withStd=True).fit(train)
-        train_s = sized(scaler.transform(train), n_train).persist(StorageLevel.MEMORY_AND_DISK)
-        test_s = sized(scaler.transform(test), max(n_test, 1)).persist(StorageLevel.MEMORY_AND_DISK)
+        train_s = keep(scaler.transform(train), n_train)
+        test_s = keep(scaler.transform(test), max(n_test, 1))
         counts = counts["train"]
         train_s.count()          # materialise once before the concurrent fits read it
 

@@ -45,7 +45,8 @@ def write_results(results: DataFrame, path: str, fmt: str = "json",
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """Benchmark report (K3): the long (method, metric, value) table as JSON."""
+    """Benchmark report (K3): the long (method, metric, value) table as JSON.
+    One file: the table has methods x metrics rows, a size fixed by the caller."""
     report.coalesce(1).write.mode("overwrite").json(path)
 
 

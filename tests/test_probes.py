@@ -198,3 +198,9 @@ def test_l1_probe_satisfies_kkt(spark):
         else:
             assert abs(grad[j]) <= lam + 1e-4
     assert 0 < np.sum(np.abs(w) > 1e-8) < d  # sparse but not empty
+
+
+def test_large_training_set_path_checkpoints(spark):
+    # rows_per_partition below the row count: the training set takes the reliable checkpoint path
+    model = RiskProbes(rows_per_partition=100, mlp_max_rounds=1, mlp_patience=1).fit(planted(spark, n=400))
+    assert model.stats["n_samples"] == 400 and model.stats["probe_c_auc"] > 0.9
