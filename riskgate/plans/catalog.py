@@ -323,6 +323,22 @@ def linear_apply(spark, sf):
     return out.select("vec_id", _r6("probability"))
 
 
+RELU_SEEDS, RELU_HIDDEN, RELU_OUT = (13, 17), 8, 5
+
+
+def relu_network(spark, sf):
+    """Forward pass of an imported two-layer ReLU network with softmax output
+    (M13); weights and biases are seeded draws, 64 -> 8 -> 5."""
+    e = I.table(spark, sf, "embeddings")
+    s1, s2 = RELU_SEEDS
+    w1 = FT.draw_matrix(s1, RELU_HIDDEN, 64, "relu1").T
+    b1 = [draws.unit_draw_py(s1, 9000 + h, "relu1b") - 0.5 for h in range(RELU_HIDDEN)]
+    w2 = FT.draw_matrix(s2, RELU_OUT, RELU_HIDDEN, "relu2").T
+    b2 = [draws.unit_draw_py(s2, 9000 + k, "relu2b") - 0.5 for k in range(RELU_OUT)]
+    out = FT.relu_apply(e, "embedding", [(w1, b1), (w2, b2)])
+    return FT.to_long(out, "vec_id", "probability").select("vec_id", "dim", _r6("value"))
+
+
 def expected_risk(spark, sf):
     e = I.table(spark, sf, "embeddings")
     probs = FT.softmax(F.slice(F.col("embedding"), 1, 5))
@@ -513,6 +529,7 @@ QUERIES: dict[str, Query] = {
     "project": project,
     "linear_apply": linear_apply,
     "expected_risk": expected_risk,
+    "relu_network": relu_network,
     "model_report": model_report,
     "model_stats": model_stats,
     "gate_distribution": gate_distribution,

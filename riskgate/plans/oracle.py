@@ -382,6 +382,24 @@ w AS (SELECT d, {lin_w} AS w FROM range(64) t(d))
 SELECT vec_id, round(1.0 / (1.0 + exp(-(sum((v - mu) / sd * w) + {Q.LIN_BIAS}))), 6) AS probability
 FROM x JOIN st USING (d) JOIN w USING (d) GROUP BY vec_id"""
 
+    s1, s2 = Q.RELU_SEEDS
+    out["relu_network"] = f"""
+WITH x AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS d
+           FROM embeddings),
+w1 AS (SELECT o AS h, d, {D('o * 1000 + d', 'relu1', s1)} - 0.5 AS w
+       FROM range({Q.RELU_HIDDEN}) t1(o), range(64) t2(d)),
+b1 AS (SELECT h, {D('9000 + h', 'relu1b', s1)} - 0.5 AS b FROM range({Q.RELU_HIDDEN}) t(h)),
+h0 AS (SELECT vec_id, h, sum(v * w) AS z FROM x JOIN w1 USING (d) GROUP BY vec_id, h),
+h1 AS (SELECT vec_id, h, greatest(z + b, 0.0) AS a FROM h0 JOIN b1 USING (h)),
+w2 AS (SELECT o AS k, h, {D('o * 1000 + h', 'relu2', s2)} - 0.5 AS w
+       FROM range({Q.RELU_OUT}) t1(o), range({Q.RELU_HIDDEN}) t2(h)),
+b2 AS (SELECT k, {D('9000 + k', 'relu2b', s2)} - 0.5 AS b FROM range({Q.RELU_OUT}) t(k)),
+o0 AS (SELECT vec_id, k, sum(a * w) AS z FROM h1 JOIN w2 USING (h) GROUP BY vec_id, k),
+o1 AS (SELECT vec_id, k, z + b AS z FROM o0 JOIN b2 USING (k)),
+m AS (SELECT vec_id, max(z) AS mz FROM o1 GROUP BY vec_id),
+e AS (SELECT vec_id, k, exp(z - mz) AS e FROM o1 JOIN m USING (vec_id))
+SELECT vec_id, CAST(k AS INTEGER) AS dim, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS value FROM e"""
+
     out["expected_risk"] = """
 WITH x AS (SELECT vec_id, CAST(unnest(embedding[1:5]) AS DOUBLE) AS v,
                   generate_subscripts(embedding[1:5], 1) AS k FROM embeddings),
