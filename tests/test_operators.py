@@ -187,3 +187,18 @@ def test_hot_label_is_ranked_by_many_tasks(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert parts > 1                                    # not one task for the hot label
     assert counts["test"] == math.ceil(0.2 * 19800)
+
+
+def test_bank_join_same_result_without_broadcast(spark):
+    from riskgate.functions import judge
+    from riskgate.plans import inputs as I
+    sf = "/root/testdata/sf0.001"
+    bank = I.bank(spark, sf)
+    resp = I.responses(spark, sf)
+
+    def judged(max_rows):
+        j = J.attach_bank(resp, bank, "id", max_broadcast_rows=max_rows)
+        return sorted((r.conv_id, r.turn, r.j.severity, r.j.facts_found) for r in
+                      j.select("conv_id", "turn", judge.judge_rate("response", "key_facts", "red_flags",
+                                                                   "risk_level").alias("j")).collect())
+    assert judged(0) == judged(100_000)
