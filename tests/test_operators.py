@@ -202,3 +202,21 @@ def test_bank_join_same_result_without_broadcast(spark):
                       j.select("conv_id", "turn", judge.judge_rate("response", "key_facts", "red_flags",
                                                                    "risk_level").alias("j")).collect())
     assert judged(0) == judged(100_000)
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 5])
+def test_split_threshold_refinement_is_exact(spark, limit):
+    rows = [(i, i % 3) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k long, y int").repartition(4)
+    out = {r.k: r.split for r in S.stratified_split(df, "y", "k", pick_limit=limit).collect()}
+    for lab in range(3):
+        keys = sorted((k for k, y in rows if y == lab), key=lambda k: (draws.unit_draw_py(42, k, "split"), k))
+        n_test = math.ceil(0.2 * len(keys))
+        assert all(out[k] == "test" for k in keys[:n_test])
+        assert all(out[k] == "train" for k in keys[n_test:])
+    g = spark.createDataFrame([(i, f"t{i % 500}") for i in range(3000)], "k long, t string")
+    sides = S.group_split(g, "t", pick_limit=limit)
+    groups = sorted({f"t{i}" for i in range(500)}, key=lambda t: (draws.unit_draw_py(42, t, "group_split"), t))
+    want_test = set(groups[:100])
+    got = {r.t: r.split for r in sides.collect()}
+    assert {t for t, sd in got.items() if sd == "test"} == want_test
