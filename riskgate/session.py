@@ -37,13 +37,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Read from the session; only when nothing is set (tests, a laptop) is a
-    scratch folder created and registered.
+    Read from the session. Only in local mode with nothing set (tests, a laptop)
+    is a scratch folder created and registered; on a cluster an unset folder is
+    an error, never a machine-local temporary directory.
     """
     current = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        # a machine-local folder is not shared by executors: refuse on a cluster
+        raise RuntimeError("Set spark.checkpoint.dir to a shared folder (e.g. on HDFS or an object "
+                           "store) before running jobs that cut lineage or checkpoint streams.")
     path = tempfile.mkdtemp(prefix="riskgate-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
