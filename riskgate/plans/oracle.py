@@ -310,6 +310,16 @@ SELECT conv_id, turn, id, CAST(cov < 0.3 OR rate > 0.3 AS INTEGER) AS is_halluci
        CAST(CASE WHEN coalesce(rt.n_terms, 0) = 0 THEN bank_n_terms ELSE rt.n_terms END AS INTEGER) AS n_terms
 FROM m LEFT JOIN rt ON rt.k = m.rk"""
 
+    out["audit_results"] = f"""
+{_judge_base('rate')},
+{terms_ctes('rt', '(' + RESP + ')', 'rk', 'response')}
+SELECT m.id, r.model, CAST(cov < 0.3 OR rate > 0.3 AS INTEGER) AS is_hallucinated,
+       {SEV_RATE} AS severity,
+       CAST(CASE WHEN coalesce(rt.n_terms, 0) = 0 THEN m.bank_n_terms ELSE rt.n_terms END AS INTEGER) AS n_entities,
+       md5('Q: ' || bank.question || chr(10) || 'A: ' || m.response) AS text_md5
+FROM m JOIN ({RESP}) r ON r.rk = m.rk JOIN bank ON bank.id = m.id LEFT JOIN rt ON rt.k = m.rk
+WHERE m.response IS NOT NULL AND m.response <> '' AND m.response <> {_quote(fixed.RESPONSE_PLACEHOLDER)}"""
+
     out["judge_any_flag"] = f"""
 {_judge_base('any')}
 SELECT conv_id, turn, id, CAST(cov < 0.3 OR hit > 0 AS INTEGER) AS is_hallucinated,
