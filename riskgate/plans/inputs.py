@@ -21,9 +21,12 @@ SEED = 42
 QUESTION_SLOTS = 48
 # Models of the question grid / outstanding list: assistant turn numbers.
 MODELS = ["turn1", "turn3", "turn5", "turn7"]
-# Bank phrase rules over the whole item text (lower-cased letter-only words).
-FACT_LENGTHS = (5, 6)
-FLAG_MIN_LENGTH = 9
+# Bank phrase rules over the whole item text (lower-cased letter-only words):
+# facts are the 4-5 letter words, red flags the 6-7 letter words. On the
+# supplied corpus this mix exercises every judge branch (flag hits, high flag
+# rate, low coverage, clean answers).
+FACT_LENGTHS = (4, 5)
+FLAG_LENGTHS = (6, 7)
 # Vocabulary of frequent corpus words for the vocabulary branch of extraction.
 CORPUS_VOCABULARY = ["the", "and", "with", "that", "de", "la", "le", "des",
                      "die", "und", "der", "que", "el", "los"]
@@ -71,7 +74,7 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("question"),
         (F.pmod(F.col("item_id"), F.lit(3)) + 3).cast("int").alias("risk_level"),
         F.array_distinct(F.filter(w, lambda x: F.length(x).between(lo, hi))).alias("key_facts"),
-        F.array_distinct(F.filter(w, lambda x: F.length(x) >= FLAG_MIN_LENGTH)).alias("red_flags"),
+        F.array_distinct(F.filter(w, lambda x: F.length(x).between(*FLAG_LENGTHS))).alias("red_flags"),
         T.extract_terms(F.col("text")).alias("entities"),
     )
 

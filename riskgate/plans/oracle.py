@@ -61,7 +61,7 @@ bwl AS (SELECT item_id, w FROM bw WHERE regexp_matches(w, '^\\p{{L}}+$')),
 bfacts AS (SELECT item_id, list(DISTINCT w) AS key_facts FROM bwl
            WHERE length(w) BETWEEN {lo} AND {hi} GROUP BY item_id),
 bflags AS (SELECT item_id, list(DISTINCT w) AS red_flags FROM bwl
-           WHERE length(w) >= {I.FLAG_MIN_LENGTH} GROUP BY item_id),
+           WHERE length(w) BETWEEN {I.FLAG_LENGTHS[0]} AND {I.FLAG_LENGTHS[1]} GROUP BY item_id),
 {terms_ctes('bterms', 'benchmark', 'item_id', 'text')},
 bank AS (
   SELECT b.item_id AS id, b.text AS question, CAST(b.item_id % 3 + 3 AS DOUBLE) AS risk_level,
