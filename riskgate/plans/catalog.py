@@ -488,7 +488,8 @@ def gate_windows(spark, sf):
 
 def qa_judge_report(spark, sf):
     """Pairs -> bank join -> judge -> index and gate -> per-model report."""
-    pairs = C.qa_pairs(I.table(spark, sf, "conversations", spread=True))
+    # no spread here: the pair join already redistributes rows by (conv_id, turn)
+    pairs = C.qa_pairs(I.table(spark, sf, "conversations"))
     r = pairs.select("conv_id", "turn", F.col("answer").alias("response"),
                      F.pmod(F.col("conv_id"), F.lit(I.QUESTION_SLOTS)).alias("id"),
                      F.concat(F.lit("turn"), F.col("answer_turn").cast("string")).alias("model"))
