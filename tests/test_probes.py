@@ -204,3 +204,12 @@ def test_large_training_set_path_checkpoints(spark):
     # rows_per_partition below the row count: the training set takes the reliable checkpoint path
     model = RiskProbes(rows_per_partition=100, mlp_max_rounds=1, mlp_patience=1).fit(planted(spark, n=400))
     assert model.stats["n_samples"] == 400 and model.stats["probe_c_auc"] > 0.9
+
+
+def test_violation_falls_back_to_hallucination_label(spark):
+    # every severity <= 15: one violation class in training, so the violation
+    # probe is fitted on the hallucination label instead
+    df = planted(spark, n=300).withColumn("true_severity", F.lit(3.0))
+    model = RiskProbes(mlp_max_rounds=1, mlp_patience=1).fit(df)
+    assert model.stats["violation_label"] == "hallucination"
+    assert model.stats["probe_v_auc"] > 0.8          # the label is learnable from dims 0-2
