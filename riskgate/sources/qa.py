@@ -163,6 +163,30 @@ def combined(sources: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def combine_sources(names: Sequence[str], loaders: Mapping, seed: int = 42) -> DataFrame:
+    """Dispatch by source name, union, seeded shuffle key.
+
+    ``loaders`` maps a name to a callable ``seed -> DataFrame`` of sample rows;
+    the seed reaches every loader (fixes D9). An unknown name is warned about
+    and skipped. ``shuffle_key`` orders rows deterministically for a later
+    limit; the rows themselves are not moved.
+    """
+    import warnings
+
+    from riskgate.operators.split import seeded_shuffle
+    frames = {}
+    for name in names:
+        if name not in loaders:
+            warnings.warn(f"Unknown source '{name}', skipping.")
+            continue
+        frames[name] = loaders[name](seed)
+    if not frames:
+        raise ValueError("No known source among " + ", ".join(names))
+    u = combined(frames)
+    k = F.concat_ws(":", F.col("source"), F.col("sample_id").cast("string"))
+    return seeded_shuffle(u.withColumn("_k", k), "_k", seed).drop("_k")
+
+
 def response_file(spark: SparkSession, path: str | Sequence[str], only_filled: bool = True,
                   lines: bool = False) -> DataFrame:
     """Responses from one or more JSON documents (S6, U2: a list or glob of

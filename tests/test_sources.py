@@ -145,3 +145,22 @@ def test_audit_with_model_scores_nested_records(spark, tmp_dir):
     assert back.count() == 2 and "score" in back.columns and "judgment" in back.columns
     rep = {r.model: r for r in audit.audit_report(out).collect()}
     assert rep["m2"].hal_rate == 1.0 and rep["m1"].hal_rate == 0.0
+
+
+def test_combine_sources_dispatch(spark):
+    import warnings
+    schema = ("sample_id long, text string, entities array<string>, true_label int, "
+              "true_severity double, source string")
+
+    def loader(tag):
+        return lambda seed: spark.createDataFrame(
+            [(i, f"{tag} {seed}", [], 0, 0.0, tag) for i in range(3)], schema)
+    with warnings.catch_warnings(record=True) as caught:
+        warnings.simplefilter("always")
+        out = qa.combine_sources(["a", "nope", "b"], {"a": loader("a"), "b": loader("b")}, seed=7)
+    assert any("nope" in str(w.message) for w in caught)
+    rows = out.collect()
+    assert len(rows) == 6 and all(r.text.endswith(" 7") for r in rows)       # seed reaches every loader
+    again = qa.combine_sources(["a", "b"], {"a": loader("a"), "b": loader("b")}, seed=7)
+    order = [r.sample_id for r in out.orderBy("shuffle_key").collect()]
+    assert order == [r.sample_id for r in again.orderBy("shuffle_key").collect()]
