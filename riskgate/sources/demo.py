@@ -52,6 +52,20 @@ def cyclic_resample(index: DataFrame, bank: DataFrame, n_bank: int, seed: int =
     )
 
 
+def demo_samples(spark: SparkSession, bank: DataFrame, n: int, seed: int = 42,
+                 rate: float = fixed.HALLUCINATION_RATE) -> DataFrame:
+    """``n`` samples cycled from a bank of (question, correct, wrong, risk,
+    entities) rows (S4): row i uses bank row i mod len(bank) (by a
+    ``bank_pos`` 0..len-1 column, numbered here if absent) and suffix i mod 6."""
+    from pyspark.sql import Window
+    if "bank_pos" not in bank.columns:
+        # numbering a bank: a global window is fine for a dimension table
+        bank = bank.withColumn("bank_pos", (F.row_number().over(Window.orderBy("question")) - 1).cast("long"))
+    n_bank = bank.count()
+    index = spark.range(n).withColumnRenamed("id", "i")
+    return cyclic_resample(index, bank, n_bank, seed=seed, rate=rate)
+
+
 def union_sources(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
     """Documents and assistant turns as one sample table (S5/U1); duplicates kept."""
     from riskgate.plans.inputs import table

@@ -164,3 +164,24 @@ def test_combine_sources_dispatch(spark):
     again = qa.combine_sources(["a", "b"], {"a": loader("a"), "b": loader("b")}, seed=7)
     order = [r.sample_id for r in out.orderBy("shuffle_key").collect()]
     assert order == [r.sample_id for r in again.orderBy("shuffle_key").collect()]
+
+
+def test_demo_samples_cycle_bank_and_suffixes(spark):
+    from riskgate.sources import demo
+    bank = spark.createDataFrame(
+        [(0, "Q-a?", "right a", "wrong a", 1, ["A"]), (1, "Q-b?", "right b", "wrong b", 5, ["B"]),
+         (2, "Q-c?", "right c", "wrong c", 3, ["C"])],
+        "bank_pos long, question string, correct string, wrong string, risk int, entities array<string>")
+    rows = {r.i: r for r in demo.demo_samples(spark, bank, 300).collect()}
+    assert len(rows) == 300
+    for i, r in rows.items():
+        q = ["Q-a?", "Q-b?", "Q-c?"][i % 3]
+        suffix = fixed.SUFFIX_POOL[i % 6]
+        assert r.text.startswith(f"Q: {q}{suffix}\nA: ")
+        risk = [1, 5, 3][i % 3]
+        if r.true_label:
+            assert r.text.endswith("wrong " + "abc"[i % 3]) and 3.5 * risk <= r.true_severity <= min(25, 5 * risk)
+        else:
+            assert r.text.endswith("right " + "abc"[i % 3]) and 0 <= r.true_severity <= 0.8 * risk
+    share = sum(r.true_label for r in rows.values()) / 300
+    assert 0.3 < share < 0.5
