@@ -78,3 +78,15 @@ def benchmark_run(samples: DataFrame, test_fraction: float = fixed.SPLIT_TEST_FR
     table = E.method_compare({"random": "random_score", "confidence_only": "confidence_score",
                               "probes": "index_score"}, "true_label", df=scored)
     return table, model.stats
+
+
+def benchmark_report(spark, table: DataFrame, stats: dict, config: dict) -> DataFrame:
+    """The benchmark record (K3) as one long table (section, method, metric,
+    value): configuration, training record and the per-method metrics."""
+    from riskgate.sinks.writers import long_report
+    small = [("config", "", k, float(v)) for k, v in config.items() if isinstance(v, (int, float))]
+    small += [("training", "probes", k, float(v)) for k, v in stats.items()
+              if isinstance(v, (int, float)) and not isinstance(v, bool)]
+    head = spark.createDataFrame(small, "section string, method string, metric string, value double")
+    methods = long_report(table, "method").select(F.lit("methods").alias("section"), "method", "metric", "value")
+    return head.unionByName(methods)

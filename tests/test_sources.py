@@ -185,3 +185,15 @@ def test_demo_samples_cycle_bank_and_suffixes(spark):
             assert r.text.endswith("right " + "abc"[i % 3]) and 0 <= r.true_severity <= 0.8 * risk
     share = sum(r.true_label for r in rows.values()) / 300
     assert 0.3 < share < 0.5
+
+
+def test_benchmark_report_sink(spark, tmp_dir):
+    table = spark.createDataFrame([("random", 0.5, 0.4, 0.3), ("probes", 0.9, 0.8, 0.7)],
+                                  "method string, auc_roc double, avg_precision double, f1 double")
+    rep = audit.benchmark_report(spark, table, {"probe_c_auc": 0.91, "n_samples": 600, "violation_label": "x"},
+                                 {"n": 600, "test_fraction": 0.2, "dataset": "demo"})
+    W.write_report(rep, os.path.join(tmp_dir, "bench_report"))
+    back = spark.read.json(os.path.join(tmp_dir, "bench_report"))
+    got = {(r.section, r.method, r.metric): r.value for r in back.collect()}
+    assert got[("methods", "probes", "auc_roc")] == 0.9 and got[("config", "", "n")] == 600.0
+    assert got[("training", "probes", "probe_c_auc")] == 0.91 and len(got) == 2 + 2 + 6
