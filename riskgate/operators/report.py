@@ -76,10 +76,14 @@ def model_rank(report: DataFrame, model: str = "model", index: str = "avg_index"
 
 
 def question_grid(scored: DataFrame, ids: Sequence[str], model: str, models: Sequence[str],
-                  value: str) -> DataFrame:
-    """Question by model grid of mean values (A16). The model list is given so
-    the pivot needs no extra job to find it."""
-    return scored.groupBy(*ids).pivot(model, list(models)).agg(F.avg(value))
+                  value: str, with_gate: bool = False) -> DataFrame:
+    """Question by model grid of mean values (A16), optionally with the gate of
+    each mean as ``<model>_gate``. The model list is given so the pivot needs no
+    extra job to find it."""
+    grid = scored.groupBy(*ids).pivot(model, list(models)).agg(F.avg(value))
+    if with_gate:
+        grid = grid.select(*ids, *[c for m in models for c in (F.col(m), scoring.gate(m).alias(f"{m}_gate"))])
+    return grid
 
 
 def fill_rate(responses: DataFrame, response: str = "response", by: Sequence[str] = ()) -> DataFrame:

@@ -378,8 +378,8 @@ def _scored_responses(spark, sf, spread: bool = False) -> DataFrame:
 
 
 def question_grid(spark, sf):
-    g = R.question_grid(_scored_responses(spark, sf), ["id"], "model", I.MODELS, "risk_index")
-    return g.select("id", *[_r6(m) for m in I.MODELS])
+    g = R.question_grid(_scored_responses(spark, sf), ["id"], "model", I.MODELS, "risk_index", with_gate=True)
+    return g.select("id", *[c for m in I.MODELS for c in (_r6(m), F.col(f"{m}_gate"))])
 
 
 def fill_rate(spark, sf):

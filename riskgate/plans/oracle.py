@@ -184,7 +184,12 @@ def _sql() -> dict[str, str]:
     r_t, r_m = fixed.EXPLAIN_RISK
     v_t, v_m = fixed.EXPLAIN_VIOLATION
     part_words = " OR ".join(f"contains(p_type, {_quote(w)})" for w in I.PART_TYPE_WORDS)
-    grid = ", ".join(f"round(avg(risk_index) FILTER (WHERE model = {_quote(m)}), 6) AS {m}" for m in I.MODELS)
+    def _gate_of(x):
+        return (f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} < 5 THEN 'AUTO_USE' "
+                f"WHEN {x} < 20 THEN 'REVIEW' ELSE 'BLOCK' END")
+    grid = ", ".join(
+        f"round(avg(risk_index) FILTER (WHERE model = {_quote(m)}), 6) AS {m}, "
+        f"{_gate_of(f'avg(risk_index) FILTER (WHERE model = {_quote(m)})')} AS {m}_gate" for m in I.MODELS)
     sev_ref = _sev_range("true_label", "p_partkey", "severity_ref", *fixed.SEVERITY_REFERENCE["wrong"],
                          *fixed.SEVERITY_REFERENCE["right"])
     sev_map = _sev_range("true_label", "p_partkey", "severity", *fixed.SEVERITY_OPTION_MAP["wrong"],
