@@ -220,3 +220,23 @@ def test_split_threshold_refinement_is_exact(spark, limit):
     want_test = set(groups[:100])
     got = {r.t: r.split for r in sides.collect()}
     assert {t for t, sd in got.items() if sd == "test"} == want_test
+
+
+def test_latency_percentile_approx_path(spark):
+    df = spark.createDataFrame([(float(v),) for v in range(1, 1001)], "d double")
+    r = E.latency_summary(df, "d", exact=False).first()
+    assert r.avg_latency_ms == 500.5 and abs(r.p95_latency_ms - 950.0) <= 2.0
+
+
+def test_sliding_gate_windows(spark):
+    import datetime as dt
+    from riskgate.streaming import gates as G
+    t0 = dt.datetime(2024, 1, 1, 0, 30)
+    rows = [(t0 + dt.timedelta(minutes=20 * i), float(i)) for i in range(6)]       # 00:30 .. 02:10
+    df = spark.createDataFrame(rows, "event_time timestamp, risk_index double") \
+        .withColumn("gate", F.lit("AUTO_USE"))
+    w = G.gate_windows(df, window="1 hour", slide="30 minutes", watermark=None)
+    got = {r.window.start.strftime("%H:%M"): r.n for r in w.collect()}
+    # each event falls in two overlapping one-hour windows
+    assert sum(got.values()) == 2 * len(rows)
+    assert got["00:30"] == 3 and got["00:00"] == 2
