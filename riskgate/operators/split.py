@@ -19,7 +19,7 @@ from riskgate.functions import draws
 from riskgate.operators.ranking import bucketed_rank
 
 
-MAX_THRESHOLD_GROUPS = 10_000
+MAX_THRESHOLD_GROUPS = 256   # one comparison term per label in the final expression
 PICK_LIMIT = 1_000_000
 # The draw is an exact multiple of 2^-32: its 32-bit integer is refined by
 # prefixes of 10, 20, 30 and 32 bits.

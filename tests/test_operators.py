@@ -240,3 +240,13 @@ def test_sliding_gate_windows(spark):
     # each event falls in two overlapping one-hour windows
     assert sum(got.values()) == 2 * len(rows)
     assert got["00:30"] == 3 and got["00:00"] == 2
+
+
+def test_stratified_split_many_labels_uses_ranks(spark):
+    rows = [(i, i % 300) for i in range(3000)]            # 300 labels: past the threshold-table cap
+    df = spark.createDataFrame(rows, "k long, y int")
+    out = {r.k: r.split for r in S.stratified_split(df, "y", "k").collect()}
+    for lab in (0, 17, 299):
+        keys = sorted((k for k, y in rows if y == lab), key=lambda k: (draws.unit_draw_py(42, k, "split"), k))
+        assert [out[k] for k in keys] == ["test"] * math.ceil(0.2 * len(keys)) + \
+            ["train"] * (len(keys) - math.ceil(0.2 * len(keys)))
