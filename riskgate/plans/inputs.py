@@ -51,10 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
 
 def spread_rows(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition only when the input has too few partitions."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    # the scan sizes its splits from the parallelism even when most of them are
-    # empty (one row group per file), hence the factor 2; large inputs have far
-    # more splits than that and pass through unchanged
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    # two partitions per core even out rows of very different length (1 to
+    # 20,000 words); the scan sizes its splits from the parallelism even when most
+    # are empty (one row group per file), hence the test against 4x; large inputs
+    # have far more splits than that and pass through unchanged
+    target = min_partitions or 2 * parallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < 2 * target else df
 
 
