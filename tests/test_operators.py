@@ -250,3 +250,10 @@ def test_stratified_split_many_labels_uses_ranks(spark):
         keys = sorted((k for k, y in rows if y == lab), key=lambda k: (draws.unit_draw_py(42, k, "split"), k))
         assert [out[k] for k in keys] == ["test"] * math.ceil(0.2 * len(keys)) + \
             ["train"] * (len(keys) - math.ceil(0.2 * len(keys)))
+
+
+def test_risk_lookup_from_table(spark):
+    table = spark.createDataFrame([("Surgery", 5), ("Dental", 2)], "subject string, risk int")
+    df = spark.createDataFrame([("Surgery",), ("Dental",), ("Other",)], "subject string")
+    got = {r.subject: r.risk for r in J.risk_lookup(df, "subject", table).collect()}
+    assert got == {"Surgery": 5, "Dental": 2, "Other": 3}
