@@ -84,4 +84,29 @@ FROM ruled LEFT JOIN listed l USING (canonical)
 """
 
 
-ORACLE_SQL = {"op2_quality_rules": OP2, "op5_url_filter": _op5()}
+OP7 = rf"""
+WITH RECURSIVE docs AS (
+  SELECT DISTINCT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{WORD}') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM docs WHERE len(w) >= 3)
+  UNION SELECT doc_id, '<' || array_to_string(w, ' ') FROM docs WHERE len(w) BETWEEN 1 AND 2),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared.n >= {queries.JACCARD_RULE.percent} * (x.n + y.n - shared.n)),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM docs
+  UNION SELECT reach.doc_id, CASE WHEN links.a = other THEN links.b ELSE links.a END
+  FROM reach JOIN links ON links.a = other OR links.b = other)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents LEFT JOIN sizes USING (doc_id)
+JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
+ORACLE_SQL = {"op2_quality_rules": OP2, "op5_url_filter": _op5(), "op7_jaccard_join": OP7}

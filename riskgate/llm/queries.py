@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgate.llm import language_id, quality, token_counts, url_filter
+from riskgate.llm import jaccard_join, language_id, quality, token_counts, url_filter
 from riskgate.llm.arrow import table
 
 
@@ -47,4 +47,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_language(docs, dictionaries, {"doc_id": F.col("doc_id"), "held_out": held})
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op5_url_filter, op6_language_id)}
+JACCARD_RULE = jaccard_join.Rule(words=3, percent=90)
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), JACCARD_RULE)
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op5_url_filter, op6_language_id,
+                                  op7_jaccard_join)}

@@ -1,11 +1,8 @@
 """URL filters: host and path rules first, then a list of canonical URLs.
 
-The list is looked up in two steps. A blocked Bloom filter (one 512-bit block per
-key, one bit in each of its eight words) lets possible hits pass; an exact hash join
-with the list then removes the false positives. The filter is built by a Spark
-aggregation (bit_or per block) and is at most MAX_BLOCKS rows of 72 bytes however
-long the list is, so it can always be broadcast: a list beyond its comfortable size
-only sends more rows to the exact join. All steps are DataFrame expressions.
+The list is looked up in two steps. A blocked Bloom filter of it (bloom.py, bounded in
+size, so always broadcast) lets possible hits pass; an exact hash join with the list
+then removes the false positives. All steps are DataFrame expressions.
 
 Defined results: a null URL, or one without `://`, has an empty host and path, fits
 no rule, and is never on the list; null list entries are ignored, repeated ones count
@@ -20,10 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS_PER_KEY = 16
-BLOCK_BITS = 512
-WORDS = 8
-MAX_BLOCKS = 1 << 17
+from riskgate.llm.bloom import blocked_bloom, may_contain
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,25 +61,6 @@ def longest_rule(rules: list[Rule], host: Column, path: Column) -> tuple[Column,
     return rule, verdict
 
 
-def _block(key: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks))
-
-
-def _masks(key: str) -> list[Column]:
-    """One bit in each word, by six bits of a second hash."""
-    return [F.expr(f"shiftleft(1L, int(shiftrightunsigned(xxhash64({key}, 7), {6 * i}) & 63))") for i in range(WORDS)]
-
-
-def blocked_bloom(listed: DataFrame, key: str, n_keys: int) -> tuple[DataFrame, int]:
-    """The filter as a table (block, w0..w7), and its number of blocks."""
-    blocks = 1
-    while blocks < MAX_BLOCKS and blocks * BLOCK_BITS < n_keys * BITS_PER_KEY:
-        blocks *= 2
-    words = [m.alias(f"w{i}") for i, m in enumerate(_masks(key))]
-    rows = listed.select(_block(key, blocks).alias("block"), *words)
-    return rows.groupBy("block").agg(*[F.expr(f"bit_or(w{i})").alias(f"w{i}") for i in range(WORDS)]), blocks
-
-
 def filter_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame, key: str = "page_id",
                 url: str = "url") -> DataFrame:
     """Per row: key, host, path, rule, verdict, canonical URL and whether the list was
@@ -93,17 +68,14 @@ def filter_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame, key: str
     `listed` has one column of canonical URLs; they are blocked, others allowed."""
     names = listed.columns
     entries = listed.select(F.col(names[0]).alias("entry")).where(F.col("entry").isNotNull()).distinct()
-    bloom, blocks = blocked_bloom(entries, "entry", entries.count())
+    bloom = blocked_bloom(entries, "entry", entries.count())
     base = pages.select(F.col(key), F.col(url).alias("url"))
     base = base.select(key, url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"),
                        canonical(F.col("url")).alias("canonical"))
     rule, verdict = longest_rule(rules, F.col("host"), F.col("path"))
     base = base.select("*", rule.alias("rule"), verdict.alias("ruled"))
-    probe = base.withColumn("block", _block("canonical", blocks)).join(F.broadcast(bloom), "block", "left")
-    passes = F.col("rule").isNull() & F.col("canonical").isNotNull()
-    for i, mask in enumerate(_masks("canonical")):
-        passes = passes & (F.col(f"w{i}").bitwiseAND(mask) != 0)
-    probe = probe.select(*base.columns, F.coalesce(passes, F.lit(False)).alias("checked"))
+    probe = may_contain(base, "canonical", bloom, "passes") \
+        .withColumn("checked", F.col("passes") & F.col("rule").isNull()).drop("passes")
     found = probe.where("checked").join(entries.withColumn("listed", F.lit(True)),
                                         F.col("canonical") == F.col("entry"), "left").drop("entry")
     rest = probe.where("not checked").withColumn("listed", F.lit(False))
