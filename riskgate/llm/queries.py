@@ -6,10 +6,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgate.llm import jaccard_join, language_id, quality, token_counts, url_filter
+from riskgate.llm import jaccard_join, language_id, quality, sentencepiece_scan, token_counts, url_filter
 from riskgate.llm.arrow import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes every whole text, decodes the ids again and compares. The ids are given as
+    a digest of their comma-joined list."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    encoded = sentencepiece_scan.encode(docs, carry=("doc_id", "text_hash"))
+    return sentencepiece_scan.decode(encoded).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -54,5 +65,5 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), JACCARD_RULE)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op5_url_filter, op6_language_id,
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_token_counts, op5_url_filter, op6_language_id,
                                   op7_jaccard_join)}
