@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgate.llm import jaccard_join, language_id, quality, sentencepiece_scan, token_counts, url_filter
+from riskgate.llm import (html_text, jaccard_join, language_id, quality, secret_scan, sentencepiece_scan, token_counts,
+                          url_filter)
 from riskgate.llm.arrow import table
 
 
@@ -65,5 +66,16 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), JACCARD_RULE)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+    count = [F.size(secret_scan.of_kind("base", k)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS[:3]]
+    return found.select("doc_id", *count, F.sha2(secret_scan.written("base"), 256).alias("base_sha256"),
+                        secret_scan.written("spans").alias("spans"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_token_counts, op5_url_filter, op6_language_id,
-                                  op7_jaccard_join)}
+                                  op7_jaccard_join, op9_secret_scan, op10_html_text)}
