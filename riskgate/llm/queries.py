@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgate.llm import (html_text, jaccard_join, language_id, quality, secret_scan, sentencepiece_scan, token_counts,
+from riskgate.llm import (chat_repair, html_text, jaccard_join, language_id, quality, secret_scan, sentencepiece_scan, token_counts,
                           url_filter)
 from riskgate.llm.arrow import table
 
@@ -66,6 +66,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), JACCARD_RULE)
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per turn; the rendered segments of a conversation, by turn, are its format."""
+    done = chat_repair.repair_chats(table(spark, sf_dir, "conversations"))
+    return done.select("conv_id", "turn", "new_role", "action", "inserted_before", "inserted_after", "cost", "rendered")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
     count = [F.size(secret_scan.of_kind("base", k)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS[:3]]
@@ -78,4 +84,4 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_token_counts, op5_url_filter, op6_language_id,
-                                  op7_jaccard_join, op9_secret_scan, op10_html_text)}
+                                  op7_jaccard_join, op8_chat_format, op9_secret_scan, op10_html_text)}
