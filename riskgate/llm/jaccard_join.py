@@ -249,7 +249,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 # -- all steps ---------------------------------------------------------------------
 
 def jaccard_components(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles (set size), component_id."""
+    """Per row: doc_id, n_shingles (set size), component_id, and what tells components and
+    rows apart where ids repeat: `root` (null for an empty set) and `text_hash`."""
     rows = stored(signatures(docs, doc_id, text, rule), "jaccard-signatures")
     classes = stored(rows.where("n_shingles > 0").groupBy("cls").agg(
         F.min("grp").alias("grp"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"),
@@ -290,6 +291,25 @@ def jaccard_components(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text
     members = rooted(star.union(cross))
     least = members.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("m")) \
         .where("m > 1")
-    shared = members.join(least, "root").select("cls", "component_id")
-    return rows.select("doc_id", "n_shingles", "cls").join(shared, "cls", "left") \
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    shared = members.join(least, "root").select("cls", "component_id", "root")
+    return rows.select("doc_id", "n_shingles", "cls", "text_hash").join(shared, "cls", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce("root", "cls").alias("root"), "text_hash")
+
+
+def one_of_each(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with one row of each component: that of the least doc_id (then text
+    hash). Rows with an empty set all stay. Only rows in components of several rows,
+    and a few that a Bloom filter lets pass, are shuffled."""
+    rows = stored(jaccard_components(docs, rule, doc_id, text).where("root is not null").select(
+        "root", F.struct("doc_id", "text_hash").alias("row")), "jaccard-rows")
+    groups = rows.groupBy("root").agg(F.min("row").alias("keeper"), F.count("*").alias("m")).where("m > 1")
+    members = stored(rows.join(groups, "root").select(
+        F.xxhash64("row.doc_id", "row.text_hash").alias("__key"), (F.col("row") == F.col("keeper")).alias("__stays"))
+        .groupBy("__key").agg(F.max("__stays").alias("__stays")), "jaccard-members")
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(doc_id), _text_hash(text)))
+    probe = may_contain(keyed, "__key", blocked_bloom(members, "__key", members.count()), "__asked")
+    asked = probe.where("__asked").join(members, "__key", "left")
+    keepers = asked.where("__stays").dropDuplicates(["__key"]).select(*docs.columns)
+    return probe.where("not __asked").select(*docs.columns) \
+        .unionByName(asked.where("__stays is null").select(*docs.columns)).unionByName(keepers)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgate.llm import (chat_repair, html_text, jaccard_join, language_id, quality, secret_scan, sentencepiece_scan, token_counts,
+from riskgate.llm import (chat_repair, decontaminate, html_text, jaccard_join, language_id, quality, secret_scan, sentencepiece_scan, token_counts,
                           url_filter)
 from riskgate.llm.arrow import table
 
@@ -32,6 +32,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item found in it."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 URL_RULES = [url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"),
              url_filter.Rule("block", "example.org", "/en/1"), url_filter.Rule("allow", "com", "/fr/"),
              url_filter.Rule("block", "com", "/de/")]
@@ -63,7 +68,8 @@ JACCARD_RULE = jaccard_join.Rule(words=3, percent=90)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), JACCARD_RULE)
+    found = jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), JACCARD_RULE)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,5 +89,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_token_counts, op5_url_filter, op6_language_id,
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_token_counts, op4_decontaminate, op5_url_filter, op6_language_id,
                                   op7_jaccard_join, op8_chat_format, op9_secret_scan, op10_html_text)}

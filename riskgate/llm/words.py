@@ -22,6 +22,8 @@ _MASK = (1 << 64) - 1
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_MARKS = np.ones(256, dtype=bool)
+_MARKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _SAME = np.arange(256, dtype=np.uint8)
 _LOWER = _SAME.copy()
 _LOWER[65:91] += 32
@@ -46,9 +48,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _block_words(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _block_words(block: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = np.zeros(len(block) + 2, dtype=np.int8)
-    inside[1:-1] = ~_SPACE[block]
+    inside[1:-1] = ~gap[block]
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     total = np.zeros(len(block) + 1, dtype=np.uint64)
@@ -57,21 +59,23 @@ def _block_words(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, mix(value + (end - start).astype(np.uint64) * _STEP)
 
 
-def words(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each word in bytes, hash of each word)."""
+def words(data: bytes, lower: bool = False, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(start of each word in bytes, hash of each word). With `letters`, words are runs
+    of ASCII letters and digits and of anything beyond ASCII, so punctuation separates."""
+    gap = _MARKS if letters else _SPACE
     buffer = np.frombuffer(data, dtype=np.uint8)
     starts, hashes, at = [], [], 0
     while at < len(buffer):
         end = min(len(buffer), at + BLOCK)
         if end < len(buffer):
-            gaps = np.flatnonzero(_SPACE[buffer[at:end]])
+            gaps = np.flatnonzero(gap[buffer[at:end]])
             if len(gaps):
                 end = at + int(gaps[-1]) + 1
             else:  # one word longer than a block
-                ends = np.flatnonzero(_SPACE[buffer[at:]])
+                ends = np.flatnonzero(gap[buffer[at:]])
                 end = at + int(ends[0]) + 1 if len(ends) else len(buffer)
         block = buffer[at:end]
-        start, value = _block_words(_LOWER[block] if lower else block)
+        start, value = _block_words(_LOWER[block] if lower else block, gap)
         starts.append(start + at)
         hashes.append(value)
         at = end
@@ -80,11 +84,11 @@ def words(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(starts), np.concatenate(hashes)
 
 
-def many_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def many_words(texts: list[bytes], lower: bool = False, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of several texts at once: (first word of each text and the total, word
     starts within the texts joined by one byte, word hashes)."""
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    starts, hashes = words(b"\n".join(texts), lower)
+    starts, hashes = words(b"\n".join(texts), lower, letters)
     return np.searchsorted(starts, begins), starts, hashes
 
 
