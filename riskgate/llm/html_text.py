@@ -93,7 +93,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
     """(path of the container, text, share of it inside links) of every block that is
     not left out, in page order."""
     found: list[tuple[tuple[str, ...], str, float]] = []
-    stack = [Element("", (), False, False, False)]
+    stack = [Element("", ("page",), False, False, False)]
     text: list[str] = []
     linked = at = 0
 
