@@ -7,15 +7,16 @@
    counts, so one array per task is shuffled, never a shingle). Any order that all sets
    share gives exact results; rarity only keeps the lists of a shingle short.
 3. Two sets can reach the threshold only if their prefixes share a shingle. Classes
-   with identical prefix and size form one group; groups are joined on the prefix
-   shingles, with size and position filters, and the group pairs are made distinct.
+   with identical prefix and size form one group, which enters the lists of its prefix
+   shingles once a task. Lists of a single group are dropped; the others give group
+   pairs, under size and position filters.
 4. Group pairs are expanded to class pairs. A parity bitmap of each set bounds their
    symmetric difference from below and removes most, and the rest is verified on the
    whole sets.
 5. Linking works in two rounds, because a large group of near copies would otherwise
-   emit all its pairs: first every prefix shingle links its groups to one of them only
-   (a star); after that only pairs whose ends are still in different components are
-   formed and verified. No link between components is lost.
+   emit all its pairs: first every group is paired with its NEIGHBOURS next ones, by
+   size, in each list; after that only pairs whose ends are still in different
+   components are formed and verified. No link between components is lost.
 
 A document's component is the smallest doc_id it can reach over links.
 
@@ -23,7 +24,7 @@ Defined results: a null or blank text has an empty set, size 0, and links with
 nothing; with fewer than n words the whole sequence is one shingle; repeated rows and
 copies share a class; a row with null doc_id gets the least id of its component, or
 null; other columns are not read. Shingles are told apart by 64-bit hashes, classes by
-128 bits.
+128 bits; groups that share a 64-bit id are only compared more often.
 """
 
 from __future__ import annotations
@@ -42,9 +43,10 @@ from riskgate.llm.bloom import blocked_bloom, may_contain
 from riskgate.llm.components import components
 from riskgate.llm.storage import stored
 
-SKETCH_BITS = 22
+SKETCH_BITS = 21
 SLICE_BITS = 14
-BITMAP_BYTES = 256
+BITMAP_BYTES = 128
+NEIGHBOURS = 16
 
 
 class Rule(NamedTuple):
@@ -118,8 +120,8 @@ def rarity(docs: DataFrame, text: str, rule: Rule) -> np.ndarray:
 # -- step 1: sets, classes and groups ------------------------------------------
 
 _SIGNATURE = StructType([
-    StructField("n_shingles", LongType()), StructField("cls", BinaryType()), StructField("grp", BinaryType()),
-    StructField("prefix", ArrayType(LongType()))])
+    StructField("n_shingles", LongType()), StructField("cls", BinaryType()), StructField("grp", LongType()),
+    StructField("prefix", ArrayType(LongType())), StructField("bitmap", BinaryType())])
 
 
 def _digest(values: np.ndarray) -> bytes:
@@ -127,20 +129,36 @@ def _digest(values: np.ndarray) -> bytes:
     return xxhash.xxh128_digest(values.tobytes())
 
 
+def _group(prefix: np.ndarray, n: int) -> int:
+    return int.from_bytes(_digest(np.append(prefix, np.uint64(n)))[:8], "little", signed=True)
+
+
+def _bitmap(s: np.ndarray) -> bytes:
+    bits = np.bincount((s & np.uint64(8 * BITMAP_BYTES - 1)).astype(np.int64), minlength=8 * BITMAP_BYTES)
+    return np.packbits((bits & 1).astype(np.uint8)).tobytes()
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str, rule: Rule) -> DataFrame:
-    """Per row: set size, class and group keys, and the prefix in the global order."""
-    common = docs.sparkSession.sparkContext.broadcast(rarity(docs, text, rule))  # 4 MB
+    """Per row: set size, class and group keys, and, once a task for each class, the
+    prefix in the global order and the bitmap."""
+    common = docs.sparkSession.sparkContext.broadcast(rarity(docs, text, rule))  # 2 ** SKETCH_BITS bytes
 
     def make():
+        seen: dict[bytes, int] = {}
+
         def work(texts):
             out = {f.name: [] for f in _SIGNATURE.fields}
             for s in _sets(texts, rule):
-                order = np.argsort(common.value[s >> np.uint64(64 - SKETCH_BITS)], kind="stable")
-                prefix = s[order[:rule.probe(len(s))]] if len(s) else s
-                out["n_shingles"].append(len(s))
-                out["cls"].append(_digest(s) if len(s) else None)
-                out["grp"].append(_digest(np.append(prefix, np.uint64(len(s)))) if len(s) else None)
-                out["prefix"].append(prefix.view(np.int64))
+                key, group, prefix, bitmap = _digest(s) if len(s) else None, None, None, None
+                if key in seen:
+                    group = seen[key]
+                elif key is not None:
+                    order = np.argsort(common.value[s >> np.uint64(64 - SKETCH_BITS)], kind="stable")
+                    prefix, bitmap = s[order[:rule.probe(len(s))]], _bitmap(s)
+                    seen[key] = group = _group(prefix, len(s))
+                for name, value in zip(out, (len(s), key, group, None if prefix is None else prefix.view(np.int64), bitmap),
+                                       strict=True):
+                    out[name].append(value)
             return out
         return work
 
@@ -149,49 +167,97 @@ def signatures(docs: DataFrame, doc_id: str, text: str, rule: Rule) -> DataFrame
 
 # -- step 3: group pairs --------------------------------------------------------
 
-def _lists(groups: DataFrame, rule: Rule) -> DataFrame:
-    """A row per group and prefix shingle: (token, pos, grp, n, short): `short` when the
-    position lies in the prefix that the smaller set of a pair needs."""
-    n = F.col("n")
-    index = n - F.ceil(F.lit(2 * rule.percent) * n / (100 + rule.percent)) + 1
-    rows = groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
-    return rows.select("token", "pos", "grp", "n", (F.col("pos") < index).alias("short"))
+_LIST = StructType([StructField("token", LongType()), StructField("place", LongType()), StructField("grp", LongType())])
+_PAIR = StructType([StructField("ga", LongType()), StructField("gb", LongType())])
 
 
-def _reachable(rule: Rule, na: Column, pa: Column, nb: Column, pb: Column) -> Column:
-    """Size and position filters for the smaller set a and the larger b."""
-    need = F.ceil(F.lit(rule.percent) * (na + nb) / (100 + rule.percent))
-    return (F.lit(100) * na >= F.lit(rule.percent) * nb) & (F.least(na - pa, nb - pb) >= need)
+def _lists(rows: DataFrame) -> DataFrame:
+    """(token, place, grp) of all prefix shingles that several groups share; `place` holds
+    the set's size and the shingle's position: size * 2**32 + position."""
+    entries = rows.where("prefix is not null").select(
+        "grp", "n_shingles", F.posexplode("prefix").alias("pos", "token")) \
+        .select("token", (F.col("n_shingles") * F.lit(1 << 32) + F.col("pos")).alias("place"), "grp")
+    ordered = entries.repartition("token").sortWithinPartitions("token", "place", "grp")
+
+    def shared(batches):
+        """Rows whose list has another group; only the last row waits for the next batch."""
+        import pyarrow as pa
 
+        names = [f.name for f in _LIST.fields]
+        held, before = [np.empty(0, np.int64)] * 3, False
+        for batch in batches:
+            t, p, g = (np.append(h, c.to_numpy()) for h, c in zip(held, batch.columns, strict=True))
+            new = np.ones(len(t), dtype=bool)
+            new[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
+            t, p, g = t[new], p[new], g[new]
+            same = t[1:] == t[:-1]
+            keep = np.zeros(len(t), dtype=bool)
+            keep[0] = before
+            keep[1:] |= same
+            keep[:-1] |= same
+            before, held = bool(keep[-1]), [t[-1:], p[-1:], g[-1:]]
+            out = keep[:-1]
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[:-1][out]) for x in (t, p, g)], names=names)
+        if before:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=names)
 
-def _smaller(a: str, b: str) -> Column:
-    return F.struct(f"{a}.n", f"{a}.grp") < F.struct(f"{b}.n", f"{b}.grp")
+    return ordered.mapInArrow(shared, _LIST)
 
 
-def _star_pairs(lists: DataFrame, rule: Rule) -> DataFrame:
-    """Each prefix shingle pairs all its groups with its first one only."""
-    hubs = lists.groupBy("token").agg(F.min(F.struct("n", "grp", "pos")).alias("hub"), F.count("*").alias("m")) \
-        .where("m > 1").select("token", "hub")
-    rows = lists.join(hubs, "token")
-    return rows.where((F.col("grp") != F.col("hub.grp"))
-                      & _reachable(rule, F.col("hub.n"), F.col("hub.pos"), F.col("n"), F.col("pos"))) \
-        .select(F.col("hub.grp").alias("ga"), F.col("grp").alias("gb")).distinct()
+def _size(place):
+    return place >> 32
+
+
+def _position(place):
+    return place & 0xFFFFFFFF
+
+
+def _neighbour_pairs(lists: DataFrame, rule: Rule) -> DataFrame:
+    """Each group with the NEIGHBOURS groups before it in a list, by size, as far as the
+    filters let them. Rows come in the order in which they were written."""
+    def pairs(batches):
+        import pyarrow as pa
+
+        held = [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            old = len(held[0])
+            t, p, g = (np.append(h, c.to_numpy()) for h, c in zip(held, batch.columns, strict=True))
+            held = [x[-NEIGHBOURS:] for x in (t, p, g)]
+            found = []
+            for k in range(1, NEIGHBOURS + 1):
+                b = np.arange(max(old, k), len(t))
+                b = b[t[b] == t[b - k]]
+                na, pa_, nb, pb = _size(p[b - k]), _position(p[b - k]), _size(p[b]), _position(p[b])
+                fits = (pa_ < rule.index(na)) & (100 * na >= rule.percent * nb) \
+                    & (np.minimum(na - pa_, nb - pb) >= rule.overlap(na, nb))
+                found.append((g[b - k][fits], g[b][fits]))
+            both = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["ga", "gb"])
+
+    return lists.mapInArrow(pairs, _PAIR).distinct()
 
 
 def _cross_pairs(lists: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame:
-    """All pairs of a shingle's groups that lie in different components so far."""
-    rows = lists.join(roots, "grp", "left").withColumn("root", F.coalesce("root", "grp"))
+    """All pairs of a list's groups that lie in different components so far. `roots` has
+    the groups in components of several classes; the others are on their own."""
+    n, pos = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    index = n - F.ceil(F.lit(2 * rule.percent) * n / (100 + rule.percent)) + 1
+    rows = lists.join(roots, "grp", "left").select(
+        "token", "grp", "root", n.alias("n"), pos.alias("pos"), (pos < index).alias("short"))
     a, b = rows.where("short").alias("a"), rows.alias("b")
+    na, pa, nb, pb = (F.col(c) for c in ("a.n", "a.pos", "b.n", "b.pos"))
+    need = F.ceil(F.lit(rule.percent) * (na + nb) / (100 + rule.percent))
     return a.join(b, F.col("a.token") == F.col("b.token")).where(
-        (F.col("a.root") != F.col("b.root")) & _smaller("a", "b")
-        & _reachable(rule, F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"))) \
+        (F.struct("a.n", "a.grp") < F.struct("b.n", "b.grp"))
+        & F.coalesce(F.col("a.root") != F.col("b.root"), F.lit(True))
+        & (F.lit(100) * na >= F.lit(rule.percent) * nb) & (F.least(na - pa, nb - pb) >= need)) \
         .select(F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb")).distinct()
 
 
 # -- step 4: verification -------------------------------------------------------
 
-_SET = StructType([StructField("found", BinaryType()), StructField("bitmap", BinaryType()),
-                   StructField("shingles", BinaryType())])
+_SET = StructType([StructField("found", BinaryType()), StructField("shingles", BinaryType())])
 
 
 def _text_hash(text: str) -> Column:
@@ -199,7 +265,7 @@ def _text_hash(text: str) -> Column:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, rule: Rule) -> DataFrame:
-    """(cls, n, bitmap, shingles) of the wanted classes, from one document of each."""
+    """(cls, shingles) of the wanted classes, from one document of each."""
     keyed = wanted.select("cls", F.xxhash64("rep.id", "rep.text_hash").alias("key"))
     bloom = blocked_bloom(keyed, "key", keyed.count())
     named = docs.select(F.col(text).cast("string").alias("text"), F.xxhash64(F.col(doc_id), _text_hash(text)).alias("key"))
@@ -209,27 +275,30 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, rule
         def work(texts):
             out = {f.name: [] for f in _SET.fields}
             for s in _sets(texts, rule):
-                bits = np.bincount((s & np.uint64(8 * BITMAP_BYTES - 1)).astype(np.int64), minlength=8 * BITMAP_BYTES)
                 out["found"].append(_digest(s) if len(s) else None)
-                out["bitmap"].append(np.packbits((bits & 1).astype(np.uint8)).tobytes())
                 out["shingles"].append(s.tobytes())
             return out
         return work
 
     sets = map_texts(rows, {"cls": F.col("cls")}, F.col("text"), make, _SET)
-    return sets.where("cls = found").groupBy("cls").agg(F.min("bitmap").alias("bitmap"), F.min("shingles").alias("shingles"))
+    return sets.where("cls = found").groupBy("cls").agg(F.min("shingles").alias("shingles"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Class pairs (a, b) whose sets reach the threshold."""
+def _close(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """Class pairs (a, b) that their bitmaps don't rule out."""
     @F.pandas_udf("boolean")
     def near(x: pd.Series, nx: pd.Series, y: pd.Series, ny: pd.Series) -> pd.Series:
-        out = []
-        for p, q, m, n in zip(x, y, nx, ny, strict=True):
-            differ = int(np.bitwise_count(np.frombuffer(p, np.uint64) ^ np.frombuffer(q, np.uint64)).sum())
-            out.append(differ <= m + n - 2 * rule.overlap(m, n))
-        return pd.Series(out)
+        bits = [np.frombuffer(b"".join(m), np.uint64).reshape(len(m), -1) for m in (x, y)]
+        differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64) if len(x) else np.empty(0, np.int64)
+        m, n = nx.to_numpy(), ny.to_numpy()
+        return pd.Series(differ <= m + n - 2 * rule.overlap(m, n))
+
+    a, b = (classes.select(F.col("cls").alias(c), F.col("bitmap").alias(f"m{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").where(near("ma", "na", "mb", "nb")).select("a", "b")
 
+
+def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Class pairs (a, b) whose whole sets reach the threshold."""
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
@@ -239,11 +308,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             out.append(100 * both >= rule.percent * (len(p) + len(q) - both))
         return pd.Series(out)
 
-    maps = sets.select("cls", "bitmap", F.expr("octet_length(shingles) div 8").alias("n"))
-    a, b = (maps.select(F.col("cls").alias(c), F.col("bitmap").alias(f"m{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-    close = pairs.join(a, "a").join(b, "b").where(near("ma", "na", "mb", "nb")).select("a", "b")
     a, b = (sets.select(F.col("cls").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    return close.join(a, "a").join(b, "b").where(linked("sa", "sb")).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(linked("sa", "sb")).select("a", "b")
 
 
 # -- all steps ---------------------------------------------------------------------
@@ -253,11 +319,10 @@ def jaccard_components(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text
     rows apart where ids repeat: `root` (null for an empty set) and `text_hash`."""
     rows = stored(signatures(docs, doc_id, text, rule), "jaccard-signatures")
     classes = stored(rows.where("n_shingles > 0").groupBy("cls").agg(
-        F.min("grp").alias("grp"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"),
+        F.min("grp").alias("grp"), F.min("n_shingles").alias("n"), F.min("bitmap").alias("bitmap"),
+        F.min("doc_id").alias("least_id"), F.count("*").alias("copies"),
         F.max(F.struct(F.col("doc_id").alias("id"), "text_hash")).alias("rep")), "jaccard-classes")
-    groups = rows.where("n_shingles > 0").groupBy("grp").agg(
-        F.min("n_shingles").alias("n"), F.min("prefix").alias("prefix"))
-    lists = stored(_lists(groups, rule), "jaccard-lists")
+    lists = stored(_lists(rows), "jaccard-lists")
 
     def expanded(group_pairs: DataFrame, members: DataFrame) -> DataFrame:
         """Pairs of the classes of two groups that are not yet in one component."""
@@ -267,7 +332,7 @@ def jaccard_components(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def verified(class_pairs: DataFrame, name: str) -> DataFrame:
-        pairs = stored(class_pairs, f"jaccard-{name}-pairs")
+        pairs = stored(_close(class_pairs, classes, rule), f"jaccard-{name}-pairs")
         ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
         sets = _whole_sets(docs, classes.join(ends, "cls", "left_semi"), doc_id, text, rule)
         return stored(_verified(pairs, stored(sets, f"jaccard-{name}-sets"), rule), f"jaccard-{name}-links")
@@ -277,18 +342,19 @@ def jaccard_components(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text
         found = components(links, "a", "b").withColumnRenamed("node", "cls")
         return classes.join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
-    # round one: stars around the first group of a shingle, and the first class of a group
+    # round one: neighbours in the lists, and in a group each class with the first
     alone = classes.withColumn("root", F.col("cls"))
     first = classes.groupBy("grp").agg(F.min("cls").alias("a"), F.count("*").alias("m")).where("m > 1")
     inside = classes.join(first, "grp").where("cls <> a").select("a", F.col("cls").alias("b"))
-    star = verified(expanded(_star_pairs(lists, rule), alone).unionByName(inside).distinct(), "star")
+    near = verified(expanded(_neighbour_pairs(lists, rule), alone).unionByName(inside).distinct(), "near")
     # round two: whatever is still apart; a group in several components counts as apart from all, itself included
-    members = stored(rooted(star), "jaccard-members")
+    members = stored(rooted(near), "jaccard-members")
     by_group = members.groupBy("grp").agg(F.min("root").alias("root"), F.max("root").alias("other"))
     split = by_group.where("root <> other").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
-    whole = by_group.where("root = other").select("grp", "root")
+    several = members.groupBy("root").agg(F.count("*").alias("m")).where("m > 1").select("root")
+    whole = by_group.where("root = other").select("grp", "root").join(several, "root", "left_semi")
     cross = verified(expanded(_cross_pairs(lists, whole, rule).union(split), members), "cross")
-    members = rooted(star.union(cross))
+    members = rooted(near.union(cross))
     least = members.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("m")) \
         .where("m > 1")
     shared = members.join(least, "root").select("cls", "component_id", "root")
