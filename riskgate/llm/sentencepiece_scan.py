@@ -47,7 +47,7 @@ from riskgate.llm.arrow import map_texts
 from riskgate.llm.storage import stored
 
 CHUNK_CHARS = 32_768
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 CACHE_CHARS = 64
 SPACE = "▁"
 _LOST = float("-inf")
@@ -61,12 +61,12 @@ def vocabulary_path(name: str) -> str:
 class _Words(dict):
     """Ids of words, encoded by the library when first met."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, numbers: list[int]):
         super().__init__()
-        self.encode = encode
+        self.encode, self.numbers = encode, numbers
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.encode(word))
+        ids = tuple(map(self.numbers.__getitem__, self.encode(word)))  # one int object for each id
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -97,10 +97,10 @@ class Vocabulary:
         self.break_ids = self.single("\n")
         self.known: dict[tuple[str, str], bool] = {}
         # the library puts a space before every text; after a line break the word is bare
-        skip = 1 + len(self.break_ids)
+        skip, numbers = 1 + len(self.break_ids), list(range(size))
         self.spaced = _Words((lambda w: model.encode(w) if w else self.single(SPACE)) if kind == "bpe"
-                             else lambda w: self.best(SPACE + w.replace(" ", SPACE)))
-        self.bare = _Words((lambda w: model.encode("\n" + w)[skip:]) if kind == "bpe" else self.best)
+                             else lambda w: self.best(SPACE + w.replace(" ", SPACE)), numbers)
+        self.bare = _Words((lambda w: model.encode("\n" + w)[skip:]) if kind == "bpe" else self.best, numbers)
         self.text_of = [b"" if model.is_control(i) else " ⁇ ".encode() if i == self.unknown
                         else model.id_to_piece(i).replace(SPACE, " ").encode() for i in range(size)]
         for byte, i in self.bytes.items():
