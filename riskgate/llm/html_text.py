@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from riskgate.llm.arrow import map_texts, texts_of
+from riskgate.llm.storage import stored
 from riskgate.llm.url_filter import url_host
 
 # What markup means.
@@ -205,7 +206,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """Per row: page_id, url, the main text and its length in code points."""
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"),
                         url_host(F.col(url)).alias("host"))
-    rows = base.join(host_paths(pages, url, html), "host", "left").select("page_id", "url", "path", "html")
+    # written first, so that Spark knows its size: a small table is broadcast and no page is moved
+    paths = stored(host_paths(pages, url, html), "host-paths")
+    rows = base.join(paths, "host", "left").select("page_id", "url", "path", "html")
     schema = StructType([*rows.schema.fields[:2], *_TEXT.fields])
 
     def run(batches):
