@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from riskgate import fixed
 from riskgate.functions import draws, scoring
-from riskgate.operators.ranking import running_sums
+from riskgate.operators.ranking import exact_percentile, running_sums
 
 
 def _score_counts(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
@@ -25,7 +25,7 @@ def _score_counts(df: DataFrame, label: str, score: str, by=()) -> DataFrame:
                    F.count_if(F.col(label) != 1).alias("_n")))
 
 
-def rank_metrics(df: DataFrame, label: str, score: str, by=(), buckets: int = 1024,
+def rank_metrics(df: DataFrame, label: str, score: str, by=(),
                  threshold: float | None = None) -> DataFrame:
     """ROC AUC and average precision from one pass.
 
@@ -37,18 +37,22 @@ def rank_metrics(df: DataFrame, label: str, score: str, by=(), buckets: int = 10
     AP = sum_s p(s) * (p>=s / a>=s) / P, the step-wise sum over distinct scores
     (not a trapezoid area). Null when a class is absent.
 
-    The per-score table has one row per distinct score: bounded for rounded
-    scores (4 places: at most 10,001 per group). For unrounded scores on very
-    large inputs raise ``buckets`` so each bucket's window stays one task's worth.
+    Class totals are multiplied as doubles, so they may be of any size.
     """
     by = list(by)
     counts = _score_counts(df, label, score, by).withColumn("_a", F.col("_p") + F.col("_n"))
-    g = running_sums(counts, "_s", ["_p", "_n", "_a"], descending=True, by=by, buckets=buckets)
-    P, N = F.sum("_p"), F.sum("_n")
-    tail = F.sum(F.col("_p") * (F.col("_n_cum") - F.col("_n") * 0.5))
+    g = running_sums(counts, "_s", ["_p", "_n", "_a"], descending=True, by=by)
+    return from_sums(g, by, threshold)
+
+
+def from_sums(g: DataFrame, by=(), threshold: float | None = None) -> DataFrame:
+    """The metrics of per-score counts (_s, _p, _n) with their descending running sums."""
+    by = list(by)
+    P, N = F.sum("_p").cast("double"), F.sum("_n").cast("double")
+    tail = F.sum(F.col("_p").cast("double") * (F.col("_n_cum") - F.col("_n") * 0.5))
     ap_num = F.sum(F.col("_p") * F.try_divide(F.col("_p_cum").cast("double"), F.col("_a_cum").cast("double")))
-    aggs = [(F.lit(1.0) - F.try_divide(tail.cast("double"), (P * N).cast("double"))).alias("auc_roc"),
-            F.try_divide(ap_num, P.cast("double")).alias("avg_precision")]
+    aggs = [(F.lit(1.0) - F.try_divide(tail, P * N)).alias("auc_roc"),
+            F.try_divide(ap_num, P).alias("avg_precision")]
     if threshold is not None:
         # F1 of score > threshold from the same per-score counts
         above = F.col("_s") > threshold
@@ -92,18 +96,11 @@ def severity_correlation(df: DataFrame, index: str, severity: str,
     return df.agg(F.corr(F.col(index).cast("double"), F.col(severity).cast("double")).alias(out))
 
 
-def latency_summary(df: DataFrame, duration: str, by: list[str] | None = None,
-                    exact: bool = True, q: float = 0.95) -> DataFrame:
-    """Mean and 95th percentile of a duration column (A4).
-
-    ``exact`` uses linear interpolation (``percentile``), whose buffer holds one
-    count per distinct value; ``exact=False`` switches to ``percentile_approx``
-    for columns with unbounded distinct values.
-    """
-    p = (F.percentile(F.col(duration), F.lit(q)) if exact
-         else F.percentile_approx(F.col(duration), q, 10000).cast("double"))
-    aggs = [F.avg(duration).alias("avg_latency_ms"), p.alias("p95_latency_ms")]
-    return (df.groupBy(*by) if by else df).agg(*aggs)
+def latency_summary(df: DataFrame, duration: str, by: list[str] | None = None, q: float = 0.95) -> DataFrame:
+    """Mean and exact 95th percentile (linear interpolation) of a duration (A4)."""
+    by = by or []
+    means = (df.groupBy(*by) if by else df).agg(F.avg(duration).alias("avg_latency_ms"))
+    return _combine_rows([means, exact_percentile(df, duration, q, by, "p95_latency_ms")], tuple(by))
 
 
 def label_counts(df: DataFrame, label: str) -> DataFrame:
@@ -134,14 +131,13 @@ def evaluate(scored: DataFrame, label: str = "true_label", index: str = "risk_in
         F.count_if(F.col(gate_col) == "REVIEW").alias("gate_review"),
         F.count_if(F.col(gate_col) == "BLOCK").alias("gate_block"),
         F.count(F.lit(1)).alias("n_test"),
-        *([F.round(F.avg(duration), 3).alias("avg_latency_ms"),
-           F.round(F.percentile(F.col(duration), F.lit(0.95)), 3).alias("p95_latency_ms")]
-          if duration else []),
+        *([F.round(F.avg(duration), 3).alias("avg_latency_ms")] if duration else []),
     )
     ranks = rank_metrics(s, label, "_y", threshold=threshold).select(
         F.round("auc_roc", 4).alias("auc_roc"), F.round("avg_precision", 4).alias("avg_precision"),
         F.round("f1", 4).alias("f1"))
-    return _combine_rows([ranks, basic])
+    tail = [exact_percentile(s, duration, 0.95).select(F.round("percentile", 3).alias("p95_latency_ms"))] if duration else []
+    return _combine_rows([ranks, basic, *tail])
 
 
 def _combine_rows(parts: list[DataFrame], by: tuple = ()) -> DataFrame:

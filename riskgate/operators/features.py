@@ -73,8 +73,8 @@ def scaler_arrays(stats: DataFrame) -> tuple[list[float], list[float]]:
 def linear_apply(df: DataFrame, vec: str, weights: Sequence[float], bias: float,
                  means: Sequence[float] | None = None, stds: Sequence[float] | None = None,
                  out: str = "probability") -> DataFrame:
-    """sigmoid(((x - mean) / std) . w + b) for given weights (M12). A fitted
-    scaler + logistic probe applied as one codegen-friendly expression."""
+    """sigmoid(((x - mean) / std) . w + b) for given weights (M12): a fitted scaler
+    and logistic probe as one JVM-side array fold."""
     x = F.col(vec).cast("array<double>")
     if means is not None:
         m = F.array(*[F.lit(float(a)) for a in means])
@@ -113,23 +113,39 @@ def softmax(values) -> Column:
 def draw_matrix(seed: int, rows: int, cols: int, stream: str = "proj",
                 shift: float = 0.5) -> np.ndarray:
     """A fixed (rows x cols) matrix of hash draws minus ``shift``; entry (o, d)
-    uses key o * 1000 + d. Size depends on the dimensions only."""
-    return np.array([[draws.unit_draw_py(seed, o * 1000 + d, stream) - shift
+    uses the key "o:d". Size depends on the dimensions only."""
+    return np.array([[draws.unit_draw_py(seed, f"{o}:{d}", stream) - shift
                       for d in range(cols)] for o in range(rows)])
 
 
+def _stacked(col: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that hold a vector, their vectors as one matrix). Another length than
+    the weights have is an error, never a cut."""
+    have = col.notna().to_numpy()
+    rows = [np.asarray(a, dtype=np.float64) for a in col[have]]
+    wrong = next((len(r) for r in rows if len(r) != dim), None)
+    if wrong is not None:
+        raise ValueError(f"a vector has {wrong} dimensions, the weights have {dim}")
+    return have, np.stack(rows) if rows else np.empty((0, dim))
+
+
+def _spread(have: np.ndarray, values: np.ndarray) -> pd.Series:
+    out = pd.Series([None] * len(have), dtype=object)
+    out[have] = pd.Series(list(values), index=np.flatnonzero(have), dtype=object)
+    return out
+
+
 def project(df: DataFrame, vec: str, matrix: np.ndarray, out: str = "projected") -> DataFrame:
     """W @ x for a fixed matrix (M14): one matrix product per Arrow batch in a
-    pandas UDF; the matrix ships once with the function (dimension-bounded)."""
+    pandas UDF; the matrix ships once with the function (dimension-bounded). A
+    null vector gives null; a vector of another length is an error."""
     w = np.asarray(matrix, dtype=np.float64)
     in_dim = w.shape[1]
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def _proj(col: pd.Series) -> pd.Series:
-        if len(col) == 0:
-            return pd.Series([], dtype=object)
-        x = np.stack([np.asarray(a, dtype=np.float64)[:in_dim] for a in col])
-        return pd.Series(list(x @ w.T))
+        have, x = _stacked(col, in_dim)
+        return _spread(have, x @ w.T)
 
     return df.withColumn(out, _proj(F.col(vec)))
 
@@ -140,7 +156,7 @@ def relu_apply(df: DataFrame, vec: str, layers: Sequence[tuple[np.ndarray, np.nd
     """Forward pass of an imported ReLU network with softmax output.
 
     ``layers`` is [(W, b), ...] with W shaped (in, out). One matrix product per
-    layer per Arrow batch.
+    layer per Arrow batch. A null vector gives null; another length is an error.
     """
     mats = [(np.asarray(W, dtype=np.float64), np.asarray(b, dtype=np.float64)) for W, b in layers]
     mu = None if means is None else np.asarray(means, dtype=np.float64)
@@ -148,18 +164,15 @@ def relu_apply(df: DataFrame, vec: str, layers: Sequence[tuple[np.ndarray, np.nd
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def _fwd(col: pd.Series) -> pd.Series:
-        if len(col) == 0:
-            return pd.Series([], dtype=object)
-        h = np.stack([np.asarray(a, dtype=np.float64) for a in col])
+        have, h = _stacked(col, mats[0][0].shape[0])
         if mu is not None:
             h = (h - mu) / sd
         for i, (W, b) in enumerate(mats):
             h = h @ W + b
             if i < len(mats) - 1:
                 h = np.maximum(h, 0.0)
-        h = h - h.max(axis=1, keepdims=True)
-        e = np.exp(h)
-        return pd.Series(list(e / e.sum(axis=1, keepdims=True)))
+        e = np.exp(h - h.max(axis=1, keepdims=True, initial=-np.inf))
+        return _spread(have, e / e.sum(axis=1, keepdims=True))
 
     return df.withColumn(out, _fwd(F.col(vec)))
 

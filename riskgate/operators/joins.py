@@ -1,12 +1,10 @@
 """Joins: bank lookup, risk lookup, positional zip, variant expansion,
 outstanding questions, entity-position semi-join (J1-J7, F3).
 
-Broadcast is used only behind a size check (:func:`bounded_broadcast`) or for
-dimensions built from literals, whose size is fixed by the code. Past the bound
-the plain join is left to Catalyst/AQE (sort-merge, skew-join splitting).
-Tables derived inside the same plan (per-model or per-bucket aggregates) get no
-hint at all: AQE measures them at run time and broadcasts only if small, which
-avoids an extra pass over the data just to count them.
+Only dimensions built from literals, whose size is fixed by the code, are
+broadcast by a hint. Every table read from data, banks included, is left to
+Catalyst and AQE, which measure bytes at run time: small ones are broadcast, large
+ones joined by sort-merge with skew splitting, without a job to count them first.
 """
 
 from __future__ import annotations
@@ -18,34 +16,19 @@ from pyspark.sql import functions as F
 
 from riskgate import fixed
 
-DEFAULT_BROADCAST_ROWS = 100_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged.
-
-    The check reads at most ``max_rows + 1`` rows, so it stays cheap on a large
-    side; beyond the bound the join falls back to a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def literal_dimension(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A small dimension table from literal rows (size fixed by the caller's code)."""
     return spark.createDataFrame(list(rows), schema=schema)
 
 
-def attach_bank(responses: DataFrame, bank: DataFrame, key: str = "id",
-                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def attach_bank(responses: DataFrame, bank: DataFrame, key: str = "id") -> DataFrame:
     """Responses joined to their bank entry; unknown keys are dropped."""
-    return responses.join(bounded_broadcast(bank, max_broadcast_rows), key, "inner")
+    return responses.join(bank, key, "inner")
 
 
-def unmatched(responses: DataFrame, bank: DataFrame, key: str = "id",
-              max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def unmatched(responses: DataFrame, bank: DataFrame, key: str = "id") -> DataFrame:
     """Responses whose key has no bank entry (F3, reported rather than lost)."""
-    return responses.join(bounded_broadcast(bank.select(key), max_broadcast_rows), key, "left_anti")
+    return responses.join(bank.select(key), key, "left_anti")
 
 
 def risk_lookup(df: DataFrame, category_col: str, table: Mapping[str, int] | DataFrame,
@@ -56,7 +39,7 @@ def risk_lookup(df: DataFrame, category_col: str, table: Mapping[str, int] | Dat
                                 f"{category_col} string, {out_col} int")
         dim = F.broadcast(dim)
     else:
-        dim = bounded_broadcast(table.select(category_col, out_col))
+        dim = table.select(category_col, out_col)
     return (df.join(dim, category_col, "left")
               .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(default)).cast("int")))
 

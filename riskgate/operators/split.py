@@ -1,152 +1,106 @@
 """Splits, seeded shuffle and first-n.
 
 Stratified and group-aware splits send the rows with the lowest seeded hash
-draws to test. The exact cut-off per label is found from counts per draw bucket
-plus the rows of a single bucket, so no row is shuffled to number it; rows are
-then assigned by a narrow comparison with that cut-off.
+draws to test. The cut-off row of each label is found exactly inside Spark: rows
+are counted by a prefix of their draw, the prefix that holds the cut-off is
+refined, and only rows that share the whole 32-bit draw are put in order. Small
+tables (labels x prefixes) are joined back null-safely; no row reaches the driver
+and no label, null included, is lost.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgate import fixed
 from riskgate.functions import draws
-from riskgate.operators.ranking import bucketed_rank
-
-
-MAX_THRESHOLD_GROUPS = 256   # one comparison term per label in the final expression
-PICK_LIMIT = 1_000_000
-# The draw is an exact multiple of 2^-32: its 32-bit integer is refined by
-# prefixes of 10, 20, 30 and 32 bits.
-PREFIX_SHIFTS = [22, 12, 2, 0]
-
-
-def _k(n: int, fraction: float) -> int:
-    return int(math.ceil(n * fraction))
-
-
-def _same(labels: Sequence[str], lab: tuple):
-    c = F.lit(True)
-    for col, v in zip(labels, lab):
-        c = c & F.col(col).eqNullSafe(F.lit(v))
-    return c
-
-
-def _thresholds(d: DataFrame, labels: Sequence[str], key: str, fraction: float,
-                pick_limit: int = PICK_LIMIT) -> dict | None:
-    """Per label, the (draw, key) of the ceil(fraction * n)-th smallest row.
-
-    Rows are counted per (label, prefix of the draw's 32-bit integer); the
-    prefix holding the k-th row is refined with further filtered count passes
-    until it holds at most ``pick_limit`` rows, and only those rows are ranked.
-    No other row is moved. Returns None when there are too many labels for a
-    driver-side table (the caller then ranks with buckets)."""
-    u = (F.col("_d") * F.lit(4294967296.0)).cast("long")
-    level = 0
-    counts = d.groupBy(*labels, F.shiftright(u, PREFIX_SHIFTS[0]).alias("_p")) \
-        .agg(F.count(F.lit(1)).alias("_n")).collect()
-    per: dict = {}
-    for r in counts:
-        per.setdefault(tuple(r[c] for c in labels), []).append((r["_p"], r["_n"]))
-    if len(per) > MAX_THRESHOLD_GROUPS:
-        return None
-
-    def locate(rows, need):
-        before = 0
-        for prefix, n in sorted(rows):
-            if before + n >= need:
-                return prefix, need - before, n
-            before += n
-        return None
-
-    state = {}               # label -> (prefix, position inside it, rows in it)
-    for lab, rows in per.items():
-        k = _k(sum(n for _, n in rows), fraction)
-        if k > 0:
-            state[lab] = locate(rows, k)
-    while state and level + 1 < len(PREFIX_SHIFTS) and max(v[2] for v in state.values()) > pick_limit:
-        cond = None
-        for lab, (prefix, _, _) in state.items():
-            c = _same(labels, lab) & (F.shiftright(u, PREFIX_SHIFTS[level]) == F.lit(prefix))
-            cond = c if cond is None else cond | c
-        level += 1
-        rows = d.filter(cond).groupBy(*labels, F.shiftright(u, PREFIX_SHIFTS[level]).alias("_p")) \
-            .agg(F.count(F.lit(1)).alias("_n")).collect()
-        sub: dict = {}
-        for r in rows:
-            sub.setdefault(tuple(r[c] for c in labels), []).append((r["_p"], r["_n"]))
-        state = {lab: locate(sub[lab], pos) for lab, (_, pos, _) in state.items()}
-    out = {lab: None for lab in per}
-    if not state:
-        return out
-    cond = None
-    for lab, (prefix, _, _) in state.items():
-        c = _same(labels, lab) & (F.shiftright(u, PREFIX_SHIFTS[level]) == F.lit(prefix))
-        cond = c if cond is None else cond | c
-    w = Window.partitionBy(*labels).orderBy("_d", key) if labels else Window.orderBy("_d", key)
-    picked = d.filter(cond).withColumn("_rn", F.row_number().over(w)).collect()
-    for r in picked:
-        lab = tuple(r[c] for c in labels)
-        if r["_rn"] == state[lab][1]:
-            out[lab] = (r["_d"], r[key])
-    return out
-
-
-def _side(labels: Sequence[str], key: str, thr: dict, out: str) -> F.Column:
-    expr = None
-    for lab, t in thr.items():
-        if t is None:
-            continue
-        same = None
-        for col, v in zip(labels, lab):
-            c = F.col(col).eqNullSafe(F.lit(v))
-            same = c if same is None else same & c
-        below = (F.col("_d") < F.lit(t[0])) | ((F.col("_d") == F.lit(t[0])) & (F.col(key) <= F.lit(t[1])))
-        c = below if same is None else same & below
-        expr = c if expr is None else expr | c
-    if expr is None:
-        expr = F.lit(False)
-    return F.when(expr, F.lit("test")).otherwise(F.lit("train")).alias(out)
-
-
-def _test_if(rank: str, total: str, fraction: float):
-    return F.when(F.col(rank) <= F.ceil(F.col(total) * fraction), F.lit("test")).otherwise(F.lit("train"))
+
+# The draw is an exact multiple of 2^-32; its 32-bit integer is refined by
+# prefixes of 10, 21 and 32 bits.
+PREFIX_SHIFTS = [22, 11, 0]
+
+
+def _draw_bits(seed: int, key: str, stream: str) -> Column:
+    return (draws.unit_draw(seed, F.col(key), stream) * F.lit(4294967296.0)).cast("long")
+
+
+def _matches(labels: Sequence[str], left: str, right: str) -> Column:
+    cond = F.lit(True)
+    for c in labels:
+        cond = cond & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return cond
+
+
+def _located(d: DataFrame, labels: Sequence[str], shift: int, cut: DataFrame | None, outer: int,
+             fraction: float) -> DataFrame:
+    """(labels, prefix, need): per label the prefix of ``shift`` that holds the
+    cut-off row and its position inside it. ``cut`` is the same table one level
+    up; without it the position is ceil(fraction * rows of the label)."""
+    if cut is not None:
+        inside = _matches(labels, "r", "c") & (F.shiftright(F.col("r._u"), outer) == F.col("c._p"))
+        d = d.alias("r").join(cut.alias("c"), inside) \
+            .select(*[F.col(f"r.{c}").alias(c) for c in labels], F.col("r._u").alias("_u"), F.col("c._need").alias("_need"))
+        need = F.max("_need")
+    else:
+        need = None
+    counts = d.groupBy(*labels, F.shiftright("_u", shift).alias("_p")).agg(
+        F.count(F.lit(1)).alias("_n"), *([need.alias("_need")] if need is not None else []))
+    per_label = Window.partitionBy(*labels) if labels else Window.partitionBy(F.lit(0))
+    running = per_label.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("_upto", F.sum("_n").over(running))
+    if need is None:
+        counts = counts.withColumn("_need", F.ceil(F.sum("_n").over(per_label) * F.lit(fraction)))
+    return counts.where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_n") < F.col("_need"))) \
+        .select(*labels, "_p", (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_need"))
+
+
+def _cut_offs(d: DataFrame, labels: Sequence[str], key: str, fraction: float) -> DataFrame:
+    """(labels, _cut_u, _cut_key): the ceil(fraction * n)-th row of each label in
+    the order of (draw, key)."""
+    cut = None
+    for k, shift in enumerate(PREFIX_SHIFTS):
+        cut = _located(d.select(*labels, "_u"), labels, shift, cut, PREFIX_SHIFTS[k - 1] if k else 0, fraction)
+    tied = d.select(*labels, "_u", F.col(key).alias("_key")).alias("r").join(
+        cut.alias("c"), _matches(labels, "r", "c") & (F.col("r._u") == F.col("c._p"))) \
+        .select(*[F.col(f"r.{c}").alias(c) for c in labels], "_u", "_key", "_need")
+    order = Window.partitionBy(*labels, "_u").orderBy("_key")
+    return tied.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == F.col("_need")) \
+        .select(*labels, F.col("_u").alias("_cut_u"), F.col("_key").alias("_cut_key"))
+
+
+def _assign(df: DataFrame, bits: Column, labels: Sequence[str], key: str, cuts: DataFrame, out: str) -> DataFrame:
+    d = df.withColumn("_u", bits).alias("r").join(cuts.alias("c"), _matches(labels, "r", "c"), "left") \
+        .select("r.*", "c._cut_u", "c._cut_key")
+    below = (F.col("_u") < F.col("_cut_u")) | ((F.col("_u") == F.col("_cut_u")) & (
+        F.col(key).isNull() | (F.col(key) <= F.col("_cut_key"))))
+    return d.withColumn(out, F.when(below, F.lit("test")).otherwise(F.lit("train"))).drop("_u", "_cut_u", "_cut_key")
 
 
 def stratified_split(df: DataFrame, label: str, key: str,
                      test_fraction: float = fixed.SPLIT_TEST_FRACTION,
-                     seed: int = fixed.SPLIT_SEED, out: str = "split",
-                     pick_limit: int = PICK_LIMIT) -> DataFrame:
-    """Per label, the ceil(fraction * n) rows with the lowest seeded draw (ties
-    by key) go to test (O4). Deterministic for a given seed and key, whatever the
-    partitioning. The per-label thresholds are found from bucket counts and one
-    bucket's rows, then each row is assigned by a narrow comparison: no row is
-    shuffled. With very many labels it falls back to bucketed ranks."""
-    d = df.withColumn("_d", draws.unit_draw(seed, F.col(key), "split"))
-    thr = _thresholds(d, [label], key, test_fraction, pick_limit)
-    if thr is not None:
-        return d.withColumn(out, _side([label], key, thr, out)).drop("_d")
-    r = bucketed_rank(d, [label], "_d", [key], unit_range=True, rank_col="_r", total_col="_t")
-    return r.withColumn(out, _test_if("_r", "_t", test_fraction)).drop("_d", "_r", "_t")
+                     seed: int = fixed.SPLIT_SEED, out: str = "split") -> DataFrame:
+    """Per label (null is one), the ceil(fraction * n) rows with the lowest seeded
+    draw (ties by key) go to test (O4). Deterministic for a given seed and key,
+    whatever the partitioning and the number of labels."""
+    bits = _draw_bits(seed, key, "split")
+    d = df.select(F.col(label), F.col(key).alias("_k"), bits.alias("_u"))
+    return _assign(df, bits, [label], key, _cut_offs(d, [label], "_k", test_fraction), out)
 
 
 def group_split(df: DataFrame, group_col: str, test_fraction: float = fixed.SPLIT_TEST_FRACTION,
-                seed: int = fixed.SPLIT_SEED, out: str = "split",
-                pick_limit: int = PICK_LIMIT) -> DataFrame:
+                seed: int = fixed.SPLIT_SEED, out: str = "split") -> DataFrame:
     """Whole groups go to one side (O5): rows with equal ``group_col`` (e.g. a
     text hash) never straddle the split. The ceil(fraction * groups) groups with
-    the lowest seeded draw are test; the threshold comes from the distinct group
-    keys, and rows are then assigned by a narrow comparison (no join back)."""
-    groups = df.select(group_col).distinct() \
-        .withColumn("_d", draws.unit_draw(seed, F.col(group_col), "group_split"))
-    thr = _thresholds(groups, [], group_col, test_fraction, pick_limit)
-    d = df.withColumn("_d", draws.unit_draw(seed, F.col(group_col), "group_split"))
-    return d.withColumn(out, _side([], group_col, thr, out)).drop("_d")
+    the lowest seeded draw are test. The distinct groups are counted by draw
+    prefix, so one shuffle makes them distinct and the rest handles small tables."""
+    bits = _draw_bits(seed, group_col, "group_split")
+    groups = df.select(F.col(group_col).alias("_k")).distinct() \
+        .withColumn("_u", _draw_bits(seed, "_k", "group_split"))
+    cuts = _cut_offs(groups, [], "_k", test_fraction)
+    return _assign(df, bits, [], group_col, cuts, out)
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int = fixed.SPLIT_SEED,

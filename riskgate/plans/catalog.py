@@ -251,7 +251,7 @@ def unmatched_responses(spark, sf):
 def outstanding(spark, sf):
     bank = I.bank(spark, sf).select("id", "question")
     resp = I.responses(spark, sf).withColumn("filled", judge.is_filled("response"))
-    o = J.outstanding(bank, resp, I.MODELS, filled_col="filled")
+    o = J.outstanding(bank, resp, I.models(resp), filled_col="filled")
     return o.select("id", "model", T.snippet("question", fixed.SNIPPET_HINT).alias("hint"),
                     F.lit(fixed.RESPONSE_PLACEHOLDER).alias("response"))
 
@@ -326,7 +326,7 @@ def linear_apply(spark, sf):
 RELU_SEEDS, RELU_HIDDEN, RELU_OUT = (13, 17), 8, 5
 
 
-def relu_network(spark, sf):
+def _relu(spark, sf) -> DataFrame:
     """Forward pass of an imported two-layer ReLU network with softmax output
     (M13); weights and biases are seeded draws, 64 -> 8 -> 5."""
     e = I.table(spark, sf, "embeddings")
@@ -335,14 +335,18 @@ def relu_network(spark, sf):
     b1 = [draws.unit_draw_py(s1, 9000 + h, "relu1b") - 0.5 for h in range(RELU_HIDDEN)]
     w2 = FT.draw_matrix(s2, RELU_OUT, RELU_HIDDEN, "relu2").T
     b2 = [draws.unit_draw_py(s2, 9000 + k, "relu2b") - 0.5 for k in range(RELU_OUT)]
-    out = FT.relu_apply(e, "embedding", [(w1, b1), (w2, b2)])
+    return FT.relu_apply(e, "embedding", [(w1, b1), (w2, b2)])
+
+
+def relu_network(spark, sf):
+    out = _relu(spark, sf)
     return FT.to_long(out, "vec_id", "probability").select("vec_id", "dim", _r6("value"))
 
 
 def expected_risk(spark, sf):
-    e = I.table(spark, sf, "embeddings")
-    probs = FT.softmax(F.slice(F.col("embedding"), 1, 5))
-    return e.select("vec_id", _r6(FT.expected_risk(probs), "expected_risk"))
+    """Class-weighted risk of the network's five probabilities (M13 into M3)."""
+    out = _relu(spark, sf)
+    return out.select("vec_id", _r6(FT.expected_risk("probability"), "expected_risk"))
 
 
 # --------------------------------------------------------------------------- reports
@@ -373,13 +377,17 @@ def models_first_seen(spark, sf):
 
 def _scored_responses(spark, sf, spread: bool = False) -> DataFrame:
     r = I.responses(spark, sf, spread=spread)
-    key = F.col("conv_id") * 100 + F.col("turn")
-    return I.scored(r.select("*", *I.components(key)))
+    return I.scored(I.with_components(r, I.text_features("response")))
 
 
 def question_grid(spark, sf):
-    g = R.question_grid(_scored_responses(spark, sf), ["id"], "model", I.MODELS, "risk_index", with_gate=True)
-    return g.select("id", *[c for m in I.MODELS for c in (_r6(m), F.col(f"{m}_gate"))])
+    """The grid of all questions and models of the data, one row per cell."""
+    scored = _scored_responses(spark, sf)
+    found = I.models(scored)
+    g = R.question_grid(scored, ["id"], "model", found, "risk_index", with_gate=True)
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"`{m}`").alias("mean_index"),
+                                         F.col(f"`{m}_gate`").alias("gate")) for m in found])).alias("c")
+    return g.select("id", cells).select("id", "c.model", _r6("c.mean_index", "mean_index"), "c.gate")
 
 
 def fill_rate(spark, sf):
@@ -393,7 +401,7 @@ def response_detail(spark, sf):
     bank = I.bank(spark, sf)
     j = J.attach_bank(s, bank, "id").withColumn(
         "j", judge.judge_rate("response", "key_facts", "red_flags", "risk_level"))
-    order = R.models_first_seen(s.withColumn("pos", F.col("conv_id") * 100 + F.col("turn")),
+    order = R.models_first_seen(s.withColumn("pos", F.struct("conv_id", "turn")),
                                 "model", "pos")
     d = R.response_detail(j.withColumn("verdict", F.col("j.is_hallucinated").cast("int"))
                           .withColumn("snippet", T.snippet("response", fixed.SNIPPET_RESPONSE)),
@@ -419,10 +427,8 @@ def eval_f1(spark, sf):
 
 def eval_accuracy(spark, sf):
     s = I.labelled_scores(spark, sf)
-    s = s.withColumn("pred_severity", F.col("true_severity")
-                     + (draws.unit_draw(I.SEED, F.col("doc_id"), "noise") - 0.5) * 6.0)
     s = s.select(scoring.risk_bin("true_severity").alias("actual"),
-                 scoring.risk_bin("pred_severity").alias("predicted"))
+                 scoring.risk_bin("risk_index").alias("predicted"))
     return E.class_accuracy(s, "predicted", "actual").select(_r6("accuracy"))
 
 
@@ -463,6 +469,15 @@ def method_compare(spark, sf):
     return E.method_compare(methods, "true_label", df=s)
 
 
+def stratified_split_many(spark, sf):
+    """More labels than a driver-side table could hold, null among them: the length of
+    the text, null where the document has no label of its own."""
+    lab = I.table(spark, sf, "labels").select("doc_id", "toxic")
+    d = I.table(spark, sf, "documents").select("doc_id", "n_chars").join(lab, "doc_id", "left") \
+        .select("doc_id", F.when(F.col("toxic").isNotNull(), F.col("n_chars")).alias("size"))
+    return S.stratified_split(d, "size", "doc_id").select("doc_id", "size", "split")
+
+
 def stratified_split(spark, sf):
     lab = I.table(spark, sf, "labels").select("doc_id", "toxic")
     return S.stratified_split(lab, "toxic", "doc_id").select("doc_id", "toxic", "split")
@@ -478,7 +493,7 @@ def group_split(spark, sf):
 def gate_windows(spark, sf):
     from riskgate.streaming import gates as G
     ev = G.as_event_time(I.table(spark, sf, "events"))
-    scored = I.scored(ev.select("event_time", *I.components(F.col("event_id"))))
+    scored = I.scored(I.with_components(ev.select("event_time", "value"), I.value_features("value")))
     w = G.gate_windows(scored, window="1 hour", watermark=None)
     return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                     "gate", "n", _r6("avg_index"))
@@ -491,13 +506,12 @@ def qa_judge_report(spark, sf):
     # no spread here: the pair join already redistributes rows by (conv_id, turn)
     pairs = C.qa_pairs(I.table(spark, sf, "conversations"))
     r = pairs.select("conv_id", "turn", F.col("answer").alias("response"),
-                     F.pmod(F.col("conv_id"), F.lit(I.QUESTION_SLOTS)).alias("id"),
+                     I.question_of("conv_id", I.question_slots(spark, sf)).alias("id"),
                      F.concat(F.lit("turn"), F.col("answer_turn").cast("string")).alias("model"))
     j = J.attach_bank(r, I.bank(spark, sf), "id").withColumn(
         "j", judge.judge_rate("response", "key_facts", "red_flags", "risk_level"))
-    key = F.col("conv_id") * 100 + F.col("turn")
-    s = I.scored(j.select("model", F.col("j.is_hallucinated").alias("is_hallucinated"),
-                          *I.components(key)))
+    s = I.scored(I.with_components(
+        j.select("model", F.col("j.is_hallucinated").alias("is_hallucinated"), "response"), I.text_features("response")))
     rep = R.model_report(s)
     return rep.select("model", "n", _r6("avg_index"), _r6("hal_rate"), "n_auto", "n_review", "n_block")
 
@@ -551,6 +565,7 @@ QUERIES: dict[str, Query] = {
     "random_baseline": random_baseline,
     "method_compare": method_compare,
     "stratified_split": stratified_split,
+    "stratified_split_many": stratified_split_many,
     "group_split": group_split,
     "gate_windows": gate_windows,
     "source_option_columns": source_option_columns,

@@ -73,14 +73,38 @@ bank AS (
 )"""
 
 
-RESP = (f"SELECT conv_id, turn, conv_id % {I.QUESTION_SLOTS} AS id, "
+SLOTS = "(SELECT greatest(1, count(*) * {} // {}) FROM benchmark)".format(*I.SLOTS_PER_ROW)
+RESP = (f"SELECT conv_id, turn, conv_id % {SLOTS} AS id, "
         "'turn' || CAST(turn AS VARCHAR) AS model, text AS response, conv_id * 100 + turn AS rk "
         "FROM conversations WHERE role = 'assistant'")
 
 
-def components(key: str) -> str:
-    return (f"{D(key, 'u')} AS uncertainty, 1.0 + 4.0 * {D(key, 'r')} AS risk_score, "
-            f"{D(key, 'v')} AS violation")
+def text_features(text: str) -> list[str]:
+    t = f"coalesce({text}, '')"
+    n = f"CAST(length({t}) AS DOUBLE)"
+
+    def share(chars: str, scale: float) -> str:
+        return f"(({n} - length(translate({t}, {_quote(chars)}, ''))) * {scale} / ({n} + 1.0))"
+
+    return [share(" ", 1.0), share(".", 20.0), share("e", 5.0), share(I.SYMBOLS, 1.0), f"(ln({n} + 1.0) / 10.0)"]
+
+
+def value_features(value: str) -> list[str]:
+    v = f"coalesce(abs({value}), 0.0)"
+    return [f"({v} / ({v} + 100.0))", f"(({v} % 7.0) / 7.0)", f"(({v} % 3.0) / 3.0)", f"(({v} % 11.0) / 22.0)",
+            f"(ln({v} + 1.0) / 10.0)"]
+
+
+def components(features: list[str]) -> str:
+    def linear(probe) -> str:
+        bias, weights = probe
+        return "(" + " + ".join([f"({bias})", *(f"({w}) * {x}" for w, x in zip(weights, features, strict=True))]) + ")"
+
+    powers = [f"exp({linear(p)})" for p in I.RISK_PROBES]
+    weighted = " + ".join(f"{w} * {p}" for w, p in zip(fixed.RISK_CLASS_WEIGHTS, powers, strict=True))
+    return (f"1.0 / (1.0 + exp(-{linear(I.UNCERTAINTY_PROBE)})) AS uncertainty, "
+            f"greatest(1.0, least(5.0, ({weighted}) / ({' + '.join(powers)}))) AS risk_score, "
+            f"1.0 / (1.0 + exp(-{linear(I.VIOLATION_PROBE)})) AS violation")
 
 
 INDEX_SQL = "greatest(0.0, least(25.0, uncertainty * risk_score * violation * 5.0))"
@@ -89,20 +113,18 @@ GATE = "CASE WHEN risk_index < 5 THEN 'AUTO_USE' WHEN risk_index < 20 THEN 'REVI
 
 def scored_docs_cte() -> str:
     return f"""
-sd0 AS (SELECT doc_id, source AS model, text, {components('doc_id')},
-               {D('doc_id', 'label')} < 0.4 AS hal FROM documents),
+sd0 AS (SELECT doc_id, source AS model, text, {components(text_features('text'))} FROM documents),
 sd1 AS (SELECT *, {INDEX_SQL} AS risk_index FROM sd0),
-sd AS (SELECT *, {GATE} AS gate FROM sd1)"""
+sd AS (SELECT *, {GATE} AS gate, risk_index / 25.0 > 0.5 AS hal FROM sd1)"""
 
 
 def labelled_cte() -> str:
     return f"""
 ls0 AS (SELECT l.doc_id, l.quality, l.toxic AS true_label,
-               round(l.toxic * 0.3 + {D('l.doc_id', 'score')} * 0.7, 2) AS score,
                l.toxic * 15.0::DOUBLE + l.quality * 4.0::DOUBLE + {D('l.doc_id', 'sev')} * 6.0 AS true_severity,
-               d.n_chars / 1000.0 AS latency_ms, {components('l.doc_id')}
+               d.n_chars / 1000.0 AS latency_ms, {components(text_features('d.text'))}
         FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
-ls1 AS (SELECT *, {INDEX_SQL} AS risk_index FROM ls0),
+ls1 AS (SELECT *, round(uncertainty, 2) AS score, {INDEX_SQL} AS risk_index FROM ls0),
 ls AS (SELECT *, {GATE} AS gate FROM ls1)"""
 
 
@@ -178,27 +200,20 @@ RISK_BIN = "CAST(greatest(0, least(4, trunc({s} / 5.0))) AS INTEGER)"
 def _sql() -> dict[str, str]:
     suffixes = "[" + ", ".join(_quote(s) for s in fixed.SUFFIX_POOL) + "]"
     risk_values = ", ".join(f"({_quote(k)}, {v})" for k, v in sorted(I.SOURCE_RISK.items()))
-    models_values = ", ".join(f"({_quote(m)})" for m in I.MODELS)
     desc = " ".join(f"WHEN {_quote(k)} THEN {_quote(v)}" for k, v in fixed.GATE_DESCRIPTIONS.items())
     u_t, u_m = fixed.EXPLAIN_UNCERTAINTY
     r_t, r_m = fixed.EXPLAIN_RISK
     v_t, v_m = fixed.EXPLAIN_VIOLATION
     part_words = " OR ".join(f"contains(p_type, {_quote(w)})" for w in I.PART_TYPE_WORDS)
-    def _gate_of(x):
-        return (f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} < 5 THEN 'AUTO_USE' "
-                f"WHEN {x} < 20 THEN 'REVIEW' ELSE 'BLOCK' END")
-    grid = ", ".join(
-        f"round(avg(risk_index) FILTER (WHERE model = {_quote(m)}), 6) AS {m}, "
-        f"{_gate_of(f'avg(risk_index) FILTER (WHERE model = {_quote(m)})')} AS {m}_gate" for m in I.MODELS)
     sev_ref = _sev_range("true_label", "p_partkey", "severity_ref", *fixed.SEVERITY_REFERENCE["wrong"],
                          *fixed.SEVERITY_REFERENCE["right"])
     sev_map = _sev_range("true_label", "p_partkey", "severity", *fixed.SEVERITY_OPTION_MAP["wrong"],
                          *fixed.SEVERITY_OPTION_MAP["right"])
-    scored_resp = f"""sr0 AS (SELECT *, {components('rk')} FROM ({RESP})),
+    scored_resp = f"""sr0 AS (SELECT *, {components(text_features('response'))} FROM ({RESP})),
 sr1 AS (SELECT *, {INDEX_SQL} AS risk_index FROM sr0),
 sr AS (SELECT *, {GATE} AS gate FROM sr1)"""
     lin_w = f"{D('d', 'w', Q.LIN_SEED)} - 0.5"
-    proj_w = f"{D('o * 1000 + d', 'proj', Q.PROJ_SEED)} - 0.5"
+    proj_w = f"{D("concat_ws(':', o, d)", 'proj', Q.PROJ_SEED)} - 0.5"
 
     out = {}
     out["qa_pairs"] = """
@@ -221,8 +236,8 @@ SELECT i, bank_pos, true_label, round({_sev_risk('true_label', 'risk', 'i')}, 6)
        CAST(len(entities) AS INTEGER) AS n_entities
 FROM s"""
 
-    union = """u AS (SELECT 'documents' AS source, doc_id AS key, text FROM documents
-    UNION ALL SELECT 'conversations', conv_id * 100 + turn, text FROM conversations WHERE role = 'assistant')"""
+    union = """u AS (SELECT 'documents' AS source, CAST(doc_id AS VARCHAR) AS key, text FROM documents
+    UNION ALL SELECT 'conversations', conv_id || ':' || turn, text FROM conversations WHERE role = 'assistant')"""
     out["union_sources"] = f"""
 WITH {union}
 SELECT source, key, CAST(length(text) AS INTEGER) AS chars,
@@ -334,14 +349,14 @@ SELECT conv_id, turn, id, CAST(cov < 0.3 OR hit > 0 AS INTEGER) AS is_hallucinat
 FROM m"""
 
     out["unmatched_responses"] = f"""
-SELECT conv_id, turn, conv_id % {I.QUESTION_SLOTS} AS id FROM conversations
-WHERE role = 'assistant' AND conv_id % {I.QUESTION_SLOTS} NOT IN (SELECT item_id FROM benchmark)"""
+SELECT conv_id, turn, conv_id % {SLOTS} AS id FROM conversations
+WHERE role = 'assistant' AND conv_id % {SLOTS} NOT IN (SELECT item_id FROM benchmark)"""
 
     out["outstanding"] = f"""
-WITH r AS (SELECT conv_id % {I.QUESTION_SLOTS} AS id, 'turn' || CAST(turn AS VARCHAR) AS model
+WITH r AS (SELECT conv_id % {SLOTS} AS id, 'turn' || CAST(turn AS VARCHAR) AS model
            FROM conversations WHERE role = 'assistant' AND text IS NOT NULL AND text <> ''
              AND text <> {_quote(fixed.RESPONSE_PLACEHOLDER)}),
-m AS (SELECT * FROM (VALUES {models_values}) t(model))
+m AS (SELECT DISTINCT 'turn' || CAST(turn AS VARCHAR) AS model FROM conversations WHERE role = 'assistant')
 SELECT b.item_id AS id, m.model, substr(b.text, 1, {fixed.SNIPPET_HINT}) || '...' AS hint,
        {_quote(fixed.RESPONSE_PLACEHOLDER)} AS response
 FROM benchmark b CROSS JOIN m
@@ -398,29 +413,24 @@ SELECT vec_id, round(1.0 / (1.0 + exp(-(sum((v - mu) / sd * w) + {Q.LIN_BIAS})))
 FROM x JOIN st USING (d) JOIN w USING (d) GROUP BY vec_id"""
 
     s1, s2 = Q.RELU_SEEDS
-    out["relu_network"] = f"""
-WITH x AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS d
+    relu = f"""WITH x AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS d
            FROM embeddings),
-w1 AS (SELECT o AS h, d, {D('o * 1000 + d', 'relu1', s1)} - 0.5 AS w
+w1 AS (SELECT o AS h, d, {D("concat_ws(':', o, d)", 'relu1', s1)} - 0.5 AS w
        FROM range({Q.RELU_HIDDEN}) t1(o), range(64) t2(d)),
 b1 AS (SELECT h, {D('9000 + h', 'relu1b', s1)} - 0.5 AS b FROM range({Q.RELU_HIDDEN}) t(h)),
 h0 AS (SELECT vec_id, h, sum(v * w) AS z FROM x JOIN w1 USING (d) GROUP BY vec_id, h),
 h1 AS (SELECT vec_id, h, greatest(z + b, 0.0) AS a FROM h0 JOIN b1 USING (h)),
-w2 AS (SELECT o AS k, h, {D('o * 1000 + h', 'relu2', s2)} - 0.5 AS w
+w2 AS (SELECT o AS k, h, {D("concat_ws(':', o, h)", 'relu2', s2)} - 0.5 AS w
        FROM range({Q.RELU_OUT}) t1(o), range({Q.RELU_HIDDEN}) t2(h)),
 b2 AS (SELECT k, {D('9000 + k', 'relu2b', s2)} - 0.5 AS b FROM range({Q.RELU_OUT}) t(k)),
 o0 AS (SELECT vec_id, k, sum(a * w) AS z FROM h1 JOIN w2 USING (h) GROUP BY vec_id, k),
 o1 AS (SELECT vec_id, k, z + b AS z FROM o0 JOIN b2 USING (k)),
 m AS (SELECT vec_id, max(z) AS mz FROM o1 GROUP BY vec_id),
-e AS (SELECT vec_id, k, exp(z - mz) AS e FROM o1 JOIN m USING (vec_id))
+e AS (SELECT vec_id, k, exp(z - mz) AS e FROM o1 JOIN m USING (vec_id))"""
+    out["relu_network"] = relu + """
 SELECT vec_id, CAST(k AS INTEGER) AS dim, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS value FROM e"""
-
-    out["expected_risk"] = """
-WITH x AS (SELECT vec_id, CAST(unnest(embedding[1:5]) AS DOUBLE) AS v,
-                  generate_subscripts(embedding[1:5], 1) AS k FROM embeddings),
-m AS (SELECT vec_id, max(v) AS mx FROM x GROUP BY vec_id)
-SELECT vec_id, round(greatest(1.0, least(5.0, sum(exp(v - mx) * k) / sum(exp(v - mx)))), 6) AS expected_risk
-FROM x JOIN m USING (vec_id) GROUP BY vec_id"""
+    out["expected_risk"] = relu + """
+SELECT vec_id, round(greatest(1.0, least(5.0, sum(e * (k + 1)) / sum(e))), 6) AS expected_risk FROM e GROUP BY vec_id"""
 
     out["model_report"] = f"""
 WITH {scored_docs_cte()}
@@ -456,7 +466,10 @@ FROM documents GROUP BY source"""
 
     out["question_grid"] = f"""
 WITH {scored_resp}
-SELECT id, {grid} FROM sr GROUP BY id"""
+SELECT id, model, round(mean, 6) AS mean_index,
+       CASE WHEN mean IS NULL THEN NULL WHEN mean < 5 THEN 'AUTO_USE' WHEN mean < 20 THEN 'REVIEW' ELSE 'BLOCK' END AS gate
+FROM (SELECT DISTINCT id FROM sr) CROSS JOIN (SELECT DISTINCT model FROM sr)
+LEFT JOIN (SELECT id, model, avg(risk_index) AS mean FROM sr GROUP BY id, model) USING (id, model)"""
 
     out["fill_rate"] = f"""
 SELECT role, CAST(count_if(text IS NOT NULL AND text <> '' AND text <> {_quote(fixed.RESPONSE_PLACEHOLDER)}) AS BIGINT) AS n_filled,
@@ -468,7 +481,7 @@ FROM conversations GROUP BY role"""
     out["response_detail"] = f"""
 {_judge_base('rate')},
 {scored_resp},
-mo AS (SELECT model, CAST(row_number() OVER (ORDER BY min(rk), model) AS INTEGER) AS model_pos
+mo AS (SELECT model, CAST(row_number() OVER (ORDER BY min(conv_id * 1000000 + turn), model) AS INTEGER) AS model_pos
        FROM sr GROUP BY model)
 SELECT mo.model_pos, sr.model, m.id, m.conv_id, m.turn, sr.gate, round(sr.risk_index, 6) AS risk_index,
        CAST(cov < 0.3 OR rate > 0.3 AS INTEGER) AS verdict,
@@ -481,7 +494,7 @@ FROM m JOIN sr ON sr.rk = m.rk JOIN mo ON mo.model = sr.model"""
     out["eval_accuracy"] = f"""
 WITH {labelled_cte()},
 b AS (SELECT {RISK_BIN.format(s='true_severity')} AS actual,
-             {RISK_BIN.format(s="(true_severity + (" + D('doc_id', 'noise') + " - 0.5) * 6.0)")} AS predicted
+             {RISK_BIN.format(s='risk_index')} AS predicted
       FROM ls)
 SELECT round(avg(CAST(predicted = actual AS DOUBLE)), 6) AS accuracy FROM b"""
     out["eval_corr"] = f"WITH {labelled_cte()} SELECT round(corr(risk_index, true_severity), 6) + 0.0 AS severity_pearson_r FROM ls"
@@ -528,6 +541,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY d, doc_id) AS rn,
              count(*) OVER (PARTITION BY toxic) AS n FROM s)
 SELECT doc_id, toxic, CASE WHEN rn <= ceil(CAST(n AS DOUBLE) * 0.2) THEN 'test' ELSE 'train' END AS split
 FROM r"""
+    out["stratified_split_many"] = f"""
+WITH s AS (SELECT d.doc_id, CASE WHEN l.toxic IS NOT NULL THEN d.n_chars END AS size, {D('d.doc_id', 'split')} AS d
+           FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY d, doc_id) AS rn,
+             count(*) OVER (PARTITION BY size) AS n FROM s)
+SELECT doc_id, size, CASE WHEN rn <= ceil(CAST(n AS DOUBLE) * 0.2) THEN 'test' ELSE 'train' END AS split FROM r"""
     out["group_split"] = f"""
 WITH g AS (SELECT DISTINCT md5(text) AS text_key FROM documents),
 r AS (SELECT text_key, row_number() OVER (ORDER BY {D('text_key', 'group_split')}, text_key) AS rn,
@@ -537,7 +556,7 @@ FROM documents d JOIN r ON r.text_key = md5(d.text)"""
     out["qa_judge_report"] = f"""
 WITH {bank_ctes()},
 p AS (SELECT q.conv_id, q.turn, a.turn AS answer_turn, a.text AS response,
-             q.conv_id % {I.QUESTION_SLOTS} AS id, 'turn' || CAST(a.turn AS VARCHAR) AS model,
+             q.conv_id % {SLOTS} AS id, 'turn' || CAST(a.turn AS VARCHAR) AS model,
              q.conv_id * 100 + q.turn AS rk
       FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
       WHERE q.role = 'user' AND a.role = 'assistant'),
@@ -547,7 +566,7 @@ j AS (SELECT p.*, bank.risk_level AS risk,
              len(bank.key_facts) AS n_facts, len(bank.red_flags) AS n_flags
       FROM p JOIN bank ON bank.id = p.id),
 m AS (SELECT *, found / greatest(n_facts, 1) AS cov, hit / greatest(n_flags, 1) AS rate FROM j),
-c AS (SELECT model, (cov < 0.3 OR rate > 0.3) AS hal, {components('rk')} FROM m),
+c AS (SELECT model, (cov < 0.3 OR rate > 0.3) AS hal, {components(text_features('response'))} FROM m),
 q1 AS (SELECT *, {INDEX_SQL} AS risk_index FROM c),
 q AS (SELECT *, {GATE} AS gate FROM q1)
 SELECT model, count(*) AS n, round(avg(risk_index), 6) AS avg_index, round(avg(CAST(hal AS DOUBLE)), 6) AS hal_rate,
@@ -555,7 +574,7 @@ SELECT model, count(*) AS n, round(avg(risk_index), 6) AS avg_index, round(avg(C
        CAST(count_if(gate = 'BLOCK') AS BIGINT) AS n_block
 FROM q GROUP BY model"""
     out["gate_windows"] = f"""
-WITH e0 AS (SELECT ts, {components('event_id')} FROM events),
+WITH e0 AS (SELECT ts, {components(value_features('value'))} FROM events),
 e1 AS (SELECT *, {INDEX_SQL} AS risk_index FROM e0),
 e AS (SELECT *, {GATE} AS gate FROM e1)
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, gate,

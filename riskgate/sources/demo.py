@@ -13,14 +13,13 @@ from pyspark.sql import functions as F
 from riskgate import fixed
 from riskgate.functions import draws, options
 from riskgate.functions import text as T
-from riskgate.operators.joins import bounded_broadcast
 
 
 def nation_bank(nation: DataFrame, region: DataFrame) -> DataFrame:
     """A question bank derived from nation/region: which region holds a nation;
     the wrong answer is the next region. ``bank_pos`` = nation key."""
     n_regions = region.count()
-    reg = bounded_broadcast(region.select("r_regionkey", "r_name"))
+    reg = region.select("r_regionkey", "r_name")
     wrong = reg.select(F.col("r_regionkey").alias("_wk"), F.col("r_name").alias("wrong"))
     return (nation.join(reg, nation.n_regionkey == reg.r_regionkey, "inner")
                   .join(wrong, F.pmod(F.col("n_regionkey") + 1, F.lit(n_regions)) == F.col("_wk"), "inner")
@@ -40,7 +39,7 @@ def cyclic_resample(index: DataFrame, bank: DataFrame, n_bank: int, seed: int =
     rows = index.select(key, F.pmod(key, F.lit(n_bank)).alias("bank_pos"),
                         F.element_at(pool, (F.pmod(key, F.lit(len(suffixes))) + 1).cast("int")).alias("suffix"),
                         options.corrupted(seed, key, rate).alias("_hal"))
-    s = rows.join(bounded_broadcast(bank), "bank_pos", "inner")
+    s = rows.join(bank, "bank_pos", "inner")
     s = s.withColumn("true_label", F.col("_hal").cast("int"))
     return s.select(
         i, "bank_pos", "true_label",
@@ -70,9 +69,9 @@ def union_sources(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame
     """Documents and assistant turns as one sample table (S5/U1); duplicates kept."""
     from riskgate.plans.inputs import table
     docs = table(spark, sf_dir, "documents").select(
-        F.lit("documents").alias("source"), F.col("doc_id").alias("key"), "text")
+        F.lit("documents").alias("source"), F.col("doc_id").cast("string").alias("key"), "text")
     conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant").select(
-        F.lit("conversations").alias("source"), (F.col("conv_id") * 100 + F.col("turn")).alias("key"), "text")
+        F.lit("conversations").alias("source"), F.concat_ws(":", "conv_id", "turn").alias("key"), "text")
     u = docs.unionByName(conv)
     k = F.concat_ws(":", F.col("source"), F.col("key").cast("string"))
     return u.withColumn("true_label", draws.bernoulli(seed, k, "label", fixed.HALLUCINATION_RATE).cast("int"))

@@ -10,7 +10,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "part", "events", "documents", "embeddings", "benchmark",
-          "labels", "conversations"]
+          "labels", "conversations", "pages"]
 
 
 def _norm(v):

@@ -129,6 +129,20 @@ def test_project_and_linear_apply_match_numpy(spark):
         assert got[i] == pytest.approx(want[i])
 
 
+def test_wide_null_and_mismatched_vectors(spark):
+    wide = [float(k % 7) for k in range(1500)]
+    df = spark.createDataFrame([(1, wide), (2, None)], "k int, v array<double>")
+    M = FT.draw_matrix(7, 3, 1500)
+    assert len({M[o, d] for o in range(3) for d in range(1500)}) > 4400      # no two entries share a draw key
+    got = {r.k: r.projected for r in FT.project(df, "v", M).collect()}
+    assert np.allclose(got[1], M @ np.array(wide)) and got[2] is None
+    W1 = np.ones((1500, 2))
+    p = {r.k: r.probability for r in FT.relu_apply(df, "v", [(W1, np.zeros(2))]).collect()}
+    assert np.allclose(p[1], [0.5, 0.5]) and p[2] is None
+    with pytest.raises(Exception, match="1500 dimensions, the weights have 4"):
+        FT.project(df, "v", np.ones((3, 4))).collect()
+
+
 def test_layer_pool_matches_numpy(spark):
     rng = np.random.default_rng(2)
     rows = [(s, l, p, rng.normal(size=4).tolist()) for s in range(3) for l in range(3) for p in range(4)]

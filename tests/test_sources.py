@@ -21,23 +21,23 @@ def _write_json_lines(path, rows):
 
 def test_option_map_source(spark, tmp_dir):
     p = os.path.join(tmp_dir, "keyed/part.json")
-    rows = [{"sample_id": i, "question": f"Which drug for case {i}?",
-             "options": [{"key": "A", "value": "Metformin daily"}, {"key": "B", "value": "Insulin glargine"}],
+    rows = [{"sample_id": i, "question": f"Which paving for yard {i}?",
+             "options": [{"key": "A", "value": "Granite slabs"}, {"key": "B", "value": "Cobble stones"}],
              "answer_idx": "A" if i % 2 else "Z"} for i in range(60)]
     _write_json_lines(p, rows)
     df = qa.option_map_source(spark.read.schema(qa.OPTION_MAP_SCHEMA).json(p), n=50)
     out = df.collect()
     assert len(out) == 50 and set(df.columns) == set(qa.SAMPLE_COLUMNS)
     for r in out:
-        assert r.text.startswith("Q: Which drug") and "\nA: " in r.text
+        assert r.text.startswith("Q: Which paving") and "\nA: " in r.text
         assert (15 <= r.true_severity <= 25) if r.true_label else (0 <= r.true_severity <= 4)
-        assert "Metformin" in r.entities or "Insulin" in r.entities
+        assert "Granite" in r.entities or "Cobble" in r.entities
 
 
 def test_option_column_source(spark, tmp_dir):
     p = os.path.join(tmp_dir, "columns/part.json")
-    rows = [{"sample_id": i, "question": "Dose?", "opa": "Aspirin", "opb": "Heparin", "opc": "Warfarin",
-             "opd": "Naloxone", "cop": i % 4, "subject_name": ["Surgery", "Dental", None, "Unknown"][i % 4],
+    rows = [{"sample_id": i, "question": "Roof?", "opa": "Slate", "opb": "Thatch", "opc": "Copper",
+             "opd": "Shingle", "cop": i % 4, "subject_name": ["Surgery", "Dental", None, "Unknown"][i % 4],
              "exp": ""} for i in range(20)]
     _write_json_lines(p, rows)
     out = qa.option_column_source(spark.read.schema(qa.OPTION_COLUMN_SCHEMA).json(p)).collect()
@@ -65,17 +65,17 @@ def test_reference_answer_source(spark, tmp_dir):
 def test_response_files_bank_and_audit(spark, tmp_dir):
     bank_path = os.path.join(tmp_dir, "bank.json")
     _write_json_lines(bank_path, [
-        {"id": "Q01", "category": "Pharmacology", "risk_level": 5, "question": "Antidote?",
-         "correct_answer": "N-acetylcysteine (NAC) within 8 hours.", "key_facts": ["N-acetylcysteine", "NAC"],
-         "red_flags": ["naloxone"], "entities": ["acetaminophen"]},
-        {"id": "Q02", "category": "Cardiology", "risk": 4, "question": "STEMI?",
-         "correct_facts": ["PCI", "aspirin"], "red_flags": ["discharge"], "entities": ["STEMI"]},
+        {"id": "Q01", "category": "Masonry", "risk_level": 5, "question": "Mortar?",
+         "correct_answer": "Lime mortar (NHL 3.5) in dry weather.", "key_facts": ["lime mortar", "NHL"],
+         "red_flags": ["gypsum"], "entities": ["mortar"]},
+        {"id": "Q02", "category": "Roofing", "risk": 4, "question": "Flashing?",
+         "correct_facts": ["lead", "copper"], "red_flags": ["felt only"], "entities": ["Flashing"]},
     ])
     bank = qa.bank_source(spark, bank_path)
     assert {r.id: r.risk_level for r in bank.collect()} == {"Q01": 5, "Q02": 4}
     files = []
-    for model, resp in (("m1", ["NAC is the antidote", "Give PCI and aspirin"]),
-                        ("m2", ["naloxone", fixed.RESPONSE_PLACEHOLDER])):
+    for model, resp in (("m1", ["NHL is the binder", "Use lead and copper"]),
+                        ("m2", ["gypsum", fixed.RESPONSE_PLACEHOLDER])):
         path = os.path.join(tmp_dir, f"responses_{model}.json")
         with open(path, "w") as f:
             json.dump({"_instructions": ["fill in"], "responses": [
@@ -129,10 +129,10 @@ def test_audit_with_model_scores_nested_records(spark, tmp_dir):
     feats = planted(spark, n=200)
     model = RiskProbes(mlp_max_rounds=2, mlp_patience=1).fit(feats)
     bank = spark.createDataFrame(
-        [("Q1", "Pharmacology", 5, "Antidote?", ["nac"], ["naloxone"], ["acetaminophen"])],
+        [("Q1", "Masonry", 5, "Mortar?", ["nhl"], ["gypsum"], ["mortar"])],
         "id string, category string, risk_level int, question string, key_facts array<string>, "
         "red_flags array<string>, entities array<string>")
-    responses = spark.createDataFrame([("Q1", "m1", "NAC", 1), ("Q1", "m2", "naloxone now", 2)],
+    responses = spark.createDataFrame([("Q1", "m1", "NHL", 1), ("Q1", "m2", "gypsum now", 2)],
                                       "id string, model string, response string, sample_id long")
     out = audit.audit_responses(responses, bank, features=feats.select("sample_id", "features"), model=model)
     rows = {r.model: r for r in out.collect()}

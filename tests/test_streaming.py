@@ -13,7 +13,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def _scored(df):
-    return I.scored(G.as_event_time(df).select("event_id", "event_time", *I.components(F.col("event_id"))))
+    return I.scored(I.with_components(G.as_event_time(df).select("event_id", "event_time", "value"),
+                                      I.value_features("value")))
 
 
 def test_stream_gate_windows_equal_batch(spark, tmp_dir):
