@@ -83,11 +83,6 @@ def term_count(terms) -> Column:
     return F.size(F.coalesce(_col(terms), F.array().cast("array<string>")))
 
 
-def pooling_count(terms) -> Column:
-    """Term count with a floor of 1, as used for pooling."""
-    return F.greatest(F.lit(1), term_count(terms))
-
-
 def normalised(index, high: float = fixed.INDEX_MAX) -> Column:
     """index / 25."""
     return _col(index) / F.lit(high)

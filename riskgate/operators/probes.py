@@ -9,8 +9,8 @@ C * sum(loss) + penalty; Spark minimises mean(loss) + regParam * penalty, so
 regParam = 1 / (C * n_train). The scaler divides by the sample standard
 deviation (n - 1), where a population scaler divides by n; the difference is a
 factor sqrt((n - 1) / n) on every feature. Spark's perceptron uses sigmoid
-hidden units; early stopping is a loop of short fits continued from the
-previous weights, judged on a held-out tenth of the training rows.
+hidden units; early stopping is a loop of fits continued from the previous
+weights, each judged on a held-out tenth of the training rows.
 """
 
 from __future__ import annotations
@@ -54,12 +54,12 @@ class ProbeParams:
     violation_c: float = fixed.VIOLATION_C
     hidden_layers: Sequence[int] = field(default_factory=lambda: list(fixed.RISK_HIDDEN_LAYERS))
     classes: int = fixed.RISK_CLASSES
-    max_iter: int = 100
+    max_iter: int = 1000
     tol: float = 1e-4
     rows_per_partition: int = 200_000
-    mlp_round_iter: int = 10
-    mlp_max_rounds: int = 20
-    mlp_patience: int = 5
+    mlp_round_iter: int = 50
+    mlp_max_rounds: int = 10
+    mlp_patience: int = 2
     mlp_validation_fraction: float = 0.1
     min_rows: int = fixed.MIN_FIT_ROWS
 
@@ -75,6 +75,42 @@ def _positive(prob_col: str):
     return vector_to_array(F.col(prob_col))[1]
 
 
+def logistic_probe(name: str, label: str, c: float, n_train: int, l1: float, p: ProbeParams) -> LogisticRegression:
+    """A logistic probe of inverse strength ``c`` on the scaled vector, L2 (l1 = 0) or L1."""
+    return LogisticRegression(
+        featuresCol=_SCALED, labelCol=label, regParam=1.0 / (c * n_train), elasticNetParam=l1, standardization=False,
+        maxIter=p.max_iter, tol=p.tol, probabilityCol=f"_{name}_prob", rawPredictionCol=f"_{name}_raw",
+        predictionCol=f"_{name}_pred")
+
+
+def stationarity(df: DataFrame, params: ProbeParams, tolerance: float = 5e-3) -> DataFrame:
+    """(probe, dim, stationary): whether the fitted logistic probes satisfy the
+    optimality condition of their objective in each dimension. With g the mean gradient
+    of the loss and r the penalty: |g + r w| is small for L2; for L1, |g + r sign(w)| is
+    small where w is not 0, and |g| is at most r elsewhere."""
+    p = params
+    data = _with_labels(df, p).persist(StorageLevel.MEMORY_AND_DISK)
+    n = data.count()
+    scaled = StandardScaler(inputCol=_VEC, outputCol=_SCALED, withMean=True, withStd=True).fit(data).transform(data)
+    parts = []
+    for name, label, c, l1 in (("uncertainty", "_y", p.uncertainty_c, 0.0), ("violation", "_violation", p.violation_c, 1.0)):
+        model = logistic_probe(name, label, c, n, l1, p).fit(scaled)
+        x = vector_to_array(F.col(_SCALED))
+        error = _positive(f"_{name}_prob") - F.col(label)
+        terms = model.transform(scaled).select(F.posexplode(x).alias("dim", "x"), error.alias("e"))
+        weights = F.array(*[F.lit(float(w)) for w in model.coefficients])
+        rows = terms.groupBy("dim").agg(F.avg(F.col("x") * F.col("e")).alias("g")) \
+            .withColumn("w", F.element_at(weights, F.col("dim") + 1))
+        r = 1.0 / (c * n)
+        if l1:
+            residual = F.when(F.col("w") != 0, F.abs(F.col("g") + r * F.signum("w"))) \
+                .otherwise(F.greatest(F.lit(0.0), F.abs("g") - r))
+        else:
+            residual = F.abs(F.col("g") + r * F.col("w"))
+        parts.append(rows.select(F.lit(name).alias("probe"), "dim", (residual < tolerance).alias("stationary")))
+    return parts[0].unionByName(parts[1])
+
+
 class RiskProbes:
     """Estimator for the uncertainty (L2 logistic), risk (perceptron, 5 classes)
     and violation (L1 logistic) probes."""
@@ -82,13 +118,19 @@ class RiskProbes:
     def __init__(self, **params):
         self.params = ProbeParams(**params)
 
-    def fit(self, df: DataFrame) -> "RiskProbesModel":
+    def fit(self, df: DataFrame, validation: DataFrame | None = None) -> "RiskProbesModel":
+        """Fits on ``df`` and validates on ``validation``; without it, ``df`` is split
+        by label first. Only the key, the labels and the vector are kept."""
         p = self.params
         t0 = time.time()
         require_rows(df, p.min_rows)
-        data = _with_labels(df, p)
-        split = stratified_split(data, p.label_col, p.key_col, p.test_fraction, p.seed) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
+        needed = [p.key_col, p.label_col, p.severity_col, p.features_col]
+        if validation is None:
+            split = stratified_split(df.select(*needed), p.label_col, p.key_col, p.test_fraction, p.seed)
+        else:
+            split = df.select(*needed, F.lit("train").alias("split")).unionByName(
+                validation.select(*needed, F.lit("test").alias("split")))
+        split = _with_labels(split, p).persist(StorageLevel.MEMORY_AND_DISK)
         train = split.filter(F.col("split") == "train")
         test = split.filter(F.col("split") == "test")
 
@@ -123,15 +165,9 @@ class RiskProbes:
         counts = counts["train"]
         train_s.count()          # materialise once before the concurrent fits read it
 
-        c_est = LogisticRegression(
-            featuresCol=_SCALED, labelCol="_y", regParam=1.0 / (p.uncertainty_c * n_train),
-            elasticNetParam=0.0, standardization=False, maxIter=p.max_iter, tol=p.tol,
-            probabilityCol="_c_prob", rawPredictionCol="_c_raw", predictionCol="_c_pred")
+        c_est = logistic_probe("c", "_y", p.uncertainty_c, n_train, 0.0, p)
         v_label = "_violation" if counts["nv"] > 1 else "_y"
-        v_est = LogisticRegression(
-            featuresCol=_SCALED, labelCol=v_label, regParam=1.0 / (p.violation_c * n_train),
-            elasticNetParam=1.0, standardization=False, maxIter=p.max_iter, tol=p.tol,
-            probabilityCol="_v_prob", rawPredictionCol="_v_raw", predictionCol="_v_pred")
+        v_est = logistic_probe("v", v_label, p.violation_c, n_train, 1.0, p)
 
         # The three probes are independent: submit them as concurrent Spark jobs
         # (each is a sequence of distributed gradient passes over train_s).
@@ -182,18 +218,17 @@ class RiskProbes:
                 m.setInitialWeights(weights)
             return m
 
-        model = make().fit(fit_part)
-        best, best_acc, stale = model, -1.0, 0
+        best, best_acc, stale, model = None, -1.0, 0, None
         for _ in range(p.mlp_max_rounds):
+            model = make(model.weights if model is not None else None).fit(fit_part)
             acc = E.class_accuracy(model.transform(val_part), "_r_pred", "_risk_bin").first()[0]
             acc = -1.0 if acc is None else float(acc)
-            if acc > best_acc + 1e-4:
+            if best is None or acc > best_acc + 1e-4:
                 best, best_acc, stale = model, acc, 0
             else:
                 stale += 1
                 if stale >= p.mlp_patience:
                     break
-            model = make(model.weights).fit(fit_part)
         return best
 
 

@@ -26,22 +26,26 @@ from riskgate.operators.split import group_split
 def audit_responses(responses: DataFrame, bank: DataFrame,
                     features: DataFrame | None = None,
                     model: RiskProbesModel | None = None,
-                    key: str = "id") -> DataFrame:
-    """Judged (and, given a fitted model and a feature table keyed by
-    ``sample_id``, scored) result records, one per filled response."""
+                    key: str = "id", rule: str = "rate", scorer=None) -> DataFrame:
+    """Judged (and scored) result records, one per filled response. ``rule`` picks
+    the judge (``rate`` or ``any_flag``). Scores come from a fitted model with a
+    feature table keyed by ``sample_id``, or from ``scorer``, which adds
+    uncertainty, risk_score, violation, risk_index and gate to rows with
+    ``response_text``."""
+    judged = {"rate": judge.judge_rate, "any_flag": judge.judge_any_flag}[rule]
     filled = responses.filter(judge.is_filled("response"))
     b = bank.select(key, F.col("category").alias("bank_category"), "risk_level",
                     F.col("question").alias("bank_question"), "key_facts", "red_flags",
                     F.col("entities").alias("bank_entities"))
     r = J.attach_bank(filled, b, key)
-    r = r.withColumn("judgment", judge.judge_rate("response", "key_facts", "red_flags", "risk_level"))
+    r = r.withColumn("judgment", judged("response", "key_facts", "red_flags", "risk_level"))
     r = r.withColumn("entities", judge.term_fallback(T.extract_terms(F.col("response")), F.col("bank_entities")))
     r = r.withColumn("text", T.prompt_text("bank_question", "response"))
     out = r.select(
         key, F.col("bank_category").alias("category"), "risk_level", "model",
         T.snippet("bank_question", fixed.SNIPPET_QUESTION).alias("question"),
         T.snippet("response", fixed.SNIPPET_RESPONSE).alias("response_snippet"),
-        "judgment", "entities", "text",
+        "judgment", "entities", "text", *([F.col("response").alias("response_text")] if scorer else []),
         *([F.col("sample_id")] if "sample_id" in r.columns else []))
     if model is not None and features is not None:
         scored = model.transform(out.join(features, "sample_id", "inner"))
@@ -51,6 +55,8 @@ def audit_responses(responses: DataFrame, bank: DataFrame,
             F.round("causal_violation_prob", 4).alias("violation"),
             scoring.score_struct("uncertainty_score", "risk_score", "causal_violation_prob", "risk_index", "gate",
                                  scoring.term_count("entities"), "explanation").alias("score"))
+    if scorer is not None:
+        out = scorer(out)
     return out
 
 
@@ -60,24 +66,41 @@ def audit_report(results: DataFrame) -> DataFrame:
     return R.model_rank(rep)
 
 
+def compare_models(responses: DataFrame, bank: DataFrame, scorer) -> DataFrame:
+    """Per-model statistics and rank of responses judged by the any-flag rule, with
+    terms falling back to the bank's, scored and graded (J1, P22b, P23, A2, O1)."""
+    done = audit_responses(responses, bank, rule="any_flag", scorer=scorer)
+    done = done.withColumn("is_hallucinated", F.col("judgment.is_hallucinated"))
+    return R.model_rank(R.model_stats(done))
+
+
 def benchmark_run(samples: DataFrame, test_fraction: float = fixed.SPLIT_TEST_FRACTION,
-                  **probe_params) -> tuple[DataFrame, dict]:
-    """Fit on the train side of a text-grouped split, evaluate on the test side
-    against the random and confidence-only baselines. Returns the method table
-    and the training record."""
+                  **probe_params) -> tuple[DataFrame, DataFrame, dict]:
+    """One text-grouped split: every method is fitted on all its training rows and judged
+    on its test rows. Returns the method table, the evaluation of the probes (M11) and
+    the training record."""
     s = samples.withColumn("_text_key", F.md5("text")) if "text" in samples.columns \
         else samples.withColumn("_text_key", F.col("sample_id").cast("string"))
-    split = group_split(s, "_text_key", test_fraction)
-    train = split.filter(F.col("split") == "train").drop("split", "_text_key")
-    test = split.filter(F.col("split") == "test").drop("split", "_text_key")
-    model = RiskProbes(**probe_params).fit(train)
+    split = group_split(s, "_text_key", test_fraction).drop("_text_key")
+    train = split.filter(F.col("split") == "train").drop("split")
+    test = split.filter(F.col("split") == "test").drop("split")
+    model = RiskProbes(**probe_params).fit(train, validation=test)
     scored = model.transform(test).withColumn("index_score", scoring.normalised("risk_index"))
     scored = E.random_baseline(scored, "sample_id")
     conf = confidence_baseline(train, test).select("sample_id", "confidence_score")
     scored = scored.join(conf, "sample_id", "inner")
     table = E.method_compare({"random": "random_score", "confidence_only": "confidence_score",
                               "probes": "index_score"}, "true_label", df=scored)
-    return table, model.stats
+    return table, E.evaluate(scored), model.stats
+
+
+def evaluation_record(evaluation: DataFrame, table: DataFrame) -> DataFrame:
+    """The evaluation and the method table as one long table (K3): section, method,
+    metric, value."""
+    from riskgate.sinks.writers import long_report
+    head = long_report(evaluation.withColumn("method", F.lit("probes")), "method")
+    return head.select(F.lit("evaluation").alias("section"), "method", "metric", "value").unionByName(
+        long_report(table, "method").select(F.lit("methods").alias("section"), "method", "metric", "value"))
 
 
 def benchmark_report(spark, table: DataFrame, stats: dict, config: dict) -> DataFrame:

@@ -24,6 +24,7 @@ from riskgate.operators import report as R
 from riskgate.operators import split as S
 from riskgate.plans import inputs as I
 from riskgate.sources import conversations as C
+from riskgate.session import cut_lineage
 from riskgate.sources import demo
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -413,11 +414,11 @@ def response_detail(spark, sf):
 # --------------------------------------------------------------------------- evaluation
 
 def eval_auc(spark, sf):
-    return E.roc_auc(I.labelled_scores(spark, sf), "true_label", "score").select(_r6("auc_roc"))
+    return E.roc_auc(_kept_scores(spark, sf), "true_label", "score").select(_r6("auc_roc"))
 
 
 def eval_ap(spark, sf):
-    return E.average_precision(I.labelled_scores(spark, sf), "true_label", "score") \
+    return E.average_precision(_kept_scores(spark, sf), "true_label", "score") \
         .select(_r6("avg_precision"))
 
 
@@ -452,8 +453,13 @@ def mean_by_label(spark, sf):
     return R.mean_by_label(s, "true_label", "risk_index").select("true_label", _r6("mean_index"), "n")
 
 
+def _kept_scores(spark, sf) -> DataFrame:
+    """The labelled scores, a few numbers a row, computed once from the texts."""
+    return cut_lineage(I.labelled_scores(spark, sf))
+
+
 def evaluation(spark, sf):
-    return E.evaluate(I.labelled_scores(spark, sf), duration="latency_ms")
+    return E.evaluate(_kept_scores(spark, sf), duration="latency_ms")
 
 
 def random_baseline(spark, sf):
@@ -462,7 +468,7 @@ def random_baseline(spark, sf):
 
 
 def method_compare(spark, sf):
-    s = I.labelled_scores(spark, sf)
+    s = _kept_scores(spark, sf)
     s = E.random_baseline(s, "doc_id")
     s = s.withColumn("index_score", scoring.normalised("risk_index"))
     methods = {"random": "random_score", "uncertainty": "uncertainty", "index": "index_score"}

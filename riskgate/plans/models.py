@@ -1,6 +1,7 @@
 """Model-stage queries (M1-M9): fitted on the embeddings table with label
-"class 0 against the rest". Fits are iterative, so these have no SQL oracle;
-scoring of given weights is oracle-checked separately (``linear_apply``)."""
+"class 0 against the rest". Fits are iterative, so their scores have no SQL oracle;
+their row counts and optimality conditions have one, and so have the audits and the
+benchmark record with given probes."""
 
 from __future__ import annotations
 
@@ -23,7 +24,7 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fit(spark, sf):
-    return RiskProbes(mlp_max_rounds=5, mlp_patience=2).fit(samples(spark, sf))
+    return RiskProbes().fit(samples(spark, sf))
 
 
 def fit_score(spark, sf):
@@ -51,8 +52,7 @@ def benchmark_methods(spark, sf):
     """The benchmark run: group-aware split, fit, probes vs random and
     confidence-only baselines (M6, M9-M11, U3)."""
     from riskgate.plans.audit import benchmark_run
-    table, _ = benchmark_run(samples(spark, sf), mlp_max_rounds=5, mlp_patience=2)
-    return table
+    return benchmark_run(samples(spark, sf))[0]
 
 
 def audit_results(spark, sf):
@@ -66,7 +66,56 @@ def audit_results(spark, sf):
                     F.md5("text").alias("text_md5"))
 
 
+def _scorer(df: DataFrame) -> DataFrame:
+    return I.scored(I.with_components(df, I.text_features("response_text")))
+
+
+def _bank(spark, sf) -> DataFrame:
+    return I.bank(spark, sf).withColumn("category", F.concat(F.lit("item"), F.col("id").cast("string")))
+
+
+def scored_audit(spark, sf):
+    """Judge and scores of every response by the given probes."""
+    from riskgate.plans.audit import audit_responses
+    r = audit_responses(I.responses(spark, sf, spread=True), _bank(spark, sf), scorer=_scorer)
+    return r.select("id", "model", F.col("judgment.is_hallucinated").cast("int").alias("is_hallucinated"),
+                    F.col("judgment.severity").alias("severity"), F.round("uncertainty", 4).alias("uncertainty"),
+                    F.round("risk_score", 4).alias("risk_score"), F.round("violation", 4).alias("violation"),
+                    F.round("risk_index", 2).alias("risk_index"), "gate", F.md5("text").alias("text_md5"))
+
+
+def compare_models(spark, sf):
+    """The model comparison: any-flag judge, scores, statistics, grade and rank."""
+    from riskgate.plans import audit
+    return audit.compare_models(I.responses(spark, sf, spread=True), _bank(spark, sf), _scorer)
+
+
+def benchmark_record(spark, sf):
+    """Evaluation and method table of the given probes as the long record."""
+    from riskgate.plans.audit import evaluation_record
+    from riskgate.plans.catalog import evaluation, method_compare
+    return evaluation_record(evaluation(spark, sf), method_compare(spark, sf)) \
+        .select("section", "method", "metric", F.round("value", 4).alias("value"))
+
+
+def fit_counts(spark, sf):
+    """Rows that the fit trains and validates on, by label."""
+    s = stratified_split(samples(spark, sf), "true_label", "sample_id")
+    return s.groupBy("split", "true_label").agg(F.count("*").alias("n"))
+
+
+def fit_stationarity(spark, sf):
+    """Whether both logistic probes meet the optimality conditions of their objectives."""
+    from riskgate.operators.probes import ProbeParams, stationarity
+    return stationarity(samples(spark, sf), ProbeParams())
+
+
 MODEL_QUERIES = {
+    "scored_audit": scored_audit,
+    "compare_models": compare_models,
+    "benchmark_record": benchmark_record,
+    "fit_counts": fit_counts,
+    "fit_stationarity": fit_stationarity,
     "benchmark_methods": benchmark_methods,
     "audit_results": audit_results,
     "fit_score": fit_score,

@@ -340,6 +340,40 @@ SELECT m.id, r.model, CAST(cov < 0.3 OR rate > 0.3 AS INTEGER) AS is_hallucinate
 FROM m JOIN ({RESP}) r ON r.rk = m.rk JOIN bank ON bank.id = m.id LEFT JOIN rt ON rt.k = m.rk
 WHERE m.response IS NOT NULL AND m.response <> '' AND m.response <> {_quote(fixed.RESPONSE_PLACEHOLDER)}"""
 
+    out["scored_audit"] = f"""
+{_judge_base('rate')},
+{scored_resp}
+SELECT m.id, sr.model, CAST(cov < 0.3 OR rate > 0.3 AS INTEGER) AS is_hallucinated, {SEV_RATE} AS severity,
+       round(uncertainty, 4) AS uncertainty, round(risk_score, 4) AS risk_score, round(violation, 4) AS violation,
+       round(risk_index, 2) AS risk_index, gate,
+       md5('Q: ' || bank.question || chr(10) || 'A: ' || m.response) AS text_md5
+FROM m JOIN sr ON sr.rk = m.rk JOIN bank ON bank.id = m.id
+WHERE m.response IS NOT NULL AND m.response <> '' AND m.response <> {_quote(fixed.RESPONSE_PLACEHOLDER)}"""
+
+    out["compare_models"] = f"""
+{_judge_base('any')},
+{scored_resp},
+a AS (SELECT model, round(avg(risk_index), 2) AS avg_index,
+             round(avg(CAST(cov < 0.3 OR hit > 0 AS DOUBLE)) * 100, 1) AS hal_rate,
+             CAST(count_if(risk_index < 5) AS BIGINT) AS auto,
+             CAST(count_if(risk_index >= 5 AND risk_index < 20) AS BIGINT) AS review,
+             CAST(count_if(risk_index >= 20) AS BIGINT) AS block
+      FROM m JOIN sr ON sr.rk = m.rk
+      WHERE m.response IS NOT NULL AND m.response <> '' AND m.response <> {_quote(fixed.RESPONSE_PLACEHOLDER)}
+      GROUP BY model)
+SELECT *, CASE WHEN avg_index < 4 THEN 3 WHEN avg_index < 7 THEN 2 ELSE 1 END AS grade,
+       CAST(rank() OVER (ORDER BY avg_index) AS INTEGER) AS rank FROM a"""
+
+    out["fit_counts"] = f"""
+WITH s AS (SELECT CAST(label = 0 AS INTEGER) AS true_label, vec_id, {D('vec_id', 'split', fixed.SPLIT_SEED)} AS d FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY true_label ORDER BY d, vec_id) AS rn,
+             count(*) OVER (PARTITION BY true_label) AS n FROM s)
+SELECT CASE WHEN rn <= ceil(CAST(n AS DOUBLE) * 0.2) THEN 'test' ELSE 'train' END AS split, true_label, count(*) AS n
+FROM r GROUP BY 1, 2"""
+    out["fit_stationarity"] = """
+SELECT probe, CAST(d AS INTEGER) AS dim, true AS stationary
+FROM (VALUES ('uncertainty'), ('violation')) p(probe), (SELECT unnest(range(max(len(embedding)))) AS d FROM embeddings)"""
+
     out["judge_any_flag"] = f"""
 {_judge_base('any')}
 SELECT conv_id, turn, id, CAST(cov < 0.3 OR hit > 0 AS INTEGER) AS is_hallucinated,
@@ -535,6 +569,12 @@ SELECT doc_id, round({D('doc_id', 'random', fixed.RANDOM_BASELINE_SEED)}, 6) AS
 WITH {labelled_cte()},
 mc AS (SELECT *, {mc_cols} FROM ls)
 """ + "\nUNION ALL\n".join(parts)
+    out["benchmark_record"] = f"""
+SELECT 'evaluation' AS section, 'probes' AS method, metric, round(value, 4) AS value
+FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM ({out["evaluation"]})) ON COLUMNS(*) INTO NAME metric VALUE value)
+UNION ALL
+SELECT 'methods', method, metric, value
+FROM (UNPIVOT ({out["method_compare"]}) ON auc_roc, avg_precision, f1 INTO NAME metric VALUE value)"""
     out["stratified_split"] = f"""
 WITH s AS (SELECT doc_id, toxic, {D('doc_id', 'split')} AS d FROM labels),
 r AS (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY d, doc_id) AS rn,

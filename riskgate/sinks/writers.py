@@ -35,6 +35,16 @@ def write_template(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_template_documents(rows: DataFrame, path: str, instructions: Sequence[str]) -> None:
+    """The template as documents {_instructions, responses}, one for each model and task
+    that holds rows of it, a line each; read back with ``response_file(..., lines=True)``."""
+    fields = [c for c in rows.columns]
+    docs = rows.groupBy("model", F.spark_partition_id().alias("_part")).agg(
+        F.collect_list(F.struct(*fields)).alias("responses"))
+    docs.select(F.array(*[F.lit(i) for i in instructions]).alias("_instructions"), "responses") \
+        .write.mode("overwrite").json(path)
+
+
 def write_results(results: DataFrame, path: str, fmt: str = "json",
                   partition_by: Sequence[str] = ("model",)) -> None:
     """Scored result records (K2), one folder per model."""

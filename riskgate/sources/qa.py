@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from riskgate import fixed
-from riskgate.functions import draws, options
+from riskgate.functions import options
 from riskgate.functions import text as T
 from riskgate.operators.joins import risk_lookup
 
@@ -74,7 +74,10 @@ BANK_SCHEMA = T_.StructType([
 ])
 
 # The second bank spelling: risk / correct_facts, no correct_answer.
-BANK_B_RENAMES = {"risk": "risk_level", "correct_facts": "key_facts"}
+BANK_RENAMES = {"risk": "risk_level", "correct_facts": "key_facts"}
+# What is read: both spellings at once, so that no pass over the files infers types.
+BANK_FILE_SCHEMA = T_.StructType([*BANK_SCHEMA.fields, *[
+    T_.StructField(src, BANK_SCHEMA[dst].dataType) for src, dst in BANK_RENAMES.items()]])
 
 
 def _read(spark: SparkSession, path: str | Sequence[str], schema, fmt: str = "json",
@@ -85,6 +88,26 @@ def _read(spark: SparkSession, path: str | Sequence[str], schema, fmt: str = "js
     return r.format(fmt).load(path)
 
 
+def option_map_file(spark: SparkSession, path: str | Sequence[str], multiline: bool = False) -> DataFrame:
+    """Option-map records (S1) as they are published: ``options`` is an object from
+    letter to text, in the order of the file, or already a list of key/value pairs."""
+    fields = [f if f.name != "options" else T_.StructField("options", T_.StringType()) for f in OPTION_MAP_SCHEMA.fields]
+    raw = _read(spark, path, T_.StructType(fields), multiline=multiline)
+    pairs = OPTION_MAP_SCHEMA["options"].dataType
+    listed = F.from_json("options", pairs.simpleString())
+    mapped = F.map_entries(F.from_json("options", "map<string,string>"))
+    return raw.withColumn("options", F.when(F.ltrim("options").startswith("["), listed).otherwise(mapped).cast(pairs))
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """Rows with a key: their ``sample_id``, or where there is none a hash of the
+    record, so that labels and severities are drawn record by record."""
+    columns = [c for c in df.columns if c != "sample_id"]
+    derived = F.xxhash64(F.to_json(F.struct(*columns)))
+    own = F.col("sample_id") if "sample_id" in df.columns else F.lit(None).cast("long")
+    return df.withColumn("sample_id", F.coalesce(own, derived))
+
+
 def _first_n(df: DataFrame, n: int | None, key: str = "sample_id") -> DataFrame:
     return df if n is None else df.orderBy(key).limit(n)
 
@@ -99,7 +122,7 @@ def _finish(df: DataFrame, output_col, label_col, severity_col, source_col) -> D
 def option_map_source(df: DataFrame, n: int | None = None, rate: float = fixed.HALLUCINATION_RATE,
                       seed: int = 42, source: str = fixed.SOURCE_TAG_OPTION_MAP) -> DataFrame:
     """Keyed-options QA rows to samples (S1): the first ``n`` by sample_id."""
-    d = _first_n(df, n)
+    d = _first_n(keyed(df), n)
     key = F.col("sample_id")
     drawn = options.corrupted(seed, key, rate)
     right = options.right_by_key("options", "answer_idx")
@@ -114,8 +137,8 @@ def option_column_source(df: DataFrame, n: int | None = None, rate: float = fixe
                          seed: int = 42, subject_risk: Mapping[str, int] = fixed.SUBJECT_RISK) -> DataFrame:
     """Four-option-column QA rows to samples (S2): risk by subject (J2), the
     subject appended as a term (P8), source tag by subject (P7)."""
-    d = _first_n(df, n).withColumn("subject_name",
-                                   F.coalesce(F.col("subject_name"), F.lit(fixed.DEFAULT_SUBJECT)))
+    d = _first_n(keyed(df), n).withColumn("subject_name",
+                                          F.coalesce(F.col("subject_name"), F.lit(fixed.DEFAULT_SUBJECT)))
     d = risk_lookup(d, "subject_name", subject_risk, out_col="base_risk")
     key = F.col("sample_id")
     opts = F.array("opa", "opb", "opc", "opd")
@@ -142,7 +165,7 @@ def reference_answer_source(df: DataFrame, n: int | None = None,
     (F1), then the first ``n`` (F4); wrong answer = first incorrect one."""
     arr = F.array(*[F.lit(w) for w in words])
     cat = F.coalesce(F.col("category"), F.lit(""))
-    d = _first_n(df.filter(F.exists(arr, lambda w: F.contains(cat, w))), n)
+    d = _first_n(keyed(df).filter(F.exists(arr, lambda w: F.contains(cat, w))), n)
     key = F.col("sample_id")
     drawn = options.corrupted(seed, key, rate)
     wrong = F.coalesce(F.try_element_at(F.col("incorrect_answers"), F.lit(1)),
@@ -163,8 +186,9 @@ def combined(sources: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def combine_sources(names: Sequence[str], loaders: Mapping, seed: int = 42) -> DataFrame:
-    """Dispatch by source name, union, seeded shuffle key.
+def combine_sources(names: Sequence[str], loaders: Mapping, seed: int = 42, n_each: int | None = None) -> DataFrame:
+    """Dispatch by source name, the first ``n_each`` rows by key of each, union, seeded
+    shuffle key (S5, F4, O3).
 
     ``loaders`` maps a name to a callable ``seed -> DataFrame`` of sample rows;
     the seed reaches every loader (fixes D9). An unknown name is warned about
@@ -179,7 +203,7 @@ def combine_sources(names: Sequence[str], loaders: Mapping, seed: int = 42) -> D
         if name not in loaders:
             warnings.warn(f"Unknown source '{name}', skipping.")
             continue
-        frames[name] = loaders[name](seed)
+        frames[name] = _first_n(loaders[name](seed), n_each)
     if not frames:
         raise ValueError("No known source among " + ", ".join(names))
     u = combined(frames)
@@ -189,39 +213,24 @@ def combine_sources(names: Sequence[str], loaders: Mapping, seed: int = 42) -> D
 
 def response_file(spark: SparkSession, path: str | Sequence[str], only_filled: bool = True,
                   lines: bool = False) -> DataFrame:
-    """Responses from one or more JSON documents (S6, U2: a list or glob of
-    per-model files), or with ``lines=True`` from JSON-lines files of response
-    rows (as written by ``write_template``). Placeholder, empty and null
-    responses are dropped (F2)."""
+    """Responses from one or more files (S6, U2: a list or glob of per-model files).
+    A record may be a response or a document that holds a list of them, mixed as
+    they come; ``lines`` says that each line is a record (as ``write_template`` and
+    ``write_template_documents`` write them), else a file is one. Placeholder, empty
+    and null responses are dropped (F2)."""
     from riskgate.functions.judge import is_filled
-    if lines:
-        r = _read(spark, path, RESPONSE_SCHEMA)
-    else:
-        doc = _read(spark, path, RESPONSE_FILE_SCHEMA, multiline=True)
-        r = doc.select(F.explode("responses").alias("r")).select("r.*")
+    schema = T_.StructType([*RESPONSE_SCHEMA.fields, *RESPONSE_FILE_SCHEMA.fields])
+    names = RESPONSE_SCHEMA.fieldNames()
+    raw = _read(spark, path, schema, multiline=not lines)
+    alone = F.array(F.struct(*names)).cast(T_.ArrayType(RESPONSE_SCHEMA))
+    r = raw.select(F.explode(F.coalesce("responses", alone)).alias("r")).select("r.*")
     return r.filter(is_filled("response")) if only_filled else r
 
 
 def bank_source(spark: SparkSession, path: str | Sequence[str], multiline: bool = False) -> DataFrame:
-    """A question bank file (S7); the second spelling (risk, correct_facts) is
-    renamed to the first, missing columns become null."""
-    raw = spark.read.option("multiLine", multiline).json(path)
-    for src, dst in BANK_B_RENAMES.items():
-        if src not in raw.columns:
-            continue
-        if dst in raw.columns:   # both spellings in one input: take whichever is set
-            raw = raw.withColumn(dst, F.coalesce(F.col(dst), F.col(src))).drop(src)
-        else:
-            raw = raw.withColumnRenamed(src, dst)
-    cols = []
-    for f in BANK_SCHEMA.fields:
-        c = F.col(f.name) if f.name in raw.columns else F.lit(None)
-        cols.append(c.cast(f.dataType).alias(f.name))
-    return raw.select(*cols)
-
-
-def to_samples(df: DataFrame, id_col: str = "sample_id", seed: int = 42) -> DataFrame:
-    """Draw labels for an arbitrary (sample_id, text) table: handy for tests."""
-    key = F.col(id_col)
-    return df.withColumn("true_label", draws.bernoulli(seed, key, "label", fixed.HALLUCINATION_RATE)
-                         .cast("int"))
+    """A question bank file (S7) in either spelling; where both are set the first
+    (risk_level, key_facts) counts, missing columns are null."""
+    raw = _read(spark, path, BANK_FILE_SCHEMA, multiline=multiline)
+    for src, dst in BANK_RENAMES.items():
+        raw = raw.withColumn(dst, F.coalesce(dst, src))
+    return raw.select(*BANK_SCHEMA.fieldNames())

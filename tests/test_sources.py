@@ -34,6 +34,39 @@ def test_option_map_source(spark, tmp_dir):
         assert "Granite" in r.entities or "Cobble" in r.entities
 
 
+def test_option_objects_without_ids(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "object/part.json")
+    rows = [{"question": f"Which roof for house {i}?", "options": {"C": "Slate tiles", "A": "Straw thatch"},
+             "answer_idx": "A"} for i in range(200)]
+    _write_json_lines(p, [*rows, {"question": "Listed?", "options": [{"key": "B", "value": "Listed first"}], "answer_idx": "B"},
+                          {"question": "None?", "answer_idx": "A"}])
+    raw = qa.option_map_file(spark, p)
+    first = raw.where("question like 'Which%'").first().options
+    assert [(o.key, o.value) for o in first] == [("C", "Slate tiles"), ("A", "Straw thatch")]      # the file's order
+    out = qa.option_map_source(raw).collect()
+    assert len({r.sample_id for r in out}) == 202 and None not in {r.sample_id for r in out}
+    out = [r for r in out if r.text is not None]                     # no option: no text
+    labels = [r.true_label for r in out if "house" in r.text]
+    assert 40 < sum(labels) < 120                                    # drawn record by record
+    assert all(("Slate" in r.text) == (r.true_label == 1) for r in out if "house" in r.text)
+    assert len({round(r.true_severity, 6) for r in out}) > 150
+
+
+def test_template_documents_and_sources_of_n_each(spark, tmp_dir):
+    bank = spark.createDataFrame([(f"Q{i}", "Cat", "Question?", "answer") for i in range(5)],
+                                 "id string, category string, question string, correct_answer string")
+    path = os.path.join(tmp_dir, "documents")
+    W.write_template_documents(W.template_rows(bank, models=["a", "b"]), path, ["fill in"])
+    docs = spark.read.json(path)
+    assert docs.first()._instructions == ["fill in"]
+    back = qa.response_file(spark, path, only_filled=False, lines=True)
+    assert back.count() == 10 and back.select("model").distinct().count() == 2
+    frame = spark.createDataFrame([(i, "t", [], 0, 0.0, "x") for i in range(9)], "sample_id long, text string, "
+                                  "entities array<string>, true_label int, true_severity double, source string")
+    both = qa.combine_sources(["one", "two"], {"one": lambda seed: frame, "two": lambda seed: frame}, n_each=4)
+    assert both.count() == 8 and both.agg(F.max("sample_id")).first()[0] == 3
+
+
 def test_option_column_source(spark, tmp_dir):
     p = os.path.join(tmp_dir, "columns/part.json")
     rows = [{"sample_id": i, "question": "Roof?", "opa": "Slate", "opb": "Thatch", "opc": "Copper",
