@@ -340,7 +340,7 @@ def jaccard_components(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text
     def rooted(links: DataFrame) -> DataFrame:
         """Every class with the root of its component (itself, if it has no link)."""
         found = components(links, "a", "b").withColumnRenamed("node", "cls")
-        return classes.join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        return classes.drop("bitmap", "rep").join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
     # round one: neighbours in the lists, and in a group each class with the first
     alone = classes.withColumn("root", F.col("cls"))
