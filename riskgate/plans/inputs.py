@@ -59,15 +59,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     return df
 
 
-def spread_rows(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when the input has too few partitions."""
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    # two partitions per core even out rows of very different length (1 to
-    # 20,000 words); the scan sizes its splits from the parallelism even when most
-    # are empty (one row group per file), hence the test against 4x; large inputs
-    # have far more splits than that and pass through unchanged
-    target = min_partitions or 2 * parallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < 2 * target else df
+# A scan of more splits than this is never shuffled to even out its tasks.
+MAX_SPREAD_SPLITS = 32
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Round-robin over two partitions per core, which evens out rows of very different
+    length (1 to 20,000 words), only where the scan has few splits (a single-row-group
+    file is read by one task): at most MAX_SPREAD_SPLITS splits are ever moved."""
+    target = 2 * df.sparkSession.sparkContext.defaultParallelism
+    few = df.rdd.getNumPartitions() < min(2 * target, MAX_SPREAD_SPLITS + 1)
+    return df.repartition(target) if few else df
 
 
 def lower_words(text_col) -> F.Column:
