@@ -46,7 +46,7 @@ from riskgate.llm.storage import stored
 SKETCH_BITS = 21
 SLICE_BITS = 14
 BITMAP_BYTES = 128
-NEIGHBOURS = 16
+NEIGHBOURS = 6
 
 
 class Rule(NamedTuple):
@@ -100,28 +100,28 @@ def rarity(docs: DataFrame, text: str, rule: Rule) -> np.ndarray:
             names=["part", "counts"])
 
     def add(frames):
-        """Sums within a task, so that what meets per slice is one array a task."""
+        """Logarithms of the sums; all counts of a slice are in one task."""
         total: dict[int, np.ndarray] = {}
         for frame in frames:
             for part, raw in zip(frame["part"], frame["counts"], strict=True):
                 total.setdefault(part, np.zeros(width, dtype=np.uint64))
                 total[part] += np.frombuffer(raw, dtype=np.uint16 if len(raw) == 2 * width else np.uint32)
         yield pd.DataFrame({"part": list(total), "counts": [
-            np.minimum(x, np.uint64(2**32 - 1)).astype(np.uint32).tobytes() for x in total.values()]})
+            (2 * np.log2(x.astype(np.float64) + 1)).astype(np.uint8).tobytes() for x in total.values()]})
 
     parts = docs.select(F.col(text).cast("string")).where(F.col(text).isNotNull()).mapInArrow(count, schema)
-    summed = parts.repartition(64, "part").mapInPandas(add, schema)
-    counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-    for row in summed.toLocalIterator():
-        counts[row["part"] * width:(row["part"] + 1) * width] = np.frombuffer(row["counts"], dtype=np.uint32)
-    return (2 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
+    common = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+    for row in parts.repartition("part").mapInPandas(add, schema).collect():
+        common[row["part"] * width:(row["part"] + 1) * width] = np.frombuffer(row["counts"], dtype=np.uint8)
+    return common
 
 
 # -- step 1: sets, classes and groups ------------------------------------------
 
 _SIGNATURE = StructType([
     StructField("n_shingles", LongType()), StructField("cls", BinaryType()), StructField("grp", LongType()),
-    StructField("prefix", ArrayType(LongType())), StructField("bitmap", BinaryType())])
+    StructField("prefix", ArrayType(LongType())), StructField("bitmap", BinaryType()),
+    StructField("fold1", LongType()), StructField("fold2", LongType())])
 
 
 def _digest(values: np.ndarray) -> bytes:
@@ -138,6 +138,12 @@ def _bitmap(s: np.ndarray) -> bytes:
     return np.packbits((bits & 1).astype(np.uint8)).tobytes()
 
 
+def _folded(bitmap: bytes) -> tuple[int, int]:
+    """The bitmap folded to 128 bits: a parity bitmap again, with fewer places."""
+    one, two = np.bitwise_xor.reduce(np.frombuffer(bitmap, np.int64).reshape(-1, 2), axis=0)
+    return int(one), int(two)
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str, rule: Rule) -> DataFrame:
     """Per row: set size, class and group keys, and, once a task for each class, the
     prefix in the global order and the bitmap."""
@@ -149,15 +155,16 @@ def signatures(docs: DataFrame, doc_id: str, text: str, rule: Rule) -> DataFrame
         def work(texts):
             out = {f.name: [] for f in _SIGNATURE.fields}
             for s in _sets(texts, rule):
-                key, group, prefix, bitmap = _digest(s) if len(s) else None, None, None, None
+                key, group, prefix, bitmap, folds = _digest(s) if len(s) else None, None, None, None, (None, None)
                 if key in seen:
                     group = seen[key]
                 elif key is not None:
                     order = np.argsort(common.value[s >> np.uint64(64 - SKETCH_BITS)], kind="stable")
                     prefix, bitmap = s[order[:rule.probe(len(s))]], _bitmap(s)
-                    seen[key] = group = _group(prefix, len(s))
-                for name, value in zip(out, (len(s), key, group, None if prefix is None else prefix.view(np.int64), bitmap),
-                                       strict=True):
+                    seen[key], folds = _group(prefix, len(s)), _folded(bitmap)
+                    group = seen[key]
+                row = (len(s), key, group, None if prefix is None else prefix.view(np.int64), bitmap, *folds)
+                for name, value in zip(out, row, strict=True):
                     out[name].append(value)
             return out
         return work
@@ -238,20 +245,24 @@ def _neighbour_pairs(lists: DataFrame, rule: Rule) -> DataFrame:
     return lists.mapInArrow(pairs, _PAIR).distinct()
 
 
-def _cross_pairs(lists: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame:
-    """All pairs of a list's groups that lie in different components so far. `roots` has
-    the groups in components of several classes; the others are on their own."""
+def _cross_pairs(lists: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
+    """All pairs of a list's groups that lie in different components so far. `groups` has
+    the root of a group (null: apart from all) and the folded bitmap of its one class
+    (null: several classes), which rules out most pairs here."""
     n, pos = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
     index = n - F.ceil(F.lit(2 * rule.percent) * n / (100 + rule.percent)) + 1
-    rows = lists.join(roots, "grp", "left").select(
-        "token", "grp", "root", n.alias("n"), pos.alias("pos"), (pos < index).alias("short"))
+    rows = lists.join(groups, "grp").select(
+        "token", "grp", "root", "fold1", "fold2", n.alias("n"), pos.alias("pos"), (pos < index).alias("short"))
     a, b = rows.where("short").alias("a"), rows.alias("b")
     na, pa, nb, pb = (F.col(c) for c in ("a.n", "a.pos", "b.n", "b.pos"))
     need = F.ceil(F.lit(rule.percent) * (na + nb) / (100 + rule.percent))
+    differ = F.bit_count(F.col("a.fold1").bitwiseXOR(F.col("b.fold1"))) \
+        + F.bit_count(F.col("a.fold2").bitwiseXOR(F.col("b.fold2")))
     return a.join(b, F.col("a.token") == F.col("b.token")).where(
         (F.struct("a.n", "a.grp") < F.struct("b.n", "b.grp"))
         & F.coalesce(F.col("a.root") != F.col("b.root"), F.lit(True))
-        & (F.lit(100) * na >= F.lit(rule.percent) * nb) & (F.least(na - pa, nb - pb) >= need)) \
+        & (F.lit(100) * na >= F.lit(rule.percent) * nb) & (F.least(na - pa, nb - pb) >= need)
+        & F.coalesce(differ <= na + nb - 2 * need, F.lit(True))) \
         .select(F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb")).distinct()
 
 
@@ -320,7 +331,7 @@ def jaccard_components(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text
     rows = stored(signatures(docs, doc_id, text, rule), "jaccard-signatures")
     classes = stored(rows.where("n_shingles > 0").groupBy("cls").agg(
         F.min("grp").alias("grp"), F.min("n_shingles").alias("n"), F.min("bitmap").alias("bitmap"),
-        F.min("doc_id").alias("least_id"), F.count("*").alias("copies"),
+        F.min("fold1").alias("fold1"), F.min("fold2").alias("fold2"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"),
         F.max(F.struct(F.col("doc_id").alias("id"), "text_hash")).alias("rep")), "jaccard-classes")
     lists = stored(_lists(rows), "jaccard-lists")
 
@@ -337,24 +348,29 @@ def jaccard_components(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text
         sets = _whole_sets(docs, classes.join(ends, "cls", "left_semi"), doc_id, text, rule)
         return stored(_verified(pairs, stored(sets, f"jaccard-{name}-sets"), rule), f"jaccard-{name}-links")
 
-    def rooted(links: DataFrame) -> DataFrame:
-        """Every class with the root of its component (itself, if it has no link)."""
-        found = components(links, "a", "b").withColumnRenamed("node", "cls")
-        return classes.drop("bitmap", "rep").join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    def merged(members: DataFrame, links: DataFrame) -> DataFrame:
+        """The classes with the roots that further links between their components give."""
+        ends = members.select("cls", "root")
+        pairs = links.join(ends.select(F.col("cls").alias("a"), F.col("root").alias("ra")), "a") \
+            .join(ends.select(F.col("cls").alias("b"), F.col("root").alias("rb")), "b")
+        found = components(pairs, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        return members.join(found, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
 
     # round one: neighbours in the lists, and in a group each class with the first
-    alone = classes.withColumn("root", F.col("cls"))
+    alone = classes.drop("bitmap", "rep").withColumn("root", F.col("cls"))
     first = classes.groupBy("grp").agg(F.min("cls").alias("a"), F.count("*").alias("m")).where("m > 1")
     inside = classes.join(first, "grp").where("cls <> a").select("a", F.col("cls").alias("b"))
     near = verified(expanded(_neighbour_pairs(lists, rule), alone).unionByName(inside).distinct(), "near")
     # round two: whatever is still apart; a group in several components counts as apart from all, itself included
-    members = stored(rooted(near), "jaccard-members")
-    by_group = members.groupBy("grp").agg(F.min("root").alias("root"), F.max("root").alias("other"))
+    members = stored(merged(alone, near), "jaccard-members")
+    by_group = stored(members.groupBy("grp").agg(
+        F.count("*").alias("m"), F.min("root").alias("root"), F.max("root").alias("other"),
+        F.min("fold1").alias("fold1"), F.min("fold2").alias("fold2")), "jaccard-groups")
     split = by_group.where("root <> other").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
-    several = members.groupBy("root").agg(F.count("*").alias("m")).where("m > 1").select("root")
-    whole = by_group.where("root = other").select("grp", "root").join(several, "root", "left_semi")
-    cross = verified(expanded(_cross_pairs(lists, whole, rule).union(split), members), "cross")
-    members = rooted(near.union(cross))
+    known = by_group.select("grp", *[F.when(F.expr(c), F.col(n)).alias(n) for n, c in (
+        ("root", "root = other"), ("fold1", "m = 1"), ("fold2", "m = 1"))])
+    cross = verified(expanded(_cross_pairs(lists, known, rule).union(split), members), "cross")
+    members = merged(members, cross)
     least = members.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("m")) \
         .where("m > 1")
     shared = members.join(least, "root").select("cls", "component_id", "root")
