@@ -40,7 +40,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, StringType, StructField,
+from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField,
                                StructType)
 
 from riskgate.llm.arrow import map_texts
@@ -385,18 +385,27 @@ def _giant_ids(giants: DataFrame, path: str, kind: str, chunk: int) -> DataFrame
         F.sort_array(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-_OUT = StructType([StructField("ids", ArrayType(IntegerType()))])
+_OUT = StructType([StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
 
 
 def encode(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] = ("doc_id",), text: str = "text",
            kind: str = "bpe", chunk: int = CHUNK_CHARS) -> DataFrame:
-    """Per row: the carried columns and `ids`, the pieces of the whole text by the
-    model file at `path` (default: the public BPE model of 32k pieces)."""
+    """Per row: the carried columns, `ids`, the pieces of the whole text by the model file
+    at `path` (default: the public BPE model of 32k pieces), and `round_trip`: whether
+    decoding them gives the text back (null for a null text)."""
     path = path or vocabulary_path("piece_bpe_32k.model")
 
     def make():
         vocabulary = loaded(path, kind)
-        return lambda texts: {"ids": [None if t is None else vocabulary.encode(t.decode("utf-8")) for t in texts]}
+
+        def work(texts):
+            ids, back = [], []
+            for t in texts:
+                text = None if t is None else t.decode("utf-8")
+                ids.append(None if text is None else vocabulary.encode(text))
+                back.append(None if text is None else vocabulary.decode(ids[-1]) == text)
+            return {"ids": ids, "round_trip": back}
+        return work
 
     whole = F.col(text).cast("string")
     giant = F.coalesce(F.char_length(whole) >= chunk, F.lit(False))
@@ -404,9 +413,10 @@ def encode(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] = ("
     small = map_texts(docs.where(~giant), columns, whole, make, _OUT)
     giants = docs.where(giant)
     key = F.sha2(whole, 256)
-    found = _giant_ids(giants.select(key.alias("key"), whole.alias("text")), path, kind, chunk)
+    found = decode(_giant_ids(giants.select(key.alias("key"), whole.alias("text")), path, kind, chunk), path, kind=kind) \
+        .select("key", "ids", (F.sha2("decoded", 256) == F.col("key")).alias("round_trip"))
     own = giants.select(*[c.alias(n) for n, c in columns.items()], key.alias("__key"))
-    large = own.join(found, own["__key"] == found["key"], "left").select(*columns, "ids")
+    large = own.join(found, own["__key"] == found["key"], "left").select(*columns, "ids", "round_trip")
     return small.unionByName(large)
 
 
