@@ -1,18 +1,17 @@
 """Benchmark decontamination: passages of documents within a small edit distance of an
 item, counted in words.
 
-1. CGK embedding. A pointer walks over a word sequence; in each step the word under it
-   is written down, and a random bit that depends on the step and the word decides
-   whether the pointer moves on. Two sequences at a small edit distance are written to
-   strings at a small Hamming distance.
-2. Bit-sampling LSH. SAMPLES steps of the embedding form a key. Items are classed by
-   length (powers of two) and every window of every document, at every word, is walked
-   for the item size of each class; windows whose key equals an item's are candidates.
-   REPEATS independent walks reach the target recall. The key is compared sample by
-   sample, so most windows are walked for a few steps only.
-3. Exact verification of every candidate: the least edit distance of the item to any
-   part of the text around the window, at most MAX_EDITS_PCT percent of the item's
-   words (bit-parallel dynamic programming).
+1. Exact parts. An item that occurs with at most k edits, cut into k + 1 disjoint parts,
+   has at least one part without any edit (pigeonhole), whatever the edits are and where.
+   Each item is cut into as many parts as its edit limit needs, of 3 to 5 words at 20 %,
+   and every word run of a document that equals a part gives a candidate: no occurrence
+   within the limit is missed, at any item length.
+2. Merging. The places that the candidates of an item allow are merged within a text, so
+   that no word is verified twice for an item; places with too few of the item's words
+   for the limit are left out, which is exact as well.
+3. Exact verification of the rest: the least edit distance of the item to any part of
+   the place, at most MAX_EDITS_PCT percent of the item's words (bit-parallel dynamic
+   programming).
 
 Words are runs of letters and digits in lower case, told apart by 64-bit hashes.
 Documents never leave their task; the items are broadcast in blocks of at most about
@@ -21,7 +20,7 @@ BLOCK_WORDS words, with one pass over the documents for each block.
 Defined results: null or empty texts and items match nothing; items with fewer than
 MIN_ITEM_WORDS words are too little evidence and are not searched; repeated documents
 give repeated rows, an item at several places of a text one row (its least distance,
-the first place); other columns are not read.
+the first place to end, and the longest passage that ends there); other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,55 +38,28 @@ from riskgate.llm.arrow import texts_of
 
 MAX_EDITS_PCT = 20
 MIN_ITEM_WORDS = 6
-SAMPLES = 3
-REPEATS = 8
 BLOCK_WORDS = 2_000_000
 SLICE = 1 << 20
-SEED = 20240
-TABLE_BITS = 18
 
 
-class Walk(NamedTuple):
-    """One repetition for one length class: the factors that give each step's random bits,
-    which steps are sampled, and per sample the keys of the items."""
-    factors: list[np.uint64]
-    samples: list[int]
-    tables: list[np.ndarray]
+class Parts(NamedTuple):
+    """All parts of one length, by key: the first key bits in use, and per part its key,
+    its item and its first word in the item."""
+    bits: int
+    used: np.ndarray
     keys: np.ndarray
     items: np.ndarray
+    offsets: np.ndarray
 
 
-_KEY = np.uint64(0xA24BAED4963EE407)
-_TOP = np.uint64(63)
-
-
-def _fold(key: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return W.mix(key * _KEY + word)
-
-
-def _place(key: np.ndarray) -> np.ndarray:
-    return key >> np.uint64(64 - TABLE_BITS)
-
-
-def embed(hashes: np.ndarray, starts: np.ndarray, factors: list[np.uint64], samples: list[int],
-          tables: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, keys) of the walks from `starts`; with tables, of those whose key so far
-    is an item's at every sample. Words behind the end read as 0."""
-    at, key, k = starts.copy(), np.zeros(len(starts), dtype=np.uint64), 0
-    for step in range(samples[-1] + 1):
-        word = hashes[at]
-        if step == samples[k]:
-            key = _fold(key, word)
-            if tables is not None:
-                left = tables[k][_place(key)]
-                starts, at, key, word = starts[left], at[left], key[left], word[left]
-            k += 1
-        at += (word * factors[step] >> _TOP).astype(np.int64)
-    return starts, key
+def cut(n: int, edits: int) -> list[tuple[int, int]]:
+    """Bounds of the edits + 1 parts of an item of n words, as even as can be."""
+    ends = [n * j // (edits + 1) for j in range(edits + 2)]
+    return list(zip(ends[:-1], ends[1:], strict=True))
 
 
 class Items:
-    """Items as word hashes, with the walks of every length class."""
+    """Items as word hashes, with their parts by length."""
 
     def __init__(self, ids: list[int], texts: list[bytes]):
         self.ids, self.words = [], []
@@ -103,48 +75,60 @@ class Items:
             for k, h in enumerate(w.tolist()):
                 mask[h] = mask.get(h, 0) | 1 << k
             self.masks.append(mask)
-        classes: dict[int, list[int]] = {}
+        by_length: dict[int, list[tuple[int, int]]] = {}
         for k, w in enumerate(self.words):
-            classes.setdefault(len(w).bit_length(), []).append(k)
-        draw, self.walks = np.random.default_rng(SEED), []
-        for size, members in sorted(classes.items()):
-            steps = max(SAMPLES, 3 * 2 ** (size - 1) // 2)  # moves on in half of them: three quarters of the shortest item
-            for _ in range(REPEATS):
-                self.walks.append(self._walk(members, steps, draw))
-
-    def _walk(self, members: list[int], steps: int, draw) -> Walk:
-        factors = list(draw.integers(0, 2**64, steps, dtype=np.uint64) | np.uint64(1))
-        edges = [0, max(1, steps // 8), max(2, steps // 2), steps]  # one sample in each part, the first one early
-        samples = [int(draw.integers(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        joined = np.concatenate([np.append(self.words[k], np.zeros(steps + 1, np.uint64)) for k in members])
-        starts = np.cumsum([0, *(len(self.words[k]) + steps + 1 for k in members[:-1])])
-        tables = []
-        for n in range(1, SAMPLES + 1):
-            table = np.zeros(1 << TABLE_BITS, dtype=bool)
-            table[_place(embed(joined, starts, factors, samples[:n])[1])] = True
-            tables.append(table)
-        keys = embed(joined, starts, factors, samples)[1]
-        order = np.argsort(keys, kind="stable")
-        return Walk(factors, samples, tables, keys[order], np.array(members)[order])
-
-    def candidates(self, hashes: np.ndarray) -> set[tuple[int, int]]:
-        """(word position, item) of all windows with the key of an item."""
-        found = set()
-        for walk in self.walks:
-            padded = np.append(hashes, np.zeros(len(walk.factors) + 1, np.uint64))
-            starts, keys = embed(padded, np.arange(len(hashes)), walk.factors, walk.samples, walk.tables)
-            low, high = np.searchsorted(walk.keys, keys), np.searchsorted(walk.keys, keys, side="right")
-            for k in np.flatnonzero(high > low):
-                found.update((int(starts[k]), int(i)) for i in walk.items[low[k]:high[k]])
-        return found
+            for start, end in cut(len(w), self.edits[k]):
+                by_length.setdefault(end - start, []).append((k, start))
+        self.parts = {length: self._parts(length, found) for length, found in sorted(by_length.items())}
+
+    def _parts(self, length: int, found: list[tuple[int, int]]) -> Parts:
+        keys = W.grams(np.concatenate([self.words[k][start:start + length] for k, start in found]), length)[::length]
+        order, bits = np.argsort(keys, kind="stable"), max(16, (8 * len(keys)).bit_length())
+        used = np.zeros(1 << bits, dtype=bool)
+        used[keys >> np.uint64(64 - bits)] = True
+        items, offsets = np.array(found, dtype=np.int64).T
+        return Parts(bits, used, keys[order], items[order], offsets[order])
+
+    def candidates(self, hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Rows (text, item, where the item would start) of all parts in the texts."""
+        found = [np.empty((0, 3), dtype=np.int64)]
+        for length, parts in self.parts.items():
+            keys = W.grams(hashes, length)
+            at = np.flatnonzero(parts.used[keys >> np.uint64(64 - parts.bits)])
+            text = np.searchsorted(firsts, at, side="right") - 1
+            inside = at + length <= firsts[text + 1]
+            at, text = at[inside], text[inside]
+            low, high = (np.searchsorted(parts.keys, keys[at], side=side) for side in ("left", "right"))
+            count = high - low
+            part = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            found.append(np.stack([np.repeat(text, count), parts.items[part], np.repeat(at, count) - parts.offsets[part]], axis=1))
+        return np.concatenate(found)
+
+    def places(self, hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Rows (text, item, first word, end) of the merged places to verify, in order."""
+        rows = self.candidates(hashes, firsts)
+        if not len(rows):
+            return np.empty((0, 4), dtype=np.int64)
+        rows = np.unique(rows, axis=0)
+        text, item, at = rows.T
+        edits, n = np.array(self.edits)[item], np.array([len(w) for w in self.words])[item]
+        low, high = np.maximum(firsts[text], at - edits), np.minimum(firsts[text + 1], at + n + edits)
+        # places of one item are equally long, so the last one's end is the furthest
+        new = np.append(True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (low[1:] >= high[:-1]))
+        return np.stack([text[new], item[new], low[new], high[np.append(new[1:], True)]], axis=1)
 
     def distance(self, item: int, text: list[int]) -> int:
         """Least edit distance of the item to any part of a text (Myers' bit vectors)."""
-        mask, n = self.masks[item], len(self.words[item])
+        return self._least(self.masks[item], len(self.words[item]), text)[0]
+
+    @staticmethod
+    def _least(mask: dict[int, int], n: int, text: list[int], anchored: bool = False) -> tuple[int, int]:
+        """(least distance, where in the text it is first reached); anchored: of a prefix
+        of the text, and where it is last reached."""
         ones, last = (1 << n) - 1, 1 << n - 1
         plus, minus, score = ones, 0, n
-        best = n
-        for word in text:
+        best, end = n, 0
+        for at, word in enumerate(text, 1):
             same = mask.get(word, 0)
             down = (((same & plus) + plus) ^ plus) | same | minus
             up, lower = minus | (~(down | plus) & ones), plus & down
@@ -152,28 +136,33 @@ class Items:
                 score += 1
             elif lower & last:
                 score -= 1
-            best = min(best, score)
-            up = up << 1 & ones  # a match may start anywhere, so the first row stays 0
+            if score < best or (anchored and score == best):
+                best, end = score, at
+            up = (up << 1 | anchored) & ones  # unless anchored a match may start anywhere, so the first row stays 0
             lower = lower << 1 & ones
             plus, minus = lower | (~(down | up) & ones), up & down
-        return best
+        return best, end
+
+    def _length(self, item: int, text: list[int]) -> int:
+        """Words of the longest passage at the end of a text with the least distance."""
+        mask: dict[int, int] = {}
+        for k, h in enumerate(self.words[item][::-1].tolist()):
+            mask[h] = mask.get(h, 0) | 1 << k
+        return self._least(mask, len(self.words[item]), text[::-1], anchored=True)[1]
 
     def search(self, hashes: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, distance, word position in the text) of all verified matches, one
         for each text and item; firsts: the first word of each text and the total."""
         found: dict[tuple[int, int], tuple[int, int]] = {}
-        seen: set[tuple[int, int]] = set()
-        for at, item in sorted(self.candidates(hashes)):
-            text = int(np.searchsorted(firsts, at, side="right")) - 1
-            edits, n = self.edits[item], len(self.words[item])
-            spot = (item, at // max(1, edits))  # neighbouring candidates look at the same words
-            if spot in seen and found.get((text, item), (n,))[0] == 0:
+        for text, item, low, high in self.places(hashes, firsts).tolist():
+            mask, n, edits = self.masks[item], len(self.words[item]), self.edits[item]
+            best = found.get((text, item), (edits + 1,))[0]
+            words = hashes[low:high].tolist() if best else []
+            if sum(map(mask.__contains__, words)) < n - edits:
                 continue
-            seen.add(spot)
-            low, high = max(int(firsts[text]), at - edits), min(int(firsts[text + 1]), at + n + edits)
-            distance = self.distance(item, hashes[low:high].tolist())
-            if distance <= edits and (text, item) not in found or distance < found.get((text, item), (0,))[0]:
-                found[text, item] = distance, at - int(firsts[text])
+            distance, end = self._least(mask, n, words)
+            if distance < best:
+                found[text, item] = distance, low + end - self._length(item, words[:end][-n - edits:]) - int(firsts[text])
         return [(text, item, d, at) for (text, item), (d, at) in sorted(found.items())]
 
 

@@ -133,6 +133,37 @@ def test_verification_distance_and_recall():
     assert hits >= 0.9 * len(items)
 
 
+@pytest.mark.parametrize("n_words", [6, 9, 14, 20, 40, 100, 200, 600])
+@pytest.mark.parametrize("percent", [0, 5, 10, 15, 20])
+def test_every_edited_copy_is_found_at_any_length(n_words, percent):
+    rng = random.Random(f"{n_words} {percent}")
+    items = [[f"v{rng.randrange(400)}" for _ in range(n_words)] for _ in range(12)]
+    found = decontaminate.Items(list(range(12)), [" ".join(t).encode() for t in items])
+    texts = []
+    for item in items:
+        copied = list(item)
+        for _ in range(n_words * percent // 100):  # substitutions, insertions and deletions
+            at, kind = rng.randrange(len(copied)), rng.randrange(3)
+            copied[at:at + (kind != 1)] = [f"v{rng.randrange(400)}"] * (kind != 2)
+        texts.append([f"v{rng.randrange(400)}" for _ in range(50)] + copied + [f"v{rng.randrange(400)}" for _ in range(50)])
+    firsts, _, hashes = decontaminate.W.many_words([" ".join(t).encode() for t in texts], lower=True, letters=True)
+    got = {(t, i): (d, at) for t, i, d, at in found.search(hashes, firsts)}
+    assert all((k, k) in got for k in range(12))  # recall 1
+    assert all(d == edit_distance_inside(items[i], texts[t]) for (t, i), (d, _) in got.items())
+    assert percent or all(got[k, k] == (0, 50) for k in range(12))
+
+
+def test_search_equals_brute_force_on_few_words():
+    rng = random.Random(12)
+    items = [rng.choices("abcd", k=rng.randint(6, 24)) for _ in range(20)]
+    texts = [rng.choices("abcde", k=rng.randint(0, 60)) for _ in range(60)]
+    found = decontaminate.Items(list(range(20)), [" ".join(t).encode() for t in items])
+    firsts, _, hashes = decontaminate.W.many_words([" ".join(t).encode() for t in texts], lower=True, letters=True)
+    want = {(t, i): d for t, text in enumerate(texts) for i, item in enumerate(items)
+            if (d := edit_distance_inside(item, text)) <= len(item) * decontaminate.MAX_EDITS_PCT // 100}
+    assert want and {(t, i): d for t, i, d, _ in found.search(hashes, firsts)} == want
+
+
 def test_decontamination_edge_cases(spark):
     item = "the quick brown fox jumps over the lazy dog today"
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "too short")], "item_id long, text string")
