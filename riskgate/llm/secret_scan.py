@@ -3,7 +3,8 @@
 Base rules find assignments (`token = "..."`), access key ids and hex runs. The method
 adds other random-looking tokens: runs of 20 or more letters, digits and `+ / _ -` that
 no base span overlaps, with a digit and a letter. For each the encoding is inferred
-(hex, base32, base62 or base64) and a battery tests whether its symbols could be drawn
+(hex, base32, base36, base62 or base64; of several the smallest whose
+classes of symbols the token uses) and a battery tests whether its symbols could be drawn
 at random from that alphabet: chi-squared uniformity, runs above and below the
 alphabet's middle, and lag-one serial correlation, combined by Bonferroni. Tokens of
 ordinary text fail the battery; a token that it can't reject is reported.
@@ -48,6 +49,8 @@ BINS_PER_DECADE = 4
 
 HEX_LOWER, HEX_UPPER = "0123456789abcdef", "0123456789ABCDEF"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+BASE32_LOWER = "abcdefghijklmnopqrstuvwxyz234567"
+BASE36, BASE36_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"
 BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 BASE64 = BASE62 + "+/"
 
@@ -90,7 +93,9 @@ def _upper_tail(z: Column) -> Column:
 def alphabet(token: Column) -> Column:
     """The symbols of the encoding that a token seems to have."""
     return F.when(token.rlike("^[0-9a-f]+$"), HEX_LOWER).when(token.rlike("^[0-9A-F]+$"), HEX_UPPER) \
-        .when(token.rlike("^[A-Z2-7]+$"), BASE32).when(token.rlike("^[A-Za-z0-9]+$"), BASE62).otherwise(BASE64)
+        .when(token.rlike("^[A-Z2-7]+$"), BASE32).when(token.rlike("^[a-z2-7]+$"), BASE32_LOWER) \
+        .when(token.rlike("^[A-Z0-9]+$"), BASE36).when(token.rlike("^[a-z0-9]+$"), BASE36_LOWER) \
+        .when(token.rlike("^[A-Za-z0-9]+$"), BASE62).otherwise(BASE64)
 
 
 def _bound(x: Column, f) -> Column:

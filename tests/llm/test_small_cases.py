@@ -334,6 +334,39 @@ def test_battery_tells_random_tokens_from_words(spark):
     assert sum(spans[k] for k in range(200, 400)) == 0
 
 
+KEY_ALPHABETS = {"hex": secret_scan.HEX_LOWER, "HEX": secret_scan.HEX_UPPER, "BASE32": secret_scan.BASE32,
+                 "base32": "abcdefghijklmnopqrstuvwxyz234567", "BASE36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+                 "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "base62": secret_scan.BASE62, "base64": secret_scan.BASE64}
+
+
+def test_battery_recall_by_alphabet_and_length(spark):
+    rng = random.Random(10)
+    rows = [(name, n, "".join(rng.choices(letters, k=n))) for name, letters in KEY_ALPHABETS.items()
+            for n in (20, 32, 40, 64) for _ in range(400)]
+    p = spark.createDataFrame(rows, "name string, n int, token string").repartition(4) \
+        .select("name", "n", secret_scan.battery(F.col("token")).alias("p")).collect()
+    lost = {}
+    for r in p:  # at the class's full level, where most random keys are lost
+        lost.setdefault((r.name, r.n), []).append(r.p <= secret_scan.level(r.n.bit_length() - 1))
+    print({k: sum(v) / len(v) for k, v in lost.items()})
+    # the levels, with two standard errors
+    assert all(sum(v) <= 400 * (q := secret_scan.level(n.bit_length() - 1)) + 2 * (400 * q * (1 - q)) ** 0.5
+               for (_, n), v in lost.items())
+
+
+@pytest.mark.parametrize("name", ["base32", "BASE36", "base36"])
+def test_single_case_keys_are_reported_and_words_are_not(spark, name):
+    rng = random.Random(name)
+    keys = ["".join(rng.choices(KEY_ALPHABETS[name], k=38)) + "7a" for _ in range(150)]
+    keys = [k.upper() if name.isupper() else k for k in keys]
+    words = ["".join(rng.choices(["tion", "schaft", "lich", "ing", "heit", "the", "and"], k=9)) + "2024" for _ in range(150)]
+    rows = [(k, f"see {t} here") for k, t in enumerate(keys + words)]
+    spans = {r.doc_id: r.n for r in secret_scan.secret_spans(documents(spark, rows)).select(
+        "doc_id", F.size("spans").alias("n")).collect()}
+    assert sum(spans[k] for k in range(150)) >= 140
+    assert sum(spans[k] for k in range(150, 300)) == 0
+
+
 # -- page text --------------------------------------------------------------------------------------
 
 def test_consensus_path_and_left_out_parts(spark):
