@@ -9,9 +9,16 @@
    without that path uses its own best container.
 
 Inside the container, menus, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are left out by tag, role or class word. Character references are
-decoded, white space inside a block becomes one space, blocks are joined by one line
-break in page order; nothing else is dropped.
+reader comments are left out by tag, role or whole class name. A name counts when all
+its words are such words or say where or how (`site-footer`; not `has-sidebar` or
+`related-work`). Ids count alike, but not on headings, nor on sections of an article;
+words that may name a text's own subject don't count on its paragraphs and headings.
+What a class or id, a form or a role would leave out is kept all the same when it holds
+`main` or the page's longest `article`, and what a layout word names (`sidebar`) when it
+holds most of the page's unlinked text and is in an article, or no article has text; other
+words (`ad`, `comments`) only where no main container has text. Character references are
+decoded, white space inside a block becomes one space, blocks are joined by one line break
+in page order; nothing else is dropped.
 
 Defined results: null, empty or text-free pages give an empty text; a null URL, or one
 without `://`, is the host ''; votes that tie go to the path first in order; repeated
@@ -23,7 +30,9 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +47,7 @@ CONTAINERS = frozenset("html body main article section div header footer nav asi
                        "tr figure fieldset blockquote details center".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre hr figcaption caption address summary".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg select object math xmp".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select object xmp".split())
 DROPPED = RAW | frozenset("head nav footer aside form button canvas audio video dialog menu".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 DROPPED_WORDS = frozenset(
@@ -46,6 +55,17 @@ DROPPED_WORDS = frozenset(
     "commentlist disqus respond replies sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs "
     "footer cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe subscription signup "
     "login share sharing social related recommended recommendations widget widgets pagination pager toolbar".split())
+#: Words that don't tell by themselves what an element is.
+PLACE_WORDS = frozenset(
+    "site page main primary secondary left right top bottom global inner outer box bar block blocks list item items area "
+    "container wrapper wrap section panel link links button buttons inline fixed sticky mobile desktop unit slot group row "
+    "post posts article articles blog author google form js c l o wp".split())
+#: Words of the page's frame, which may name a wrapper of the text.
+LAYOUT_WORDS = frozenset("sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer banner popup modal "
+                         "overlay social related recommended recommendations widget widgets toolbar pagination pager".split())
+#: Words that a text may use for its own paragraphs.
+SUBJECT_WORDS = frozenset("comment comments notice notices related respond replies consent banner recommended promotion".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_WORDS = frozenset("article content post entry story main text body".split())
 ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"),
             "tr": ("tr", "td", "th"), "option": ("option",)}
@@ -60,11 +80,24 @@ _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
 
 class Element:
-    """An open element: its step in the path, and whether its content is left out."""
-    __slots__ = ("dropped", "link", "main", "path", "tag")
+    """An open element: its step in the path, whether its content is left out for sure
+    (dropped) or unless it turns out to hold the main text (doubts: number and kind of such
+    elements around), and the numbers of the article and, negative, main elements around."""
+    __slots__ = ("articles", "doubts", "dropped", "in_article", "link", "main", "path", "tag")
 
-    def __init__(self, tag: str, path: tuple[str, ...], dropped: bool, main: bool, link: bool):
+    def __init__(self, tag: str, path: tuple[str, ...], dropped: bool, main: bool, link: bool, in_article: bool = False,
+                 doubts: tuple[tuple[int, str], ...] = (), articles: tuple[int, ...] = ()):
         self.tag, self.path, self.dropped, self.main, self.link = tag, path, dropped, main, link
+        self.in_article, self.doubts, self.articles = in_article, doubts, articles
+
+
+class Found(NamedTuple):
+    """A block and what is around it."""
+    path: tuple[str, ...]
+    text: str
+    linked: float
+    doubts: tuple[tuple[int, str], ...]
+    articles: tuple[int, ...]
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -72,38 +105,81 @@ def _attributes(raw: str) -> dict[str, str]:
             for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _opened(tag: str, raw: str, parent: Element) -> Element:
-    path, dropped, main = parent.path, parent.dropped, parent.main
+def _names(raw: str, words: frozenset[str]) -> bool:
+    """Whether one of the names has no words but these and those of place, and one of these."""
+    return any((parts := set(_WORD.findall(name))) and not parts.isdisjoint(words) and parts <= words | PLACE_WORDS
+               for name in raw.split())
+
+
+@lru_cache(4096)
+def _is_main(step: str) -> bool:
+    """Whether a step of a path is an article, a main or a named main container."""
+    tag, *classes = step.split(".")
+    return tag in ("article", "main") or (tag not in ("html", "body")
+                                          and any(w in MAIN_WORDS for c in classes for w in _WORD.findall(c)))
+
+
+def _opened(tag: str, raw: str, parent: Element, number: int) -> Element:
+    path, dropped, main, doubts, articles = parent.path, parent.dropped, parent.main, parent.doubts, parent.articles
     has = _attributes(raw) if raw and not raw.isspace() else {}
-    classes = has.get("class", "").lower()
-    words = set(_WORD.findall(classes + " " + has.get("id", "").lower()))
+    classes, own_id = has.get("class", "").lower(), has.get("id", "").lower()
+    words = set(_WORD.findall(classes + " " + own_id))
+    free, inline = tag in ("html", "body", "article", "main"), parent.main and (tag not in CONTAINERS or tag == "blockquote")
+    named = False
     if not dropped:
-        dropped = (tag in DROPPED or (tag == "header" and not main) or has.get("role", "").lower() in DROPPED_ROLES
-                   or "hidden" in has or has.get("aria-hidden") == "true"
-                   or "display:none" in has.get("style", "").replace(" ", "").lower()
-                   or (tag not in ("html", "body", "article", "main") and not words.isdisjoint(DROPPED_WORDS))
-                   or (not main and "header" in words and tag not in ("html", "body", "article", "main")))
+        ids = "" if tag in HEADINGS or inline or (parent.in_article and tag == "section") else own_id
+        names, subject = f"{classes} {ids}", SUBJECT_WORDS if inline or tag in HEADINGS else frozenset()
+        named = _names(names, DROPPED_WORDS - subject)
+        dropped = ((tag in DROPPED and tag != "form") or (tag == "header" and not main) or "hidden" in has
+                   or has.get("aria-hidden") == "true" or "display:none" in has.get("style", "").replace(" ", "").lower())
+        if tag == "form" or has.get("role", "").lower() in DROPPED_ROLES:
+            doubts = (*doubts, (number, "form"))
+        elif not free and (named or (not main and _names(names, frozenset(["header"])))):
+            kind = "reader" if _names(names, DROPPED_WORDS - LAYOUT_WORDS - subject) else "part" if parent.in_article else "layout"
+            doubts = (*doubts, (number, kind))
     if tag in CONTAINERS:
         step = ".".join([tag, *(re.sub(r"\d+", "#", c) for c in classes.split())])
         path = (*path, step)
         main = main or tag in ("article", "main") or not words.isdisjoint(MAIN_WORDS)
-    return Element(tag, path, dropped, main, parent.link or tag == "a")
+        if tag == "main" or (tag == "article" and not named):
+            articles = (*articles, number if tag == "article" else -number)
+    return Element(tag, path, dropped, main, parent.link or tag == "a", parent.in_article or tag in ("article", "main"),
+                   doubts, articles)
+
+
+def _kept(found: list[Found]) -> list[Found]:
+    """Without the blocks of elements in doubt, but for elements that hold the main text."""
+    if not any(x.doubts for x in found):
+        return found
+    worth: dict[int | tuple[int, str], float] = defaultdict(float)  # unlinked text in articles and elements in doubt
+    for x in found:
+        for k in (*x.doubts, *x.articles, 0):
+            worth[k] += len(x.text) * (1 - x.linked)
+    longest = max((k for k in worth if isinstance(k, int) and k > 0), key=lambda k: (worth[k], -k), default=0)
+    # around a main or the longest article is what was opened before it
+    saved = {d for x in found for a in x.articles if a < 0 or a == longest for d in x.doubts if d[0] < abs(a)}
+    sure = [x for x in found if saved.issuperset(x.doubts)]
+    in_article, in_main = any(x.articles for x in sure), any(_is_main(step) for x in sure for step in x.path)
+    blocked = {"form"} | ({"layout"} if in_article else set()) | ({"reader"} if in_article or in_main else set())
+    saved |= {d for x in found for d in x.doubts if d[1] not in blocked and worth[d] > worth[0] / 2}
+    return [x for x in found if saved.issuperset(x.doubts)]
 
 
 def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
     """(path of the container, text, share of it inside links) of every block that is
     not left out, in page order."""
-    found: list[tuple[tuple[str, ...], str, float]] = []
+    found: list[Found] = []
     stack = [Element("", ("page",), False, False, False)]
     text: list[str] = []
-    linked = at = 0
+    linked = at = number = 0
 
     def flush() -> None:
         nonlocal linked
         if text:
             clean = " ".join("".join(text).split())
             if clean:
-                found.append((stack[-1].path, clean, min(1.0, linked / len(clean))))
+                top = stack[-1]
+                found.append(Found(top.path, clean, min(1.0, linked / len(clean)), top.doubts, top.articles))
             text.clear()
         linked = 0
 
@@ -136,7 +212,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
                 flush()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    if stack[k].dropped:
+                    if stack[k].dropped or stack[-1].doubts != stack[k - 1].doubts:
                         flush()
                     del stack[k:]
                     break
@@ -155,13 +231,14 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
             end = _RAW_END[tag].search(html, at)
             at = end.end() if end else len(html)
             continue
-        element = _opened(tag, m[3] or "", stack[-1])
-        if element.dropped and not stack[-1].dropped:
+        number += 1
+        element = _opened(tag, m[3] or "", stack[-1], number)
+        if (element.dropped and not stack[-1].dropped) or element.doubts != stack[-1].doubts:
             flush()
         stack.append(element)
     add(html[at:])
     flush()
-    return found
+    return [(x.path, x.text, x.linked) for x in _kept(found)]
 
 
 def best_path(found: list[tuple[tuple[str, ...], str, float]]) -> tuple[str, ...] | None:

@@ -386,6 +386,35 @@ def test_consensus_path_and_left_out_parts(spark):
     assert got.count() == len(rows) and html_text.extract(pages.limit(0)).count() == 0
 
 
+def page_text(html):
+    found = html_text.blocks(html)
+    path = html_text.best_path(found)
+    return html_text.text_below(found, path) if path else ""
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="page has-sidebar">%s</div>', '<div id="with-menu">%s</div>', '<div class="sidebar">%s</div>',
+                                     '<form id="aspnet">%s</form>', '<div class="no-ads"><div class="widget">%s</div></div>'])
+def test_wrappers_of_the_article_are_kept(wrapper):
+    side = '<div class="sidebar"><p>side text</p></div><div class="ad">buy</div>'
+    article = '<article><h1>Title</h1><p>one two three</p><div class="comments"><p>great</p></div></article>'
+    assert page_text(f"<body>{wrapper % (side + article + side)}</body>") == "Title\none two three"
+
+
+def test_names_within_an_article():
+    html = ('<article><h2 id="related-work">Related</h2><p>lead</p><section id="comments-on-method"><h3 id="menu">Sub</h3><p>text</p></section>'
+            '<section id="comments"><p>more</p></section><p class="notice">mind <span class="comment">this</span> gap</p>'
+            '<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.</p><div class="ad-banner">buy</div><ol class="comment-list"><li>great</ol>'
+            '<p class="ad">buy</p><p>end</p></article>')
+    assert page_text(html) == "Related\nlead\nSub\ntext\nmore\nmind this gap\nso x=2.\nend"
+
+
+def test_adverts_and_comments_longer_than_the_article_are_left_out():
+    long = "word " * 50
+    assert page_text(f'<body><div class="ad">{long}</div><article><p>short</p></article><div class="comments">{long}</div></body>') == "short"
+    assert page_text(f'<body><p>a</p><div class="widget"><p>{long}</p></div></body>') == f"{long.strip()}"
+    assert page_text(f'<article><p>a</p><div class="widget"><p>{long}</p></div></article>') == f"a\n{long.strip()}"
+
+
 def test_digest_of_no_span_is_the_empty_digest(spark):
     row = secret_scan.secret_spans(documents(spark, [(1, None)])).select(
         F.sha2(secret_scan.written("base"), 256).alias("d")).first()
