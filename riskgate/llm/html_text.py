@@ -2,7 +2,9 @@
 
 1. Each page is read once; its containers are scored by the text they hold, and the
    page votes for its best one, named by a generalised path: tags with their classes,
-   digits replaced, so that `div.post-17` and `div.post-18` are the same.
+   digits replaced, so that `div.post-17` and `div.post-18` are the same. Layout wrappers
+   below an article or main don't stand for it: the vote goes to the nearest article or
+   main around the best container, or else to the nearest named main container.
 2. Spark counts the votes per host (map-side combined, so a host with a third of all
    pages is no burden) and keeps each host's winning path.
 3. Each page is read again and the text below its host's winning path is taken. A page
@@ -243,7 +245,8 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
 
 def best_path(found: list[tuple[tuple[str, ...], str, float]]) -> tuple[str, ...] | None:
     """The container that holds most of the text: its own blocks count in full, those
-    of inner containers by half for each level, and named main containers threefold."""
+    of inner containers by half for each level, and named main containers threefold.
+    From there up to the nearest article or main, or else to the nearest named one."""
     score: dict[tuple[str, ...], float] = defaultdict(float)
     for path, text, linked in found:
         worth = len(text) * (1 - linked)
@@ -251,10 +254,13 @@ def best_path(found: list[tuple[tuple[str, ...], str, float]]) -> tuple[str, ...
             score[path[:depth]] += worth
             worth *= ANCESTOR_FACTOR
     for path in score:
-        tag, *classes = path[-1].split(".")
-        if tag in ("article", "main") or any(w in MAIN_WORDS for c in classes for w in _WORD.findall(c)):
+        if _is_main(path[-1]):
             score[path] *= MAIN_FACTOR
-    return min(score, key=lambda p: (-score[p], p)) if score else None
+    if not score:
+        return None
+    best = min(score, key=lambda p: (-score[p], p))
+    around = [best[:depth] for depth in range(len(best), 0, -1) if _is_main(best[depth - 1])]
+    return next((p for p in around if p[-1].split(".")[0] in ("article", "main")), around[0] if around else best)
 
 
 def text_below(found: list[tuple[tuple[str, ...], str, float]], path: tuple[str, ...]) -> str | None:

@@ -415,6 +415,20 @@ def test_adverts_and_comments_longer_than_the_article_are_left_out():
     assert page_text(f'<article><p>a</p><div class="widget"><p>{long}</p></div></article>') == f"a\n{long.strip()}"
 
 
+@pytest.mark.parametrize("around", ["article", "main", 'div class="content"', 'div class="post-17"'])
+def test_layout_wrappers_do_not_stand_for_the_article(spark, around):
+    page = (f'<body><p>site</p><{around}><h1>T</h1><p>lead</p><div class="row"><div class="col"><p>{"word " * 60}%d</p></div></div>'
+            f'<figure><figcaption>caption</figcaption></figure></{around.split()[0]}></body>')
+    pages = spark.createDataFrame([(k, "http://h.org/%d" % k, page % k) for k in range(3)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == {
+        k: f"T\nlead\n{'word ' * 60}{k}\ncaption" for k in range(3)}
+
+
+def test_a_named_part_of_an_article_does_not_stand_for_it():
+    html = f'<article><h1>T</h1><div class="entry-content"><p>{"word " * 60}</p></div></article>'
+    assert page_text(html) == f"T\n{('word ' * 60).strip()}"
+
+
 def test_digest_of_no_span_is_the_empty_digest(spark):
     row = secret_scan.secret_spans(documents(spark, [(1, None)])).select(
         F.sha2(secret_scan.written("base"), 256).alias("d")).first()
