@@ -13,18 +13,21 @@ item, counted in words.
    the place, at most MAX_EDITS_PCT percent of the item's words (bit-parallel dynamic
    programming).
 
-Words are runs of letters and digits in lower case, told apart by 64-bit hashes.
+Words are runs of letters and digits in lower case, told apart by 64-bit hashes. In
+scripts written without word spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese) each
+character is a word, and full-width punctuation separates like ASCII marks.
 Documents never leave their task; the items are broadcast in blocks of at most about
 BLOCK_WORDS words, with one pass over the documents for each block.
 
 Defined results: null or empty texts and items match nothing; items with fewer than
-MIN_ITEM_WORDS words are too little evidence and are not searched; repeated documents
+MIN_ITEM_WORDS words are too little evidence for edits and match exactly; repeated documents
 give repeated rows, an item at several places of a text one row (its least distance,
 the first place to end, and the longest passage that ends there); other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 import numpy as np
@@ -41,6 +44,12 @@ MIN_ITEM_WORDS = 6
 BLOCK_WORDS = 2_000_000
 SLICE = 1 << 20
 
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3021-\u3029\u3031-\u30ff\u31f0-\u31ff"
+                       "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+_WIDE_MARKS = re.compile("[\u3000-\u3004\u3008-\u3020\u3030\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+#: First bytes of all these characters (and some more) in UTF-8.
+_MAYBE_UNSPACED = re.compile(rb"[\xe0\xe1\xe3-\xe9\xef\xf0]")
+
 
 class Parts(NamedTuple):
     """All parts of one length, by key: the first key bits in use, and per part its key,
@@ -52,6 +61,13 @@ class Parts(NamedTuple):
     offsets: np.ndarray
 
 
+def spaced(text: bytes) -> bytes:
+    """The text with spaces around each character that is a word by itself."""
+    if _MAYBE_UNSPACED.search(text) is None:
+        return text
+    return _UNSPACED.sub(r" \g<0> ", _WIDE_MARKS.sub(" ", text.decode("utf-8", "replace"))).encode()
+
+
 def cut(n: int, edits: int) -> list[tuple[int, int]]:
     """Bounds of the edits + 1 parts of an item of n words, as even as can be."""
     ends = [n * j // (edits + 1) for j in range(edits + 2)]
@@ -64,11 +80,11 @@ class Items:
     def __init__(self, ids: list[int], texts: list[bytes]):
         self.ids, self.words = [], []
         for i, text in zip(ids, texts, strict=True):
-            hashes = W.words(text, lower=True, letters=True)[1]
-            if len(hashes) >= MIN_ITEM_WORDS:
+            hashes = W.words(spaced(text), lower=True, letters=True)[1]
+            if len(hashes):
                 self.ids.append(i)
                 self.words.append(hashes)
-        self.edits = [len(w) * MAX_EDITS_PCT // 100 for w in self.words]
+        self.edits = [len(w) * MAX_EDITS_PCT // 100 if len(w) >= MIN_ITEM_WORDS else 0 for w in self.words]
         self.masks: list[dict[int, int]] = []
         for w in self.words:
             mask: dict[int, int] = {}
@@ -203,7 +219,7 @@ def _searched(items: Items, texts: list[bytes]):
         if k < len(texts) and (held <= SLICE or k == start):
             continue
         if k > start:
-            firsts, _, hashes = W.many_words(texts[start:k], lower=True, letters=True)
+            firsts, _, hashes = W.many_words([spaced(t) for t in texts[start:k]], lower=True, letters=True)
             yield from ((start + t, i, d, at) for t, i, d, at in items.search(hashes, firsts))
         start, held = k, len(texts[k]) if k < len(texts) else 0
 

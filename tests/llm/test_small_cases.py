@@ -178,6 +178,17 @@ def test_decontamination_edge_cases(spark):
     assert decontaminate.matches(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_match_exactly_and_unspaced_scripts_by_character(spark):
+    chinese, thai = "床前明月光，疑是地上霜。举头望明月，低头思故乡。", "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"
+    bench = spark.createDataFrame([(1, "seven"), (2, "one two three four five"), (3, chinese), (4, thai), (5, "日本")],
+                                  "item_id long, text string")
+    docs = documents(spark, [(1, "at Seven, sharp"), (2, "sevens"), (3, "zero one two; three four five six"), (4, "one two three nine five"),
+                             (5, f"他说：{chinese.replace('，', '').replace('霜', '雪')}好"), (6, f"ที่{thai}นะ"), (7, "東京は日本の首都"), (8, "本日")])
+    got = sorted((r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(docs, bench).collect())
+    assert got == [(1, 1, 0), (3, 2, 0), (5, 3, 1), (6, 4, 0), (7, 5, 0)]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [2, 4, 8]
+
+
 # -- URL filter -----------------------------------------------------------------------------
 
 def test_url_filter_edge_cases(spark):
