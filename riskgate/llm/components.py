@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgate.llm.storage import stored
+from riskgate.llm.storage import dropped, stored
 
 MAX_ROUNDS = 60
 
@@ -33,9 +33,12 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every linked node: root is the least node it can reach.
     Null ends and links of a node to itself are left out."""
     now = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    state = None
+    state, last = None, None
     for _ in range(MAX_ROUNDS):
         now = stored(_small_star(_large_star(now)), "components")
+        if last is not None:
+            dropped(last)
+        last = now
         got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if got == state:
             break
