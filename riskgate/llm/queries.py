@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgate.llm import (chat_repair, decontaminate, html_text, jaccard_join, language_id, quality, secret_scan, sentencepiece_scan, token_counts,
-                          url_filter)
+from riskgate.llm import (chat_repair, chosen_path, decontaminate, html_text, jaccard_join, language_id, lexical_search, quality,
+                          secret_scan, sentencepiece_scan, spelling_variants, token_counts, url_filter)
 from riskgate.llm.arrow import table
 
 
@@ -86,5 +86,22 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_token_counts, op4_decontaminate, op5_url_filter, op6_language_id,
-                                  op7_jaccard_join, op8_chat_format, op9_secret_scan, op10_html_text)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+NEAR_RULE = chosen_path.Near(words=5, percent=85)
+
+
+def op12_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), NEAR_RULE)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_sentencepiece, op2_quality_rules, op3_token_counts, op4_decontaminate, op5_url_filter, op6_language_id,
+    op7_jaccard_join, op8_chat_format, op9_secret_scan, op10_html_text, op11_spelling_variants, op12_near_duplicates,
+    op13_lexical_search)}
