@@ -2,10 +2,13 @@
 
 Stratified and group-aware splits send the rows with the lowest seeded hash
 draws to test. The cut-off row of each label is found exactly inside Spark: rows
-are counted by a prefix of their draw, the prefix that holds the cut-off is
-refined, and only rows that share the whole 32-bit draw are put in order. Small
-tables (labels x prefixes) are joined back null-safely; no row reaches the driver
-and no label, null included, is lost.
+are counted by a prefix of their draw (map-side), the prefix that holds the cut-off
+is refined, and only rows that share the whole 32-bit draw are put in order. What
+comes of it is one cut-off per label. The group split has a single one, which goes
+into the filter as a literal. Up to MAX_BROADCAST_LABELS label cut-offs are handed out
+by broadcast, so the rows themselves never move; a label column with more distinct
+values is joined by (label, salt), so a hot label is spread over SALTS tasks. No row
+reaches the driver and no label, null included, is lost.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from riskgate import fixed
 from riskgate.functions import draws
@@ -21,6 +25,9 @@ from riskgate.functions import draws
 # The draw is an exact multiple of 2^-32; its 32-bit integer is refined by
 # prefixes of 10, 21 and 32 bits.
 PREFIX_SHIFTS = [22, 11, 0]
+# Cut-offs of so many labels are collected and broadcast, a few hundred KB at most.
+MAX_BROADCAST_LABELS = 10_000
+SALTS = 64
 
 
 def _draw_bits(seed: int, key: str, stream: str) -> Column:
@@ -71,36 +78,56 @@ def _cut_offs(d: DataFrame, labels: Sequence[str], key: str, fraction: float) ->
         .select(*labels, F.col("_u").alias("_cut_u"), F.col("_key").alias("_cut_key"))
 
 
-def _assign(df: DataFrame, bits: Column, labels: Sequence[str], key: str, cuts: DataFrame, out: str) -> DataFrame:
-    d = df.withColumn("_u", bits).alias("r").join(cuts.alias("c"), _matches(labels, "r", "c"), "left") \
-        .select("r.*", "c._cut_u", "c._cut_key")
+def _assign(d: DataFrame, key: str, out: str) -> DataFrame:
+    """The side of rows that carry their draw (_u) and their label's cut-off."""
     below = (F.col("_u") < F.col("_cut_u")) | ((F.col("_u") == F.col("_cut_u")) & (
         F.col(key).isNull() | (F.col(key) <= F.col("_cut_key"))))
     return d.withColumn(out, F.when(below, F.lit("test")).otherwise(F.lit("train"))).drop("_u", "_cut_u", "_cut_key")
 
 
+def _found(narrow: DataFrame, labels: Sequence[str], fraction: float) -> tuple[DataFrame, list | None]:
+    """The cut-offs as a table, and as rows where there are at most MAX_BROADCAST_LABELS. The
+    narrow columns are read four times, from memory or local disk."""
+    kept = narrow.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = _cut_offs(kept, labels, "_k", fraction).limit(MAX_BROADCAST_LABELS + 1).collect()
+    kept.unpersist()
+    return _cut_offs(narrow, labels, "_k", fraction), rows if len(rows) <= MAX_BROADCAST_LABELS else None
+
+
 def stratified_split(df: DataFrame, label: str, key: str,
                      test_fraction: float = fixed.SPLIT_TEST_FRACTION,
                      seed: int = fixed.SPLIT_SEED, out: str = "split") -> DataFrame:
     """Per label (null is one), the ceil(fraction * n) rows with the lowest seeded
     draw (ties by key) go to test (O4). Deterministic for a given seed and key,
-    whatever the partitioning and the number of labels."""
+    whatever the partitioning and the number of labels. Finding the cut-offs runs a
+    small job at once."""
     bits = _draw_bits(seed, key, "split")
-    d = df.select(F.col(label), F.col(key).alias("_k"), bits.alias("_u"))
-    return _assign(df, bits, [label], key, _cut_offs(d, [label], "_k", test_fraction), out)
+    cuts, rows = _found(df.select(F.col(label), F.col(key).alias("_k"), bits.alias("_u")), [label], test_fraction)
+    left = df.withColumn("_u", bits)
+    if rows is not None:
+        small = df.sparkSession.createDataFrame(rows, cuts.schema).alias("c")
+        d = left.alias("r").join(F.broadcast(small), _matches([label], "r", "c"), "left")
+    else:
+        salted = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("c")
+        left = left.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+        d = left.alias("r").join(salted, _matches([label], "r", "c") & (F.col("r._salt") == F.col("c._salt")), "left")
+    return _assign(d.select(*[F.col(f"r.{c}") for c in df.columns], "r._u", "c._cut_u", "c._cut_key"), key, out)
 
 
 def group_split(df: DataFrame, group_col: str, test_fraction: float = fixed.SPLIT_TEST_FRACTION,
                 seed: int = fixed.SPLIT_SEED, out: str = "split") -> DataFrame:
     """Whole groups go to one side (O5): rows with equal ``group_col`` (e.g. a
     text hash) never straddle the split. The ceil(fraction * groups) groups with
-    the lowest seeded draw are test. The distinct groups are counted by draw
-    prefix, so one shuffle makes them distinct and the rest handles small tables."""
-    bits = _draw_bits(seed, group_col, "group_split")
+    the lowest seeded draw are test. One shuffle makes the groups distinct, once, when
+    the split is built; the split itself is a filter expression on each row."""
     groups = df.select(F.col(group_col).alias("_k")).distinct() \
         .withColumn("_u", _draw_bits(seed, "_k", "group_split"))
-    cuts = _cut_offs(groups, [], "_k", test_fraction)
-    return _assign(df, bits, [], group_col, cuts, out)
+    cuts, rows = _found(groups, [], test_fraction)
+    cut = rows[0] if rows else {"_cut_u": None, "_cut_key": None}
+    d = df.withColumn("_u", _draw_bits(seed, group_col, "group_split")) \
+        .withColumn("_cut_u", F.lit(cut["_cut_u"]).cast("long")) \
+        .withColumn("_cut_key", F.lit(cut["_cut_key"]).cast(cuts.schema["_cut_key"].dataType))
+    return _assign(d, group_col, out)
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int = fixed.SPLIT_SEED,
