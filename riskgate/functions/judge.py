@@ -43,15 +43,16 @@ def _size(arr) -> Column:
     return F.size(F.coalesce(_col(arr), _empty()))
 
 
-def judge_rate(text, facts, flags, risk, default_risk: int = fixed.DEFAULT_RISK) -> Column:
-    """Rate-variant judgment struct.
+def judge_rate(text, facts, flags, risk, default_risk: int = fixed.DEFAULT_RISK, count=contained_count) -> Column:
+    """Rate-variant judgment struct (P22a). ``count`` says how many phrases a text holds:
+    ``contained_count``, or ``phrases.indexed_count`` for banks of many phrases.
 
     hallucinated = coverage < 0.3 or flag rate > 0.3. Severity: any flag ->
     min(25, 4 r + 10 rate); low coverage -> min(25, 2.5 r); else
     max(0, 0.8 r (1 - coverage)). Severity rounded to 2, coverage to 3.
     """
-    found = contained_count(text, facts)
-    hit = contained_count(text, flags)
+    found = count(text, facts)
+    hit = count(text, flags)
     n_facts = _size(facts)
     n_flags = _size(flags)
     coverage = found / F.greatest(n_facts, F.lit(1))
@@ -72,14 +73,14 @@ def judge_rate(text, facts, flags, risk, default_risk: int = fixed.DEFAULT_RISK)
     )
 
 
-def judge_any_flag(text, facts, flags, risk) -> Column:
+def judge_any_flag(text, facts, flags, risk, count=contained_count) -> Column:
     """Any-flag variant (P22b): hallucinated if coverage < 0.3 or any flag.
 
     Severity when hallucinated min(25, 4.5 r (1 - cov) + 5 flags), else
     max(0, 0.5 r (1 - cov)); rounded to 2.
     """
-    found = contained_count(text, facts)
-    hit = contained_count(text, flags)
+    found = count(text, facts)
+    hit = count(text, flags)
     coverage = found / F.greatest(_size(facts), F.lit(1))
     r = _col(risk).cast("double")
     is_hal = (coverage < fixed.JUDGE_COVERAGE_BELOW) | (hit > 0)

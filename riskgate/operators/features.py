@@ -118,7 +118,7 @@ def draw_matrix(seed: int, rows: int, cols: int, stream: str = "proj",
                       for d in range(cols)] for o in range(rows)])
 
 
-def _stacked(col: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def stacked(col: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows that hold a vector, their vectors as one matrix). Another length than
     the weights have is an error, never a cut."""
     have = col.notna().to_numpy()
@@ -129,7 +129,7 @@ def _stacked(col: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return have, np.stack(rows) if rows else np.empty((0, dim))
 
 
-def _spread(have: np.ndarray, values: np.ndarray) -> pd.Series:
+def spread(have: np.ndarray, values: np.ndarray) -> pd.Series:
     out = pd.Series([None] * len(have), dtype=object)
     out[have] = pd.Series(list(values), index=np.flatnonzero(have), dtype=object)
     return out
@@ -144,8 +144,8 @@ def project(df: DataFrame, vec: str, matrix: np.ndarray, out: str = "projected")
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def _proj(col: pd.Series) -> pd.Series:
-        have, x = _stacked(col, in_dim)
-        return _spread(have, x @ w.T)
+        have, x = stacked(col, in_dim)
+        return spread(have, x @ w.T)
 
     return df.withColumn(out, _proj(F.col(vec)))
 
@@ -164,7 +164,7 @@ def relu_apply(df: DataFrame, vec: str, layers: Sequence[tuple[np.ndarray, np.nd
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def _fwd(col: pd.Series) -> pd.Series:
-        have, h = _stacked(col, mats[0][0].shape[0])
+        have, h = stacked(col, mats[0][0].shape[0])
         if mu is not None:
             h = (h - mu) / sd
         for i, (W, b) in enumerate(mats):
@@ -172,7 +172,7 @@ def relu_apply(df: DataFrame, vec: str, layers: Sequence[tuple[np.ndarray, np.nd
             if i < len(mats) - 1:
                 h = np.maximum(h, 0.0)
         e = np.exp(h - h.max(axis=1, keepdims=True, initial=-np.inf))
-        return _spread(have, e / e.sum(axis=1, keepdims=True))
+        return spread(have, e / e.sum(axis=1, keepdims=True))
 
     return df.withColumn(out, _fwd(F.col(vec)))
 

@@ -10,12 +10,15 @@ Benchmark run: samples -> group-aware split (O5) -> fit (M6) -> evaluation
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgate import fixed
 from riskgate.functions import judge, scoring
 from riskgate.functions import text as T
+from riskgate.operators import custom
 from riskgate.operators import evaluate as E
 from riskgate.operators import joins as J
 from riskgate.operators import report as R
@@ -26,20 +29,29 @@ from riskgate.operators.split import group_split
 def audit_responses(responses: DataFrame, bank: DataFrame,
                     features: DataFrame | None = None,
                     model: RiskProbesModel | None = None,
-                    key: str = "id", rule: str = "rate", scorer=None) -> DataFrame:
+                    key: str = "id", rule: str = "rate", scorer=None,
+                    judge_factory: Callable[[], Callable] | None = None,
+                    extractor_factory: Callable[[], Callable] | None = None) -> DataFrame:
     """Judged (and scored) result records, one per filled response. ``rule`` picks
-    the judge (``rate`` or ``any_flag``). Scores come from a fitted model with a
+    the judge (``rate`` or ``any_flag``); ``judge_factory`` and ``extractor_factory`` put
+    functions of the user's in its place and in that of the term extraction, loaded once
+    a worker (see :mod:`riskgate.operators.custom`). Scores come from a fitted model with a
     feature table keyed by ``sample_id``, or from ``scorer``, which adds
     uncertainty, risk_score, violation, risk_index and gate to rows with
     ``response_text``."""
-    judged = {"rate": judge.judge_rate, "any_flag": judge.judge_any_flag}[rule]
     filled = responses.filter(judge.is_filled("response"))
     b = bank.select(key, F.col("category").alias("bank_category"), "risk_level",
                     F.col("question").alias("bank_question"), "key_facts", "red_flags",
                     F.col("entities").alias("bank_entities"))
     r = J.attach_bank(filled, b, key)
-    r = r.withColumn("judgment", judged("response", "key_facts", "red_flags", "risk_level"))
-    r = r.withColumn("entities", judge.term_fallback(T.extract_terms(F.col("response")), F.col("bank_entities")))
+    if judge_factory is not None:
+        r = custom.custom_judge(r, judge_factory)
+    else:
+        judged = {"rate": judge.judge_rate, "any_flag": judge.judge_any_flag}[rule]
+        r = r.withColumn("judgment", judged("response", "key_facts", "red_flags", "risk_level"))
+    r = custom.custom_extractor(r, extractor_factory, out="_terms") if extractor_factory is not None \
+        else r.withColumn("_terms", T.extract_terms(F.col("response")))
+    r = r.withColumn("entities", judge.term_fallback("_terms", F.col("bank_entities")))
     r = r.withColumn("text", T.prompt_text("bank_question", "response"))
     out = r.select(
         key, F.col("bank_category").alias("category"), "risk_level", "model",

@@ -5,6 +5,9 @@ benchmark record with given probes."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from riskgate.functions import draws
 from riskgate.operators.probes import RiskProbes, confidence_baseline
 from riskgate.operators.split import stratified_split
 from riskgate.plans import inputs as I
+from riskgate.session import checkpoint_dir
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,7 +114,32 @@ def fit_stationarity(spark, sf):
     return stationarity(samples(spark, sf), ProbeParams())
 
 
+def fit_risk_descent(spark, sf):
+    """Whether the risk probe's objective falls in every step, and its gradient equals
+    finite differences (M2)."""
+    from riskgate.operators.probes import ProbeParams, risk_descent
+    return risk_descent(samples(spark, sf), ProbeParams())
+
+
+def saved_score(spark, sf):
+    """Whether the scores that the saved weight table gives by joins and sums equal those of
+    the model, row by row (M7, K4)."""
+    from riskgate.operators.probes import RiskProbesModel, scores_by_table
+    data = samples(spark, sf)
+    path = os.path.join(checkpoint_dir(spark), f"saved-probes-{uuid.uuid4().hex}")
+    model = _fit(spark, sf)
+    model.save(path)
+    table = spark.read.schema(RiskProbesModel.WEIGHTS_SCHEMA).parquet(os.path.join(path, "weights"))
+    own = scores_by_table(data, table, "sample_id", "features").select(
+        "sample_id", F.col("risk_index").alias("own_index"), F.col("gate").alias("own_gate"))
+    both = RiskProbesModel.load(path).transform(data).join(own, "sample_id")
+    return both.select("sample_id", (F.abs(F.col("risk_index") - F.col("own_index")) < 1e-9).alias("same_index"),
+                       (F.col("gate") == F.col("own_gate")).alias("same_gate"))
+
+
 MODEL_QUERIES = {
+    "fit_risk_descent": fit_risk_descent,
+    "saved_score": saved_score,
     "scored_audit": scored_audit,
     "compare_models": compare_models,
     "benchmark_record": benchmark_record,

@@ -9,7 +9,9 @@ from __future__ import annotations
 from riskgate import fixed
 from riskgate.functions.draws import sql_unit_draw
 from riskgate.plans import catalog as Q
+from riskgate.plans import files as FL
 from riskgate.plans import inputs as I
+from riskgate.plans import streams as ST
 
 WS = r"[\t\n\x0B\f\r\x1C-\x1F \x85\p{Z}]+"
 STRIP = fixed.TERM_STRIP_CHARS
@@ -374,6 +376,59 @@ FROM r GROUP BY 1, 2"""
 SELECT probe, CAST(d AS INTEGER) AS dim, true AS stationary
 FROM (VALUES ('uncertainty'), ('violation')) p(probe), (SELECT unnest(range(max(len(embedding)))) AS d FROM embeddings)"""
 
+    out["fit_risk_descent"] = """
+SELECT 'objective falls' AS "check", CAST(k AS INTEGER) AS place, true AS holds FROM range(1, 9) r(k)
+UNION ALL SELECT name, CAST(k AS INTEGER), true
+FROM (VALUES ('gradient at the start'), ('gradient at the end')) n(name), range(0, 12) r(k)"""
+    out["saved_score"] = "SELECT vec_id AS sample_id, true AS same_index, true AS same_gate FROM embeddings"
+    out["judge_indexed"] = f"""
+{_judge_base('rate')}
+SELECT conv_id, turn, id, CAST(cov < 0.3 OR rate > 0.3 AS INTEGER) AS is_hallucinated, {SEV_RATE} AS severity,
+  CAST(hit AS INTEGER) AS red_flags_hit, CAST(found AS INTEGER) AS facts_found FROM m"""
+    out["bucketed_judge"] = f"""
+{_judge_base('rate')}
+SELECT conv_id, turn, id, CAST(cov < 0.3 OR rate > 0.3 AS INTEGER) AS is_hallucinated, {SEV_RATE} AS severity FROM m"""
+    out["latency_sketch"] = "SELECT event_type, count(*) AS n, true AS within FROM events GROUP BY event_type"
+    out["response_files"] = f"""
+WITH r AS ({RESP})
+SELECT CASE WHEN form > 0 THEN question END AS question, CASE WHEN form > 0 THEN id END AS id, CASE WHEN form > 0 THEN model END AS model,
+  CASE WHEN form > 0 THEN md5(response) END AS response_md5,
+  CASE form WHEN 0 THEN 'broken' WHEN 1 THEN 'documents' ELSE 'lines' END AS folder,
+  CASE WHEN form = 0 THEN '{{"id": "' || id || '", "question": "' || question || '", "resp' END AS bad_record
+FROM (SELECT conv_id % {FL.FORMS} AS form, CAST(id AS VARCHAR) AS id, model, conv_id || ':' || turn AS question, response FROM r)"""
+    out["bank_files"] = f"""
+WITH {bank_ctes()}
+SELECT CAST(id AS VARCHAR) AS id, CAST(risk_level AS INTEGER) AS risk_level, CAST(len(key_facts) AS INTEGER) AS n_facts,
+  CAST(len(red_flags) AS INTEGER) AS n_flags, md5(question) AS question_md5 FROM bank"""
+    out["result_files"] = f"""
+WITH r AS ({RESP}),
+models AS (SELECT DISTINCT model FROM r)
+SELECT CAST(item_id AS VARCHAR) AS id, m.model, count(r.conv_id) AS n, md5(max(response)) AS last_md5,
+  CASE WHEN regexp_matches(m.model, '[02468]$') THEN 2 ELSE 1 END AS version
+FROM benchmark CROSS JOIN models m LEFT JOIN r ON r.id = item_id AND r.model = m.model GROUP BY item_id, m.model"""
+    (dm, dr), (rm, rr) = ST.DELAYED, ST.REPEATED
+    drops = f"""
+WITH bounds AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+drops AS (
+  SELECT event_id, ts, value, CAST(floor((epoch_us(ts) - lo) * {ST.DELIVERIES} / (hi - lo + 1)) AS BIGINT)
+      + CAST(event_id % {dm} = {dr} AS BIGINT) + unnest(range(0, CASE WHEN event_id % {rm} = {rr} THEN 2 ELSE 1 END)) AS drop
+  FROM events, bounds),
+e0 AS (SELECT event_id, ts, drop, {components(value_features('value'))} FROM drops),
+e1 AS (SELECT *, {INDEX_SQL} AS risk_index FROM e0),
+e AS (SELECT *, {GATE} AS gate FROM e1)"""
+    out["stream_scores"] = f"{drops}\nSELECT event_id, round(risk_index, 6) AS risk_index, gate FROM e"
+    out["stream_gate_windows"] = f"""{drops},
+marks AS (
+  SELECT k, (SELECT max(date_trunc('milliseconds', ts)) FROM drops WHERE drop < k) - INTERVAL {ST.WATERMARK} AS mark
+  FROM range(0, {ST.DELIVERIES + 2}) r(k)),
+placed AS (
+  SELECT e.*, date_trunc('day', ts) - INTERVAL 1 day * d AS w,
+    mark IS NOT NULL AND date_trunc('day', ts) - INTERVAL 1 day * d + INTERVAL {ST.WINDOW} <= mark AS late
+  FROM e JOIN marks ON k = drop, (VALUES (0), (1)) v(d))
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, gate, count(*) FILTER (NOT late) AS n,
+  round(avg(risk_index) FILTER (NOT late), 6) AS avg_index, count(*) FILTER (late) AS n_late
+FROM placed GROUP BY 1, 2"""
+    out["stream_dedupe"] = "SELECT event_id, value FROM events"
     out["judge_any_flag"] = f"""
 {_judge_base('any')}
 SELECT conv_id, turn, id, CAST(cov < 0.3 OR hit > 0 AS INTEGER) AS is_hallucinated,

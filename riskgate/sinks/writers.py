@@ -54,6 +54,20 @@ def write_results(results: DataFrame, path: str, fmt: str = "json",
     w.format(fmt).save(path)
 
 
+def rewrite_results(results: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ("model",)) -> None:
+    """Replace the folders that ``results`` has rows for and leave the others (K2): a model
+    that is scored again does not touch the rest."""
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).format(fmt).save(path)
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> DataFrame:
+    """``df`` as a table in buckets by ``key``, one sorted file each. Two tables with the same
+    number of buckets join on the key without moving a row."""
+    df.repartition(buckets, key).sortWithinPartitions(key).write.mode("overwrite").option("path", path) \
+        .bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """Benchmark report (K3): the long (method, metric, value) table as JSON.
     One file: the table has methods x metrics rows, a size fixed by the caller."""

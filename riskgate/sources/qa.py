@@ -227,6 +227,20 @@ def response_file(spark: SparkSession, path: str | Sequence[str], only_filled: b
     return r.filter(is_filled("response")) if only_filled else r
 
 
+def response_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Line records of response files with the file they come from (S6, U2): the columns of a
+    response, ``source_file``, and ``bad_record``, which holds the text of a line that is
+    no record and is null otherwise. Nothing is dropped: filter ``bad_record is null``, and
+    report the rest."""
+    names = RESPONSE_SCHEMA.fieldNames()
+    schema = T_.StructType([*RESPONSE_SCHEMA.fields, *RESPONSE_FILE_SCHEMA.fields, T_.StructField("bad_record", T_.StringType())])
+    raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad_record").json(path) \
+        .select("*", F.col("_metadata.file_path").alias("source_file"))
+    alone = F.array(F.struct(*names)).cast(T_.ArrayType(RESPONSE_SCHEMA))
+    return raw.select(F.explode(F.coalesce("responses", alone)).alias("r"), "source_file", "bad_record") \
+        .select("r.*", "source_file", "bad_record")
+
+
 def bank_source(spark: SparkSession, path: str | Sequence[str], multiline: bool = False) -> DataFrame:
     """A question bank file (S7) in either spelling; where both are set the first
     (risk_level, key_facts) counts, missing columns are null."""
