@@ -49,8 +49,10 @@ CONTAINERS = frozenset("html body main article section div header footer nav asi
                        "tr figure fieldset blockquote details center".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre hr figcaption caption address summary".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg select object xmp".split())
-DROPPED = RAW | frozenset("head nav footer aside form button canvas audio video dialog menu".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Left out and holding no blocks of the page: a block's start ends them if they are open.
+SEALED = frozenset("svg select".split())
+DROPPED = RAW | SEALED | frozenset("noscript template object head nav footer aside form button canvas audio video dialog menu".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments "
@@ -76,35 +78,79 @@ ANCESTOR_FACTOR = 0.5
 
 _TOKEN = re.compile(
     r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+|[^<>]*)/?>|<[!?][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
 
-class Element:
-    """An open element: its step in the path, whether its content is left out for sure
-    (dropped) or unless it turns out to hold the main text (doubts: number and kind of such
-    elements around), and the numbers of the article and, negative, main elements around."""
-    __slots__ = ("articles", "doubts", "dropped", "in_article", "link", "main", "path", "tag")
-
-    def __init__(self, tag: str, path: tuple[str, ...], dropped: bool, main: bool, link: bool, in_article: bool = False,
-                 doubts: tuple[tuple[int, str], ...] = (), articles: tuple[int, ...] = ()):
-        self.tag, self.path, self.dropped, self.main, self.link = tag, path, dropped, main, link
-        self.in_article, self.doubts, self.articles = in_article, doubts, articles
+class Chain:
+    """Paths in a tree by number: each but 0, the empty one, is its parent and one value more.
+    Parents have smaller numbers, so sums and flags pass along in one loop."""
+
+    def __init__(self):
+        self.parent, self.value = [0], [None]
+        self.known: dict[tuple[int, object], int] = {}
+
+    def step(self, at: int, value) -> int:
+        number = self.known.setdefault((at, value), len(self.parent))
+        if number == len(self.parent):
+            self.parent.append(at)
+            self.value.append(value)
+        return number
+
+    def values(self, at: int) -> tuple:
+        """From the first to the last."""
+        out = []
+        while at:
+            out.append(self.value[at])
+            at = self.parent[at]
+        return tuple(out[::-1])
+
+    def summed(self, own: list[float], share: float = 1.0) -> list[float]:
+        """Each path's own amount and the share that its extensions hand on."""
+        out = list(own)
+        for k in range(len(out) - 1, 0, -1):
+            out[self.parent[k]] += share * out[k]
+        return out
+
+
+class Element(NamedTuple):
+    """An open element: the number of its path, whether its content is left out for sure
+    (dropped) or unless it turns out to hold the main text (doubts: the number of the chain
+    of such elements around), and the chain of article and main elements around."""
+    tag: str
+    path: int
+    dropped: bool
+    main: bool
+    link: bool
+    in_article: bool = False
+    doubts: int = 0
+    articles: int = 0
 
 
 class Found(NamedTuple):
     """A block and what is around it."""
-    path: tuple[str, ...]
+    path: int
     text: str
     linked: float
-    doubts: tuple[tuple[int, str], ...]
-    articles: tuple[int, ...]
+    doubts: int
+    articles: int
+
+
+class Page:
+    """The blocks of a page and the chains that their numbers mean."""
+
+    def __init__(self):
+        self.paths, self.doubts, self.articles = Chain(), Chain(), Chain()
+        self.found: list[Found] = []
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): next((unescape(v) for v in m.groups()[1:] if v is not None), "")
-            for m in _ATTRIBUTE.finditer(raw)}
+    """Names in lower case and values, read from left to right; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        out.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+    return out
 
 
 def _names(raw: str, words: frozenset[str]) -> bool:
@@ -121,7 +167,7 @@ def _is_main(step: str) -> bool:
                                           and any(w in MAIN_WORDS for c in classes for w in _WORD.findall(c)))
 
 
-def _opened(tag: str, raw: str, parent: Element, number: int) -> Element:
+def _opened(page: Page, tag: str, raw: str, parent: Element, number: int) -> Element:
     path, dropped, main, doubts, articles = parent.path, parent.dropped, parent.main, parent.doubts, parent.articles
     has = _attributes(raw) if raw and not raw.isspace() else {}
     classes, own_id = has.get("class", "").lower(), has.get("id", "").lower()
@@ -135,43 +181,69 @@ def _opened(tag: str, raw: str, parent: Element, number: int) -> Element:
         dropped = ((tag in DROPPED and tag != "form") or (tag == "header" and not main) or "hidden" in has
                    or has.get("aria-hidden") == "true" or "display:none" in has.get("style", "").replace(" ", "").lower())
         if tag == "form" or has.get("role", "").lower() in DROPPED_ROLES:
-            doubts = (*doubts, (number, "form"))
+            doubts = page.doubts.step(doubts, (number, "form"))
         elif not free and (named or (not main and _names(names, frozenset(["header"])))):
             kind = "reader" if _names(names, DROPPED_WORDS - LAYOUT_WORDS - subject) else "part" if parent.in_article else "layout"
-            doubts = (*doubts, (number, kind))
+            doubts = page.doubts.step(doubts, (number, kind))
     if tag in CONTAINERS:
-        step = ".".join([tag, *(re.sub(r"\d+", "#", c) for c in classes.split())])
-        path = (*path, step)
+        path = page.paths.step(path, ".".join([tag, *(re.sub(r"\d+", "#", c) for c in classes.split())]))
         main = main or tag in ("article", "main") or not words.isdisjoint(MAIN_WORDS)
         if tag == "main" or (tag == "article" and not named):
-            articles = (*articles, number if tag == "article" else -number)
+            articles = page.articles.step(articles, (tag, number, doubts))
     return Element(tag, path, dropped, main, parent.link or tag == "a", parent.in_article or tag in ("article", "main"),
                    doubts, articles)
 
 
-def _kept(found: list[Found]) -> list[Found]:
+def _along(chain: Chain, own: list[bool], every: bool) -> list[bool]:
+    """For each path whether all (every) or any of its steps have the flag."""
+    out = [every] * len(own)
+    for k in range(1, len(own)):
+        out[k] = (own[k] and out[chain.parent[k]]) if every else (own[k] or out[chain.parent[k]])
+    return out
+
+
+def _kept(page: Page) -> list[Found]:
     """Without the blocks of elements in doubt, but for elements that hold the main text."""
+    found, doubts, articles = page.found, page.doubts, page.articles
     if not any(x.doubts for x in found):
         return found
-    worth: dict[int | tuple[int, str], float] = defaultdict(float)  # unlinked text in articles and elements in doubt
+    worth = [[0.0] * len(c.parent) for c in (doubts, articles)]  # unlinked text below elements in doubt and articles
+    for x in found:
+        for own, k in zip(worth, (x.doubts, x.articles), strict=True):
+            own[k] += len(x.text) * (1 - x.linked)
+    in_doubt, in_articles = (c.summed(own) for c, own in zip((doubts, articles), worth, strict=True))
+    used = [False] * len(articles.parent)
     for x in found:
-        for k in (*x.doubts, *x.articles, 0):
-            worth[k] += len(x.text) * (1 - x.linked)
-    longest = max((k for k in worth if isinstance(k, int) and k > 0), key=lambda k: (worth[k], -k), default=0)
-    # around a main or the longest article is what was opened before it
-    saved = {d for x in found for a in x.articles if a < 0 or a == longest for d in x.doubts if d[0] < abs(a)}
-    sure = [x for x in found if saved.issuperset(x.doubts)]
-    in_article, in_main = any(x.articles for x in sure), any(_is_main(step) for x in sure for step in x.path)
+        used[x.articles] = True
+    for k in range(len(used) - 1, 0, -1):
+        used[articles.parent[k]] |= used[k]
+    longest = max((k for k in range(1, len(used)) if used[k] and articles.value[k][0] == "article"),
+                  key=lambda k: (in_articles[k], -k), default=0)
+    # around a main or the longest article is what was open when it was opened
+    saved = [False] * len(doubts.parent)
+    for k in range(1, len(used)):
+        if used[k] and (k == longest or articles.value[k][0] == "main"):
+            around = articles.value[k][2]
+            while around and not saved[around]:
+                saved[around] = True
+                around = doubts.parent[around]
+    sure = _along(doubts, saved, every=True)
+    mains = _along(page.paths, [bool(k) and _is_main(v) for k, v in enumerate(page.paths.value)], every=False)
+    in_article = any(x.articles for x in found if sure[x.doubts])
+    in_main = any(mains[x.path] for x in found if sure[x.doubts])
     blocked = {"form"} | ({"layout"} if in_article else set()) | ({"reader"} if in_article or in_main else set())
-    saved |= {d for x in found for d in x.doubts if d[1] not in blocked and worth[d] > worth[0] / 2}
-    return [x for x in found if saved.issuperset(x.doubts)]
-
-
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path of the container, text, share of it inside links) of every block that is
-    not left out, in page order."""
-    found: list[Found] = []
-    stack = [Element("", ("page",), False, False, False)]
+    for k in range(1, len(saved)):
+        saved[k] |= doubts.value[k][1] not in blocked and in_doubt[k] > in_doubt[0] / 2
+    sure = _along(doubts, saved, every=True)
+    return [x for x in found if sure[x.doubts]]
+
+
+def blocks(html: str) -> Page:
+    """The blocks of a page that are not left out, in page order: the number of the
+    container's path, the text, and the share of it inside links."""
+    page = Page()
+    stack = [Element("", page.paths.step(0, "page"), False, False, False)]
+    open_: dict[str, int] = defaultdict(int)
     text: list[str] = []
     linked = at = number = 0
 
@@ -181,7 +253,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
             clean = " ".join("".join(text).split())
             if clean:
                 top = stack[-1]
-                found.append(Found(top.path, clean, min(1.0, linked / len(clean)), top.doubts, top.articles))
+                page.found.append(Found(top.path, clean, min(1.0, linked / len(clean)), top.doubts, top.articles))
             text.clear()
         linked = 0
 
@@ -194,15 +266,25 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
             if top.link:
                 linked += len(raw)
 
+    def end(k: int) -> None:
+        for element in stack[k:]:
+            open_[element.tag] -= 1
+        del stack[k:]
+
     def close(tags: tuple[str, ...]) -> None:
         """Pop the nearest of these elements within the current container."""
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
-                del stack[k:]
+                end(k)
                 return
             if stack[k].tag in CONTAINERS:
                 return
 
+    def unseal() -> None:
+        """End what can hold no block."""
+        while any(open_[t] for t in SEALED):
+            end(max(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in SEALED))
+
     while (m := _TOKEN.search(html, at)) is not None:
         add(html[at:m.start()])
         at = m.end()
@@ -212,60 +294,77 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
         if m[1]:
             if tag in BLOCKS:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[k].tag == tag:
                     if stack[k].dropped or stack[-1].doubts != stack[k - 1].doubts:
                         flush()
-                    del stack[k:]
+                    end(k)
                     break
                 if stack[k].tag in CONTAINERS and tag not in CONTAINERS:
                     break
             continue
         if tag in BLOCKS:
             flush()
+            unseal()
             close(ENDED_BY.get(tag, ()))
             close(("p", "h1", "h2", "h3", "h4", "h5", "h6"))
         elif tag == "br":
             add(" ")
-        if tag in VOID:
+        raw = m[3] or ""
+        # in svg, and for svg itself, a slash closes the element; elsewhere in HTML it means nothing
+        if tag in VOID or ((tag == "svg" or open_["svg"]) and raw.endswith("/")):
             continue
         if tag in RAW:
-            end = _RAW_END[tag].search(html, at)
-            at = end.end() if end else len(html)
+            ended = _RAW_END[tag].search(html, at)
+            at = ended.end() if ended else len(html)
             continue
         number += 1
-        element = _opened(tag, m[3] or "", stack[-1], number)
+        element = _opened(page, tag, raw, stack[-1], number)
         if (element.dropped and not stack[-1].dropped) or element.doubts != stack[-1].doubts:
             flush()
         stack.append(element)
+        open_[tag] += 1
     add(html[at:])
     flush()
-    return [(x.path, x.text, x.linked) for x in _kept(found)]
+    page.found = _kept(page)
+    return page
 
 
-def best_path(found: list[tuple[tuple[str, ...], str, float]]) -> tuple[str, ...] | None:
+def best_path(page: Page) -> tuple[str, ...] | None:
     """The container that holds most of the text: its own blocks count in full, those
     of inner containers by half for each level, and named main containers threefold.
     From there up to the nearest article or main, or else to the nearest named one."""
-    score: dict[tuple[str, ...], float] = defaultdict(float)
-    for path, text, linked in found:
-        worth = len(text) * (1 - linked)
-        for depth in range(len(path), 0, -1):
-            score[path[:depth]] += worth
-            worth *= ANCESTOR_FACTOR
-    for path in score:
-        if _is_main(path[-1]):
-            score[path] *= MAIN_FACTOR
-    if not score:
+    paths = page.paths
+    own, has = [0.0] * len(paths.parent), [False] * len(paths.parent)
+    for x in page.found:
+        own[x.path] += len(x.text) * (1 - x.linked)
+        has[x.path] = True
+    for k in range(len(has) - 1, 0, -1):
+        has[paths.parent[k]] |= has[k]
+    score = paths.summed(own, ANCESTOR_FACTOR)
+    scored = {k: score[k] * (MAIN_FACTOR if _is_main(paths.value[k]) else 1) for k in range(1, len(has)) if has[k]}
+    if not scored:
         return None
-    best = min(score, key=lambda p: (-score[p], p))
-    around = [best[:depth] for depth in range(len(best), 0, -1) if _is_main(best[depth - 1])]
-    return next((p for p in around if p[-1].split(".")[0] in ("article", "main")), around[0] if around else best)
-
-
-def text_below(found: list[tuple[tuple[str, ...], str, float]], path: tuple[str, ...]) -> str | None:
+    most = max(scored.values())
+    best = min((k for k, v in scored.items() if v == most), key=paths.values) if most else min(scored, key=paths.values)
+    at, named = best, 0
+    while at:
+        if paths.value[at].split(".")[0] in ("article", "main"):
+            return paths.values(at)
+        named = named or (at if _is_main(paths.value[at]) else 0)
+        at = paths.parent[at]
+    return paths.values(named or best)
+
+
+def text_below(page: Page, path: tuple[str, ...]) -> str | None:
     """The text of the blocks below a path, or None where the page has none there."""
-    own = [text for p, text, _ in found if p[:len(path)] == path]
+    top = 0
+    for step in path:
+        top = page.paths.known.get((top, step), -1)
+        if top < 0:
+            return None
+    below = _along(page.paths, [k == top for k in range(len(page.paths.parent))], every=False)
+    own = [x.text for x in page.found if below[x.path]]
     return "\n".join(own) if own else None
 
 
