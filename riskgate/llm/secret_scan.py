@@ -56,28 +56,79 @@ BASE64 = BASE62 + "+/"
 
 MARK = "[SECRET]"
 
+#: Elements of a block of an array, and code points of a piece of a text.
+BLOCK, PIECE = 128, 1024
+
 
 def _matches(text: str, pattern: str) -> Column:
     return F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
 
 
+def _bound(x: Column, f) -> Column:
+    """f(x) with x computed once: a column used in a lambda is computed for every element."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _in_blocks(items: Column, f) -> Column:
+    """[f(block)] over the array's blocks of BLOCK elements; empty for an empty array. What
+    grows by a copy at each step stays within a block, so long arrays cost a fixed
+    multiple of their length."""
+    count = F.when(F.size(items) > 0, F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+    whole = F.transform(F.sequence(F.lit(0), count), lambda k: f(F.slice(items, k * BLOCK + 1, F.lit(BLOCK))))
+    return F.coalesce(whole, F.array())
+
+
+def _handed_on(blocks: Column, first: Column, add) -> Column:
+    """What each block starts from: `first`, then add(that, block) of the one before."""
+    def step(acc, block):
+        return F.struct(add(acc["at"], block).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    none = F.array().cast("array<bigint>")
+    return F.aggregate(blocks, F.struct(first.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+
+_SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,found:string>>"
+
+
 def _spans(text: str, pattern: str, matches: str, kind: str, keep) -> Column:
     """The kept matches as (start, rank, end, kind): the text between matches is what
     splitting by the pattern leaves, so lengths add up to positions."""
-    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,found:string>>")
+    none = F.array().cast(_SPAN)
+    zero = F.lit(0).cast("bigint")
     gaps = F.split(F.col(text), pattern, -1)
     steps = F.zip_with(F.slice(gaps, 1, F.size(matches)), F.col(matches), lambda g, m: F.struct(
         F.char_length(g).cast("bigint").alias("gap"), m.alias("found")))
 
+    def span(start, x):
+        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"),
+                        (start + F.char_length(x["found"])).alias("end"), F.lit(kind).alias("kind"), x["found"].alias("found"))
+
     def step(acc, x):
         start = acc["at"] + x["gap"]
-        end = start + F.char_length(x["found"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"),
-                        F.lit(kind).alias("kind"), x["found"].alias("found"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.struct((start + F.char_length(x["found"])).alias("at"), F.concat(acc["out"], F.array(span(start, x))).alias("out"))
+
+    def placed(blocks):
+        moved = F.zip_with(blocks, _handed_on(blocks, zero, lambda at, block: at + block["at"]), lambda block, at: F.transform(
+            block["out"], lambda x: span(at + x["start"], x)))
+        return F.flatten(moved)
+
+    first = F.struct(zero.alias("at"), none.alias("out"))
+    found = _bound(steps, lambda all_: _bound(_in_blocks(all_, lambda block: F.aggregate(block, first, step)), placed))
+    return F.when(F.size(matches) == 0, none).otherwise(F.filter(found, lambda x: keep(x["found"])))
 
-    found = F.aggregate(steps, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")), step, lambda a: a["out"])
-    return F.when(F.size(matches) == 0, none).otherwise(F.filter(found, lambda s: keep(s["found"])))
+
+def _free(tokens: str, base: str) -> Column:
+    """The tokens that no base span overlaps: a block of them is held against the base spans
+    of its own stretch of the text only."""
+    def within(both):
+        def block_free(block):
+            near = F.filter(both["base"], lambda b: (b["start"] < F.element_at(block, -1)["end"]) & (F.element_at(block, 1)["start"] < b["end"]))
+            return _bound(near, lambda close: F.filter(block, lambda t: ~F.exists(
+                close, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
+        return F.flatten(_in_blocks(both["tokens"], lambda block: _bound(block, block_free)))
+
+    inner = _bound(F.struct(F.col(tokens).alias("tokens"), F.col(base).alias("base")), within)
+    return F.when((F.size(tokens) == 0) | (F.size(base) == 0), F.col(tokens)).otherwise(inner)
 
 
 # -- the battery ----------------------------------------------------------------
@@ -98,11 +149,6 @@ def alphabet(token: Column) -> Column:
         .when(token.rlike("^[A-Za-z0-9]+$"), BASE62).otherwise(BASE64)
 
 
-def _bound(x: Column, f) -> Column:
-    """f(x) with x computed once."""
-    return F.transform(F.array(x), f)[0]
-
-
 def battery(token: Column) -> Column:
     """Combined p-value of the hypothesis that the token's symbols are random."""
     def tests(s):
@@ -182,8 +228,7 @@ def _scanned(docs: DataFrame, carry: tuple[str, ...], text: str) -> DataFrame:
         _spans("text", HEX, "m_hex", "hex", lambda m: F.lit(True)).alias("hex"),
         _spans("text", TOKEN, "m_random", "random", lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]")).alias("tokens"))
     rows = rows.withColumn("base", F.sort_array(F.concat("assign", "access", "hex")))
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    judged = F.transform(free, lambda t: F.struct(
+    judged = F.transform(_free("tokens", "base"), lambda t: F.struct(
         t.alias("span"), _length_class(F.char_length(t["found"])).alias("cls"), _bin(battery(t["found"])).alias("bin")))
     return rows.withColumn("judged", judged)
 
@@ -212,14 +257,33 @@ def written(spans: str) -> Column:
 
 
 def redacted(text: str, spans: str) -> Column:
-    """The text with every span, or run of overlapping spans, replaced by MARK."""
-    def step(acc, s):
-        before = F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when((s["start"] < acc["at"]), acc["out"]).otherwise(F.concat(acc["out"], before, F.lit(MARK))).alias("out"))
+    """The text with every span, or run of overlapping spans, replaced by MARK. What is kept
+    is cut from pieces of the text, so no cut reads it from the beginning."""
+    zero, none = F.lit(0).cast("bigint"), F.array().cast("array<struct<from:bigint,to:bigint>>")
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(spans, start, step, lambda a: F.concat(
-        a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return F.when(F.size(spans) == 0, F.col(text)).otherwise(whole)
+    def step(acc, x):
+        gap = F.array(F.struct(acc["at"].alias("from"), x["start"].alias("to")))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"),
+                        F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap)).alias("out"))
+
+    def last(block):
+        return F.array_max(F.transform(block, lambda x: x["end"]))
+
+    def gaps(blocks):
+        begun = _handed_on(blocks, zero, lambda at, block: F.greatest(at, last(block)))
+        return F.flatten(F.zip_with(blocks, begun, lambda block, at: F.aggregate(
+            block, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
+
+    def kept(x):
+        def cut(start, end):
+            first = F.floor(start / PIECE).cast("int")
+            some = F.slice(x["pieces"], first + 1, F.floor((end - 1) / PIECE).cast("int") - first + 1)
+            return F.when(end > start, F.substring(F.array_join(some, ""), (start - first * PIECE + 1).cast("int"), (end - start).cast("int"))) \
+                .otherwise("")
+        marked = F.transform(x["gaps"], lambda g: F.concat(cut(g["from"], g["to"]), F.lit(MARK)))
+        return F.concat(F.array_join(marked, ""), cut(x["end"], x["length"]))
+
+    whole = F.struct(F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"),
+                     _bound(_in_blocks(F.col(spans), lambda block: block), gaps).alias("gaps"), last(F.col(spans)).alias("end"),
+                     F.char_length(text).cast("bigint").alias("length"))
+    return F.when(F.size(spans) == 0, F.col(text)).otherwise(_bound(whole, kept))
