@@ -32,7 +32,7 @@ def rolling(data: np.ndarray, length: int) -> np.ndarray:
             out += block[offset:offset + len(out)] * factor
         done += 1
         block = block[:-width] + block[width:] * power if len(block) > width else block[:0]
-        power, width = power * power, 2 * width
+        power, width = np.uint64(int(power) ** 2 & (1 << 64) - 1), 2 * width
     return out
 
 

@@ -62,7 +62,7 @@ def summed(rows: DataFrame, vec: str, columns: Sequence[str], work: Callable[...
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    cast = [F.col(vec).cast("array<double>"), *[F.col(c).cast("double") for c in names]]
+    cast = [F.col(vec).cast("array<double>"), *[F.col(c).cast("double").alias(f"_c{k}") for k, c in enumerate(names)]]
     sums = rows.select(*cast).mapInArrow(run, "sums binary")
     parts = rows.rdd.getNumPartitions()
     while parts > FAN_IN:

@@ -127,10 +127,14 @@ def text_features(text) -> list[F.Column]:
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     n = F.char_length(t).cast("double")
 
-    def share(chars: str, scale: float) -> F.Column:
-        return (n - F.char_length(F.translate(t, chars, ""))) * F.lit(scale) / (n + 1.0)
+    def share(count: F.Column, scale: float) -> F.Column:
+        return count.cast("double") * F.lit(scale) / (n + 1.0)
 
-    return [share(" ", 1.0), share(".", 20.0), share("e", 5.0), share(SYMBOLS, 1.0), F.log(n + 1.0) / 10.0]
+    def times(char: str) -> F.Column:  # an ASCII character is one byte
+        return F.octet_length(t) - F.octet_length(F.replace(t, F.lit(char), F.lit("")))
+
+    return [share(times(" "), 1.0), share(times("."), 20.0), share(times("e"), 5.0),
+            share(F.regexp_count(t, F.lit(f"[{SYMBOLS}]")), 1.0), F.log(n + 1.0) / 10.0]
 
 
 def value_features(value: str) -> list[F.Column]:
@@ -167,7 +171,7 @@ def scored(df: DataFrame) -> DataFrame:
               .withColumn("gate", scoring.gate("risk_index")))
 
 
-def scored_documents(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+def scored_documents(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
     """Documents with components of their whole text, index and gate; a document is
     flagged when the normalised index passes the threshold; model = source."""
     d = table(spark, sf_dir, "documents", spread=spread)
@@ -178,15 +182,15 @@ def scored_documents(spark: SparkSession, sf_dir: str, spread: bool = False) ->
 
 def labelled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labels joined to the scores of their documents: toxic as label, the uncertainty
-    rounded to two places (ties) as score, a severity from the labels and a draw, and a
+    (to twelve places, so that equal texts tie) as score, a severity from the labels and a draw, and a
     latency-like duration (n_chars / 1000). Texts are scored before the join, which
     moves numbers only; the label enters no score."""
     lab = table(spark, sf_dir, "labels")
-    doc = with_components(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text"),
+    doc = with_components(table(spark, sf_dir, "documents", spread=True).select("doc_id", "n_chars", "text"),
                           text_features("text")).drop("text")
     out = lab.join(doc, "doc_id", "inner").select(
         "doc_id", "quality", F.col("toxic").alias("true_label"),
-        F.round("uncertainty", 2).alias("score"),
+        F.round("uncertainty", 12).alias("score"),
         (F.col("toxic") * 15.0 + F.col("quality") * 4.0
          + draws.unit_draw(SEED, F.col("doc_id"), "sev") * 6.0).alias("true_severity"),
         (F.col("n_chars") / 1000.0).alias("latency_ms"), "uncertainty", "risk_score", "violation")

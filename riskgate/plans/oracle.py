@@ -126,7 +126,7 @@ ls0 AS (SELECT l.doc_id, l.quality, l.toxic AS true_label,
                l.toxic * 15.0::DOUBLE + l.quality * 4.0::DOUBLE + {D('l.doc_id', 'sev')} * 6.0 AS true_severity,
                d.n_chars / 1000.0 AS latency_ms, {components(text_features('d.text'))}
         FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
-ls1 AS (SELECT *, round(uncertainty, 2) AS score, {INDEX_SQL} AS risk_index FROM ls0),
+ls1 AS (SELECT *, round(uncertainty, 12) AS score, {INDEX_SQL} AS risk_index FROM ls0),
 ls AS (SELECT *, {GATE} AS gate FROM ls1)"""
 
 

@@ -111,3 +111,39 @@ def test_run_stream_checkpoints_and_resumes(spark, tmp_dir):
     start().awaitTermination(120)          # resumes from the checkpoint: old files are not read again
     ids = sorted(r.event_id for r in spark.read.parquet(out).collect())
     assert ids == list(range(8))
+
+
+def test_windows_with_late_rows_told_apart(spark, tmp_dir):
+    schema = "event_id long, event_time timestamp, uncertainty double, risk_score double, violation double"
+    t0 = dt.datetime(2024, 1, 10, 12, 0, 0)
+    drops = [[(1, t0, 0.1, 1.0, 0.1)], [(2, t0 + dt.timedelta(days=5), 0.1, 1.0, 0.1)],
+             [(3, t0 + dt.timedelta(hours=1), 0.1, 1.0, 0.1), (4, t0 + dt.timedelta(days=5, hours=1), 0.1, 1.0, 0.1)]]
+    landing, sink = os.path.join(tmp_dir, "landing"), os.path.join(tmp_dir, "sink")
+    name = "late_" + os.path.basename(tmp_dir).replace("-", "_")
+    for k, rows in enumerate(drops):
+        df = spark.createDataFrame(rows, schema)
+        df.write.parquet(f"{landing}/drop={k}")
+        windows = G.gate_windows(G.add_gate(G.read_landing(spark, df.schema, f"{landing}/*")), window="1 day", watermark="1 day")
+        G.run_updates(windows, sink, name, available_now=True).awaitTermination()
+    counted = G.latest(spark.read.parquet(sink), ["window", "gate"])
+    landed = G.add_gate(spark.createDataFrame([r for rows in drops for r in rows], schema))
+    got = {r.window.start.day: (r.n, r.n_late) for r in G.with_late(counted, landed).collect()}
+    assert got == {10: (1, 1), 15: (2, 0)}
+
+
+def test_dedupe_state_expires(spark, tmp_dir):
+    schema = "event_id long, event_time timestamp"
+    t0 = dt.datetime(2024, 1, 10, 12, 0, 0)
+    landing, sink = os.path.join(tmp_dir, "landing"), os.path.join(tmp_dir, "sink")
+    name = "expire_" + os.path.basename(tmp_dir).replace("-", "_")
+    held = []
+    for k in range(4):
+        rows = [(10 * k + j, t0 + dt.timedelta(days=3 * k)) for j in range(10)] * 2
+        df = spark.createDataFrame(rows, schema)
+        df.write.parquet(f"{landing}/drop={k}")
+        stream = G.dedupe_responses(G.read_landing(spark, df.schema, f"{landing}/*"), ["event_id"], watermark="1 day")
+        q = G.run_stream(stream, sink, name, available_now=True)
+        q.awaitTermination()
+        held.append(max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]))
+    assert sorted(r.event_id for r in spark.read.parquet(sink).collect()) == list(range(40))
+    assert held[-1] <= 20  # keys of earlier drops are gone, not 40 held
