@@ -277,28 +277,45 @@ def loaded(path: str, kind: str) -> Vocabulary:
     return _LOADED[path, kind]
 
 
-def combine(states: list, vector: np.ndarray, entries: list, matrix: np.ndarray) -> np.ndarray:
-    """Max-plus product of a vector over `states` with a matrix whose rows are `entries`."""
-    place = {s: i for i, s in enumerate(states)}
-    row = np.array([vector[place[e]] if e in place else _LOST for e in entries])
-    return (row[:, None] + matrix).max(axis=0)
-
-
-def best_states(chunks: list[tuple[list, list, np.ndarray]]) -> list[tuple]:
-    """(entry state, exit state) of every chunk on the best path of one document."""
-    states, vector, forward = [(0, "")], np.zeros(1), []
-    for entries, leaves, matrix in chunks:
-        forward.append((states, vector))
-        vector = combine(states, vector, entries, matrix)
-        states = leaves
-    leave, found = states[int(vector.argmax())], []
-    for (before, weights), (entries, leaves, matrix) in zip(reversed(forward), reversed(chunks), strict=True):
-        place, column = {s: i for i, s in enumerate(before)}, matrix[:, leaves.index(leave)]
-        total = [weights[place[e]] + column[i] if e in place else _LOST for i, e in enumerate(entries)]
-        entry = entries[int(np.argmax(total))]
-        found.append((entry, leave))
-        leave = entry
-    return found[::-1]
+Transfer = tuple[list, list, np.ndarray]  # entry states, leave states, best weight from each to each
+
+
+def combined(a: Transfer, b: Transfer) -> Transfer:
+    """The transfer matrix of two neighbouring stretches: the max-plus product over the
+    states of the border between them. It is associative, so any bracketing will do."""
+    (entries, border, left), (own, leaves, right) = a, b
+    place = {s: i for i, s in enumerate(border)}
+    out = np.full((len(entries), len(leaves)), _LOST)
+    for k, state in enumerate(own):
+        if state in place:
+            np.maximum(out, left[:, place[state], None] + right[k], out=out)
+    return entries, leaves, out
+
+
+def best_states(chunks: list[Transfer]) -> list[tuple]:
+    """(entry state, exit state) of every chunk on the best path of one document: matrices of
+    neighbours are combined in levels up to the whole document, and the states at the
+    borders are chosen from there down, each from its two neighbours' matrices alone."""
+    levels = [chunks]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([combined(*below[k:k + 2]) if k + 1 < len(below) else below[k] for k in range(0, len(below), 2)])
+    entries, leaves, matrix = levels[-1][0]
+    start = entries.index((0, ""))
+    found = [((0, ""), leaves[int(matrix[start].argmax())])]
+    for below in levels[-2::-1]:
+        split: list[tuple] = []
+        for k, (entry, leave) in enumerate(found):
+            if 2 * k + 1 == len(below):
+                split.append((entry, leave))
+                continue
+            (entries, border, left), (own, leaves, right) = below[2 * k:2 * k + 2]
+            place = {s: i for i, s in enumerate(border)}
+            row, column = left[entries.index(entry)], right[:, leaves.index(leave)]
+            middle = own[int(np.argmax([row[place[s]] + column[i] if s in place else _LOST for i, s in enumerate(own)]))]
+            split += [(entry, middle), (middle, leave)]
+        found = split
+    return found
 
 
 _STATE = StructType([StructField("reach", IntegerType()), StructField("piece", StringType())])
