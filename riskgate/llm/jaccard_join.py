@@ -41,11 +41,11 @@ from riskgate.llm import words as W
 from riskgate.llm.arrow import map_texts
 from riskgate.llm.bloom import blocked_bloom, may_contain
 from riskgate.llm.components import components
-from riskgate.llm.storage import stored
+from riskgate.llm.storage import dropped, stored
 
 SKETCH_BITS = 21
 SLICE_BITS = 14
-BITMAP_BYTES = 128
+BITMAP_LONGS = 16
 NEIGHBOURS = 6
 
 
@@ -120,7 +120,7 @@ def rarity(docs: DataFrame, text: str, rule: Rule) -> np.ndarray:
 
 _SIGNATURE = StructType([
     StructField("n_shingles", LongType()), StructField("cls", BinaryType()), StructField("grp", LongType()),
-    StructField("prefix", ArrayType(LongType())), StructField("bitmap", BinaryType()),
+    StructField("prefix", ArrayType(LongType())), StructField("bitmap", ArrayType(LongType())),
     StructField("fold1", LongType()), StructField("fold2", LongType())])
 
 
@@ -133,26 +133,25 @@ def _group(prefix: np.ndarray, n: int) -> int:
     return int.from_bytes(_digest(np.append(prefix, np.uint64(n)))[:8], "little", signed=True)
 
 
-def _bitmap(s: np.ndarray) -> bytes:
-    bits = np.bincount((s & np.uint64(8 * BITMAP_BYTES - 1)).astype(np.int64), minlength=8 * BITMAP_BYTES)
-    return np.packbits((bits & 1).astype(np.uint8)).tobytes()
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    bits = np.bincount((s & np.uint64(64 * BITMAP_LONGS - 1)).astype(np.int64), minlength=64 * BITMAP_LONGS)
+    return np.packbits((bits & 1).astype(np.uint8)).view(np.int64)
 
 
-def _folded(bitmap: bytes) -> tuple[int, int]:
+def _folded(bitmap: np.ndarray) -> tuple[int, int]:
     """The bitmap folded to 128 bits: a parity bitmap again, with fewer places."""
-    one, two = np.bitwise_xor.reduce(np.frombuffer(bitmap, np.int64).reshape(-1, 2), axis=0)
+    one, two = np.bitwise_xor.reduce(bitmap.reshape(-1, 2), axis=0)
     return int(one), int(two)
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, rule: Rule) -> DataFrame:
-    """Per row: set size, class and group keys, and, once a task for each class, the
-    prefix in the global order and the bitmap."""
+    """Per row: set size, class and group keys, and, once a slice of rows for each class,
+    the prefix in the global order and the bitmap. Stored, so that the broadcast ends."""
     common = docs.sparkSession.sparkContext.broadcast(rarity(docs, text, rule))  # 2 ** SKETCH_BITS bytes
 
     def make():
-        seen: dict[bytes, int] = {}
-
         def work(texts):
+            seen: dict[bytes, int] = {}
             out = {f.name: [] for f in _SIGNATURE.fields}
             for s in _sets(texts, rule):
                 key, group, prefix, bitmap, folds = _digest(s) if len(s) else None, None, None, None, (None, None)
@@ -169,7 +168,10 @@ def signatures(docs: DataFrame, doc_id: str, text: str, rule: Rule) -> DataFrame
             return out
         return work
 
-    return map_texts(docs, {"doc_id": F.col(doc_id), "text_hash": _text_hash(text)}, F.col(text), make, _SIGNATURE)
+    rows = map_texts(docs, {"doc_id": F.col(doc_id), "text_hash": _text_hash(text)}, F.col(text), make, _SIGNATURE)
+    rows = stored(rows, "jaccard-signatures")
+    common.destroy()
+    return rows
 
 
 # -- step 3: group pairs --------------------------------------------------------
@@ -268,59 +270,40 @@ def _cross_pairs(lists: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
 
 # -- step 4: verification -------------------------------------------------------
 
-_SET = StructType([StructField("found", BinaryType()), StructField("shingles", BinaryType())])
-
-
 def _text_hash(text: str) -> Column:
     return F.xxhash64(F.col(text).cast("string"))
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, rule: Rule) -> DataFrame:
-    """(cls, shingles) of the wanted classes, from one document of each."""
+def _texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(cls, text) of the wanted classes, from a document of each (repeated rows repeat it).
+    Texts travel, not sets: they are smaller and compress."""
     keyed = wanted.select("cls", F.xxhash64("rep.id", "rep.text_hash").alias("key"))
     bloom = blocked_bloom(keyed, "key", keyed.count())
     named = docs.select(F.col(text).cast("string").alias("text"), F.xxhash64(F.col(doc_id), _text_hash(text)).alias("key"))
-    rows = may_contain(named, "key", bloom, "passes").where("passes").join(keyed, "key").select("cls", "text")
-
-    def make():
-        def work(texts):
-            out = {f.name: [] for f in _SET.fields}
-            for s in _sets(texts, rule):
-                out["found"].append(_digest(s) if len(s) else None)
-                out["shingles"].append(s.tobytes())
-            return out
-        return work
-
-    sets = map_texts(rows, {"cls": F.col("cls")}, F.col("text"), make, _SET)
-    return sets.where("cls = found").groupBy("cls").agg(F.min("shingles").alias("shingles"))
+    return may_contain(named, "key", bloom, "passes").where("passes").join(keyed, "key").select("cls", "text")
 
 
 def _close(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """Class pairs (a, b) that their bitmaps don't rule out."""
-    @F.pandas_udf("boolean")
-    def near(x: pd.Series, nx: pd.Series, y: pd.Series, ny: pd.Series) -> pd.Series:
-        bits = [np.frombuffer(b"".join(m), np.uint64).reshape(len(m), -1) for m in (x, y)]
-        differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64) if len(x) else np.empty(0, np.int64)
-        m, n = nx.to_numpy(), ny.to_numpy()
-        return pd.Series(differ <= m + n - 2 * rule.overlap(m, n))
-
     a, b = (classes.select(F.col("cls").alias(c), F.col("bitmap").alias(f"m{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").where(near("ma", "na", "mb", "nb")).select("a", "b")
+    differ = sum((F.bit_count(F.col("ma")[k].bitwiseXOR(F.col("mb")[k])) for k in range(BITMAP_LONGS)), F.lit(0))
+    total = F.col("na") + F.col("nb")
+    need = F.ceil(F.lit(rule.percent) * total / (100 + rule.percent))
+    return pairs.join(a, "a").join(b, "b").where(differ <= total - 2 * need).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Class pairs (a, b) whose whole sets reach the threshold."""
+def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Class pairs (a, b) whose whole sets reach the threshold, and are those of the classes."""
     @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
+    def linked(a: pd.Series, x: pd.Series, b: pd.Series, y: pd.Series) -> pd.Series:
         out = []
-        for p, q in zip(x, y, strict=True):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(100 * both >= rule.percent * (len(p) + len(q) - both))
-        return pd.Series(out)
+        for p, q, s, t in zip(a, b, *(_sets([t.encode() for t in v], rule) for v in (x, y)), strict=True):
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            out.append(100 * both >= rule.percent * (len(s) + len(t) - both) and _digest(s) == bytes(p) and _digest(t) == bytes(q))
+        return pd.Series(out, dtype=bool)
 
-    a, b = (sets.select(F.col("cls").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").where(linked("sa", "sb")).select("a", "b")
+    a, b = (texts.select(F.col("cls").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").where(linked("a", "ta", "b", "tb")).select("a", "b").distinct()
 
 
 # -- all steps ---------------------------------------------------------------------
@@ -328,12 +311,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 def jaccard_components(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles (set size), component_id, and what tells components and
     rows apart where ids repeat: `root` (null for an empty set) and `text_hash`."""
-    rows = stored(signatures(docs, doc_id, text, rule), "jaccard-signatures")
-    classes = stored(rows.where("n_shingles > 0").groupBy("cls").agg(
+    whole = signatures(docs, doc_id, text, rule)
+    rows = stored(whole.select("doc_id", "n_shingles", "cls", "text_hash"), "jaccard-rows")
+    classes = stored(whole.where("n_shingles > 0").groupBy("cls").agg(
         F.min("grp").alias("grp"), F.min("n_shingles").alias("n"), F.min("bitmap").alias("bitmap"),
         F.min("fold1").alias("fold1"), F.min("fold2").alias("fold2"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"),
         F.max(F.struct(F.col("doc_id").alias("id"), "text_hash")).alias("rep")), "jaccard-classes")
-    lists = stored(_lists(rows), "jaccard-lists")
+    lists = stored(_lists(whole), "jaccard-lists")
+    dropped(whole)
 
     def expanded(group_pairs: DataFrame, members: DataFrame) -> DataFrame:
         """Pairs of the classes of two groups that are not yet in one component."""
@@ -345,8 +330,10 @@ def jaccard_components(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text
     def verified(class_pairs: DataFrame, name: str) -> DataFrame:
         pairs = stored(_close(class_pairs, classes, rule), f"jaccard-{name}-pairs")
         ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        sets = _whole_sets(docs, classes.join(ends, "cls", "left_semi"), doc_id, text, rule)
-        return stored(_verified(pairs, stored(sets, f"jaccard-{name}-sets"), rule), f"jaccard-{name}-links")
+        texts = stored(_texts(docs, classes.join(ends, "cls", "left_semi"), doc_id, text), f"jaccard-{name}-texts")
+        links = stored(_verified(pairs, texts, rule), f"jaccard-{name}-links")
+        dropped(pairs, texts)
+        return links
 
     def merged(members: DataFrame, links: DataFrame) -> DataFrame:
         """The classes with the roots that further links between their components give."""
@@ -362,7 +349,7 @@ def jaccard_components(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text
     inside = classes.join(first, "grp").where("cls <> a").select("a", F.col("cls").alias("b"))
     near = verified(expanded(_neighbour_pairs(lists, rule), alone).unionByName(inside).distinct(), "near")
     # round two: whatever is still apart; a group in several components counts as apart from all, itself included
-    members = stored(merged(alone, near), "jaccard-members")
+    members = first_members = stored(merged(alone, near), "jaccard-members")
     by_group = stored(members.groupBy("grp").agg(
         F.count("*").alias("m"), F.min("root").alias("root"), F.max("root").alias("other"),
         F.min("fold1").alias("fold1"), F.min("fold2").alias("fold2")), "jaccard-groups")
@@ -370,7 +357,8 @@ def jaccard_components(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text
     known = by_group.select("grp", *[F.when(F.expr(c), F.col(n)).alias(n) for n, c in (
         ("root", "root = other"), ("fold1", "m = 1"), ("fold2", "m = 1"))])
     cross = verified(expanded(_cross_pairs(lists, known, rule).union(split), members), "cross")
-    members = merged(members, cross)
+    members = stored(merged(members, cross), "jaccard-members")
+    dropped(classes, lists, near, by_group, cross, first_members)
     least = members.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("m")) \
         .where("m > 1")
     shared = members.join(least, "root").select("cls", "component_id", "root")
@@ -389,6 +377,7 @@ def one_of_each(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str =
     members = stored(rows.join(groups, "root").select(
         F.xxhash64("row.doc_id", "row.text_hash").alias("__key"), (F.col("row") == F.col("keeper")).alias("__stays"))
         .groupBy("__key").agg(F.max("__stays").alias("__stays")), "jaccard-members")
+    dropped(rows)
     keyed = docs.withColumn("__key", F.xxhash64(F.col(doc_id), _text_hash(text)))
     probe = may_contain(keyed, "__key", blocked_bloom(members, "__key", members.count()), "__asked")
     asked = probe.where("__asked").join(members, "__key", "left")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 
 # An odd base for the polynomial, its inverse, and mixing multipliers.
 _BASE = 0x9E3779B97F4A7C15
