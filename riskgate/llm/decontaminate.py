@@ -26,8 +26,8 @@ BLOCK_WORDS words, with one pass over the documents for each block.
 
 Defined results: null or empty texts and items match nothing; items with fewer than
 MIN_ITEM_WORDS words are too little evidence for edits: they match exactly, are reported
-with `short_item` true, and `clean` keeps documents that hold no other; repeated documents
-give repeated rows, an item at several places of a text one row (its least distance,
+with `short_item` true, and `clean` can be told to keep documents that hold no other;
+repeated documents give repeated rows, an item at several places of a text one row (its least distance,
 the first place to end, and the longest passage that ends there); other columns are not read.
 """
 
@@ -321,9 +321,10 @@ def _searcher(shared, schema: StructType):
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
-          item_text: str = "text") -> DataFrame:
-    """The documents that contain no item of at least MIN_ITEM_WORDS words, all columns,
-    without moving any row."""
+          item_text: str = "text", short_items: bool = True) -> DataFrame:
+    """The documents that contain no item, all columns, without moving any row. Without
+    ``short_items``, items of fewer than MIN_ITEM_WORDS words are no reason to leave a
+    document out."""
     place, schema = docs.columns.index(text), docs.schema
 
     def without(shared):
@@ -331,7 +332,8 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
             found = Items(*shared.value)
             for batch in batches:
                 texts = [t or b"" for t in texts_of(batch.column(place))]
-                hit = {t for t, i, _, _ in _searched(found, texts) if len(found.words[i]) >= MIN_ITEM_WORDS} if found.ids else set()
+                hit = {t for t, i, _, _ in _searched(found, texts)
+                       if short_items or len(found.words[i]) >= MIN_ITEM_WORDS} if found.ids else set()
                 yield batch.filter(pa.array([k not in hit for k in range(len(texts))], pa.bool_()))
         return run
 

@@ -212,7 +212,8 @@ def test_short_items_are_told_apart_and_kept_by_clean(spark):
     docs = documents(spark, [(1, "at seven"), (2, "one two three four five six seven"), (3, "none")])
     got = sorted((r.doc_id, r.item_id, r.short_item) for r in decontaminate.matches(docs, bench).collect())
     assert got == [(1, 1, True), (2, 1, True), (2, 2, False)]
-    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [1, 3]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench, short_items=False).collect()) == [1, 3]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [3]
 
 
 # -- chats: an automaton written apart -------------------------------------------------------------
