@@ -3,7 +3,8 @@ read again as the next one's input.
 
 quality     lines that fail the line rules are removed, rejected documents go
 dedup       one document of each group linked by 5-word shingles, Jaccard 0.8 or more
-decontam    documents that contain a benchmark item go
+decontam    documents that contain a benchmark item go (an item of under six words is no
+            evidence: it may be any common word)
 secrets     found secrets are replaced by a mark
 tokens      the texts as SentencePiece ids
 
@@ -39,7 +40,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), short_items=False)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
