@@ -182,11 +182,12 @@ _PAIR = StructType([StructField("ga", LongType()), StructField("gb", LongType())
 
 def _lists(rows: DataFrame) -> DataFrame:
     """(token, place, grp) of all prefix shingles that several groups share; `place` holds
-    the set's size and the shingle's position: size * 2**32 + position."""
+    the set's size and the shingle's position: size * 2**32 + position. Lists are in order
+    of size, then group, so near copies have the same neighbours in all their lists."""
     entries = rows.where("prefix is not null").select(
         "grp", "n_shingles", F.posexplode("prefix").alias("pos", "token")) \
         .select("token", (F.col("n_shingles") * F.lit(1 << 32) + F.col("pos")).alias("place"), "grp")
-    ordered = entries.repartition("token").sortWithinPartitions("token", "place", "grp")
+    ordered = entries.repartition("token").sortWithinPartitions("token", F.shiftright("place", 32), "grp")
 
     def shared(batches):
         """Rows whose list has another group; only the last row waits for the next batch."""
