@@ -8,8 +8,9 @@
    tree with a probability that falls only slowly with its depth; others part soon. The
    first FIRST_DEPTH levels need no counts, as a path follows from a class alone.
 3. Nodes of at most SMALL classes are compared exhaustively. In a larger one every class
-   is compared with the node's least class; if all look near, the node is settled,
-   otherwise its classes branch on. What is still large at LAST_DEPTH is settled as well.
+   is compared with the node's least class; a node that kept nearly all classes of its
+   parent, as only similar sets do, is settled; the classes of others branch on. What is
+   still large at LAST_DEPTH is settled as well.
 4. Candidate pairs pass a size test, the bitmap's exact bound on the difference, and a
    loose test of the minwise values (LEAST_EQUAL), and are then verified on full sets:
    first the best partner of each class, next pairs that are still in different
@@ -18,8 +19,8 @@
    of a common node whose ends are apart stays unseen.
 
 Recall, for a pair just at the threshold: one tree misses it by depth 2 with probability
-0.22, by depth 4 with 0.36, by depth 8 with 0.55; TREES trees miss it with 4e-7, 4e-5 and
-3e-3. The loose test misses it with 3e-5. Pairs above the threshold fare better.
+0.22, by depth 4 with 0.36, by depth 6 with 0.47; TREES trees miss it with 4e-7, 4e-5 and
+5e-4. The loose test misses it with 3e-5. Pairs above the threshold fare better.
 
 A document's component is the smallest doc_id it can reach over links.
 
@@ -47,9 +48,11 @@ from riskgate.llm.components import components
 from riskgate.llm.storage import dropped, spread, stored
 
 TREES, PLACES = 10, 64
-FIRST_DEPTH, LAST_DEPTH, SMALL = 2, 8, 24
+FIRST_DEPTH, LAST_DEPTH, SMALL = 2, 6, 24
 LEAST_EQUAL = 42
 BITMAP_LONGS = 16
+#: A node is settled when it has this share of its parent's classes, less than linked sets keep.
+KEPT_BELOW_PCT = 5
 #: Shingles hashed at once for the minwise values.
 HASHED = 1 << 14
 
@@ -143,12 +146,13 @@ def branch(node: np.ndarray, values: np.ndarray, percent: int) -> tuple[np.ndarr
     return np.append(rows, more), np.append(child(rows, one), child(more, two[more]))
 
 
-_ENTRY = StructType([StructField("node", LongType()), StructField("cls", BinaryType()), StructField("n", LongType())])
+_ENTRY = StructType([StructField("node", LongType()), StructField("cls", BinaryType()), StructField("n", LongType()),
+                     StructField("parent", LongType())])
 
 
 def _entries(rows: DataFrame, depth: int, percent: int) -> DataFrame:
-    """(node, cls, n) `depth` levels below the given node of each row, or below the roots
-    of all trees where there is none."""
+    """(node, cls, n, parent) `depth` levels below the given node of each row, or below the
+    roots of all trees where there is none; parent is handed on."""
     def run(batches):
         import pyarrow as pa
 
@@ -163,8 +167,8 @@ def _entries(rows: DataFrame, depth: int, percent: int) -> DataFrame:
                 at, node = branch(node, values[row], percent)
                 row = row[at]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node.view(np.int64)), batch.column("cls").take(pa.array(row)), batch.column("n").take(pa.array(row))],
-                names=["node", "cls", "n"])
+                [pa.array(node.view(np.int64)), *[batch.column(c).take(pa.array(row)) for c in ("cls", "n", "parent")]],
+                names=["node", "cls", "n", "parent"])
 
     return rows.mapInArrow(run, _ENTRY)
 
@@ -180,6 +184,13 @@ def _fits(a: str, b: str, rule: Near) -> Column:
     return 100 * F.least(a, b) >= rule.percent * F.greatest(a, b)
 
 
+def _bits_fit(a: str, b: str, na: str, nb: str, rule: Near) -> Column:
+    """The bitmaps leave room for a link: their difference bounds that of the sets from below."""
+    differ = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(BITMAP_LONGS)), F.lit(0))
+    total = F.col(na) + F.col(nb)
+    return differ <= total - 2 * F.ceil(F.lit(rule.percent) * total / (100 + rule.percent))
+
+
 def _close(pairs: DataFrame, classes: DataFrame, rule: Near) -> DataFrame:
     """(a, b, equal) of the pairs of classes that size, bitmap and minwise values leave."""
     @F.pandas_udf("int")
@@ -190,17 +201,14 @@ def _close(pairs: DataFrame, classes: DataFrame, rule: Near) -> DataFrame:
     sides = (classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}"),
                             F.col("minwise").alias(f"values_{c}")) for c in "ab")
     both = pairs.join(next(sides), "a").join(next(sides), "b")
-    differ = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(BITMAP_LONGS)), F.lit(0))
-    total = F.col("na") + F.col("nb")
-    need = F.ceil(F.lit(rule.percent) * total / (100 + rule.percent))
-    left = both.where(_fits("na", "nb", rule) & (differ <= total - 2 * need))
+    left = both.where(_fits("na", "nb", rule) & _bits_fit("bits_a", "bits_b", "na", "nb", rule))
     return left.select("a", "b", equal("values_a", "values_b").alias("equal")).where(F.col("equal") >= LEAST_EQUAL)
 
 
 def _candidates(classes: DataFrame, rule: Near) -> tuple[list[DataFrame], list[DataFrame]]:
     """Tables of close pairs (a, b, equal), and of the settled nodes' entries (node, cls, n)."""
-    pairs, settled, done = [], [], []
-    at = _entries(spread(classes.select("cls", "n", "minwise")), FIRST_DEPTH, rule.percent)
+    pairs, settled = [], []
+    at = _entries(spread(classes.select("cls", "n", "minwise", F.lit(None).cast("long").alias("parent"))), FIRST_DEPTH, rule.percent)
     for depth in range(FIRST_DEPTH, LAST_DEPTH + 1):
         entries = stored(at, "paths-entries")
         many = entries.groupBy("node").agg(F.count("*").alias("m"), F.min("cls").alias("least")).where("m > 1")
@@ -214,15 +222,10 @@ def _candidates(classes: DataFrame, rule: Near) -> tuple[list[DataFrame], list[D
         star = large.where("cls <> least")
         close = stored(_close(small.union(star.select(*_ordered(F.col("cls"), F.col("least")))).distinct(), classes, rule), "paths-pairs")
         pairs.append(close)
-        done.append(shared)
-        near = star.select("node", "m", *_ordered(F.col("cls"), F.col("least"))).join(close, ["a", "b"])
-        ended = near.groupBy("node").agg(F.count("*").alias("near"), F.min("m").alias("m")).where("near = m - 1").select("node")
-        if depth == LAST_DEPTH:
-            settled.append(large.select("node", "cls", "n"))
-            break
-        settled.append(stored(large.join(ended, "node", "left_semi").select("node", "cls", "n"), "paths-settled"))
-        open_ = stored(large.join(ended, "node", "left_anti").select("node", "cls", "n"), "paths-open")
-        if not open_.limit(1).count():
+        similar = F.coalesce(100 * F.col("m") >= (rule.percent - KEPT_BELOW_PCT) * F.col("parent"), F.lit(False))
+        settled.append(large.where(similar | F.lit(depth == LAST_DEPTH)).select("node", "cls", "n"))
+        open_ = large.where(~similar).select("node", "cls", "n", F.col("m").alias("parent"))
+        if depth == LAST_DEPTH or not open_.limit(1).count():
             break
         at = _entries(spread(open_.join(classes.select("cls", "minwise"), "cls"), "cls", "node"), 1, rule.percent)
     return pairs, settled
@@ -293,10 +296,10 @@ def _linked_classes(classes: DataFrame, rule: Near, texts_of: Callable[[DataFram
     rooted = held.join(members, "cls")
     mixed = rooted.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("greatest")) \
         .where("least <> greatest").select("node")
-    rooted = stored(rooted.join(mixed, "node", "left_semi"), "paths-mixed")
+    rooted = stored(rooted.join(mixed, "node", "left_semi").join(classes.select("cls", "bits"), "cls"), "paths-mixed")
     a, b = rooted.alias("x"), rooted.alias("y")
-    cross = a.join(b, F.col("x.node") == F.col("y.node")).where(
-        (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & _fits("x.n", "y.n", rule)) \
+    cross = a.join(b, (F.col("x.node") == F.col("y.node")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
+                   & _fits("x.n", "y.n", rule) & _bits_fit("x.bits", "y.bits", "x.n", "y.n", rule)) \
         .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     cross = _close(cross.join(close, ["a", "b"], "left_anti"), classes, rule)
     return _merged(members, stored(_verified(cross, texts, rule), "paths-links"))
