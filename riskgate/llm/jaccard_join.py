@@ -13,10 +13,12 @@
 4. Group pairs are expanded to class pairs. A parity bitmap of each set bounds their
    symmetric difference from below and removes most, and the rest is verified on the
    whole sets.
-5. Linking works in two rounds, because a large group of near copies would otherwise
+5. Linking works in three rounds, because a large group of near copies would otherwise
    emit all its pairs: first every group is paired with its NEIGHBOURS next ones, by
-   size, in each list; after that only pairs whose ends are still in different
-   components are formed and verified. No link between components is lost.
+   size, in each list; then, in lists with several components, with up to NEIGHBOURS of
+   the WINDOW next ones that lie in another component and whose folded bitmap fits; last
+   all pairs whose ends are still in different components are formed and verified. Each
+   round sees the components of the one before. No link between components is lost.
 
 A document's component is the smallest doc_id it can reach over links.
 
@@ -33,7 +35,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BinaryType, IntegerType, LongType, StructField, StructType)
 
@@ -47,6 +49,9 @@ SKETCH_BITS = 21
 SLICE_BITS = 14
 BITMAP_LONGS = 16
 NEIGHBOURS = 6
+WINDOW = 64
+#: Texts of pairs that are verified at once hold about so many characters, or are of one pair.
+PAIR_CHARS = 1 << 20
 
 
 class Rule(NamedTuple):
@@ -248,22 +253,64 @@ def _neighbour_pairs(lists: DataFrame, rule: Rule) -> DataFrame:
     return lists.mapInArrow(pairs, _PAIR).distinct()
 
 
+def _mixed_lists(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """The lists whose groups lie in several components, in the same order. `groups` has the
+    side of a group (its component; one of its own if it is in several) and the folded
+    bitmap of its one class (null: several classes)."""
+    whole = Window.partitionBy("token").orderBy(F.shiftright("place", 32), "grp") \
+        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = lists.join(groups, "grp").withColumn("least", F.min("side").over(whole)).withColumn("most", F.max("side").over(whole))
+    return rows.where("least <> most").select("token", "place", "grp", "side", "fold1", "fold2")
+
+
+def _window_pairs(mixed: DataFrame, rule: Rule) -> DataFrame:
+    """Each group with up to NEIGHBOURS of the WINDOW groups before it in a list: those that
+    the filters and folded bitmaps let it link with and that lie in other components. Rows
+    come in the order in which they were written."""
+    def pairs(batches):
+        import pyarrow as pa
+
+        held = [np.empty(0, np.int64)] * 6
+        for batch in batches:
+            old = len(held[0])
+            columns = [np.append(h, c.to_numpy()) for h, c in zip(held, batch.columns, strict=True)]
+            held = [x[-WINDOW:] for x in columns]
+            t, p, g, side, one, two = columns
+            n, pos = _size(p), _position(p)
+            fold = np.stack([one, two])
+            b, left = np.arange(old, len(t)), np.full(len(t), NEIGHBOURS)
+            found = [(g[:0], g[:0])]
+            for k in range(1, WINDOW + 1):
+                b = b[(b >= k) & (left[b] > 0)]
+                b = b[t[b] == t[b - k]]
+                a = b - k
+                need = rule.overlap(n[a], n[b])
+                differ = np.bitwise_count(fold[:, a] ^ fold[:, b]).sum(axis=0, dtype=np.int64)
+                fits = (side[a] != side[b]) & (pos[a] < rule.index(n[a])) & (100 * n[a] >= rule.percent * n[b]) \
+                    & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need) & (differ <= n[a] + n[b] - 2 * need)
+                left[b[fits]] -= 1
+                found.append((g[a][fits], g[b][fits]))
+            both = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["ga", "gb"])
+
+    rows = mixed.where("fold1 is not null").select("token", "place", "grp", F.xxhash64("side").alias("side"), "fold1", "fold2")
+    return rows.mapInArrow(pairs, _PAIR).distinct()
+
+
 def _cross_pairs(lists: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
-    """All pairs of a list's groups that lie in different components so far. `groups` has
-    the root of a group (null: apart from all) and the folded bitmap of its one class
-    (null: several classes), which rules out most pairs here."""
+    """All pairs of a list's groups that lie in different components so far, by the sides and
+    folded bitmaps of `groups` (see _mixed_lists), which rule out most pairs here."""
     n, pos = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
     index = n - F.ceil(F.lit(2 * rule.percent) * n / (100 + rule.percent)) + 1
     rows = lists.join(groups, "grp").select(
-        "token", "grp", "root", "fold1", "fold2", n.alias("n"), pos.alias("pos"), (pos < index).alias("short"))
+        "token", "grp", "side", "fold1", "fold2", n.alias("n"), pos.alias("pos"), (pos < index).alias("short"))
     a, b = rows.where("short").alias("a"), rows.alias("b")
     na, pa, nb, pb = (F.col(c) for c in ("a.n", "a.pos", "b.n", "b.pos"))
     need = F.ceil(F.lit(rule.percent) * (na + nb) / (100 + rule.percent))
     differ = F.bit_count(F.col("a.fold1").bitwiseXOR(F.col("b.fold1"))) \
         + F.bit_count(F.col("a.fold2").bitwiseXOR(F.col("b.fold2")))
     return a.join(b, F.col("a.token") == F.col("b.token")).where(
-        (F.struct("a.n", "a.grp") < F.struct("b.n", "b.grp"))
-        & F.coalesce(F.col("a.root") != F.col("b.root"), F.lit(True))
+        (F.struct("a.n", "a.grp") < F.struct("b.n", "b.grp")) & (F.col("a.side") != F.col("b.side"))
         & (F.lit(100) * na >= F.lit(rule.percent) * nb) & (F.least(na - pa, nb - pb) >= need)
         & F.coalesce(differ <= na + nb - 2 * need, F.lit(True))) \
         .select(F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb")).distinct()
@@ -298,9 +345,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, x: pd.Series, b: pd.Series, y: pd.Series) -> pd.Series:
         out = []
-        for p, q, s, t in zip(a, b, *(_sets([t.encode() for t in v], rule) for v in (x, y)), strict=True):
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            out.append(100 * both >= rule.percent * (len(s) + len(t) - both) and _digest(s) == bytes(p) and _digest(t) == bytes(q))
+        part = ((x.str.len() + y.str.len()).cumsum() // PAIR_CHARS).to_numpy()  # sets of a few pairs at a time
+        for rows in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
+            sides = (_sets([t.encode() for t in v.iloc[rows]], rule) for v in (x, y))
+            for p, q, s, t in zip(a.iloc[rows], b.iloc[rows], *sides, strict=True):
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                out.append(100 * both >= rule.percent * (len(s) + len(t) - both) and _digest(s) == bytes(p) and _digest(t) == bytes(q))
         return pd.Series(out, dtype=bool)
 
     a, b = (texts.select(F.col("cls").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
@@ -349,20 +399,32 @@ def jaccard_components(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text
     first = classes.groupBy("grp").agg(F.min("cls").alias("a"), F.count("*").alias("m")).where("m > 1")
     inside = classes.join(first, "grp").where("cls <> a").select("a", F.col("cls").alias("b"))
     near = verified(expanded(_neighbour_pairs(lists, rule), alone).unionByName(inside).distinct(), "near")
-    # round two: whatever is still apart; a group in several components counts as apart from all, itself included
-    members = first_members = stored(merged(alone, near), "jaccard-members")
-    by_group = stored(members.groupBy("grp").agg(
-        F.count("*").alias("m"), F.min("root").alias("root"), F.max("root").alias("other"),
-        F.min("fold1").alias("fold1"), F.min("fold2").alias("fold2")), "jaccard-groups")
-    split = by_group.where("root <> other").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
-    known = by_group.select("grp", *[F.when(F.expr(c), F.col(n)).alias(n) for n, c in (
-        ("root", "root = other"), ("fold1", "m = 1"), ("fold2", "m = 1"))])
-    cross = verified(expanded(_cross_pairs(lists, known, rule).union(split), members), "cross")
-    members = stored(merged(members, cross), "jaccard-members")
-    dropped(classes, lists, near, by_group, cross, first_members)
-    least = members.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("m")) \
+
+    def sided(members: DataFrame) -> DataFrame:
+        """(grp, side, fold1, fold2, split) of the groups; one in several components is split and a side of its own."""
+        groups = members.groupBy("grp").agg(
+            (F.min("root") != F.max("root")).alias("split"), F.min("root").alias("root"), F.count("*").alias("m"),
+            *[F.min(f).alias(f) for f in ("fold1", "fold2")])
+        return stored(groups.select(
+            "grp", F.when(F.col("split"), F.col("grp").cast("string").cast("binary")).otherwise(F.col("root")).alias("side"),
+            *[F.when(F.col("m") == 1, F.col(f)).alias(f) for f in ("fold1", "fold2")], "split"), "jaccard-groups")
+
+    # round two: more neighbours, in other components
+    alone = stored(merged(alone, near), "jaccard-members")
+    groups = sided(alone)
+    mixed = stored(_mixed_lists(lists, groups.drop("split")), "jaccard-mixed")
+    more = verified(expanded(_window_pairs(mixed, rule), alone), "window")
+    # round three: whatever is still apart
+    members = stored(merged(alone, more), "jaccard-members")
+    last = sided(members)
+    split = last.where("split").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
+    crossing = _cross_pairs(mixed.select("token", "place", "grp"), last.drop("split"), rule)
+    cross = verified(expanded(crossing.union(split), members), "cross")
+    rooted = stored(merged(members, cross), "jaccard-members")
+    dropped(classes, lists, near, alone, groups, mixed, more, members, last, cross)
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("m")) \
         .where("m > 1")
-    shared = members.join(least, "root").select("cls", "component_id", "root")
+    shared = rooted.join(least, "root").select("cls", "component_id", "root")
     return rows.select("doc_id", "n_shingles", "cls", "text_hash").join(shared, "cls", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce("root", "cls").alias("root"), "text_hash")

@@ -254,6 +254,27 @@ def test_jaccard_against_brute_force(spark, rule):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, rule)
 
 
+def test_large_group_of_near_copies_forms_few_pairs(spark, monkeypatch):
+    rng, formed = random.Random(5), []
+    base, rows = [f"w{k}" for k in range(180)], []
+    for k in range(600):  # copies with one edit link with all others, those with two only with the former
+        edits = rng.sample(range(3, 177), 1 if k % 20 == 0 else 2)
+        rows.append((k, " ".join(f"x{k}" if at in edits else w for at, w in enumerate(base))))
+    stored = jaccard_join.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name.endswith("-pairs"):
+            formed.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    rule = jaccard_join.Rule(3, 90)
+    got = jaccard_join.jaccard_components(documents(spark, rows), rule)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, rule)
+    assert sum(formed) < 10 * len(rows), formed
+
+
 def test_one_of_each(spark):
     text = " ".join(f"w{k}" for k in range(40))
     rows = [(3, text), (2, text.upper()), (2, text.upper()), (9, None), (9, None), (7, "other words in here now")]
