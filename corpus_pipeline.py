@@ -14,11 +14,13 @@ to them. n_chars follows the text. Rows with null text are rejected by the first
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgate.llm import decontaminate, jaccard_join, quality, secret_scan, sentencepiece_scan
-from riskgate.llm.arrow import table
+from riskgate.llm.arrow import small_batches, table
 from riskgate.llm.storage import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,23 +33,38 @@ def _documents(df: DataFrame, text: str) -> DataFrame:
                      F.char_length(text).cast("long").alias("n_chars"))
 
 
+def _in_small_batches(stage):
+    """The stage, whose whole texts go to Python in small batches: its executors also keep
+    what the stages before have left in their memory."""
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+    return run
+
+
+@_in_small_batches
 def clean_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(quality.quality_rules(docs, ("doc_id", "lang", "source")).where("kept"), "clean_text")
 
 
+@_in_small_batches
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.one_of_each(docs.select(*COLUMNS), NEAR_DUPLICATES)
 
 
+@_in_small_batches
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), short_items=False)
 
 
+@_in_small_batches
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_spans(docs, ("doc_id", "lang", "source"))
     return _documents(found.withColumn("redacted", secret_scan.redacted("__text", "spans")), "redacted")
 
 
+@_in_small_batches
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, n_tokens and ids, and whether the ids give the text back."""
     encoded = sentencepiece_scan.encode(docs, carry=("doc_id", "lang", "source", "n_chars"))

@@ -10,6 +10,7 @@ import sentencepiece
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 from riskgate.llm import quality, sentencepiece_scan
+from riskgate.llm.arrow import BATCH_BYTES
 from riskgate.llm.queries import QUERIES
 from tests.llm.test_small_cases import base_spans, brute_components, edit_distance_inside
 
@@ -62,6 +63,27 @@ def test_stages_keep_the_columns_of_documents(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+@pytest.mark.parametrize("stage", [stage for _, stage in corpus_pipeline.STAGES])
+@pytest.mark.parametrize("limit", [None, 1 << 20])
+def test_stages_get_texts_in_small_batches(spark, stage, limit):
+    """Spark's own limit puts all 40 texts in one batch of 31 MB; a limit that is set stays."""
+    from pyspark.sql import functions as F
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    own, key = spark.newSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    if limit:
+        own.conf.set(key, str(limit))
+    stage(own, own.read.parquet(f"{SF}/documents.parquet").limit(0), SF)
+    texts = own.range(0, 40, 1, 1).select(F.repeat(F.lit("ab "), 1 << 18).alias("text"))
+    got = texts.mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r.n for r in got) == 40
+    assert max(r.bytes for r in got) < (limit or BATCH_BYTES) + (1 << 20)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(oracle_sql())))
 def test_queries_without_sql_run(spark, name):
     assert queries()[name](spark, SF).count() > 0
